@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import packing, records
+from quillspan.llm import packing, records, superkmer
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,15 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a repeated window of 35 words removed from every document."""
+    out = superkmer.remove_repeats(table(spark, sf_dir, "documents"), width=35, seed=8)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op8_superkmer": op8_superkmer,
     "op10_token_records": op10_token_records,
 }
 
