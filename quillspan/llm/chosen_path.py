@@ -17,7 +17,7 @@ A document is its set of runs of ``k`` words (a text of fewer words: one run of
 Buckets and groups of any size are cut into blocks of ``block`` texts and each pair of blocks is a task's work of its
 own, so a group of a third of all texts is spread out, no list of pairs is ever made, and no link inside it is lost.
 
-Result: one row for each input row with class_id (least doc_id of its class), n_links (other rows with similarity of at
+Result: one row for each input row with class_id (least doc_id of its class; class_hash is that row's hash of the text), n_links (other rows with similarity of at
 least the threshold, copies included), n_copies (rows with an equal set).  Nulls: a null text, or one without words, has
 no links and is in a class of its own doc_id; null doc_ids count as rows but never name a class of others.
 Repeated rows are copies.  Empty table: no rows.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components, least_reachable
@@ -129,6 +130,7 @@ def _candidates(width: int, least: float):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in groups(batches, 3):
+            x, y, own = (table.column(i).to_numpy() for i in (1, 2, 3))
             s1, sketch = table.column(4).to_numpy(), _sketch_of(table.column(5), width)
             size = np.diff(at)
             a, b = [], []
@@ -141,7 +143,10 @@ def _candidates(width: int, least: float):
                 near = np.zeros((n, n), np.int16)
                 for i in range(width):
                     near += part[:, i, None] == part[None, :, i]
-                i, j = np.nonzero(np.triu(near >= least * width, 1))
+                hit = np.triu(near >= least * width, 1)
+                if x[low] != y[low]:  # pairs within a block are that block's own work
+                    hit &= own[low : low + n, None] != own[None, low : low + n]
+                i, j = np.nonzero(hit)
                 root = least_reachable(i, j, n)
                 far = np.flatnonzero(root != np.arange(n))
                 a.append(s1[low + far])
@@ -224,12 +229,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                g, first = shingle_sets(part.column(1), k)
+            for part in slices(batch, 2):
+                g, first = shingle_sets(part.column(2), k)
                 s1, s2 = signature(g, first)
                 raw = sketches(g, first, width).tobytes()
                 offsets = pa.py_buffer((np.arange(part.num_rows + 1) * 4 * width).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s1), pa.array(s2), pa.array(np.diff(first).astype(np.int32)), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(raw)])], ["doc_id", "s1", "s2", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s1), pa.array(s2), pa.array(np.diff(first).astype(np.int32)), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(raw)])], ["doc_id", "text_hash", "s1", "s2", "n", "sketch"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +252,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], ["path", "s1", "s2"])
 
-    spark = docs.sparkSession
     runs = runs_needed(similarity, lam, width, depth, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(source.mapInArrow(embed, "doc_id long, s1 long, s2 long, n int, sketch binary"), "sketches")
-    texts = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "texts")
+    source = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = written(source.mapInArrow(embed, "doc_id long, text_hash long, s1 long, s2 long, n int, sketch binary"), "sketches")
+    owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    texts = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(owner).alias("owner"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "texts")
 
     finals = None
     level = texts.select("s1", "s2", "sketch").mapInArrow(start, "path long, s1 long, s2 long")
@@ -267,15 +273,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
     kept = finals.groupBy("path").agg(F.first("c").alias("c"), F.first("who").alias("who")).groupBy("c", "who").agg(F.min("path").alias("path"))
     finals = finals.drop("c", "who").join(kept.select("path", "c"), "path")
     blocks = _in_blocks(finals.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]), "c", block).select("path", "x", "y", "own", "s1", "sketch")
-    # two blocks' pairs within one block are tried in that block's own task as well; a forest is the same either way
     edges = blocks.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_candidates(width, similarity - 0.2), "a long, b long")
 
     found = components(edges)  # by s1: two texts with equal 64 bits only share a candidate group
     member = texts.select("s1", "s2", "owner", "copies").join(found.withColumnRenamed("node", "s1"), "s1")
     size = member.groupBy("component").agg(F.count("*").alias("c"))
     member = written(member.join(size, "component"), "members")
-    source = source.withColumnRenamed("doc_id", "owner")
-    whole = source.join(member.hint("shuffle_hash"), source["owner"].eqNullSafe(member["owner"])).drop(source["owner"])
+    wanted = member.select("component", "c", "s1", "s2", "copies", F.col("owner.doc_id").alias("id"), F.col("owner.text_hash").alias("h"))
+    whole = source.join(wanted.hint("shuffle_hash"), source["doc_id"].eqNullSafe(F.col("id")) & (source["text_hash"] == F.col("h")))
     blocks = _in_blocks(whole, "c", block).select("component", "x", "y", "own", "s1", "s2", "copies", "text")
     pairs = written(blocks.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "own").mapInArrow(_exact(k, similarity), "s1 long, s2 long, links long, root long"), "links")
     links = pairs.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count_distinct("root").alias("roots"))
@@ -284,16 +289,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
     else:
         joined = components(pairs.select(F.col("s1").alias("a"), F.col("root").alias("b")))
         classes = links.join(joined.withColumnRenamed("node", "s1").withColumnRenamed("component", "class"), "s1", "left").withColumn("class", F.coalesce("class", "s1"))
-    name = classes.join(member.select("s1", "s2", "owner"), ["s1", "s2"]).groupBy("class").agg(F.min("owner").alias("class_id"))
-    classes = classes.join(name, "class").select("s1", "s2", "links", "class_id")
+    name = classes.join(member.select("s1", "s2", "owner"), ["s1", "s2"]).groupBy("class").agg(F.min("owner").alias("first"))
+    classes = classes.join(name, "class").select("s1", "s2", "links", "first")
     known = texts.select("s1", "s2", "owner", "copies").join(classes, ["s1", "s2"], "left")
-    out = rows.select("doc_id", "s1", "s2", "n").join(known, ["s1", "s2"], "left")
-    return out.select("doc_id", F.when(F.col("n") > 0, F.coalesce("class_id", "owner")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"))
+    out = rows.select("doc_id", "text_hash", "s1", "s2", "n").join(known, ["s1", "s2"], "left")
+    some = F.col("n") > 0
+    first = F.when(some, F.coalesce("first", "owner")).otherwise(owner)
+    links = F.when(some, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
+    return out.select("doc_id", first["doc_id"].alias("class_id"), links.cast("long").alias("n_links"), F.when(some, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), first["text_hash"].alias("class_hash"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names its class: one document of each group.  Of rows with the same doc_id in a
-    class, the one with the least hash of its text stays; rows without a doc_id stay only if no row of their class has one."""
+    """docs with one row of each class: the least doc_id, then the least hash of the text; equal rows count once.
+    All columns are kept.  Rows without words stay, once for each doc_id."""
     found = near_duplicates(docs, **options)
-    stay = found.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
+    stay = found.select(key(F.col("class_id")).alias("_kd"), F.col("class_hash").alias("_kh")).distinct()
+    keyed = docs.withColumn("_kd", key(F.col("doc_id"))).withColumn("_kh", F.xxhash64(F.col("text").cast("string"))).repartition("_kd", "_kh")
+    one = keyed.join(stay.hint("shuffle_hash"), ["_kd", "_kh"], "left_semi")
+    return one.withColumn("_n", F.row_number().over(W.partitionBy("_kd", "_kh").orderBy("_kd"))).filter("_n = 1").drop("_n", "_kd", "_kh")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import packing, records, superkmer
+from quillspan.llm import chosen_path, packing, records, superkmer
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with five-word Jaccard similarity of 0.8 or more: class and number of links of every document."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, k=5).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a repeated window of 35 words removed from every document."""
     out = superkmer.remove_repeats(table(spark, sf_dir, "documents"), width=35, seed=8)
@@ -44,6 +49,7 @@ def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_chosen_path": op3_chosen_path,
     "op8_superkmer": op8_superkmer,
     "op10_token_records": op10_token_records,
 }

@@ -22,3 +22,32 @@ def repeats(texts, width):
                 gone[i : i + width] = [True] * width
         out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
     return out
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def classes(rows, least=0.8, k=5):
+    """{row: (members of its class, links)} of (doc_id, text) rows."""
+    sets = [shingles(t, k) for _, t in rows]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    label, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, s in enumerate(sets):
+        both = Counter(j for x in s for j in where[x] if j < i)
+        for j, n in both.items():
+            if n >= least * (len(s) + len(sets[j]) - n) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                label[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))], links
