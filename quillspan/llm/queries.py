@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chosen_path, packing, records, superkmer
+from quillspan.llm import chosen_path, packing, records, superkmer, tiling, warc
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,17 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, k=5).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with revisits, written and read back."""
+    out = warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item's words in tiles of five words or more."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, coverage=0.5)
+
+
 def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a repeated window of 35 words removed from every document."""
     out = superkmer.remove_repeats(table(spark, sf_dir, "documents"), width=35, seed=8)
@@ -50,6 +61,8 @@ def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_chosen_path": op3_chosen_path,
+    "op5_warc": op5_warc,
+    "op7_tiling": op7_tiling,
     "op8_superkmer": op8_superkmer,
     "op10_token_records": op10_token_records,
 }

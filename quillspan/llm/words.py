@@ -14,6 +14,8 @@ _BYTE_MUL, _WORD_MUL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BLOCK = 1 << 22
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are no ASCII letter or digit and not part of a longer code point.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -52,11 +54,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a column of texts: ``start`` and ``end`` bytes, ``hash``, and ``first``, the first word of each text."""
 
-    def __init__(self, texts: pa.Array, lower_letters: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
         data, self.offsets = text_bytes(texts)
         self.data = data
         n = len(data)
-        space = _SPACE[data]
+        self._separators = separators
+        space = separators[data]
         begin = np.zeros(n + 1, bool)
         begin[self.offsets] = True
         start = ~space
@@ -65,7 +68,7 @@ class Words:
         end[:-1] &= space[1:] | begin[1:-1]
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.hash = self._hash(data if lower_letters is None else lower_letters[data])
+        self.hash = self._hash(data)
 
     def _hash(self, data: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
@@ -75,7 +78,7 @@ class Words:
             high = max(low + 1, int(np.searchsorted(self.start, origin + _BLOCK)))
             at = self.start[low:high] - origin
             block = data[origin : self.end[high - 1]]
-            value = np.where(_SPACE[block], 0, block.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_MUL, len(block))
+            value = np.where(self._separators[block], 0, block.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_MUL, len(block))
             h = np.add.reduceat(value, at) * powers(inverse(_BYTE_MUL), len(block))[at]
             out[low:high] = mix(h ^ ((self.end[low:high] - self.start[low:high]).astype(np.uint64) << np.uint64(40)))
             low = high
