@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chosen_path, packing, records, superkmer, tiling, warc
+from quillspan.llm import chosen_path, langid, packing, records, superkmer, tiling, warc
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the texts of three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))).select("text", "lang"))
+    out = model.predict(docs, [F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    return out.select("doc_id", "held_out", F.col("language").alias("lang_pred"), "score", "rejected")
+
+
 def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a benchmark item's words in tiles of five words or more."""
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, coverage=0.5)
@@ -62,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_chosen_path": op3_chosen_path,
     "op5_warc": op5_warc,
+    "op6_langid": op6_langid,
     "op7_tiling": op7_tiling,
     "op8_superkmer": op8_superkmer,
     "op10_token_records": op10_token_records,
