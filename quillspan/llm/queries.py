@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chosen_path, langid, packing, records, superkmer, tiling, warc
+from quillspan.llm import chosen_path, langid, packing, quality_rules, records, superkmer, tiling, warc
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of line-first cleaning on every document."""
+    out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed", "clean_words")
+
+
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with five-word Jaccard similarity of 0.8 or more: class and number of links of every document."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, k=5).select("doc_id", "class_id", "n_links", "n_copies")
@@ -69,6 +75,7 @@ def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_chosen_path": op3_chosen_path,
     "op5_warc": op5_warc,
     "op6_langid": op6_langid,

@@ -51,3 +51,20 @@ def classes(rows, least=0.8, k=5):
                 links[j] += 1
                 label[find(i)] = find(j)
     return [find(i) for i in range(len(rows))], links
+
+
+def base_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    w = words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    count = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    again = set()
+    for i in range(len(w) - 4):
+        if count[tuple(w[i : i + 5])] > 1:
+            again.update(range(i, i + 5))
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)
