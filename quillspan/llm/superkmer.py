@@ -10,8 +10,10 @@ so they meet in one bucket, and a window in a bucket that only one super-k-mer e
    hashes of their words.
 4. Repeated windows go back to their text as ranges; covered words are removed.
 
-A minimiser with more than ``hot`` super-k-mers (a passage that a third of all texts share) is not sent to one
-bucket: its windows are dealt out by their own 128 bits and counted with partial sums, so no task gets a whole group.
+A minimiser with more than ``hot`` super-k-mers (a passage that a third of all texts share) is not sent to one bucket: its
+windows are counted by their own 128 bits with partial sums, so no task gets a whole group.  Most such minimisers have few
+distinct repeated windows (a passage has at most width - seed + 1 with one minimiser); up to ``few`` of them go with the
+minimiser to every super-k-mer, which looks its windows up; minimisers with more are joined window by window.
 
 Texts are shuffled once, by row key, for both 2 and 4.  A row's key is (doc_id, hash of doc_id and text), so rows with one
 doc_id but other texts stay apart, and equal rows count as separate occurrences.
@@ -73,7 +75,7 @@ def _runs(flag: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.nd
     return owner[i[first]], place[i[first]], np.diff(np.append(first, len(i)))
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, hot: int = 5000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, hot: int = 5000, few: int = 128) -> DataFrame:
     """One row for each row of docs(doc_id, text): its words, those removed, and the kept words joined by a space."""
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +92,9 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, hot: int = 5
                 rows = pa.array(text[first])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(m[first]), pa.array(np.diff(np.append(first, len(m))))], ["kd", "k", "m", "n"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by minimiser with a packed string, or without one and by a window's 128 bits."""
-        names = ["m", "h", "s", "kd", "k", "place"]
+    def pack(batches: Iterator[pa.RecordBatch], warm: bool) -> Iterator[pa.RecordBatch]:
+        """The listed super-k-mers, those of hot minimisers or the others, as packed strings."""
+        names = ["m", "s", "kd", "k", "place"]
         for batch in batches:
             for part in slices(batch, 3):
                 words = Words(part.column(3))
@@ -113,19 +115,37 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, hot: int = 5
                 there[there] = (pair[0][hit[there]] == text[there]) & (pair[1][hit[there]] == m[there])
                 heat = np.zeros(len(m), bool)
                 heat[there] = is_hot[hit[there]]
-                cold = np.flatnonzero(there & ~heat)
+                take = np.flatnonzero(there & (heat == warm))
                 raw = words.data.tobytes()
-                strings = [b" ".join(raw[b:e].split()) for b, e in zip(words.start[at[cold]].tolist(), words.end[at[cold] + n[cold] + width - 2].tolist(), strict=True)]
-                rows = pa.array(text[cold])
-                yield pa.RecordBatch.from_arrays([pa.array(m[cold]), pa.nulls(len(cold), pa.int64()), pa.array(strings, pa.binary()).cast(pa.string()), part.column(1).take(rows), part.column(2).take(rows), pa.array((at - words.first[text])[cold])], names)
-                if heat.any():
-                    h = np.flatnonzero(heat)
-                    which = np.repeat(h, n[h])
-                    place = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(n[h]) - n[h], n[h])
-                    (one, where), (two, _) = words.grams(width, 1), words.grams(width, 2)
-                    i = np.searchsorted(where, place)
-                    rows = pa.array(text[which])
-                    yield pa.RecordBatch.from_arrays([pa.array(one[i].view(np.int64)), pa.array(two[i].view(np.int64)), pa.nulls(len(i), pa.string()), part.column(1).take(rows), part.column(2).take(rows), pa.array(place - words.first[text[which]])], names)
+                strings = [b" ".join(raw[b:e].split()) for b, e in zip(words.start[at[take]].tolist(), words.end[at[take] + n[take] + width - 2].tolist(), strict=True)]
+                rows = pa.array(text[take])
+                yield pa.RecordBatch.from_arrays([pa.array(m[take]), pa.array(strings, pa.binary()).cast(pa.string()), part.column(1).take(rows), part.column(2).take(rows), pa.array((at - words.first[text])[take])], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                words = Words(part.column(1))
+                (one, where), (two, _) = words.grams(width, 1), words.grams(width, 2)
+                rows = pa.array(words.text_of(where))
+                place = part.column(4).take(rows).to_numpy() + where - words.first[rows.to_numpy()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(2).take(rows), part.column(3).take(rows), pa.array(place)], ["m", "w1", "w2", "kd", "k", "place"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                words = Words(part.column(1))
+                (one, where), (two, _) = words.grams(width, 1), words.grams(width, 2)
+                row = words.text_of(where)
+                known = part.column(5).to_pylist()
+                held: dict[int, set] = {}
+                minimiser = part.column(0).to_numpy()
+                for m, w in zip(minimiser.tolist(), known, strict=True):
+                    if m not in held:
+                        held[m] = {(x["w1"], x["w2"]) for x in w}
+                repeated = np.array([x in held[m] for m, x in zip(minimiser[row].tolist(), zip(one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True), strict=True)], bool)
+                owner, place, length = _runs(repeated, row, where - words.first[row])
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column(2).take(rows), part.column(3).take(rows), pa.array(place + part.column(4).to_numpy()[owner]), pa.array(length)], ["kd", "k", "place", "length"])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in groups(batches, 1):
@@ -169,10 +189,20 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, hot: int = 5
     twice = seen.groupBy("m").agg(F.sum("n").alias("c")).filter("c > 1").select("m", (F.col("c") > hot).alias("hot"))
     lists = seen.join(twice, "m").groupBy("kd", "k").agg(F.collect_set(F.struct("m", "hot")).alias("listed"))
     keyed = rows.repartition("kd", "k")
-    sent = keyed.join(lists.hint("shuffle_hash"), ["kd", "k"]).select("doc_id", "kd", "k", "text", "listed").mapInArrow(pack, "m long, h long, s string, kd long, k long, place long")
-    cold = sent.filter("s is not null").select("m", "s", "kd", "k", "place").repartition("m").sortWithinPartitions("m").mapInArrow(bucket, "kd long, k long, place long, length long")
-    warm = sent.filter("s is null").select("m", "h", "kd", "k", "place")
-    repeated = warm.groupBy("m", "h").count().filter("count > 1").select("m", "h")
-    warm = warm.join(repeated, ["m", "h"]).select("kd", "k", "place", F.lit(1).cast("long").alias("length"))
-    ranges = cold.unionByName(warm).groupBy("kd", "k").agg(F.collect_list(F.struct("place", "length")).alias("gone"))
+    packed = "m long, s string, kd long, k long, place long"
+
+    def sent(warm: bool) -> DataFrame:
+        some = lists.filter(F.exists("listed", lambda x: x["hot"] if warm else ~x["hot"]))
+        return keyed.join(some.hint("shuffle_hash"), ["kd", "k"]).select("doc_id", "kd", "k", "text", "listed").mapInArrow(lambda batches: pack(batches, warm), packed)
+
+    spans = "kd long, k long, place long, length long"
+    cold = sent(False).repartition("m").sortWithinPartitions("m").mapInArrow(bucket, spans)
+    warm = sent(True)
+    window = warm.mapInArrow(windows, "m long, w1 long, w2 long, kd long, k long, place long")
+    repeated = window.groupBy("m", "w1", "w2").count().filter("count > 1").select("m", "w1", "w2")
+    number = repeated.groupBy("m").agg((F.count("*") <= few).alias("small"))
+    known = repeated.join(number.filter("small"), "m").groupBy("m").agg(F.collect_list(F.struct("w1", "w2")).alias("known"))
+    looked = warm.join(known, "m").select("m", "s", "kd", "k", "place", "known").mapInArrow(look_up, spans)
+    joined = window.join(repeated.join(number.filter("not small"), "m").drop("small"), ["m", "w1", "w2"]).select("kd", "k", "place", F.lit(1).cast("long").alias("length"))
+    ranges = cold.unionByName(looked).unionByName(joined).groupBy("kd", "k").agg(F.collect_list(F.struct("place", "length")).alias("gone"))
     return keyed.join(ranges.hint("shuffle_hash"), ["kd", "k"], "left").select("doc_id", "kd", "k", "text", "gone").mapInArrow(finish, RESULT)
