@@ -68,3 +68,19 @@ def base_counts(text):
         if count[tuple(w[i : i + 5])] > 1:
             again.update(range(i, i + 5))
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)
+
+
+def chat(rows):
+    """{conv_id: (n_turns, turns digest, loss_chars, loss digest)} of (conv_id, turn, role, text) rows."""
+    import hashlib
+
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((t is not None, t, r or "", x or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        told = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
