@@ -1,10 +1,63 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs.  All but the last return the columns of ``documents``; where a stage
+changes the text, ``n_chars`` is its new length.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm import chosen_path, packing, pii, quality_rules, tiling
+from quillspan.llm.queries import table, tokenizer_path
+from quillspan.llm.shared import written
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Good documents, without their failing lines."""
+    return _measured(quality_rules.keep_good(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word Jaccard similarity of 0.8 or more links."""
+    return chosen_path.keep_one(docs, similarity=0.8, k=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"), k=5, coverage=0.5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return _measured(pii.redact(docs, pii.fit(docs)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids, with the ids as little-endian uint32."""
+    return packing.pack(docs, tokenizer_path(), size=2048, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("packing", packed),
+]
+
+#: SQL expresses neither the tokenizer nor the join; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

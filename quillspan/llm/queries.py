@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, chosen_path, langid, packing, quality_rules, records, superkmer, tiling, warc
+from quillspan.llm import chat, chosen_path, langid, packing, pii, quality_rules, records, superkmer, tiling, warc
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,15 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, k=5).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that weak supervision adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(docs, pii.fit(docs))
+    n = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda x: x["base"])
+    return out.select("doc_id", *[n(k) for k in pii.BASE], F.sha2(pii.told(base), 256).alias("base_sha256"), pii.told(F.col("pii")).alias("spans"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records with revisits, written and read back."""
     out = warc.round_trip(table(spark, sf_dir, "pages"), least=0)
@@ -85,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_chosen_path": op3_chosen_path,
+    "op4_pii": op4_pii,
     "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_tiling": op7_tiling,

@@ -84,3 +84,25 @@ def chat(rows):
         loss = "".join(x for *_, r, x in turns if r == "assistant")
         out[c] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def base_spans(text):
+    """kind:start:end of the base kinds, by start and then kind."""
+    text = text or ""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for rank, (kind, pattern) in enumerate(patterns.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            twice = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(twice) % 10 == 0):
+                continue
+            out.append((m.start(), rank, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
