@@ -143,12 +143,13 @@ def _candidates(width: int, least: float):
                 near = np.zeros((n, n), np.int16)
                 for i in range(width):
                     near += part[:, i, None] == part[None, :, i]
-                hit = np.triu(near >= least * width, 1)
-                if x[low] != y[low]:  # pairs within a block are that block's own work
-                    hit &= own[low : low + n, None] != own[None, low : low + n]
-                i, j = np.nonzero(hit)
+                i, j = np.nonzero(np.triu(near >= least * width, 1))
                 root = least_reachable(i, j, n)
-                far = np.flatnonzero(root != np.arange(n))
+                below = np.arange(n)
+                if x[low] != y[low]:  # what a block joins by itself is told by its own task
+                    within = own[low + i] == own[low + j]
+                    below = np.unique(least_reachable(i[within], j[within], n))
+                far = below[root[below] != below]
                 a.append(s1[low + far])
                 b.append(s1[low + root[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -224,7 +225,7 @@ def _exact(k: int, least: float):
     return work
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 512) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each row of docs(doc_id, text)."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
