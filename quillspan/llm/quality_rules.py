@@ -112,5 +112,8 @@ def judge(docs: DataFrame, least_words: int = 10, most_repeated: int = 20, least
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns and their cleaned text."""
     clash = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    out = judge(docs.withColumnsRenamed(clash), **options).filter("kept")
-    return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(clash[c]).alias(c) for c in docs.columns])
+    out = judge(docs.withColumnsRenamed(clash), **options)
+    row = F.struct(*[F.col("clean_text").alias("text") if c == "text" else F.col(clash[c]).alias(c) for c in docs.columns])
+    # a plain filter would be pushed below the projections and repeat their work many times
+    one = F.filter(F.array(F.struct(F.col("kept").alias("kept"), row.alias("row"))), lambda x: x["kept"])
+    return out.select(F.explode(one).alias("x")).select("x.row.*")
