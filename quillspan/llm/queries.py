@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import chat, chosen_path, langid, packing, pii, quality_rules, records, superkmer, tiling, warc
+from quillspan.llm.oracle import ORACLE  # noqa: F401
 from quillspan.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,5 +103,3 @@ QUERIES: dict[str, Query] = {
     "op9_chat_windows": op9_chat_windows,
     "op10_token_records": op10_token_records,
 }
-
-ORACLE: dict[str, str] = {}
