@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 _BYTE_MUL, _WORD_MUL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are no ASCII letter or digit and not part of a longer code point.
@@ -102,7 +102,7 @@ class Words:
         return np.searchsorted(self.first, word, side="right") - 1
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text (a longer text stands alone)."""
     if not batch.num_rows:
         return
@@ -115,7 +115,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator
         base, low = ends[high - 1], high
 
 
-def groups(batches: Iterator[pa.RecordBatch], n_keys: int, least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int, least: int = 4_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of rows that are sorted by their first ``n_keys`` columns: tables of complete groups, and where
     each group begins in the table (with its length at the end).  The last group waits for the next batch."""
     held: list[pa.RecordBatch] = []
