@@ -2,12 +2,13 @@
 
 ``spark.read.format("warc").load(folder)`` plans one partition a file.  A record's headers are parsed first; filters on
 record type and headers (=, in, starts with) that Spark pushes down are tried on them, and the block of a record
-that fails is skipped by seeking over its Content-Length, never read or decoded.  Options: ``payload`` (default true)
+that fails is skipped by seeking over its Content-Length (in our .warc.gz files, over its gzip member, whose length is in its
+``sl`` field), never read, inflated or decoded.  Options: ``payload`` (default true)
 false also skips the blocks of wanted records; ``verify`` true checks the digest of each payload that is read.
 
 ``df.write.format("warc").save(folder)`` takes page_id, url, payload, digest, refers_to: with refers_to the record is a
 revisit, which holds the HTTP headers (with the length of the payload) and no payload.  Tasks write files under names of
-their own; ``_manifest.json`` lists those of the tasks that the driver saw finish, and only these are read.  Folders of
+their own, plain or with ``compression`` gzip as one member a record; ``_manifest.json`` lists those of the tasks that the driver saw finish, and only these are read.  Folders of
 archives from elsewhere, without a manifest, are read by their ``.warc`` and ``.warc.gz`` files.
 
 Nulls: a null payload is empty; null page_ids and urls have no header and come back null.  Repeated rows are written
@@ -20,7 +21,9 @@ import base64
 import gzip
 import hashlib
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -72,7 +75,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 for page_id, url, payload, digest, refers_to in zip(*rows, strict=True):
                     data = _record(page_id, url, payload or b"", digest, refers_to, self.date)
-                    out.write(gzip.compress(data, 1, mtime=0) if self.gzip else data)
+                    out.write(_member(data) if self.gzip else data)
                     n += 1
         if out is not None:
             out.close()
@@ -172,10 +175,12 @@ class WarcReader(DataSourceReader):
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         with fs.open_input_file(f"{folder}/{partition.path}") as raw:
             packed = partition.path.endswith(".gz")
-            f = gzip.GzipFile(fileobj=raw) if packed else _Buffered(raw)
+            lengths = packed and _Members.has_lengths(raw.read(24))
+            raw.seek(0)
+            f = _Members(raw) if lengths else gzip.GzipFile(fileobj=raw) if packed else _Buffered(raw)
             rows: list[tuple] = []
             held = 0
-            for row in self._rows(f, (lambda n: f.seek(n, 1)) if not packed else (lambda n: f.read(n))):
+            for row in self._rows(f, (lambda n: f.seek(n, 1)) if lengths or not packed else (lambda n: f.read(n))):
                 rows.append(row)
                 held += len(row[-1] or b"")
                 if len(rows) >= 2000 or held > 8 << 20:
@@ -185,6 +190,72 @@ class WarcReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _member(data: bytes) -> bytes:
+    """One gzip member whose extra field ``sl`` gives its own length and that of the data, so readers can skip it."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, 24 + len(body) + 8, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+class _Members:
+    """readline, read and seek over gzip members with ``sl`` fields, one a record.  A seek goes on to the next member, and what was
+    skipped is not inflated."""
+
+    def __init__(self, raw):
+        self._raw, self._next, self._left = raw, 0, 0
+        self._inflate, self._data, self._at = None, b"", 0
+
+    @staticmethod
+    def has_lengths(head: bytes) -> bool:
+        return len(head) == 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[10:16] == b"\x0c\0sl\x08\0"
+
+    def _more(self) -> bool:
+        """Inflate on in the current member; False at its end."""
+        if self._inflate is None or self._inflate.eof:
+            return False
+        packed = self._inflate.unconsumed_tail
+        if not packed:
+            packed = self._raw.read(min(1 << 14, self._left))
+            self._left -= len(packed)
+        if not packed:
+            raise ValueError("a record ends too early")
+        self._data, self._at = self._data[self._at :] + self._inflate.decompress(packed, 1 << 16), 0
+        return True
+
+    def _open(self) -> bool:
+        self._raw.seek(self._next)
+        head = self._raw.read(24)
+        if not head:
+            return False
+        if not self.has_lengths(head):
+            raise ValueError("a gzip member without its length")
+        (size,) = struct.unpack_from("<I", head, 16)
+        self._next, self._left = self._next + size, size - 24
+        self._inflate, self._data, self._at = zlib.decompressobj(-15), b"", 0
+        return True
+
+    def readline(self) -> bytes:
+        if self._at == len(self._data) and not self._more() and not self._open():
+            return b""
+        while (end := self._data.find(b"\n", self._at)) < 0:
+            if not self._more():
+                end = len(self._data) - 1
+                break
+        line, self._at = self._data[self._at : end + 1], end + 1
+        return line
+
+    def read(self, n: int) -> bytes:
+        while len(self._data) - self._at < n and self._more():
+            pass
+        out, self._at = self._data[self._at : self._at + n], min(len(self._data), self._at + n)
+        return out
+
+    def seek(self, n: int, whence: int = 1) -> None:
+        if n:
+            self._inflate, self._data, self._at = None, b"", 0
+
+
 class _Buffered:
     """readline, read and relative seek over a random-access file; a seek beyond the buffer reads nothing."""
 
@@ -271,7 +342,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool
     return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
 
 
-def round_trip(pages: DataFrame, least: int = 0, compression: str = "none") -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, compression: str = "gzip") -> DataFrame:
     """The records of pages, written to a new shared folder and read back, every payload checked by its digest."""
     path = shared_folder(pages.sparkSession, "warc")
     write_warc(pages, path, least, compression)
