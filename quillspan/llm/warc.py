@@ -42,6 +42,12 @@ _HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_u
 _URN = "urn:page:"
 
 
+def _value(head: dict[str, str], name: str) -> str | None:
+    """A header as its column gives it: digests without the name of their method."""
+    x = head.get(name)
+    return x.removeprefix("sha1:") or None if x is not None and name == _HEADERS["payload_digest"] else x
+
+
 def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -127,7 +133,7 @@ class WarcReader(DataSourceReader):
 
     def _wanted(self, head: dict[str, str]) -> bool:
         for name, kind, value in self.tests:
-            x = head.get(name)
+            x = _value(head, name)
             if x is None or kind == "set" and x not in value or kind == "start" and not x.startswith(value):
                 return False
         return True
@@ -160,7 +166,7 @@ class WarcReader(DataSourceReader):
                 if self.payload or self.verify:
                     payload, left = f.read(left), 0
             seek(left)
-            digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            digest = _value(head, _HEADERS["payload_digest"])
             if self.verify and payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"payload of {head.get('warc-record-id')} has another digest")
             own, other = (head.get(x, "").strip("<>").removeprefix(_URN) for x in ("warc-record-id", "warc-refers-to"))

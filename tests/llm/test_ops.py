@@ -258,6 +258,23 @@ def test_warc(spark, compression):
     assert warc.round_trip(df.filter("false"), compression=compression).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_pushed_filters(spark, compression):
+    df = spark.createDataFrame([(i, f"http://a/{i % 3}", f"<p>{i % 7}</p>") for i in range(20)] + [(30, None, "x")], "page_id long, url string, html string")
+    path = shared_folder(spark, "w")
+    warc.write_warc(df, path, compression=compression)
+    back = warc.read_warc(spark, path, payload=False)
+    rows = back.collect()
+    for c in ("record_id", "record_type", "target_uri", "date", "payload_digest"):
+        values = sorted({r[c] for r in rows if r[c] is not None})
+        tests = [(F.col(c) == values[0], lambda x: x == values[0]), (F.col(c).isin(values[0], values[-1]), lambda x: x in (values[0], values[-1])), (F.col(c).startswith(values[0][:3]), lambda x: x is not None and x.startswith(values[0][:3])), (F.col(c).isNotNull(), lambda x: x is not None)]
+        for pushed, plain in tests:
+            want = [r for r in rows if plain(r[c])]
+            assert want
+            same(back.filter(pushed).collect(), want)
+    assert back.filter("payload_digest like 'sha1:%'").count() == 0
+
+
 def test_langid(spark, empty):
     sounds = {"xx": "aeiou", "yy": "kltmn", "zz": "éüöäs"}
     rows = [(i, " ".join("".join(random.choice(sounds[lang] + "r") for _ in range(random.randint(2, 8))) for _ in range(40)), lang) for i in range(300) for lang in [random.choice(list(sounds))]]
