@@ -102,6 +102,43 @@ def best_separated_pair(points: DataFrame, reach: float) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(W.partitionBy("trace").orderBy(F.desc("covered"), F.desc(F.round("apart", 9)), "a", "b"))).filter("_r = 1").drop("_r")
 
 
+def best_separated_pair_of_many(points: DataFrame, reach: float) -> DataFrame:
+    """The same for traces of many points: a grouped-map function over a trace, with neighbourhoods as rows of bits.  A pair covers no
+    more than both counts together, so centres go by falling count and pairs that cannot reach the best so far are not counted; ties
+    of the best are all compared."""
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values("locus")
+        xyz, locus, n = pdf[["z", "x", "y"]].to_numpy(), pdf["locus"].to_numpy(), len(pdf)
+        far = lambda a, b: np.sqrt(sum((a[..., k] - b[..., k]) ** 2 for k in range(3)))
+        bits = np.zeros((n, (n + 63) // 64 * 8), np.uint8)
+        count = np.zeros(n, np.int64)
+        for low in range(0, n, 256):
+            near = far(xyz[low : low + 256, None], xyz[None]) <= reach
+            count[low : low + 256], packed = near.sum(1), np.packbits(near, axis=1)
+            bits[low : low + 256, : packed.shape[1]] = packed
+        order = np.argsort(-count, kind="stable")
+        words, falling = bits.view(np.uint64)[order], count[order]
+        top = (-1,)
+        for k in range(n - 1):
+            if falling[k] + falling[k + 1] < top[0]:
+                break
+            end = int(np.searchsorted(-falling, falling[k] - top[0], "right"))
+            for low in range(k + 1, end, 1024):
+                covered = np.bitwise_count(words[k] | words[low : min(low + 1024, end)]).sum(1, dtype=np.int64)
+                if (most := covered.max()) < top[0]:
+                    continue
+                other = order[low + np.flatnonzero(covered == most)]
+                apart = far(xyz[order[k]], xyz[other])
+                a, b = np.minimum(locus[order[k]], locus[other]), np.maximum(locus[order[k]], locus[other])
+                pick = np.lexsort((b, a, -np.round(apart, 9)))[0]
+                top = max(top, (int(most), round(float(apart[pick]), 9), -int(a[pick]), -int(b[pick]), float(apart[pick])))
+        rows = [(pdf["trace"].iloc[0], -top[2], -top[3], top[0], top[4])] if len(top) > 1 else []
+        return pd.DataFrame(rows, columns=["trace", "a", "b", "covered", "apart"])
+
+    return points.select("trace", "locus", "z", "x", "y").groupBy("trace").applyInPandas(best, "trace long, a long, b long, covered long, apart double")
+
+
 def translation_vote(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], cell: float) -> DataFrame:
     """By group: the cell of difference vectors b - a that most pairs fall into (ties: least cell), and its votes."""
     right = b.select(*by, *[F.col(c).alias(f"_{c}") for c in axes])

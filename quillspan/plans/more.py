@@ -144,6 +144,14 @@ def max_coverage_pair(spark, sf):
     return spots.best_separated_pair(points(spark, sf).filter("locus < 40"), 0.2).select("trace", "a", "b", "covered", *r6("apart"))
 
 
+@query(f"""WITH {P}, g AS (SELECT * FROM pts WHERE z IS NOT NULL), n AS (SELECT a.trace, a.locus AS c, list(b.locus) AS near, a.z, a.x, a.y FROM g a JOIN g b ON a.trace = b.trace AND sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.2 GROUP BY ALL),
+m AS (SELECT a.trace, a.c AS a, b.c AS b, len(list_distinct(list_concat(a.near, b.near))) AS covered, sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS apart FROM n a JOIN n b ON a.trace = b.trace AND a.c < b.c),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY covered DESC, round(apart, 9) DESC, a, b) AS r FROM m) SELECT trace, a, b, covered::BIGINT AS covered, round(apart, 6) AS apart FROM r WHERE r = 1""")
+def max_coverage_pair_whole(spark, sf):
+    """max_coverage_pair over all loci of the traces."""
+    return spots.best_separated_pair_of_many(points(spark, sf), 0.2).select("trace", "a", "b", "covered", *r6("apart"))
+
+
 @query(f"""WITH {P}, v AS (SELECT a.trace, floor((b.z - a.z) / 0.1)::BIGINT AS dz, floor((b.x - a.x) / 0.1)::BIGINT AS dx, floor((b.y - a.y) / 0.1)::BIGINT AS dy, count(*) AS votes FROM pts a JOIN pts b ON a.trace = b.trace AND a.cls = 'A' AND b.cls = 'B' WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY votes DESC, dz, dx, dy) AS r FROM v) SELECT trace, dz, dx, dy, votes FROM r WHERE r = 1""")
 def translation_vote(spark, sf):
