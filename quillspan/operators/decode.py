@@ -108,6 +108,30 @@ def first_component(matrix: DataFrame, rounds: int = 200) -> DataFrame:
     return matrix.groupBy("trace").applyInPandas(power, "trace long, locus long, pc1 double")
 
 
+def first_component_of(points: DataFrame, axes: list[str]) -> DataFrame:
+    """The same for the correlations of each two points over their axes, without the matrix: with the centred and scaled points as
+    rows of U, it is U U' (constant points correlate with nothing; one more axis stands for their ones on the diagonal), so its
+    component comes from a matrix as small as the axes are many.  Points with a null axis take no part."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values("locus")
+        if pdf.empty:
+            return pd.DataFrame({"trace": [], "locus": [], "pc1": []})
+        u = pdf[axes].to_numpy(float)
+        constant = (u == u[:, :1]).all(1)
+        u = np.where(constant[:, None], 0, u - u.mean(1, keepdims=True))
+        u = u / np.where(constant, 1, np.sqrt((u * u).sum(1)))[:, None]
+        u = np.column_stack([u, constant / np.sqrt(max(constant.sum(), 1))])
+        q, s, _ = np.linalg.svd(u, full_matrices=False)
+        mean = q.mean(0)
+        small = (s * s)[:, None] * (q.T @ q - len(q) * np.outer(mean, mean)) * (s * s)
+        v = q @ np.linalg.eigh(small)[1][:, -1]
+        v *= np.sign(v[np.abs(v).argmax()]) or 1
+        return pd.DataFrame({"trace": pdf["trace"], "locus": pdf["locus"], "pc1": v})
+
+    return points.select("trace", "locus", *axes).groupBy("trace").applyInPandas(solve, "trace long, locus long, pc1 double")
+
+
 def in_hull(point: np.ndarray, vertices: np.ndarray, rounds: int = 300) -> bool:
     """Whether the convex hull of the vertices holds the point: von Neumann's search for a plane that parts them."""
     v = vertices - point

@@ -638,7 +638,4 @@ def hull_bootstrap(spark, sf):
 
 @query()
 def pca1(spark, sf):
-    v = points(spark, sf).filter("z is not null").select("trace", "locus", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in "zxy"]), F.array("z", "x", "y"))).alias("axis", "v"))
-    a, b = (v.select("trace", "axis", F.col("locus").alias(s), F.col("v").alias(f"v{s}")) for s in "ij")
-    r = a.join(b, ["trace", "axis"]).filter("i < j and j < 60").groupBy("trace", "i", "j").agg(F.corr("vi", "vj").alias("r"))
-    return decode.first_component(r)
+    return decode.first_component_of(points(spark, sf), ["z", "x", "y"])

@@ -5,9 +5,10 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
-from quillspan.operators import spots
+from quillspan.operators import decode, spots
 from quillspan.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,36 @@ def test_max_coverage_pair_takes_all_loci(spark):
     want = {t: best_pair({r.locus: (r.z, r.x, r.y) for r in points if r.trace == t}, 0.2) for t in {r.trace for r in points}}
     got = {r.trace: (-r.covered, r.a, r.b) for r in catalog.QUERIES["max_coverage_pair_whole"](spark, SF).collect()}
     assert got == {t: (n, a, b) for t, (n, _, a, b) in want.items()}
+
+
+def plain_component(xyz):
+    r = np.eye(len(xyz))
+    for i, j in itertools.permutations(range(len(xyz)), 2):
+        if np.ptp(xyz[i]) and np.ptp(xyz[j]):
+            r[i, j] = np.corrcoef(xyz[i], xyz[j])[0, 1]
+    m = r - r.mean(0)
+    v = np.linalg.eigh(m.T @ m)[1][:, -1]
+    return v * np.sign(v[np.abs(v).argmax()])
+
+
+def test_first_component(spark):
+    rng = np.random.default_rng(4)
+    xyz = {t: rng.random((90, 3)) for t in (0, 1)}
+    xyz[1][[3, 70, 80]] = [[0.5] * 3, [0.1] * 3, [0.2] * 3]  # constant points
+    rows = [(t, i, *map(float, p)) for t, all_ in xyz.items() for i, p in enumerate(all_)] + [(0, 95, None, 1.0, 2.0), (2, 0, None, None, None)]
+    got = decode.first_component_of(spark.createDataFrame(rows, POINT), ["z", "x", "y"]).collect()
+    assert len(got) == 180
+    for t in xyz:
+        v = np.array([r.pc1 for r in sorted(got, key=lambda r: r.locus) if r.trace == t])
+        assert v == pytest.approx(plain_component(xyz[t]), abs=1e-8)
+
+
+@needs_tables
+def test_pca1_takes_all_loci(spark):
+    points = [r for r in catalog.points(spark, SF).collect() if r.z is not None]
+    got = {(r.trace, r.locus): r.pc1 for r in catalog.QUERIES["pca1"](spark, SF).collect()}
+    assert max(x for _, x in got) >= 60 and set(got) == {(r.trace, r.locus) for r in points}
+    for t in {r.trace for r in points}:
+        own = sorted((r for r in points if r.trace == t), key=lambda r: r.locus)
+        want = plain_component(np.array([(r.z, r.x, r.y) for r in own]))
+        assert [got[t, r.locus] for r in own] == pytest.approx(want, abs=1e-8)
