@@ -70,6 +70,15 @@ def binned_in_interval(points: DataFrame, regions: DataFrame, place: str, by: li
     return left.join(right, [*by, "_bin"]).filter((F.col(place) >= F.col("start")) & upper).drop("_bin")
 
 
+def binned_overlaps(a: DataFrame, b: DataFrame, by: list[str], width: float) -> DataFrame:
+    """Rows of a (start, end) joined to rows of b (s, e) that overlap them, as an equi-join on bins of ``width``: both are dealt to
+    the bins they reach, and a pair counts in the bin of its later start."""
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long")))
+    both = a.withColumn("_bin", reach("start", "end")).join(b.withColumn("_bin", reach("s", "e")), [*by, "_bin"])
+    later = F.floor(F.greatest("start", "s") / width).cast("long")
+    return both.filter((F.col("start") < F.col("e")) & (F.col("end") > F.col("s")) & (F.col("_bin") == later)).drop("_bin")
+
+
 def first_match(joined: DataFrame, key: list[str], order: str) -> DataFrame:
     return joined.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(order))).filter("_r = 1").drop("_r")
 

@@ -62,10 +62,14 @@ def share_changed(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], l
 
 def near_reference(spots: DataFrame, reference: DataFrame, by: list[str], axes: list[str], most: float, keep_without: bool = False) -> DataFrame:
     """Spots at most ``most`` from a reference spot of the same region; those of regions without one by the switch."""
-    r = reference.dropna(subset=axes).select(*by, F.lit(True).alias("_r"), *[F.col(c).alias(f"_{c}") for c in axes])
+    r = reference.dropna(subset=axes).select(*by, *[F.col(c).alias(f"_{c}") for c in axes])
     d = distance([F.col(c) for c in axes], [F.col(f"_{c}") for c in axes])
-    both = spots.join(r, by, "left").withColumn("_keep", F.when(F.col("_r").isNull(), F.lit(keep_without)).otherwise(F.coalesce(d <= most, F.lit(False))))
-    return both.filter("_keep").select(*spots.columns).distinct()
+    one = r.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"_{c}" for c in axes])
+    same = [F.col(c) == F.col(f"_by_{c}") for c in by]
+    found = spots.join(one, [*same, d <= most], "left_semi")  # no row for each pair
+    if keep_without:
+        found = found.unionByName(spots.join(r.select(*by).distinct(), by, "left_anti").select(*spots.columns))
+    return found.distinct()
 
 
 def snapped(starts: DataFrame, reference: DataFrame, by: list[str], reach: float) -> DataFrame:

@@ -488,6 +488,16 @@ def interval_overlap_sum(spark, sf):
     return a.join(q, "g").filter((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).groupBy("region").agg(F.round(F.sum(part), 6).alias("share"))
 
 
+@query(f"""WITH {_REG} SELECT a.region, round(sum(greatest(0, least(a."end", q."end") - greatest(a."start", q."start")) / nullif(a."end" - a."start", 0)), 6) AS share
+FROM reg a JOIN reg q USING (g) WHERE a."start" < q."end" AND a."end" > q."start" GROUP BY 1""")
+def interval_overlap_sum_whole(spark, sf):
+    """interval_overlap_sum of all regions against all regions (each overlaps itself too)."""
+    a = _regions(spark, sf)
+    both = joins.binned_overlaps(a, a.select("g", F.col("start").alias("s"), F.col("end").alias("e")), ["g"], 64.0)
+    part = joins.overlap_share(F.col("start"), F.col("end"), F.col("s"), F.col("e"))
+    return both.groupBy("region").agg(F.round(F.sum(part), 6).alias("share"))
+
+
 @query(f"WITH {_REG}, {_PL}, c AS (SELECT region, count(*) AS n FROM pl JOIN reg USING (g) WHERE place >= \"start\" AND place < \"end\" GROUP BY 1) SELECT region, coalesce(n, 0) AS n FROM reg LEFT JOIN c USING (region)")
 def bed_count(spark, sf):
     hit = joins.binned_in_interval(_places(spark, sf), _regions(spark, sf), "place", ["g"], 64.0).groupBy("region").agg(F.count("*").alias("n"))
@@ -574,6 +584,15 @@ def blank_codes(spark, sf):
     return sequences.unused_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("code")), used)
 
 
+@query("""WITH u AS (SELECT DISTINCT least(c_nationkey, c_custkey % 25)::INT AS a, greatest(c_nationkey, c_custkey % 25)::INT AS b FROM customer) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = x.n_nationkey AND u.b = y.n_nationkey)""")
+def blank_codes_whole(spark, sf):
+    """blank_codes with the codes of all customers as used."""
+    c = table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 25).cast("int").alias("o"))
+    used = c.select(F.least("c_nationkey", "o").alias("a"), F.greatest("c_nationkey", "o").alias("b")).distinct()
+    return sequences.unused_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("code")), used)
+
+
 # --- segments
 
 

@@ -55,6 +55,15 @@ def spot_screening(spark, sf):
     return found.select("trace", "locus", "label")
 
 
+@query(f"""WITH {P} SELECT trace, locus, label FROM pts p WHERE EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND sqrt((p.z-r.z)*(p.z-r.z)+(p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) <= 0.3)
+OR NOT EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND r.z IS NOT NULL)""")
+def spot_screening_whole(spark, sf):
+    """All points, screened against all points of the next trace."""
+    p = points(spark, sf)
+    reference = p.withColumn("trace", (F.col("trace") + 4) % 5)
+    return spots.near_reference(p, reference, ["trace", "label"], _XYZ, 0.3, keep_without=True).select("trace", "locus", "label")
+
+
 @query("""WITH b AS (SELECT p_brand AS g, p_partkey AS s, q.p_partkey AS ref, count(*) OVER (PARTITION BY p_brand, p.p_partkey) AS n FROM part p JOIN part q USING (p_brand) WHERE p.p_size <= 10 AND q.p_size > 40 AND abs(p.p_partkey - q.p_partkey) <= 60)
 SELECT g, s AS "start", ref FROM b WHERE n = 1""".replace("p_partkey AS s", "p.p_partkey AS s").replace("p_brand AS g", "p.p_brand AS g").replace("PARTITION BY p_brand,", "PARTITION BY p.p_brand,"))
 def fit_boundaries(spark, sf):

@@ -8,7 +8,9 @@ import random
 import numpy as np
 import pytest
 
-from quillspan.operators import decode, spots
+from pyspark.sql import functions as F
+
+from quillspan.operators import decode, joins, spots
 from quillspan.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,29 @@ def test_pca1_takes_all_loci(spark):
         own = sorted((r for r in points if r.trace == t), key=lambda r: r.locus)
         want = plain_component(np.array([(r.z, r.x, r.y) for r in own]))
         assert [got[t, r.locus] for r in own] == pytest.approx(want, abs=1e-8)
+
+
+def test_binned_overlaps(spark):
+    rng = random.Random(6)
+    a, b = ([(i, rng.randint(0, 2), float(low), float(low + rng.randint(0, 40))) for i in range(60) for low in [rng.randint(-50, 50)]] for _ in range(2))
+    left, right = spark.createDataFrame(a, "i long, g long, start double, end double"), spark.createDataFrame(b, "j long, g long, s double, e double")
+    got = sorted((r.i, r.j) for r in joins.binned_overlaps(left, right, ["g"], 8.0).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and x[3] > y[2])
+
+
+@needs_tables
+def test_no_side_is_cut_by_ids(spark):
+    regions = [(r.region, r.g, r.start, r.end) for r in catalog._regions(spark, SF).collect()]
+    want = {i: sum(max(0, min(e, f) - max(s, t)) for _, h, t, f in regions if h == g) / (e - s) for i, g, s, e in regions}
+    assert {r.region: r.share for r in catalog.QUERIES["interval_overlap_sum_whole"](spark, SF).collect()} == pytest.approx(want, abs=1e-6)
+    customers = catalog.table(spark, SF, "customer").collect()
+    used = {tuple(sorted((c.c_nationkey, c.c_custkey % 25))) for c in customers}
+    got = {(r.a, r.b) for r in catalog.QUERIES["blank_codes_whole"](spark, SF).collect()}
+    assert got == set(itertools.combinations(range(25), 2)) - used
+    points = catalog.points(spark, SF).collect()
+    screened = set()
+    for p in points:
+        reference = [r for r in points if r.trace == (p.trace + 1) % 5 and r.label == p.label and r.z is not None]
+        if not reference or p.z is not None and any(math.dist((p.z, p.x, p.y), (r.z, r.x, r.y)) <= 0.3 for r in reference):
+            screened.add((p.trace, p.locus))
+    assert {(r.trace, r.locus) for r in catalog.QUERIES["spot_screening_whole"](spark, SF).collect()} == screened
