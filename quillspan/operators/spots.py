@@ -183,16 +183,25 @@ def decode_by_em(candidates: DataFrame, rounds: int = 5) -> DataFrame:
     from quillspan.sources.files import written
 
     w = W.partitionBy("trace", "locus").orderBy(F.desc("score"), "candidate")
-    order = W.orderBy("bucket")
     chosen = candidates
     for _ in range(rounds):
         scored = candidates.withColumn("score", F.lit(1.0))
         for c in ("brightness", "spread"):
-            # a table of at most 1001 buckets; running sums over it stand for the cdf
-            bucket = F.least(F.greatest(F.floor(F.col(c) * 1000), F.lit(0)), F.lit(1000)).cast("int")
-            counts = chosen.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-            all_ = candidates.select(bucket.alias("bucket")).distinct().join(counts, "bucket", "left").fillna(0)
-            cdf = all_.select("bucket", (F.sum("n").over(order) / F.sum("n").over(W.partitionBy())).alias("cdf"))
-            scored = scored.withColumn("bucket", bucket).join(cdf, "bucket").withColumn("score", F.col("score") * (F.col("cdf") if c == "brightness" else 1 - F.col("cdf") + 0.001)).drop("bucket", "cdf")
+            cdf = pooled_cdf(candidates, chosen, c)
+            scored = scored.join(cdf, F.col(c).eqNullSafe(F.col("_value"))).withColumn("score", F.col("score") * (F.col("_cdf") if c == "brightness" else 1 - F.col("_cdf") + 0.001)).drop("_value", "_cdf")
         chosen = written(scored.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").drop("_r"))
     return chosen
+
+
+def pooled_cdf(rows: DataFrame, sample: DataFrame, c: str, ranges: int = 64) -> DataFrame:
+    """The distinct values of a column of the rows and, for each, the share of the sample with at most that value (nulls are least).
+    Running counts within value ranges, started at the sums of the ranges before; where the ranges end does not matter for the
+    result."""
+    ends = sorted(set(rows.approxQuantile(c, [k / ranges for k in range(1, ranges)], 0.01)))
+    part = F.array_size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda x: x < F.col("_value")))
+    counts = rows.select(F.col(c).alias("_value"), F.lit(0).alias("n")).unionByName(sample.select(F.col(c).alias("_value"), F.lit(1).alias("n")))
+    counts = counts.groupBy("_value").agg(F.sum("n").alias("n")).withColumn("_part", part)
+    sums = counts.groupBy("_part").agg(F.sum("n").alias("own"))  # at most one row a range
+    sums = sums.select("_part", (F.sum("own").over(W.orderBy("_part")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy()).alias("total"))
+    run = F.sum("n").over(W.partitionBy("_part").orderBy("_value"))
+    return counts.withColumn("run", run).join(F.broadcast(sums), "_part").select("_value", ((F.col("before") + F.col("run")) / F.col("total")).alias("_cdf"))

@@ -182,5 +182,4 @@ def cluster_compartments(spark, sf):
 
 @query()
 def decode_em(spark, sf):
-    c = _candidates(spark, sf).withColumn("brightness", F.col("brightness") / 10).withColumn("spread", F.least(F.abs("z"), F.lit(1.0)))
-    return spots.decode_by_em(c.drop("score"), 3)
+    return spots.decode_by_em(_candidates(spark, sf).withColumn("spread", F.abs("z")).drop("score"), 3)

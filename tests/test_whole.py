@@ -99,3 +99,22 @@ def test_no_side_is_cut_by_ids(spark):
         if not reference or p.z is not None and any(math.dist((p.z, p.x, p.y), (r.z, r.x, r.y)) <= 0.3 for r in reference):
             screened.add((p.trace, p.locus))
     assert {(r.trace, r.locus) for r in catalog.QUERIES["spot_screening_whole"](spark, SF).collect()} == screened
+
+
+def plain_em(rows, rounds):
+    chosen = rows
+    for _ in range(rounds):
+        share = [lambda v, all_=[r[k] for r in chosen]: sum(x <= v for x in all_) / len(all_) for k in (3, 4)]
+        scored = sorted(((r, share[0](r[3]) * (1 - share[1](r[4]) + 0.001)) for r in rows), key=lambda x: (x[0][:2], -x[1], x[0][2]))
+        chosen = [r for _, own in itertools.groupby(scored, lambda x: x[0][:2]) for r, _ in list(own)[:2]]
+    return {r[:3] for r in chosen}
+
+
+def test_decode_em_with_any_values(spark):
+    rng = random.Random(8)
+    # brightness far above 1 with ties, spreads closer than 0.001 and above 1
+    rows = [(t, x, c, float(rng.randint(1, 4000)), rng.choice([3, 70, 500]) + rng.random() / 1000) for t in (0, 1) for x in range(40) for c in range(4)]
+    rows = [(*r[:3], 900.0, r[4]) if rng.random() < 0.1 else r for r in rows]
+    got = spots.decode_by_em(spark.createDataFrame(rows, "trace long, locus long, candidate long, brightness double, spread double"), 3).collect()
+    assert {(r.trace, r.locus, r.candidate) for r in got} == plain_em(rows, 3)
+    assert len(got) == 160
