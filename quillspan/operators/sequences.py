@@ -42,6 +42,19 @@ def similar_pairs(rows: DataFrame, id_: str, sequence: Column, k: int, least: in
     return a.join(b, "kmer").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
+def similar_on_both_strands(rows: DataFrame, id_: str, sequence: Column, k: int, least: int = 1) -> DataFrame:
+    """Pairs i > j by how often the k-mers of i, each as often as i has it, occur in j and in its reverse complement.  Occurrences in
+    j do not overlap (as those that str.count counts)."""
+    mine = kmer_rows(rows, id_, sequence, k).groupBy(F.col(id_).alias("i"), "kmer").agg(F.count("*").alias("times"))
+    both = rows.select(id_, F.posexplode(F.array(sequence, reverse_complement(sequence))).alias("strand", "_s")).filter("_s is not null")
+    places = both.select(F.col(id_).alias("j"), "strand", F.posexplode(kmers(F.col("_s"), k)).alias("place", "kmer"))
+    at = F.array_sort(F.collect_list("place"))
+    start = F.struct(F.lit(-k).alias("last"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(x >= a["last"] + k, F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
+    theirs = places.groupBy("j", "strand", "kmer").agg(F.aggregate(at, start, step, lambda a: a["n"]).alias("n")).groupBy("j", "kmer").agg(F.sum("n").alias("n"))
+    return mine.join(theirs, "kmer").filter("i > j").groupBy("i", "j").agg(F.sum(F.col("times") * F.col("n")).alias("shared")).filter(F.col("shared") >= least)
+
+
 def inverted_index(rows: DataFrame, id_: str, sequence: Column, k: int) -> DataFrame:
     """k-mer and the sequence ids that have it, as rows (not lists), so that a frequent k-mer stays spread."""
     return kmer_rows(rows, id_, sequence, k).distinct()

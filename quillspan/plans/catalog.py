@@ -555,6 +555,12 @@ def similarity_pairs(spark, sf):
     return sequences.similar_pairs(table(spark, sf, "benchmark"), "item_id", _letters(), 10)
 
 
+@query()
+def similarity_pairs_whole(spark, sf):
+    """similarity_pairs with the reverse complement and by occurrences; tested against the plain count."""
+    return sequences.similar_on_both_strands(table(spark, sf, "benchmark"), "item_id", _letters(), 10)
+
+
 @query("""WITH k AS (SELECT p_brand, p_partkey, p_retailprice, abs(p_retailprice - (min(p_retailprice) OVER (PARTITION BY p_brand) + max(p_retailprice) OVER (PARTITION BY p_brand)) / 2) AS k FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k, p_retailprice, p_partkey) AS r FROM (SELECT p_brand, p_partkey + p_retailprice / 1e6 AS q, p_partkey, p_retailprice, k FROM k)) SELECT p_brand, r AS pick, round(k, 6) AS distance FROM r WHERE r <= 4""")
 def subset_mid(spark, sf):

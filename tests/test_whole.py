@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import decode, joins, spots
+from quillspan.operators import decode, joins, sequences, spots
 from quillspan.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,17 @@ def test_decode_em_with_any_values(spark):
     got = spots.decode_by_em(spark.createDataFrame(rows, "trace long, locus long, candidate long, brightness double, spread double"), 3).collect()
     assert {(r.trace, r.locus, r.candidate) for r in got} == plain_em(rows, 3)
     assert len(got) == 160
+
+
+def test_similar_on_both_strands(spark):
+    def similar(a, b, k):
+        rc = b[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        return sum(b.count(a[i : i + k]) + rc.count(a[i : i + k]) for i in range(len(a) - k + 1))
+
+    rng = random.Random(9)
+    texts = ["AAAAAAAAAAAA", "TTTTTTTTT", "ACACACACAC", "ACG", "", "GATTACAGATTACA", "TGTAATCTGTAATC"] + ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(8)]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, s string")
+    got = {(r.i, r.j): r.shared for r in sequences.similar_on_both_strands(rows, "id", F.col("s"), 4).collect()}
+    want = {(i, j): similar(texts[i], texts[j], 4) for i in range(len(texts)) for j in range(i)}
+    assert got == {p: n for p, n in want.items() if n}
+    assert got[1, 0] and got[6, 5]  # alike through the reverse complement only
