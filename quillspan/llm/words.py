@@ -10,27 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BYTE_MUL, _WORD_MUL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BLOCK = 1 << 20
+#: Bytes of a word that are hashed at a time.
+_LONG = 1 << 12
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are no ASCII letter or digit and not part of a longer code point.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n."""
-    if base not in _powers or len(_powers[base]) < n:
-        out, step = np.ones(1, np.uint64), base
-        while len(out) < n:
-            out, step = np.concatenate([out, out * np.uint64(step)]), step * step % 2**64
-        _powers[base] = out
-    return _powers[base][:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -41,6 +27,10 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: An odd multiplier for each place in a word: multilinear hashing.  (Powers of one number would collide modulo 2**64.)
+_PLACE = mix(np.arange(_LONG, dtype=np.uint64), 3) | np.uint64(1)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins (one more entry than texts); nulls are empty."""
     texts = texts.cast(pa.large_string())
@@ -74,28 +64,72 @@ class Words:
         out = np.empty(len(self.start), np.uint64)
         low = 0
         while low < len(out):
-            origin = self.start[low]
-            high = max(low + 1, int(np.searchsorted(self.start, origin + _BLOCK)))
-            at = self.start[low:high] - origin
-            block = data[origin : self.end[high - 1]]
-            value = np.where(self._separators[block], 0, block.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_MUL, len(block))
-            h = np.add.reduceat(value, at) * powers(inverse(_BYTE_MUL), len(block))[at]
-            out[low:high] = mix(h ^ ((self.end[low:high] - self.start[low:high]).astype(np.uint64) << np.uint64(40)))
+            high = max(low + 1, int(np.searchsorted(self.start, self.start[low] + _BLOCK)))
+            out[low:high] = self._block(data, self.start[low:high], self.end[low:high])
             low = high
         return out
 
+    @staticmethod
+    def _block(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        out = np.empty(len(size), np.uint64)
+        short = size <= _LONG
+        if short.any():
+            out[short] = Words._parts(data, start[short], end[short])
+        for i in np.flatnonzero(~short).tolist():  # a long word's parts are mixed with their number and summed
+            total = 0
+            for low in range(start[i], end[i], 256 * _LONG):
+                at = np.arange(low, min(low + 256 * _LONG, end[i]), _LONG)
+                h = Words._parts(data, at, np.minimum(at + _LONG, end[i]))
+                total += int(mix(h ^ mix((at - start[i]).astype(np.uint64), 5), 6).sum(dtype=np.uint64))
+            out[i] = mix(np.array([total % 2**64], np.uint64) ^ np.uint64(size[i]), 4)[0]
+        return out
+
+    @staticmethod
+    def _parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        origin, at = start[0], start - start[0]
+        block = data[origin : end[-1]]
+        place = np.arange(len(block)) - np.repeat(at, np.diff(np.append(at, len(block))))
+        inside = place < np.repeat(end - start, np.diff(np.append(at, len(block))))
+        place[~inside] = 0
+        value = np.where(inside, block.astype(np.uint64) + np.uint64(1), 0) * _PLACE[place]
+        return mix(np.add.reduceat(value, at) ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+
     def grams(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words that lie in one text, and the word at which each starts."""
+        """Hashes of all runs of k words that lie in one text, and the word at which each starts.  Runs of 2, 4, 8, ...
+        words are mixed from their halves, and k words from two runs that overlap."""
         n = len(self.hash)
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        mul = _WORD_MUL ^ (seed << 17)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * powers(mul, n), out=total[1:])
+        h, size = mix(self.hash, seed) if seed else self.hash, 1
+        while size < k:
+            step = min(size, k - size)
+            left, right = h[: len(h) - step], h[step:]
+            h = mix(left * np.uint64(0x9FB21C651E98DF25) ^ ((right << np.uint64(23)) | (right >> np.uint64(41))), step)
+            size += step
         at = np.arange(n - k + 1)
         text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         at = at[text[: n - k + 1] == text[k - 1 :]]
-        return mix((total[at + k] - total[at]) * powers(inverse(mul), n)[at], seed), at
+        return h[at], at
+
+    def exact(self) -> np.ndarray:
+        """A number for each word; words have the same one if and only if their bytes are equal."""
+        _, first, number = np.unique(self.hash, return_index=True, return_inverse=True)
+        size = self.end - self.start
+        like = first[number]
+        other = size != size[like]
+        for low in range(0, len(size), 1 << 16):
+            high = min(low + (1 << 16), len(size))
+            n = np.where(other[low:high], 0, size[low:high])
+            owner = np.repeat(np.arange(low, high), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            bad = self.data[self.start[owner] + place] != self.data[self.start[like[owner]] + place]
+            other[owner[bad]] = True
+        if other.any():  # words of one hash that differ
+            raw, known = self.data.tobytes(), {}
+            for i in np.flatnonzero(other).tolist():
+                number[i] = known.setdefault(raw[self.start[i] : self.end[i]], len(first) + len(known))
+        return number
 
     def text_of(self, word: np.ndarray) -> np.ndarray:
         """The text that holds each word."""

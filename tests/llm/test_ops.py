@@ -16,6 +16,7 @@ from quillspan.llm import chat, chosen_path, components, langid, packing, pii, q
 from quillspan.llm.queries import tokenizer_path
 from quillspan.llm.shared import shared_folder
 from quillspan.llm.token_ids import Encoder
+from quillspan.llm.words import Words
 
 random.seed(5)
 VOCABULARY = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 7))) for _ in range(200)]
@@ -150,15 +151,51 @@ def test_damage_is_seen():
             records.unframe(io.BytesIO(bytes(bad)).read)
 
 
-@pytest.mark.parametrize(("hot", "few"), [(5000, 128), (1, 128), (2, 1)])
-def test_superkmer(docs, empty, hot, few):
+def twins(n=2048):
+    """Two words of n letters that powers of one number modulo 2**64 cannot tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_and_exact_numbers(monkeypatch):
+    odd = [*twins(), "z" * 100_000, "z" * 99_999 + "y", "ab", "ab", "é" * 30]
+    alone = [Words(pa.array([w])).hash[0] for w in odd]
+    w = Words(pa.array([" ".join(odd[:4]), None, " \n".join(odd[4:])]))
+    assert w.hash.tolist() == alone and len(set(alone)) == len(set(odd))
+    monkeypatch.setattr(Words, "_hash", lambda self, data: np.zeros(len(self.start), np.uint64))
+    number = Words(pa.array([" ".join(odd)])).exact().tolist()
+    assert len(set(number)) == len(set(odd)) and number[4] == number[5]
+
+
+@pytest.mark.parametrize("part", [4000, 1, 3])
+def test_superkmer(docs, empty, part):
     want = [(d, *x) for (d, _), x in zip(ROWS, brute.repeats([t for _, t in ROWS], 35), strict=True)]
     assert sum(x[2] for x in want) > 500
-    same([tuple(r) for r in superkmer.remove_repeats(docs, hot=hot, few=few).collect()], want)
-    if hot == 1:
+    same([tuple(r) for r in superkmer.remove_repeats(docs, part=part).collect()], want)
+    if part == 1:
         assert superkmer.remove_repeats(empty).count() == 0
 
 
+def test_superkmer_compares_words(spark, monkeypatch):
+    a, b = twins()
+    rows = [(1, " ".join([a] * 35)), (2, " ".join([b] * 35)), (3, "x y " * 40), (4, "y x " * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, *x) for (i, _), x in zip(rows, brute.repeats([t for _, t in rows], 35), strict=True)]
+    same([tuple(r) for r in superkmer.remove_repeats(d).collect()], want)
+    # windows of one hash are told apart by their words
+    texts = [t for _, t in ROWS if t]
+    words = Words(pa.array(texts))
+    hashes, where = words.grams(5)
+    for h in (hashes, np.zeros_like(hashes), hashes % np.uint64(3)):
+        order, alike = superkmer._clusters(words, h, where, np.zeros(len(h), np.int64), 5)
+        got = collections.Counter(np.bincount(np.cumsum(~alike)[np.argsort(order)]).tolist())
+        want = collections.Counter(collections.Counter(tuple(t.split()[i : i + 5]) for t in map(lambda x: " ".join(brute.words(x)), texts) for i in range(len(t.split(" ")) - 4)).values())
+        got.pop(0, None)
+        assert got == want
+
+
 @pytest.mark.parametrize("options", [{}, {"block": 2, "small": 2}])
 def test_chosen_path(docs, empty, options):
     label, links = brute.classes(ROWS)
