@@ -1,20 +1,23 @@
 """Sum-of-squares online packing of token sequences.
 
 Every document is its ids and an end id.  Windows of ``size`` ids are cut off its front; what is left (fewer than
-``size`` ids) is placed at once, in the order of arrival: of all fill levels that have an open window and room for it,
-and of a new window, take the one after which the sum over levels of (open windows at that level)**2 is least.  The
-number of open windows by level is one array, so placing is one pass over at most ``size`` levels, whatever has
-arrived before.  A window that is full is closed.
+``size`` ids) is placed whole, at once, in the order of arrival.  Open windows are told apart by their fill level, the
+fill by ``unit`` ids.  Of all levels whose latest window has room, and of a new window, the item takes the one after which the
+sum over levels of (open windows at that level)**2 is least.  The number of open windows by level is one array, so
+placing is one pass over at most ``size / unit`` levels, whatever has arrived before.  A window is closed when fewer than
+``unit`` ids are free, so it pads less than ``unit``; ``unit`` 1 is the plain rule.
 
-At the end of a task the windows still open are laid end to end and cut anew every ``size`` ids (documents may be
-cut anywhere), so each task pads one sequence at most, whatever its data.  Sequences are padded to ``size`` unless
-their length is a power of two.
+At the end of a task the windows still open are taken from the same level array: the fullest keep what the rule put there
+and are filled up from the emptiest, cutting only to fill, so each task pads one more sequence at most.  ``closed`` says how
+a sequence came about: ``front`` (cut off a long document), ``rule``, ``filled`` (opened by the rule, filled at the end) or
+``rest`` (the last one).  Sequences are padded to ``size`` unless their length is a power of two.
 
 Each task packs its own rows, so nothing is shuffled; sequence ids carry the task's number in the upper bits.  A
-repeated task packs the same rows again.  Memory: the open windows' ids, whose number by level the rule keeps small.
+repeated task packs the same rows again.  Memory: the open windows' ids, whose number
+by level the rule keeps small.
 
 Nulls: a null text packs its end id alone.  Repeated rows are packed as often as they come.  Ties between levels go to
-the fullest.  Empty table: no rows.  Other columns are ignored.
+the fullest; documents of any length are taken, a batch of 128 at a time.  Empty table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,69 +31,104 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.token_ids import encoder
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long, closed string"
 _TASK = 1 << 40
 
 
 class SumOfSquares:
-    """Places items of 1 .. size - 1 ids; ``place`` returns the closed window, if the item filled one."""
+    """Places items of 1 .. size - 1 ids; ``place`` returns the closed window, if the item closed one."""
 
-    def __init__(self, size: int):
-        self.size = size
-        self.count = np.zeros(size + 1, np.int64)  # open windows by level
-        self.open: list[list[list]] = [[] for _ in range(size + 1)]
+    def __init__(self, size: int, unit: int = 1):
+        self.size, self.unit = size, unit
+        levels = size // unit + 1
+        self.count = np.zeros(levels, np.int64)  # open windows by level; a new window counts nowhere
+        self.fill = np.full(levels, size)  # ids in the latest window of each level
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(levels)]
 
     def level(self, length: int) -> int:
-        """The level to place at (0: a new window).  Moving one window from h to h + length changes the sum of
-        squares by 2 (n[h + length] - n[h]) + 2, without the first term at the full level and the second at 0."""
-        n, size = self.count, self.size
-        change = np.where(n[: size - length + 1] > 0, 2 * (1 - n[: size - length + 1]) + 2 * n[length:], np.iinfo(np.int64).max)
-        change[size - length] -= 2 * n[size] + 1 if n[size - length] else 0  # a full window leaves the count
-        change[0] = 2 * n[length] + 1
-        return size - length - int(np.argmin(change[::-1]))
+        """The level to place at, -1 for a new window.  Moving one window from h to g changes the sum of squares by
+        2 (n[g] - n[h]) + 2, without the first term if the window is closed and without the second if it is new."""
+        n, after = self.count, self.fill + length
+        fits = np.flatnonzero((n > 0) & (after <= self.size))
+        after = after[fits]
+        to = after // self.unit
+        gain = np.where(self.size - after < self.unit, 0, 2 * n[to] + 1)
+        change = np.where((to == fits) & (gain > 0), 0, gain - 2 * n[fits] + 1)
+        alone = 0 if self.size - length < self.unit else 2 * int(n[length // self.unit]) + 1
+        if not len(fits) or alone < change.min():
+            return -1
+        return int(fits[len(fits) - 1 - np.argmin(change[::-1])])
 
     def place(self, item, length: int) -> list | None:
         at = self.level(length)
-        window = self.open[at].pop() if at else []
-        self.count[at] -= bool(at)
+        fill, window = 0, []
+        if at >= 0:
+            fill, window = self.open[at].pop()
+            self.count[at] -= 1
+            self.fill[at] = self.open[at][-1][0] if self.open[at] else self.size
         window.append((item, length))
-        if at + length == self.size:
+        fill += length
+        if self.size - fill < self.unit:
             return window
-        self.open[at + length].append(window)
-        self.count[at + length] += 1
+        to = fill // self.unit
+        self.open[to].append((fill, window))
+        self.count[to] += 1
+        self.fill[to] = fill
         return None
 
-    def rest(self) -> list[list]:
-        """The windows still open, fullest first."""
-        out = [w for level in reversed(self.open) for w in level]
-        self.__init__(self.size)
+    def rest(self) -> list[tuple[int, list]]:
+        """(fill, window) of those still open, fullest first."""
+        out = sorted((w for level in self.open for w in level), key=lambda w: -w[0])
+        self.__init__(self.size, self.unit)
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
+def filled(rest: list[tuple[int, list]], size: int) -> Iterator[list]:
+    """Windows of items (doc, start, ids, tokens): the fullest, each filled up with ids cut off items of the emptiest."""
+    low, high = 0, len(rest) - 1
+    while low <= high:
+        fill, window = rest[low]
+        while fill < size and high > low:
+            items = rest[high][1]
+            if not items:
+                high -= 1
+                continue
+            (doc, at, ids, whole), length = items.pop()
+            take = min(size - fill, length)
+            window.append(((doc, at, ids[:take], whole), take))
+            fill += take
+            if take < length:
+                items.append(((doc, at + take, ids[take:], whole), length - take))
+        low += 1
+        if window:
+            yield window
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, unit: int = 16) -> DataFrame:
     """Pieces of docs(doc_id, text) in sequences of at most ``size`` ids; ``ids`` are little-endian uint32."""
     from pyspark import TaskContext
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [{"ids": pa.binary(), "closed": pa.string()}.get(n, pa.int64()) for n in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        packer, next_id = SumOfSquares(size), TaskContext.get().partitionId() * _TASK
+        packer, next_id = SumOfSquares(size, unit), TaskContext.get().partitionId() * _TASK
         rows: list[list] = []
 
-        def close(window: list) -> None:
+        def close(window: list, how: str) -> None:
             nonlocal next_id
             total = sum(length for _, length in window)
             padded = total if total & (total - 1) == 0 else size
             offset = 0
             for (doc, start, ids, whole), length in window:
-                rows.append([doc, start, length, ids.tobytes(), whole, next_id, offset, padded])
+                rows.append([doc, start, length, ids.tobytes(), whole, next_id, offset, padded, how])
                 offset += length
             next_id += 1
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
             rows.clear()
             return batch
 
@@ -101,24 +139,17 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     whole = len(ids)
                     for at in range(0, whole - size + 1, size):
-                        close([((doc, at, ids[at : at + size], whole), size)])
+                        close([((doc, at, ids[at : at + size], whole), size)], "front")
                     if left := whole % size:
                         at = whole - left
-                        if full := packer.place((doc, at, ids[at:], whole), left):
-                            close(full)
+                        if done := packer.place((doc, at, ids[at:], whole), left):
+                            close(done, "rule")
                 if rows:
                     yield out()
-        window, used = [], 0
-        for doc, at, ids, whole in (item for w in packer.rest() for item, _ in w):
-            while len(ids):
-                take = min(size - used, len(ids))
-                window.append(((doc, at, ids[:take], whole), take))
-                used, at, ids = used + take, at + take, ids[take:]
-                if used == size:
-                    close(window)
-                    window, used = [], 0
-        if window:
-            close(window)
+        for window in filled(packer.rest(), size):
+            close(window, "filled" if sum(n for _, n in window) == size else "rest")
+            if len(rows) >= 4096:
+                yield out()
         if rows:
             yield out()
 

@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents; the digest is made of the operator's own ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to", "closed")
 
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

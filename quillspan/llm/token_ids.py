@@ -2,11 +2,13 @@
 
 A byte-level BPE never merges across its pre-tokens.  So texts are cut at pre-token borders with array
 arithmetic, every *distinct* piece goes through the library once, and its ids are kept in a bounded table; the
-ids of a text are the table's entries end to end.  Pieces are told apart by a 64-bit hash of their code points.
+ids of a text are the table's entries end to end.  Pieces are found by a hash of their code points and compared by
+the code points themselves; pieces of more than ``SHORT`` are neither kept nor shared.
 
 Borders are found by classes of code points (letter, number, space, other).  Words with an apostrophe stay whole,
 for there the library's pattern knows contractions; texts with a code point from ``FAST`` on, and tokenizers of
-another kind than byte-level with the usual pattern, go through the library as they are.
+another kind than byte-level with the usual pattern, go through the library as they are.  So do texts that hold one of the
+tokenizer's added tokens, which the library finds before it cuts: they get that token's id, as with the library's defaults.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ import unicodedata
 
 import numpy as np
 
+from quillspan.llm.words import mix
+
 FAST = 0x2E80
+SHORT = 64
 # The code points below FAST with the Unicode property White_Space.
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
 _LETTER, _NUMBER, _SPACE, _OTHER, _BORDER = range(5)
-_MUL = 0x9E3779B97F4A7C15
 _END = "￿"
+#: An odd multiplier for each place in a piece.
+_PLACE = mix(np.arange(SHORT, dtype=np.uint64), 21) | np.uint64(1)
 
 
 def _classes() -> np.ndarray:
@@ -41,38 +47,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shows} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shows)}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % 2**64
-    return out[:n]
+def _ahead(size: np.ndarray) -> np.ndarray:
+    """Where each of several runs begins when they are laid end to end."""
+    return np.cumsum(size) - size
 
 
 class Encoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
-    ``memo`` bounds the number of distinct pieces kept (the table is emptied when full); pieces longer than 64
-    code points are never kept.  ``chunk`` bounds the code points worked on at a time.
+    ``memo`` bounds the number of distinct pieces kept, and 16 times as many code points of theirs (the table is emptied
+    when full).  ``chunk`` bounds the code points worked on at a time.
     """
 
-    def __init__(self, path: str, memo: int = 2_000_000, chunk: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000, chunk: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
+        self._added = [x["content"] for x in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self._fast = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self._model = self._t.model  # for pieces that are one pre-token
         self._letters = _byte_letters()
         self._kind, self._limit, self._chunk = _classes(), memo, chunk
         self._bits = max(10, (2 * memo - 1).bit_length())
-        self._up = _powers(_MUL, 1 << 16)
-        self._down = _powers(pow(_MUL, -1, 2**64), 1 << 16)
         self._clear()
 
     def _clear(self) -> None:
@@ -80,6 +80,8 @@ class Encoder:
         self._at = np.zeros(1 << self._bits, np.int64)
         self._len = np.zeros(1 << self._bits, np.int64)
         self._pool, self._used, self._n = np.zeros(1 << 20, np.uint32), 0, 0
+        self._letter_at, self._size = np.zeros(1 << self._bits, np.int32), np.zeros(1 << self._bits, np.uint8)
+        self._text, self._text_used = np.zeros(1 << 20, np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -107,13 +109,16 @@ class Encoder:
             open_ = open_[~hit & (there != 0)]
         return out
 
-    def _keep(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def _keep(self, h: np.ndarray, ids: list[list[int]], letters: np.ndarray, sizes: np.ndarray) -> None:
         size = np.array([len(x) for x in ids], np.int64)
         total = int(size.sum())
         while self._used + total > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        while self._text_used + len(letters) > len(self._text):
+            self._text = np.concatenate([self._text, np.zeros_like(self._text)])
         self._pool[self._used : self._used + total] = [x for one in ids for x in one]
-        at = self._used + np.cumsum(size) - size
+        self._text[self._text_used : self._text_used + len(letters)] = letters
+        at, letter_at = self._used + _ahead(size), self._text_used + _ahead(sizes)
         mask = np.int64((1 << self._bits) - 1)
         slot = (h >> np.uint64(64 - self._bits)).astype(np.int64)
         left = np.arange(len(h))
@@ -121,10 +126,13 @@ class Encoder:
             free = left[self._keys[slot[left]] == 0]
             _, first = np.unique(slot[free], return_index=True)
             free = free[first]
-            self._keys[slot[free]], self._at[slot[free]], self._len[slot[free]] = h[free], at[free], size[free]
+            to = slot[free]
+            self._keys[to], self._at[to], self._len[to] = h[free], at[free], size[free]
+            self._letter_at[to], self._size[to] = letter_at[free], sizes[free]
             left = left[self._keys[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & mask
         self._used += total
+        self._text_used += len(letters)
         self._n += len(ids)
 
     def _joined(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,51 +159,53 @@ class Encoder:
             single = whole
         at = np.flatnonzero(start)
         ends = np.append(at[1:], len(c))
-        reduced = np.add.reduceat((c.astype(np.uint64) + np.uint64(1)) * self._more(len(c)), at)
-        h = reduced * self._down[at]
-        h ^= (ends - at).astype(np.uint64) << np.uint64(48)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        size = ends - at
+        owner = np.repeat(np.arange(len(at)), size)
+        place = np.arange(len(c)) - at[owner]
+        place[place >= SHORT] = 0
+        h = mix(np.add.reduceat((c.astype(np.uint64) + np.uint64(1)) * _PLACE[place], at) ^ (size.astype(np.uint64) << np.uint64(48)))
         h[h == 0] = 1
+        stop, short = border[at], size <= SHORT
         slot = self._slots(h)
-        stop = border[at]
-        length = np.where(stop, 0, self._len[slot])
-        where = self._at[slot]
-        missing = np.flatnonzero((slot < 0) & ~stop)
+        known = (slot >= 0) & short & ~stop & (self._size[slot] == size)
+        other = (self._text[np.where(known, self._letter_at[slot], 0)[owner] + place] != c) & known[owner]
+        known[owner[other]] = False
+        length, where = np.where(known, self._len[slot], 0), self._at[slot]
+        missing = np.flatnonzero(~known & ~stop)
         pool = self._pool
         if missing.size:
-            new, first = np.unique(h[missing], return_index=True)
-            first = missing[first]
-            if self._n + len(new) > self._limit:
+            some = missing[short[missing]]
+            new, first, again = np.unique(h[some], return_index=True, return_inverse=True)
+            if self._n + len(new) > self._limit or self._text_used + int(size[some[first]].sum()) > 16 * self._limit:
                 self._clear()
-                return self._joined(text) if len(new) < self._limit else self._plain(text)
-            short = ends[first] - at[first] <= 64
-            if single is None:
-                one = np.ones(len(first), bool)
-            else:
-                one = ~single[number[at[first]]]
-            ids: list = [None] * len(first)
+                return self._joined(text) if len(new) * 4 < self._limit else self._plain(text)
+            like = np.arange(len(at))
+            like[some] = some[first[again]]  # pieces of one hash share ids if they are equal
+            n = np.where(size[some] == size[like[some]], size[some], 0)
+            of = np.repeat(some, n)
+            step = np.arange(len(of)) - np.repeat(_ahead(n), n)
+            like[some[n == 0]] = some[n == 0]
+            unlike = of[c[at[of] + step] != c[at[like[of]] + step]]
+            like[unlike] = unlike
+            work = np.flatnonzero((like == np.arange(len(at))) & ~known & ~stop)
+            one = np.ones(len(work), bool) if single is None else ~single[number[at[work]]]
+            ids: list = [None] * len(work)
             for way in (self._tokens, self._library):
-                some = np.flatnonzero(one == (way == self._tokens))
-                for j, x in zip(some.tolist(), way([text[i:e] for i, e in zip(at[first[some]].tolist(), ends[first[some]].tolist(), strict=True)]), strict=True):
+                mine = np.flatnonzero(one == (way == self._tokens))
+                for j, x in zip(mine.tolist(), way([text[i:e] for i, e in zip(at[work[mine]].tolist(), ends[work[mine]].tolist(), strict=True)]), strict=True):
                     ids[j] = x
-            self._keep(new[short], [x for x, s in zip(ids, short.tolist(), strict=True) if s])
-            again = np.searchsorted(new, h[missing])
-            size = np.array([len(x) for x in ids], np.int64)
+            many = np.array([len(x) for x in ids], np.int64)
             pool = np.concatenate([self._pool[: self._used], np.array([x for one in ids for x in one], np.uint32)])
-            where[missing] = (self._used + np.cumsum(size) - size)[again]
-            length[missing] = size[again]
+            row = np.searchsorted(work, like[missing])
+            where[missing], length[missing] = (self._used + _ahead(many))[row], many[row]
+            keep = np.flatnonzero(np.isin(work, some[first]) & (slot[work] < 0))
+            kept = work[keep]
+            letters = c[np.repeat(at[kept], size[kept]) + np.arange(size[kept].sum()) - np.repeat(_ahead(size[kept]), size[kept])]
+            self._keep(h[kept], [ids[j] for j in keep.tolist()], letters, size[kept])
         total = np.cumsum(length)
         out = pool[np.repeat(where - total + length, length) + np.arange(total[-1])]
         return out, total[np.flatnonzero(stop)]
 
-    def _more(self, n: int) -> np.ndarray:
-        if n > len(self._up):
-            size = 1 << (n - 1).bit_length()
-            self._up, self._down = _powers(_MUL, size), _powers(pow(_MUL, -1, 2**64), size)
-        return self._up[:n]
-
     def _plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ids = self._library(text.split(_END)[:-1])
         return np.array([x for one in ids for x in one], np.uint32), np.cumsum([len(x) for x in ids])
@@ -219,7 +229,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self._fast or len(text) > 8 * self._chunk or not text.isascii() and ord(max(text)) >= FAST:
+            if not self._fast or len(text) > 8 * self._chunk or not text.isascii() and ord(max(text)) >= FAST or any(x in text for x in self._added):
                 out[i] = np.array(self._library([text])[0], np.uint32)
                 continue
             if size + len(text) > self._chunk:

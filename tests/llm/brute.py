@@ -106,3 +106,47 @@ def base_spans(text):
                 continue
             out.append((m.start(), rank, m.end(), kind))
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def packed(documents, size, unit):
+    """Sequences of (doc, start, length) that sum-of-squares packing makes of (doc, length) in order, by trying all places."""
+    done, windows = [], []  # windows: lists of pieces, the latest of a level last
+    fill = lambda w: sum(n for *_, n in w)
+    open_ = lambda n: size - n >= unit
+
+    def cost(fills):
+        count = Counter(n // unit for n in fills if open_(n))
+        return sum(c * c for c in count.values())
+
+    for doc, n in documents:
+        at = 0
+        while n - at >= size:
+            done.append([(doc, at, size)])
+            at += size
+        if at == n:
+            continue
+        latest = {fill(w) // unit: i for i, w in enumerate(windows)}
+        fills = [fill(w) for w in windows]
+        tries = [(cost([*fills, n - at]), 1, 0, -1)]
+        for level, i in latest.items():
+            if fills[i] + n - at <= size:
+                tries.append((cost([*fills[:i], fills[i] + n - at, *fills[i + 1 :]]), 0, -level, i))
+        *_, i = min(tries)
+        window = [*(windows.pop(i) if i >= 0 else []), (doc, at, n - at)]
+        if open_(fill(window)):
+            windows.append(window)
+        else:
+            done.append(window)
+    windows.sort(key=lambda w: (-fill(w), ))
+    while windows:
+        window = windows.pop(0)
+        while fill(window) < size and windows:
+            doc, at, n = windows[-1].pop()
+            take = min(n, size - fill(window))
+            window.append((doc, at, take))
+            if take < n:
+                windows[-1].append((doc, at + take, n - take))
+            if not windows[-1]:
+                windows.pop()
+        done.append(window)
+    return done

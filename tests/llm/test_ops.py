@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, chosen_path, components, langid, packing, pii, quality_rules, records, superkmer, tiling, warc
+from quillspan.llm import chat, chosen_path, components, langid, packing, pii, quality_rules, records, superkmer, tiling, token_ids, warc
 from quillspan.llm.queries import tokenizer_path
 from quillspan.llm.shared import shared_folder
 from quillspan.llm.token_ids import Encoder
@@ -59,7 +59,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -73,6 +72,18 @@ def test_encoder_is_the_library(library):
     for encoder in (Encoder(tokenizer_path()), Encoder(tokenizer_path(), memo=50, chunk=300)):
         for text, ids in zip(odd, encoder.encode(odd), strict=True):
             assert ids.tolist() == library(text), repr(text)
+    a, b = twins()  # one hash under powers of one number
+    x, y = Encoder(tokenizer_path()).encode([a, b])
+    assert x.tolist() == library(a) and y.tolist() == library(b)
+
+
+def test_encoder_compares_pieces(library, monkeypatch):
+    monkeypatch.setattr(token_ids, "_PLACE", np.zeros_like(token_ids._PLACE))  # all pieces of one length share a hash
+    odd = ["ab cd ab xy", "it's cd don't", "cd ab " * 9, "x" * 70 + " " + "y" * 70]
+    encoder = Encoder(tokenizer_path())
+    for _ in range(2):
+        for text, ids in zip(odd, encoder.encode(odd), strict=True):
+            assert ids.tolist() == library(text), repr(text)
 
 
 def test_packing(docs, empty, library):
@@ -102,23 +113,44 @@ def test_packing(docs, empty, library):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize(("size", "unit"), [(64, 1), (64, 4), (10, 1)])
+def test_packing_places_as_the_plain_packer(spark, library, size, unit):
+    rows = [(i, t) for i, (_, t) in enumerate(ROWS)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(d, tokenizer_path(), size=size, unit=unit).collect()
+    ids = {i: [*library(t), 1] for i, t in rows}
+    have = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids == np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        have[r.sequence_id].append((r.doc_id, r.start, r.length))
+    want = brute.packed([(i, len(x)) for i, x in ids.items()], size, unit)
+    by_fill = lambda all_: sorted(sorted(w) for w in all_)
+    rule = [s for s, how in {r.sequence_id: r.closed for r in got}.items() if how in ("front", "rule")]
+    assert by_fill(have[s] for s in rule) == by_fill(want[: len(rule)])
+    assert sum(map(len, have.values())) <= len(rows) + len(have) and len(have) == len(want)
+    assert unit > 1 or all(sum(n for *_, n in have[s]) == size for s in rule)
+
+
 def test_sum_of_squares_takes_the_least():
-    p = packing.SumOfSquares(10)
     random.seed(1)
-    for _ in range(300):
-        n = random.randint(1, 9)
-        count = p.count.copy()
-        cost = {}
-        for h in range(0, 10 - n + 1):
-            if h and not count[h]:
-                continue
-            c = count.copy()
-            c[h] -= bool(h)
-            c[h + n] += h + n < 10
-            cost[h] = int((c[1:10] ** 2).sum())
-        level = p.level(n)
-        assert cost[level] == min(cost.values())
-        p.place(0, n)
+    for unit in (1, 3):
+        p = packing.SumOfSquares(20, unit)
+        for _ in range(300):
+            n = random.randint(1, 19)
+            fills = [f for level in p.open for f, _ in level]
+
+            def cost(f):
+                return sum(c * c for c in collections.Counter(x // unit for x in f if 20 - x >= unit).values())
+
+            tries = [cost([*fills, n])]
+            for level in p.open:
+                if level and level[-1][0] + n <= 20:
+                    f = list(fills)
+                    f.remove(level[-1][0])
+                    tries.append(cost([*f, level[-1][0] + n]))
+            p.place(0, n)
+            assert cost([f for level in p.open for f, _ in level]) == min(tries)
 
 
 def test_records(spark, docs, empty, library):
