@@ -107,7 +107,7 @@ def _clusters(words: Words, hashes: np.ndarray, where: np.ndarray, of: np.ndarra
     return order, alike
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, part: int = 4000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, part: int = 2000) -> DataFrame:
     """One row for each row of docs(doc_id, text): its words, those removed, and the kept words joined by a space."""
     bins = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -239,12 +239,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, part: int =
     seen = rows.select("kd", "k", "text").mapInArrow(minimisers, "kd long, k long, m long, n long")
     twice = seen.groupBy("m").agg(F.sum("n").alias("c")).filter("c > 1").select("m", F.ceil(F.col("c") / part).cast("long").alias("parts"))
     lists = seen.join(twice, "m").groupBy("kd", "k").agg(F.collect_set(F.struct("m", "parts")).alias("listed"))
-    keyed = rows.repartition("kd", "k")
-    packed = keyed.join(lists.hint("shuffle_hash"), ["kd", "k"]).select("kd", "k", "text", "listed").mapInArrow(pack, "m long, salt long, parts long, s string, kd long, k long, place long")
+    keyed = rows.repartition("kd", "k")  # both uses below read all its columns, so that it is shuffled once
+    packed = keyed.join(lists.hint("shuffle_hash"), ["kd", "k"]).select("kd", "k", "text", "listed", "doc_id").mapInArrow(pack, "m long, salt long, parts long, s string, kd long, k long, place long")
     dealt = packed.repartition("m", "salt").sortWithinPartitions("m", "salt")
     spans = "kd long, k long, place long, length long"
     within = dealt.mapInArrow(repeats, spans)
     records = dealt.mapInArrow(distinct, "bin int, records binary")
     across = records.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(meet, spans)
     ranges = within.unionByName(across).groupBy("kd", "k").agg(F.collect_list(F.struct("place", "length")).alias("gone"))
-    return keyed.join(ranges.hint("shuffle_hash"), ["kd", "k"], "left").select("doc_id", "text", "gone").mapInArrow(finish, RESULT)
+    return keyed.join(ranges.hint("shuffle_hash"), ["kd", "k"], "left").select("doc_id", "text", "gone", "kd", "k").mapInArrow(finish, RESULT)
