@@ -14,8 +14,11 @@ A document is its set of runs of ``k`` words (a text of fewer words: one run of
 5. The exact check: inside every candidate group all pairs of texts are compared by their whole sets.  Links are
    counted at both ends; classes are the connected components of the links.
 
-Buckets and groups of any size are cut into blocks of ``block`` texts and each pair of blocks is a task's work of its
-own, so a group of a third of all texts is spread out, no list of pairs is ever made, and no link inside it is lost.
+Buckets and groups of any size are cut into blocks (of at most ``block`` texts; groups also by ``block_shingles``) and each pair
+of blocks is a task's work of its own, so a group of a third of all texts is spread out, no list of pairs is ever made, and no
+link inside it is lost.  A text of a group of c texts is sent c / ``block`` times: the *comparisons* in a group of different
+near copies are quadratic (each text's number of links asks for them), what is sent is c until ``block`` and c**2 / ``block`` beyond.
+Texts are told apart by 128 bits of their sets, shingles by 64 bits.
 
 Result: one row for each input row with class_id (least doc_id of its class; class_hash is that row's hash of the text), n_links (other rows with similarity of at
 least the threshold, copies included), n_copies (rows with an equal set).  Nulls: a null text, or one without words, has
@@ -35,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components, least_reachable
-from quillspan.llm.shared import written
+from quillspan.llm.shared import free, written
 from quillspan.llm.words import Words, groups, mix, slices
 
 _NODE = "s1 long, s2 long, owner long, n int, sketch binary"
@@ -117,14 +120,21 @@ def _sketch_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].view(np.uint32).reshape(-1, width) if (offsets[0] % 4 == 0) else np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32).reshape(-1, width)
 
 
-def _in_blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
     """Each row once for every pair of blocks that its block is in: adds x <= y and the row's own block."""
-    n = F.ceil(F.col(size) / block).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(blocks)).cast("int")
     own = F.pmod(F.xxhash64("s1", "s2", F.lit(5)), n).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
 
+def _squares(mine: np.ndarray, theirs: np.ndarray, same: bool, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows as pairs of short runs of rows; if both sides are the same, each pair of runs once."""
+    for i in range(0, len(mine), side):
+        for j in range(i if same else 0, len(theirs), side):
+            yield mine[i : i + side], theirs[j : j + side]
+
+
 def _candidates(width: int, least: float):
     """Of rows sorted by (path, x, y) with own, s1, sketch: links of a spanning forest of each block pair's matches."""
 
@@ -134,22 +144,25 @@ def _candidates(width: int, least: float):
             s1, sketch = table.column(4).to_numpy(), _sketch_of(table.column(5), width)
             size = np.diff(at)
             a, b = [], []
-            two = at[:-1][size == 2]  # most buckets
+            two = at[:-1][(size == 2) & (x[at[:-1]] == y[at[:-1]])]  # most buckets
             hit = (sketch[two] == sketch[two + 1]).mean(1) >= least if len(two) else np.zeros(0, bool)
             a.append(s1[two[hit]])
             b.append(s1[two[hit] + 1])
-            for low, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                part = sketch[low : low + n]
-                near = np.zeros((n, n), np.int16)
-                for i in range(width):
-                    near += part[:, i, None] == part[None, :, i]
-                i, j = np.nonzero(np.triu(near >= least * width, 1))
-                root = least_reachable(i, j, n)
-                below = np.arange(n)
-                if x[low] != y[low]:  # what a block joins by itself is told by its own task
-                    within = own[low + i] == own[low + j]
-                    below = np.unique(least_reachable(i[within], j[within], n))
-                far = below[root[below] != below]
+            for low, n in zip(at[:-1].tolist(), size.tolist(), strict=True):
+                same = x[low] == y[low]
+                if n < 2 or n == 2 and same:
+                    continue
+                part, side = sketch[low : low + n], own[low : low + n]
+                mine = np.arange(n) if same else np.flatnonzero(side == x[low])
+                theirs = mine if same else np.flatnonzero(side == y[low])
+                root = np.arange(n)
+                for p, q in _squares(mine, theirs, same, 1024):
+                    near = np.zeros((len(p), len(q)), np.int16)
+                    for i in range(width):
+                        near += part[p, i, None] == part[None, q, i]
+                    i, j = np.nonzero(near >= least * width)
+                    root = least_reachable(np.append(p[i], np.arange(n)), np.append(q[j], root), n)
+                far = np.flatnonzero(root != np.arange(n))
                 a.append(s1[low + far])
                 b.append(s1[low + root[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -157,8 +170,10 @@ def _candidates(width: int, least: float):
     return work
 
 
-def _common(sets: list[np.ndarray], mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets[mine] with sets[theirs], by products of 0/1 matrices over shared members."""
+def _common(left_sets: list[np.ndarray], right_sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of left sets with right sets, by products of 0/1 matrices over shared members."""
+    sets, mine = left_sets + right_sets, np.arange(len(left_sets))
+    theirs = np.arange(len(left_sets), len(sets))
     out = np.zeros((len(mine), len(theirs)), np.float32)
     g = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -206,17 +221,18 @@ def _exact(k: int, least: float):
                 same = x[low] == y[low]
                 mine = np.arange(len(pick)) if same else np.flatnonzero(own[rows] == x[low])
                 theirs = mine if same else np.flatnonzero(own[rows] == y[low])
-                both = _common(sets, mine, theirs)
                 n = np.array([len(s) for s in sets])
-                hit = both >= least * (n[mine][:, None] + n[theirs][None, :] - both) - 1e-3
-                if same:
-                    np.fill_diagonal(hit, False)
-                links = np.zeros(len(pick), np.int64)
-                links[mine] += hit @ copies[rows[theirs]]
-                if not same:
-                    links[theirs] += hit.T @ copies[rows[mine]]
-                i, j = np.nonzero(hit)
-                root = least_reachable(mine[i], theirs[j], len(pick))
+                links, root = np.zeros(len(pick), np.int64), np.arange(len(pick))
+                for p, q in _squares(mine, theirs, same, 512):
+                    both = _common([sets[i] for i in p], [sets[j] for j in q])
+                    hit = both >= least * (n[p][:, None] + n[q][None, :] - both) - 1e-3
+                    if within := same and p[0] == q[0]:
+                        np.fill_diagonal(hit, False)
+                    links[p] += hit @ copies[rows[q]]
+                    if not within:
+                        links[q] += hit.T @ copies[rows[p]]
+                    i, j = np.nonzero(hit)
+                    root = least_reachable(np.append(p[i], np.arange(len(pick))), np.append(q[j], root), len(pick))
                 for col, value in zip(out, (s1[rows], s2[rows], links, s1[rows[root]]), strict=True):
                     col.append(value)
             if out[0]:
@@ -225,7 +241,7 @@ def _exact(k: int, least: float):
     return work
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each row of docs(doc_id, text)."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +274,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
     source = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = written(source.mapInArrow(embed, "doc_id long, text_hash long, s1 long, s2 long, n int, sketch binary"), "sketches")
     owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    texts = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(owner).alias("owner"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "texts")
+    texts = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(owner).alias("owner"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "texts")
 
     finals = None
     level = texts.select("s1", "s2", "sketch").mapInArrow(start, "path long, s1 long, s2 long")
@@ -273,19 +289,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
             level = large.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]).select("path", "s1", "s2", "sketch").mapInArrow(split, "path long, s1 long, s2 long")
     kept = finals.groupBy("path").agg(F.first("c").alias("c"), F.first("who").alias("who")).groupBy("c", "who").agg(F.min("path").alias("path"))
     finals = finals.drop("c", "who").join(kept.select("path", "c"), "path")
-    blocks = _in_blocks(finals.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]), "c", block).select("path", "x", "y", "own", "s1", "sketch")
+    blocks = _in_blocks(finals.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]), F.col("c") / block).select("path", "x", "y", "own", "s1", "sketch")
     edges = blocks.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_candidates(width, similarity - 0.2), "a long, b long")
 
     found = components(edges)  # by s1: two texts with equal 64 bits only share a candidate group
-    member = texts.select("s1", "s2", "owner", "copies").join(found.withColumnRenamed("node", "s1"), "s1")
-    size = member.groupBy("component").agg(F.count("*").alias("c"))
-    member = written(member.join(size, "component"), "members")
+    member = texts.select("s1", "s2", "owner", "copies", "n").join(found.withColumnRenamed("node", "s1"), "s1")
+    size = member.groupBy("component").agg(F.greatest(F.count("*") / block, F.sum("n") / block_shingles).alias("c"))
+    member = written(member.drop("n").join(size, "component"), "members")
     wanted = member.select("component", "c", "s1", "s2", "copies", F.col("owner.doc_id").alias("id"), F.col("owner.text_hash").alias("h"))
     whole = source.join(wanted.hint("shuffle_hash"), source["doc_id"].eqNullSafe(F.col("id")) & (source["text_hash"] == F.col("h")))
-    blocks = _in_blocks(whole, "c", block).select("component", "x", "y", "own", "s1", "s2", "copies", "text")
+    blocks = _in_blocks(whole, F.col("c")).select("component", "x", "y", "own", "s1", "s2", "copies", "text")
     pairs = written(blocks.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "own").mapInArrow(_exact(k, similarity), "s1 long, s2 long, links long, root long"), "links")
     links = pairs.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count_distinct("root").alias("roots"))
-    if member.filter(F.col("c") > block).isEmpty():  # every group was one block: its forest is complete
+    if member.filter("c > 1").isEmpty():  # every group was one block: its forest is complete
         classes = links.withColumnRenamed("root", "class")
     else:
         joined = components(pairs.select(F.col("s1").alias("a"), F.col("root").alias("b")))
@@ -304,8 +320,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the least doc_id, then the least hash of the text; equal rows count once.
     All columns are kept.  Rows without words stay, once for each doc_id."""
     found = near_duplicates(docs, **options)
+    kd, kh, n = (free(docs, c) for c in ("kd", "kh", "n"))
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    stay = found.select(key(F.col("class_id")).alias("_kd"), F.col("class_hash").alias("_kh")).distinct()
-    keyed = docs.withColumn("_kd", key(F.col("doc_id"))).withColumn("_kh", F.xxhash64(F.col("text").cast("string"))).repartition("_kd", "_kh")
-    one = keyed.join(stay.hint("shuffle_hash"), ["_kd", "_kh"], "left_semi")
-    return one.withColumn("_n", F.row_number().over(W.partitionBy("_kd", "_kh").orderBy("_kd"))).filter("_n = 1").drop("_n", "_kd", "_kh")
+    stay = found.select(key(F.col("class_id")).alias(kd), F.col("class_hash").alias(kh)).distinct()
+    keyed = docs.withColumn(kd, key(F.col("doc_id"))).withColumn(kh, F.xxhash64(F.col("text").cast("string"))).repartition(kd, kh)
+    one = keyed.join(stay.hint("shuffle_hash"), [kd, kh], "left_semi")
+    return one.withColumn(n, F.row_number().over(W.partitionBy(kd, kh).orderBy(kd))).filter(F.col(n) == 1).drop(n, kd, kh)

@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; a local temporary folder only where that is unset, as in tests."""
+    """A new folder's URI under spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: cuts lineage in a way that outlives executors."""
     spark = df.sparkSession

@@ -228,7 +228,7 @@ def test_superkmer_compares_words(spark, monkeypatch):
         assert got == want
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2, "small": 2}])
+@pytest.mark.parametrize("options", [{}, {"block": 2, "small": 2}, {"block_shingles": 150}])
 def test_chosen_path(docs, empty, options):
     label, links = brute.classes(ROWS)
     ids = collections.defaultdict(list)
@@ -236,14 +236,27 @@ def test_chosen_path(docs, empty, options):
         ids[c].append(d)
     want = [(d, min((x for x in ids[c] if x is not None), default=None), n) for (d, _), c, n in zip(ROWS, label, links, strict=True)]
     same([(r.doc_id, r.class_id, r.n_links) for r in chosen_path.near_duplicates(docs, **options).collect()], want)
-    if options:
+    if "block" in options:
         assert chosen_path.near_duplicates(empty).count() == 0
-        kept = chosen_path.keep_one(docs)
-        assert kept.columns == docs.columns
+        odd = docs.select("*", *[F.lit(1).alias(c) for c in ("n", "KD", "kh", "class_id", "_n")])
+        kept = chosen_path.keep_one(odd)
+        assert kept.columns == odd.columns
         alone = {(d, t) for d, t in ROWS if not brute.words(t)}  # no words: once for each doc_id and text
         assert kept.count() == len({c for c, (_, t) in zip(label, ROWS, strict=True) if brute.words(t)}) + len(alone)
 
 
+def test_chosen_path_counts_many_near_copies(spark):
+    """600 near copies that all differ, in several runs of rows: links and class against plain counting; words of one old hash."""
+    base = prose(60).split()
+    rows = [(i, " ".join(base[:3] + [f"w{i}"] + base[4 : 40 + i % 21])) for i in range(600)]
+    d = spark.createDataFrame(rows + [(1000, f"{twins()[0]} b c d e f"), (1001, f"{twins()[1]} b c d e f")], "doc_id long, text string")
+    label, links = brute.classes(rows)
+    got = {r.doc_id: r for r in chosen_path.near_duplicates(d, block=256).collect()}
+    assert [got[i].n_links for i, _ in rows] == links and sum(links) > 50_000
+    assert [got[i].class_id for i, _ in rows] == [min(j for j, c in enumerate(label) if c == label[i]) for i, _ in rows]
+    assert got[1000].n_copies == got[1001].n_copies == 1 and got[1000].n_links == 0
+
+
 def test_components(spark):
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(130)] + [(900, 900)]
     df = spark.createDataFrame(edges, "a long, b long")
