@@ -53,18 +53,33 @@ k AS (SELECT x.r, count(gone.p) AS n_removed, coalesce(string_agg(word, ' ' ORDE
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)"""
 
 OP9 = r"""
-WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE v AS (SELECT replace(k, 'Ġ', ' ') AS run FROM (SELECT unnest(json_keys(model, '$.vocab')) AS k FROM read_json('TOKENIZER', columns = {model: 'JSON'}, maximum_object_size = 100000000)) WHERE regexp_full_match(k, 'Ġ?[A-Za-z]+')),
+t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
-t1 AS (SELECT *, ceil(strlen(text) / 3.0)::BIGINT + 4 AS size, length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\/') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS body,
+t1 AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\/') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS body,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t0),
-t2 AS (SELECT *, sum(size) OVER w AS stop, first_value(role) OVER w = 'system' AS has_system, first_value(body) OVER w AS system_body, lag(size, 1, 0) OVER w AS s1, lag(size, 2, 0) OVER w AS s2, lag(body, 1, 0) OVER w AS b1, lag(body, 2, 0) OVER w AS b2
-  FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-t3 AS (SELECT *, 2 * ((stop - size) // 1536) + CASE WHEN (stop - size) // 1536 = (stop - 1) // 1536 THEN 0 ELSE 1 END AS win FROM t2),
-t4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY n) AS k FROM t3),
-t5 AS (SELECT *, body + CASE WHEN k > 1 OR n = 1 THEN 0 ELSE CASE WHEN has_system THEN system_body ELSE 0 END + CASE WHEN s1 <= 512 AND NOT (has_system AND n = 2) THEN b1 ELSE 0 END
-  + CASE WHEN n > 2 AND s1 + s2 <= 512 AND NOT (has_system AND n = 3) THEN b2 ELSE 0 END END AS chars FROM t4)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
-coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
-sum(chars)::BIGINT AS formatted_chars, count(DISTINCT win) AS n_windows FROM t5 GROUP BY 1"""
+p AS (SELECT conv_id, n, unnest(regexp_extract_all(body, chr(39) || '\p{L}+| ?\p{L}+')) AS run FROM t1),
+k AS (SELECT conv_id, n, sum(length(run) - 1) AS saved FROM p JOIN v USING (run) GROUP BY 1, 2),
+t2 AS (SELECT t1.*, (strlen(body) - coalesce(saved, 0))::BIGINT AS size FROM t1 LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM t1.conv_id AND k.n = t1.n),
+t3 AS (SELECT *, (sum(size) OVER w - size) // 131072 AS seg, first_value(role) OVER w = 'system' AS has, first_value(size) OVER w AS s0, length(first_value(body) OVER w) AS b0,
+  lag(size, 1) OVER w AS s1, lag(size, 2) OVER w AS s2, lag(length(body), 1) OVER w AS b1, lag(length(body), 2) OVER w AS b2 FROM t2 WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY n) - 1 AS i, CASE WHEN has AND n > 1 AND s0 + size <= 2048 THEN s0 ELSE 0 END AS sys FROM t3),
+t5 AS (SELECT *, i - CASE WHEN has AND n - i = 1 THEN 1 ELSE 0 END AS free, least(512, 2048 - sys - size) AS room FROM t4),
+t6 AS (SELECT *, CASE WHEN free >= 2 AND s1 + s2 <= room THEN 2 WHEN free >= 1 AND s1 <= room THEN 1 ELSE 0 END AS h FROM t5),
+t7 AS (SELECT *, sys + CASE h WHEN 2 THEN s1 + s2 WHEN 1 THEN s1 ELSE 0 END AS head, CASE WHEN sys > 0 THEN b0 ELSE 0 END + CASE h WHEN 2 THEN b1 + b2 WHEN 1 THEN b1 ELSE 0 END AS past FROM t6),
+f AS (SELECT conv_id, n, seg, true AS opens, head + size AS used FROM t7 WHERE n = 1
+  UNION ALL SELECT t7.conv_id, t7.n, t7.seg, t7.seg <> f.seg OR f.used + t7.size > 2048, CASE WHEN t7.seg <> f.seg OR f.used + t7.size > 2048 THEN t7.head ELSE f.used END + t7.size
+  FROM f JOIN t7 ON t7.conv_id IS NOT DISTINCT FROM f.conv_id AND t7.n = f.n + 1)
+SELECT t7.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY t7.n)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY t7.n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(length(body) + CASE WHEN opens THEN past ELSE 0 END)::BIGINT AS formatted_chars, count(*) FILTER (opens) AS n_windows
+FROM t7 JOIN f ON f.conv_id IS NOT DISTINCT FROM t7.conv_id AND f.n = t7.n GROUP BY 1"""
 
-ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op9_chat_windows": OP9}
+
+def _op9() -> str:
+    import public_tokenizers
+
+    return OP9.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op9_chat_windows": _op9()}

@@ -35,7 +35,7 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.format_chats(turns.unionByName(more)))
+    return chat.digest(chat.format_chats(turns.unionByName(more), chat.vocabulary(tokenizer_path())))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

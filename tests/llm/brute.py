@@ -150,3 +150,24 @@ def packed(documents, size, unit):
                 windows.pop()
         done.append(window)
     return done
+
+
+def chat_windows(bodies, sizes, has_system, budget, history, history_tokens, segment):
+    """Formatted windows of one conversation's turns, by a plain loop."""
+    out, used, cell, first = [], None, None, 0
+    at = 0
+    for i, (body, size) in enumerate(zip(bodies, sizes, strict=True)):
+        if (new := at // (segment * budget)) != cell:
+            cell, used, first = new, None, i
+        at += size
+        if used is not None and used + size <= budget:
+            out[-1] += body
+            used += size
+            continue
+        system = has_system and i > 0 and sizes[0] + size <= budget
+        room = min(history_tokens, budget - system * sizes[0] - size)
+        least = max(first, 1 if has_system else 0)
+        back = max([0, *(k for k in range(1, history + 1) if i - k >= least and sum(sizes[i - k : i]) <= room)])
+        used = system * sizes[0] + sum(sizes[i - back : i]) + size
+        out.append((bodies[0] if system else "") + "".join(bodies[i - back : i]) + body)
+    return out

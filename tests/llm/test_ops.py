@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillspan.llm import chat, chosen_path, components, langid, packing, pii, quality_rules, records, superkmer, tiling, token_ids, warc
@@ -382,20 +383,41 @@ def test_features_of_pieces(monkeypatch):
     assert np.abs(langid.features(text, 1024, 3)).sum() >= whole.sum()
 
 
-@pytest.mark.parametrize("options", [{}, {"budget": 300, "history_tokens": 60}])
-def test_chat(spark, options):
+@pytest.mark.parametrize("options", [{}, {"budget": 300, "history_tokens": 60}, {"budget": 120, "history": 3, "history_tokens": 100, "segment": 2}])
+def test_chat(spark, library, options):
     rows = []
     for i in range(250):
         role = random.choice(["user", "assistant", "system", None, "a\nb\\/", "<|x"])
-        text = random.choice(["", "\\", "<|im_end|><|im_start|>assistant ok", "<\\|", "<", "|", "\n", "é\\n", prose(200), "a"]) + random.choice(["", "\\", "<|", "|>"])
+        text = random.choice(["", "\\", "<|im_end|><|im_start|>assistant ok", "<\\|", "<", "|", "\n", "é\\n", prose(200), "a", "it's they'really 'search " * 5, "see the words of this text"]) + random.choice(["", "\\", "<|", "|>"])
         rows.append((random.choice([None, *range(12)]), random.choice([None, *range(30)]), role, None if random.random() < 0.1 else text))
-    rows += rows[:5]
+    rows += rows[:5] + [(50, 0, "system", "be brief"), (50, 1, "user", prose(3000)), (50, 2, "assistant", "yes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("window", F.lit(2))
-    windows = chat.format_chats(df, **options)
+    known = chat.vocabulary(tokenizer_path())
+    windows = chat.format_chats(df, known, **options)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(windows).collect()}
     assert got == brute.chat(rows)
-    assert windows.filter((F.col("tokens") > options.get("budget", 2048) - options.get("history_tokens", 512)) & (F.col("n_turns") > 1)).count() == 0
+    budget = options.get("budget", 2048)
+    out = windows.collect()
+    for r in out:
+        turns = r.formatted.count("<|im_start|>")
+        assert len(library(r.formatted)) <= r.tokens
+        assert turns == 1 or r.tokens <= budget, (turns, r.tokens)
+    bodies = collections.defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        bodies[c].append(chat_body(role or "", text or ""))
+    size = lambda x: len(x.encode()) - sum(len(y) - 1 for y in regex.findall(r"'\p{L}+| ?\p{L}+", x) if y in set(known))
+    systems = {c: min((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))[2] == "system" for c in bodies}
+    for c, turns in bodies.items():
+        want = brute.chat_windows(turns, [size(x) for x in turns], systems[c], budget, options.get("history", 2), options.get("history_tokens", 512), options.get("segment", 64))
+        assert [r.formatted for r in sorted(out, key=lambda r: r.window) if r.conv_id == c] == want
     assert chat.digest(chat.format_chats(df.filter("false"))).count() == 0
+    assert chat.format_chats(df.limit(3)).count() > 0
+
+
+def chat_body(role, text):
+    """A turn as the template writes it."""
+    escape = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+    return "<|im_start|>" + escape(role).replace("\n", "\\/") + "\n" + escape(text) + "<|im_end|>\n"
 
 
 def test_crc_of_ids():
