@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm.quality_rules import PHRASES
+from quillspan.llm.quality_rules import NAVIGATION, PHRASES
 
 _WORDS = r"""w AS (SELECT d.rowid AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents_rows d)""".replace("d.rowid AS r", "r")
 _ROWS = "documents_rows AS (SELECT row_number() OVER () AS r, * FROM documents)"
@@ -14,7 +14,9 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM c WHERE n > 1) GROUP BY 1),
 l AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents_rows),
 m AS (SELECT r, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
-j AS (SELECT r, line, len(ws) AS n, (regexp_matches(lower(line), '{"|".join(PHRASES)}') OR regexp_matches(line, '^(?:[^|»›·•]*[|»›·•]){{3}}')
+j AS (SELECT r, line, len(ws) AS n, (len(ws) <= 20 AND regexp_matches(lower(line), '{"|".join(PHRASES).replace("'", "''")}')
+  OR regexp_matches(line, '{NAVIGATION}') AND len(ws) <= 6 * (length(regexp_replace(line, '[^|»›·•]+', '', 'g')) + 1)
+  OR len(list_filter(ws, lambda x: regexp_matches(x, '^(?:https?://|www\.).'))) >= greatest(2, len(ws) / 2.0)
   OR (len(ws) >= 8 AND NOT regexp_matches(line, '[.!?…。][)"''”’»*]*(?:$|[\x20\x09-\x0D])'))
   OR len(list_filter(ws, lambda x: regexp_matches(x, '(?:[#*$%&<>=~^]{{2,}}|!!+)$'))) >= 0.3 * len(ws)
   OR (regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '\p{{Ll}}') AND len(ws) >= 2)) AS bad FROM m WHERE len(ws) > 0),

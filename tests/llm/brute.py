@@ -171,3 +171,27 @@ def chat_windows(bodies, sizes, has_system, budget, history, history_tokens, seg
         used = system * sizes[0] + sum(sizes[i - back : i]) + size
         out.append((bodies[0] if system else "") + "".join(bodies[i - back : i]) + body)
     return out
+
+
+def line_fails(line, phrases):
+    """Whether line-first cleaning removes a line that has a word."""
+    import regex
+
+    ws = words(line)
+    parts = regex.split("[|»›·•]", line)
+    named = 0
+    for part in parts[:-1]:  # separators with a letter or digit since the one before, from the first on
+        if not regex.search(r"[\p{L}\p{N}]", part):
+            break
+        named += 1
+    links = sum(bool(regex.match(r"(?:https?://|www\.).", w)) for w in ws)
+    ends = any(regex.search("[.!?…。][)\"'”’»*]*$", w) for w in ws)
+    signs = sum(bool(regex.search("(?:[#*$%&<>=~^]{2,}|!!+)$", w)) for w in ws)
+    return (
+        (len(ws) <= 20 and any(p in line.lower() for p in phrases))
+        or (named >= 3 and len(ws) <= 6 * len(parts))
+        or (links >= 2 and 2 * links >= len(ws))
+        or (len(ws) >= 8 and not ends)
+        or signs >= 0.3 * len(ws)
+        or (bool(regex.search(r"\p{Lu}", line)) and not regex.search(r"\p{Ll}", line) and len(ws) >= 2)
+    )

@@ -301,6 +301,16 @@ def test_quality_lines(spark):
     assert left.columns == ["doc_id", "text", "kept"] and left.count() == 2
 
 
+def test_quality_lines_against_plain_rules(spark):
+    odd = ["|", "»", "·", "a", "Über", "http://x.y/z", "www.a.b", "https://", "READ", "read more", "Mentions Légales", "it!", "###", "!!", "word.", "end.)", "\t", "$$", "\x0b", "l'eau", "7", "A1"]
+    lines = [random.choice([" ", "  "]).join(random.choice(odd) for _ in range(random.randint(1, 26))) for _ in range(600)]
+    lines += ["word " * 900 + "Please read more about it there.", "a | b | c | " + "so it goes on " * 30 + "and ends."]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.lines_removed for r in quality_rules.judge(d.withColumn("words", F.lit(0)).withColumn("Kept", F.lit("x"))).collect()}
+    want = {i: int(bool(brute.words(t)) and brute.line_fails(t, quality_rules.PHRASES)) for i, t in enumerate(lines)}
+    assert got == want and 100 < sum(want.values()) < 560 and got[600] == got[601] == 0
+
+
 def test_pii(spark, docs, empty):
     parts = ["a", "@", "b.", "c", "1", "2", "255", ".", "+", "-", " ", "(", ")", "4111111111111111", "é", "_", "mail", "0"]
     rows = ROWS + [(1000 + i, "".join(random.choice(parts) for _ in range(random.randint(1, 50)))) for i in range(800)]
