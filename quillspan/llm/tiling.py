@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits of the lower-cased text.  Seeds are the places where ``k`` consecutive words of a
+Words are runs of letters, marks and digits of the lower-cased text; a letter of a script that is written without spaces
+(Han, Hiragana, Katakana, Thai, Lao, Khmer, Myanmar) is a word of its own.  Seeds are the places where ``k`` consecutive words of a
 document and of a benchmark item are equal, found by a join on Karp-Rabin hashes of k words.  Seeds that follow each
 other in both make a match; every match of k words or more is such a run, so the texts are not needed again.  Tiling then
 takes the longest match whose words are unmarked on both sides, marks it, and goes on with what is left of the others
@@ -10,8 +11,9 @@ contaminated by an item of which marked words cover at least ``coverage``, whate
 The items' hashes are sent to every task if they are at most ``bound`` bytes, which is checked; beyond that, seeds come from a
 shuffled join on the hash, with the same result.
 
-Nulls: null texts have no words.  Items of fewer than k words never match.  Repeated items are reported each under their
-item_id.  Repeated documents are reported each; doc_id may be null.  Empty tables: no rows.
+Nulls: null texts have no words.  Items of fewer than k words never match.  Repeated items and repeated documents are reported
+each, whichever way seeds are found.  Ties between tiles of one length go to the least places.  doc_id and item_id may be
+null.  Very long texts are worked on whole.  Other columns, of any names, are kept or ignored.  Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.shared import free
 from quillspan.llm.words import NOT_ALNUM, Words, groups, slices
 
+# Scripts without spaces between words.
+_UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]\\p{M}*)"
 _TILES = "array<struct<doc_start:int,item_start:int,length:int>>"
 RESULT = f"doc_id long, item_id long, item_words int, covered int, coverage double, tiles {_TILES}"
 
 
+def _plain(text: Column) -> Column:
+    """The text in lower case; what lies between words is ASCII in it."""
+    low = F.lower(text.cast("string"))
+    spaced = F.regexp_replace(F.regexp_replace(low, "[^\\p{L}\\p{M}\\p{N}\\x00-\\x7F]+", " "), _UNSPACED, " $1 ")
+    return F.when(low.rlike("[^\\x00-\\x7F]"), spaced).otherwise(low)
+
+
 def tile(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Tiles (doc word, item word, length) from the seeds' places, which need no order."""
     order = np.lexsort((doc, doc - item))
@@ -110,20 +122,21 @@ def _matches(index: _Index, texts: pa.Array, k: int, coverage: float) -> list[tu
 
 def _index(items: DataFrame, k: int, bound: int):
     """The items' index if it is within the bound, else None."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), _plain(F.col("text")).alias("text")).filter("text is not null")
     if (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) > bound:
         return None
     found = items.orderBy("item_id", "text").collect()  # at most ``bound`` bytes
     return _Index([r.item_id for r in found], pa.array([r.text for r in found], pa.string()), k)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, kd: str, kh: str) -> DataFrame:
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.withColumn("_kd", F.coalesce(id_, F.lit(-(2**63)))).withColumn("_kh", F.xxhash64(text))
+    return docs.withColumn(kd, F.coalesce(id_, F.lit(-(2**63)))).withColumn(kh, F.xxhash64(text))
 
 
 def _seed_join(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> DataFrame:
-    """RESULT with the rows' keys _kd and _kh, by a shuffled join of document and item hashes."""
+    """RESULT with the rows' keys _kd and _kh and ``times`` (how often the item comes), by a shuffled join of document and
+    item hashes; adaptive execution splits a hash that many documents have."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +149,7 @@ def _seed_join(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> Da
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(g.view(np.int64)), pa.array(at - words.first[row]), pa.array(np.diff(words.first)[row])], [*batch.schema.names[:-1], "g", "place", "size"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles", "_kd", "_kh"]
+        names = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles", "_kd", "_kh", "_ki"]
         for table, at in groups(batches, 3):
             cols = [[] for _ in names]
             for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -147,21 +160,24 @@ def _seed_join(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> Da
                 found = tile(seen[0], seen[1], k)
                 covered = sum(n for *_, n in found)
                 if covered >= coverage * size:
-                    value = (part.column(3)[0].as_py(), part.column(4)[0].as_py(), size, covered, covered / size, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in found], part.column(0)[0].as_py(), part.column(1)[0].as_py())
+                    value = (part.column(3)[0].as_py(), part.column(4)[0].as_py(), size, covered, covered / size, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in found], *(part.column(i)[0].as_py() for i in range(3)))
                     for col, x in zip(cols, value, strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(), strict=True)], names)
 
-    text = F.lower(F.col("text").cast("string"))
-    left = _keyed(docs).select("_kd", "_kh", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(grams, "_kd long, _kh long, doc_id long, g long, doc_at long, doc_size long")
-    right = items.select(F.xxhash64("item_id", "text").alias("_ki"), F.col("item_id").cast("long").alias("item_id"), text.alias("text")).mapInArrow(grams, "_ki long, item_id long, g long, item_at long, size long").withColumn("size", F.col("size").cast("int"))
+    text = _plain(F.col("text")).alias("text")
+    left = _keyed(docs.select("doc_id", "text"), "_kd", "_kh").select("_kd", "_kh", F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(grams, "_kd long, _kh long, doc_id long, g long, doc_at long, doc_size long")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    items = items.withColumn("_ki", F.xxhash64("item_id", "text"))
+    right = items.select("_ki", "item_id", text).mapInArrow(grams, "_ki long, item_id long, g long, item_at long, size long").withColumn("size", F.col("size").cast("int"))
     both = left.join(right, "g").select("_kd", "_kh", "_ki", "doc_id", "item_id", F.col("doc_at"), "item_at", "size")
-    return both.repartition("_kd", "_kh", "_ki").sortWithinPartitions("_kd", "_kh", "_ki").mapInArrow(tiles, f"{RESULT}, _kd long, _kh long")
+    found = both.repartition("_kd", "_kh", "_ki").sortWithinPartitions("_kd", "_kh", "_ki").mapInArrow(tiles, f"{RESULT}, _kd long, _kh long, _ki long")
+    return found.join(items.select("_ki", "times"), "_ki").drop("_ki")
 
 
 def _types() -> list[pa.DataType]:
     tiles = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
-    return [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), tiles, pa.int64(), pa.int64()]
+    return [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), tiles, pa.int64(), pa.int64(), pa.int64()]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float = 0.5, bound: int = 16 << 20) -> DataFrame:
@@ -169,8 +185,9 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float
     index = _index(items, k, bound)
     if index is None:
         once = _seed_join(docs, items, k, coverage)
-        times = _keyed(docs).groupBy("_kd", "_kh").count()  # repeated rows are reported each
-        return once.join(times, ["_kd", "_kh"]).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "item_id", "item_words", "covered", "coverage", "tiles")
+        rows = _keyed(docs.select("doc_id", "text"), "_kd", "_kh").groupBy("_kd", "_kh").count()
+        n = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count") * F.col("times")))
+        return once.join(rows, ["_kd", "_kh"]).withColumn("_n", n).select("doc_id", "item_id", "item_words", "covered", "coverage", "tiles")
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +198,16 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float
                 rows = [(ids[r], i, n, c, c / n, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in ts]) for r, i, n, c, ts in found]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(_types()[:6])], ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(work, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _plain(F.col("text")).alias("text")).mapInArrow(work, RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float = 0.5, bound: int = 16 << 20) -> DataFrame:
     """The rows of docs, all columns, that no item contaminates.  With a small benchmark nothing is shuffled."""
     index = _index(items, k, bound)
     if index is None:
-        bad = _seed_join(docs, items, k, coverage).select("_kd", "_kh").distinct()
-        return _keyed(docs).join(bad, ["_kd", "_kh"], "left_anti").drop("_kd", "_kh")
+        kd, kh = free(docs, "kd"), free(docs, "kh")
+        bad = _seed_join(docs, items, k, coverage).select(F.col("_kd").alias(kd), F.col("_kh").alias(kh)).distinct()
+        return _keyed(docs, kd, kh).join(bad, [kd, kh], "left_anti").drop(kd, kh)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     at = len(docs.columns)
 
@@ -201,6 +219,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float
                 yield pa.RecordBatch.from_arrays(part.columns[:at], schema=pa.schema(list(part.schema)[:at])).filter(pa.array(keep))
 
     names = [f"c{i}" for i in range(at)]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.lower(F.col("text").cast("string")).alias("t"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], _plain(F.col("text")).alias("t"))
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
     return plain.mapInArrow(work, schema).toDF(*docs.columns)

@@ -195,3 +195,27 @@ def line_fails(line, phrases):
         or signs >= 0.3 * len(ws)
         or (bool(regex.search(r"\p{Lu}", line)) and not regex.search(r"\p{Ll}", line) and len(ws) >= 2)
     )
+
+
+def tiling_words(text):
+    import regex
+
+    return regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])[\p{L}\p{M}\p{N}])+", (text or "").lower())
+
+
+def tiled(text, item, k):
+    """(words of the item, words covered) by greedy string tiling that looks for the longest unmarked match again each time."""
+    a, b = tiling_words(text), tiling_words(item)
+    marked_a, marked_b = [False] * len(a), [False] * len(b)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not marked_a[i + n] and not marked_b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < k:
+            return len(b), sum(marked_b)
+        marked_a[i : i + n] = marked_b[j : j + n] = [True] * n

@@ -274,15 +274,40 @@ def test_tiling(spark, docs, empty):
     items = spark.createDataFrame([(7, item), (8, None), (9, "a b"), (7, item)], "item_id long, text string")
     for bound in (1 << 20, 0):
         got = tiling.contaminated(d, items, bound=bound).collect()
-        same([(r.doc_id, r.item_id, r.covered) for r in got], [(1, 7, 40), (1, 7, 40), (None, 7, 40), (None, 7, 40)] if bound else [(1, 7, 40), (None, 7, 40)])
+        same([(r.doc_id, r.item_id, r.covered) for r in got], [(1, 7, 40), (1, 7, 40), (None, 7, 40), (None, 7, 40)])
         clean = tiling.decontaminate(docs.unionByName(d, allowMissingColumns=True), items, bound=bound)
         assert clean.columns == docs.columns and clean.count() == len(ROWS) + 3
         assert tiling.contaminated(empty, items, bound=bound).count() == 0
+        odd = d.select("*", *[F.lit(1).alias(c) for c in ("kd", "KH", "_kd", "times", "t")])
+        left = tiling.decontaminate(odd, items, bound=bound)
+        assert left.columns == odd.columns and left.count() == 3
     assert tiling.contaminated(d, items.filter("false")).count() == 0
     tiles = tiling.tile(np.array([0, 1, 2, 3, 10, 11, 12]), np.array([0, 1, 2, 3, 2, 3, 4]), 3)
     assert tiles == [(0, 0, 6)]  # of the second match only one item word is left
 
 
+def test_tiling_against_plain_tiling(spark):
+    """Random documents made of item pieces, in several scripts, both ways of finding seeds, against tiling by trying all matches."""
+    letters = ["a", "b", "c", "é", "漢", "字", "ก", "д"]
+    items = [(i, " ".join(random.choice(letters[: 4 + i % 5]) for _ in range(random.randint(3, 30)))) for i in range(25)] + [(None, "x y z a b c"), (4, "x, y; z—a b “c”")]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(brute.tiling_words(random.choice(items)[1])[:: random.choice([1, 1, -1])]) for _ in range(random.randint(1, 4))]
+        rows.append((i, random.choice([" ", " - ", "。", "’ "]).join(parts)))
+    rows += [rows[0], (None, rows[1][1]), (70, None), (71, "漢字" * 12)]
+    items.append((30, "漢字漢字漢字"))
+    want = []
+    for d, t in rows:
+        for i, x in items:
+            n, covered = brute.tiled(t, x, 3)
+            if n >= 3 and 2 * covered >= n:
+                want.append((d, i, n, covered))
+    assert len(want) > 50
+    d, x = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (1 << 20, 0):
+        same([(r.doc_id, r.item_id, r.item_words, r.covered) for r in tiling.contaminated(d, x, k=3, bound=bound).collect()], want)
+
+
 def test_quality(docs, empty):
     got = quality_rules.judge(docs.select("doc_id", "text")).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], [(d, *brute.base_counts(t)) for d, t in ROWS])
