@@ -2,19 +2,20 @@
 
 A text is its counts of byte n-grams (1 to ``longest``) of the lower-cased text with every run of non-letters as one
 space, hashed to ``size`` features: sqrt(count) * idf, scaled to length 1.  idf counts *all* training texts.  Each language's
-vectors, of an evenly hashed sample of about ``sample`` training texts a language (its expected size; a documented bound),
-are clustered by spherical k-means into ``centroids`` centroids.  A text gets the language of the centroid with the greatest
+vectors, of about ``sample`` different training texts a language (those with the least hashes; a documented bound), of one at
+least, are clustered by spherical k-means into ``centroids`` centroids.  A text gets the language of the centroid with the greatest
 cosine; the cosine is the score.  A text farther than its centroid's own reach (the ``reach`` quantile of the cosines of the
 centroid's own training vectors, less ``slack``) is marked ``rejected``; ``language`` with reject=True then says ``und``.
 
-Whole texts are read, in pieces of bounded size.  Nulls: a null text, or one without a letter, is ``und`` with score 0.
-Texts with a null language are not learned from.  Repeated rows count as often as they come.  No training rows: all
-are ``und``.  Ties go to the first language in alphabetical order.  Other columns are ignored.
+Very long texts are read whole, their n-grams are counted in pieces.  Nulls: a null text, or one without a letter (Unicode
+class L), is ``und`` with score 0.  Texts with a null language are not learned from.  Repeated rows count as often as they come
+in idf and once in the clusters.  More than ``most_languages`` languages are an error, for one row of each comes to the
+driver.  No training rows: all are ``und``.  Ties go to the first language in alphabetical order.  Other columns, of any names,
+are kept or ignored.  Empty tables: no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.words import text_bytes
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
+_KEYS = 1 << 30
 RESULT = "language string, score double, rejected boolean"
 
 
@@ -37,16 +38,19 @@ def features(texts: pa.Array, size: int, longest: int) -> np.ndarray:
     plain = np.arange(256, dtype=np.uint8)
     plain[[b for b in range(128) if not chr(b).isalpha()]] = 32
     for row in range(len(texts)):
-        for low in range(int(offsets[row]), int(offsets[row + 1]), _PIECE):
-            piece = plain[data[low : min(low + _PIECE + longest - 1, int(offsets[row + 1]))]]
-            if len(piece) > 1:
-                piece = piece[np.append(True, (piece[1:] != 32) | (piece[:-1] != 32))]
+        text = plain[data[int(offsets[row]) : int(offsets[row + 1])]]
+        if len(text) > 1:
+            text = text[np.append(True, (text[1:] != 32) | (text[:-1] != 32))]
+        for low in range(0, len(text), _PIECE):  # n-grams that start in the piece
+            starts = min(_PIECE, len(text) - low)
+            piece = text[low : low + starts + longest - 1]
             code = np.zeros(len(piece), np.uint32)
             for n in range(1, longest + 1):
                 if len(piece) < n:
                     break
                 code = code[: len(piece) - n + 1] * np.uint32(256) + piece[n - 1 :] + np.uint32(1)
-                mixed = (code ^ (code >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(n * 0x9E3779B9 % 2**32)
+                mixed = code[:starts]
+                mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(n * 0x9E3779B9 % 2**32)
                 out[row] += np.bincount((mixed * np.uint32(0x85EBCA6B)) >> bits, minlength=size)[:size]
     return out
 
@@ -97,7 +101,7 @@ class Model:
                 for low in range(0, batch.num_rows, 256):
                     part = batch.slice(low, 256)
                     texts = part.column(n).to_pylist()
-                    letter = np.array([bool(t and _LETTER.search(t)) for t in texts])
+                    letter = np.array([any(map(str.isalpha, t or "")) for t in texts])
                     cosine = np.zeros((len(texts), 0))
                     if len(model.languages):
                         cosine = _vectors(pa.array([(t or "").lower() for t in texts], pa.large_string()), model.idf, model.longest) @ model.centroids.T
@@ -112,7 +116,7 @@ class Model:
         return kept.mapInArrow(work, f"{head}, {RESULT}")
 
 
-def train(docs: DataFrame, size: int = 8192, longest: int = 3, centroids: int = 4, sample: int = 1500, reach: float = 0.01, slack: float = 0.05) -> Model:
+def train(docs: DataFrame, size: int = 8192, longest: int = 3, centroids: int = 4, sample: int = 1500, reach: float = 0.01, slack: float = 0.05, most_languages: int = 10_000) -> Model:
     """Learn from docs(text, lang): counts of all rows, centroids of about ``sample`` rows a language."""
     spark = docs.sparkSession
     rows = docs.select(F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
@@ -132,9 +136,14 @@ def train(docs: DataFrame, size: int = 8192, longest: int = 3, centroids: int =
     for r in counts:
         seen[r.feature + 1] = r.n
     idf = np.log1p(seen[0] / (1 + seen[1:])).astype(np.float32)
-    by = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    key = F.xxhash64("text").bitwiseAND(_KEYS - 1)
+    keyed = rows.withColumn("key", key)
+    by = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min("key").alias("least")).limit(most_languages + 1).collect()
+    if len(by) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not by:
         return Model(idf, [], np.zeros((0, size), np.float32), np.zeros(0), longest)
+    limits = spark.createDataFrame([(r.lang, max(r.least, int(_KEYS * min(1.0, sample / r.n)))) for r in by], "lang string, most long")
 
     def fit(lang: tuple, table: pa.Table) -> pa.Table:
         v = _vectors(table.column("text").combine_chunks(), idf, longest)
@@ -143,10 +152,7 @@ def train(docs: DataFrame, size: int = 8192, longest: int = 3, centroids: int =
         least = [float(np.quantile(cosine[own == c], reach)) - slack if (own == c).any() else 1.0 for c in range(len(centre))]
         return pa.table({"lang": pa.array([lang[0].as_py()] * len(centre), pa.string()), "reach": least, "centroid": pa.array(list(centre), pa.list_(pa.float32()))})
 
-    share = F.create_map(*[F.lit(x) for k, n in by.items() for x in (k, min(1.0, sample / n))])[F.col("lang")]
-    chosen = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "text"])  # copies hash alike
+    chosen = keyed.join(F.broadcast(limits), "lang").filter("key <= most").select("lang", "text").dropDuplicates(["lang", "text"])
     found = chosen.groupBy("lang").applyInArrow(fit, "lang string, reach double, centroid array<float>").collect()  # centroids x languages
     found = sorted(found, key=lambda r: r.lang)
-    if not found:
-        return Model(idf, [], np.zeros((0, size), np.float32), np.zeros(0), longest)
     return Model(idf, [r.lang for r in found], np.array([r.centroid for r in found], np.float32), np.array([r.reach for r in found]), longest)
