@@ -4,21 +4,25 @@
 kinds (secret: a long token with digits; number: a run of digits like a phone, account or identity number; person: a title
 and a name) are tried by labelers that vote yes, no or abstain:
 
-- shape (regex): the value has the form that such data usually have;
-- gazetteer: a word of the kind's list stands shortly before;
-- context: what directly surrounds the value (an assignment or a quote; other numbers in a row);
+- shape (regex): the value has the form that such data usually have, or one that they never have;
+- gazetteer: a word of the kind's list stands shortly before (yes), or one of its counter-list (no);
+- context: what directly surrounds the value (an assignment or a quote; other numbers in a row; a new sentence or a list);
 - variety: how many different characters the value has.
 
 The votes of *all* candidates are counted by pattern; expectation-maximisation (Dawid-Skene, two classes, per kind) over those
 counts estimates each labeler's reliability without labels and gives each pattern a probability.  These probabilities train
-the final span classifier, a logistic regression on features of the span that are not votes (length, share of digits, character
-before, separators, word in the gazetteer).  Candidates that it scores 0.5 or more, and that no base span overlaps, are added.
-What is gathered is one row for each pattern of votes and features: at most 4 votes of three values and five features of
-at most six values, whatever the corpus; its counts cover all candidates.
-
-A span's start is found from the lengths of the pieces between matches, so offsets are code points and the work is linear.
-
-Nulls: a null text is empty.  Empty table: no rows, and no model.  Repeated rows are worked on each.  Other columns stay.
+the final span classifier, a logistic regression on features of the span that are no votes: length, share of digits, class
+of the character before and of the one after, separators, letter case.  Candidates that it scores 0.5 or more, and that no base
+span overlaps, are added.  What is gathered is one row for each pattern of votes and features: four votes of three values
+and six features of six values at most, whatever the corpus; its counts cover all candidates.
+
+Offsets are code points: running sums over the pieces between matches, gathered in blocks so that a text with many matches
+does not copy its list for each.  What surrounds a candidate is its own gap to the candidates beside it, with one character of
+the one before.
+
+Nulls: a null text is empty.  Very long texts are worked on whole.  Ties: spans that start together stand in the order of the
+kinds.  Empty table: no rows, and no model.  Repeated rows are worked on each.  Other columns stay, whatever their names; the
+result column ``pii`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.shared import free
+
 # Fixed values.  The first four are the base expressions; lookbehinds only say where a leftmost match can begin.
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-SECRET = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{16,}+"
+SECRET = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
 NUMBER = "(?<![0-9A-Za-z+])\\(?[0-9](?:[\\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])"
 PERSON = "\\b(?:Mr|Mrs|Ms|Dr|Prof)\\.? \\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)?"
 BASE = ["email", "ip", "card", "phone"]
@@ -45,20 +51,42 @@ GAZETTEER = {
     "number": ["phone", "tel", "mobile", "call", "fax", "ssn", "social security", "passport", "account", "iban", "card"],
     "person": ["dear", "contact", "signed", "regards", "sincerely", "patient", "attn"],
 }
-_AROUND = 40
+AGAINST = {
+    "secret": ["file", "path", "url", "page", "href", "src", "version", "commit"],
+    "number": ["page", "isbn", "issn", "version", "figure", "chapter", "total", "price", "score"],
+    "person": ["street", "avenue", "hotel", "saint", "film", "novel"],
+}
+_AROUND, _AFTER, _BLOCK = 40, 12, 64
 VOTES = ["shape", "gazetteer", "context", "variety"]
-FEATURES = ["length", "digits", "before", "marks", "word"]
+FEATURES = ["length", "digits", "before", "after", "marks", "case"]
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _found(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, if the guard holds."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """array<struct<start, end, value, before, after>> of the leftmost non-overlapping matches, if the guard holds; before
+    and after are the gaps' ends beside the match."""
+    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    # the places are running sums; the list is built in pieces of a growing array, one copy for each match
-    step = lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["value"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))).alias("out"))
-    return F.when(guard, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
+    parts = F.struct(values.alias("v"), gaps.alias("g"))
+
+    def placed(x: Column) -> Column:
+        v, g = x["v"], x["g"]
+        one = lambda i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(F.get(v, i)).alias("size"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.transform(F.sequence(b * _BLOCK, F.least((b + 1) * _BLOCK, F.size(v)) - 1), one))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, y: F.struct((a["at"] + y["gap"] + y["size"]).alias("at"), F.concat(a["out"], F.array(a["at"] + y["gap"])).alias("out"))
+        outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        block = lambda a, y: _let(F.aggregate(y, F.struct(a["at"].alias("at"), start["out"].alias("out")), step), lambda z: F.struct(z["at"].alias("at"), F.concat(a["out"], F.array(z["out"])).alias("out")))
+        starts = F.aggregate(blocks, outer, block, lambda a: F.flatten(a["out"]))
+        last = lambda i: F.when(i > 0, F.concat(F.right(F.get(v, i - 1), F.lit(1)), F.right(F.get(g, i), F.lit(_AROUND)))).otherwise(F.right(F.get(g, i), F.lit(_AROUND)))
+        return F.transform(starts, lambda s, i: F.struct(s.alias("start"), (s + F.length(F.get(v, i))).alias("end"), F.get(v, i).alias("value"), last(i).alias("before"), F.left(F.get(g, i + 1), F.lit(_AFTER)).alias("after")))
+
+    empty = F.array().cast(kind)
+    return F.when(guard, _let(parts, lambda x: F.when(F.size(x["v"]) == 0, empty).otherwise(placed(x)))).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -91,45 +119,51 @@ def _candidates(text: Column) -> Column:
     guards = {"secret": number, "number": number, "person": text.rlike("(?:Mr|Ms|Dr|Prof)")}
     patterns = {"secret": SECRET, "number": NUMBER, "person": PERSON}
 
-    def around(kind: str, spans: Column) -> Column:
-        low = lambda x: F.greatest(F.lit(0), x["start"] - _AROUND)
-        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.substring(text, low(x) + 1, x["start"] - low(x)).alias("before"), F.substring(text, x["end"] + 1, F.lit(12)).alias("after")))
-
-    return F.concat(*[around(k, _found(text, patterns[k], guards[k])) for k in patterns])
+    named = lambda kind, spans: F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), *[x[c].alias(c) for c in ("start", "end", "value", "before", "after")]))
+    return F.concat(*[named(k, _found(text, patterns[k], guards[k])) for k in patterns])
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _listed(x: Column) -> Column:
+def _listed(x: Column, lists: dict[str, list[str]]) -> Column:
     """Whether a word of the kind's list stands before the value."""
     hit = F.lit(False)
-    for kind, names in GAZETTEER.items():
+    for kind, names in lists.items():
         hit = F.when(x["kind"] == kind, F.lower(x["before"]).rlike(f"\\b(?:{'|'.join(names)})\\b")).otherwise(hit)
     return hit
 
 
+def _sign(c: Column) -> Column:
+    return F.when(c == "", "none").when(c.rlike("\\s"), "space").when(c.rlike("[\\p{L}\\p{N}]"), "letter").when(c.rlike("[/.@_-]"), "path").otherwise("mark")
+
+
 def _judged(x: Column) -> Column:
     """The candidate's votes and features."""
     value, kind = x["value"], x["kind"]
     length, n = F.length(value), F.length(_digits(value))
     variety = F.size(F.array_distinct(F.split(value, "")))
     secret, number = kind == "secret", kind == "number"
-    shape = F.when(secret, value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$")).when(number, value.rlike("^(?:\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$")).otherwise(F.lit(True))
+    key, word = value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$"), value.rlike("^[0-9]+$|^(?:[A-Za-z]+[-_/])+|^/|//")
+    grouped, dated = value.rlike("^(?:\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"), value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}|^(?:[0-9]+\\.){2,}[0-9]+$")
+    full, month = value.rlike("\\p{Lu}\\p{Ll}+ \\p{Lu}\\p{Ll}+$"), value.rlike(" (?:January|February|March|April|May|June|July|August|September|October|November|December|Monday|Sunday)")
     assigned, in_row = x["before"].rlike("[=:][ ]?[\"']?$"), x["before"].rlike("[0-9][ ,;|]+$") | x["after"].rlike("^[ ,;|]+[0-9]")
+    opens, verb = x["before"].rlike("(?:^|[\\n,:;(]) *$") | x["after"].rlike("^ *[,;)\\n]"), x["after"].rlike("^ (?:of|and Sons|Street|Road)")
     votes = [
-        _vote(shape, ~shape).alias("shape"),
-        _vote(_listed(x), F.lit(False)).alias("gazetteer"),
-        F.when(secret, _vote(assigned, ~assigned)).when(number, _vote(assigned, in_row)).otherwise(_vote(x["after"].rlike("^[,;]"), F.lit(False))).alias("context"),
-        F.when(secret, _vote(variety >= 10, variety < 6)).when(number, _vote(F.lit(False), variety < 4)).otherwise(F.lit(-1)).alias("variety"),
+        F.when(secret, _vote(key, word)).when(number, _vote(grouped, dated)).otherwise(_vote(full, month)).alias("shape"),
+        _vote(_listed(x, GAZETTEER), _listed(x, AGAINST)).alias("gazetteer"),
+        F.when(secret, _vote(assigned, ~assigned)).when(number, _vote(assigned, in_row)).otherwise(_vote(opens, verb)).alias("context"),
+        F.when(secret, _vote(variety >= 10, variety < 6)).when(number, _vote(variety >= 7, variety < 4)).otherwise(_vote(variety >= 8, variety < 6)).alias("variety"),
     ]
+    lower, upper = value.rlike("\\p{Ll}"), value.rlike("\\p{Lu}")
     features = [
         F.when(length < 12, "12").when(length < 20, "20").when(length < 32, "32").when(length < 48, "48").otherwise("more").alias("length"),
         F.when(n == 0, "none").when(n * 2 < length, "few").when(n < length, "most").otherwise("all").alias("digits"),
-        F.when(x["before"] == "", "start").when(x["before"].rlike("[\"'=:]$"), "assign").when(x["before"].rlike("\\s$"), "space").when(x["before"].rlike("[/.@]$"), "path").otherwise("other").alias("before"),
+        _sign(F.right(x["before"], F.lit(1))).alias("before"),
+        _sign(F.left(x["after"], F.lit(1))).alias("after"),
         F.when(value.rlike("[()]"), "round").when(value.rlike("[-/.]"), "marks").when(value.rlike(" "), "spaces").otherwise("plain").alias("marks"),
-        F.when(_listed(x), "yes").otherwise("no").alias("word"),
+        F.when(lower & upper, "both").when(lower, "lower").when(upper, "upper").otherwise("none").alias("case"),
     ]
     return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *votes, *features)
 
@@ -221,19 +255,20 @@ def fit(docs: DataFrame) -> Model:
 
 def find(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with ``pii``: array<struct<start, rank, end, kind, base>> by start, then kind as listed."""
-    base = _base_spans(F.col("_t"))
+    t, known = free(docs, "t"), free(docs, "base")
+    base = _base_spans(F.col(t))
     struct = lambda x, kind, is_base: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(is_base).alias("base"))
-    rows = docs.withColumn("_t", _text())
-    rows = rows.withColumn("_base", F.concat(*[_tagged(s, k, struct) for k, s in base.items()]))
+    rows = docs.withColumn(t, _text())
+    rows = rows.withColumn(known, F.concat(*[_tagged(s, k, struct) for k, s in base.items()]))
     if model.weights:
         rank = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(KINDS.index(k))) for k in KINDS[4:]], F.lit(len(KINDS)))
-        good = F.filter(F.transform(_candidates(F.col("_t")), _judged), lambda x: model.score(x) >= threshold)
-        free = F.filter(good, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        more = F.transform(free, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(False).alias("base")))
-        found = F.array_sort(F.concat("_base", more))
+        good = F.filter(F.transform(_candidates(F.col(t)), _judged), lambda x: model.score(x) >= threshold)
+        unmet = F.filter(good, lambda x: ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        more = F.transform(unmet, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(False).alias("base")))
+        found = F.array_sort(F.concat(known, more))
     else:
-        found = F.array_sort("_base")
-    return rows.withColumn("pii", found).drop("_t", "_base")
+        found = F.array_sort(known)
+    return rows.withColumn("pii", found).drop(t, known)
 
 
 def _tagged(spans: Column, kind: str, struct) -> Column:

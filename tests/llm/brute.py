@@ -219,3 +219,38 @@ def tiled(text, item, k):
         if n < k:
             return len(b), sum(marked_b)
         marked_a[i : i + n] = marked_b[j : j + n] = [True] * n
+
+
+def pii_spans(text, model, patterns, threshold=0.5):
+    """All spans, the added ones by the plain classifier over plain features of plain matches."""
+    import math
+
+    import regex
+
+    text = text or ""
+    base = [tuple(x.split(":")) for x in base_spans(text).split(",") if x]
+    ranks = ["email", "ip", "card", "phone", "secret", "number", "person"]
+    out = [(int(a), ranks.index(k), int(b), k) for k, a, b in base]
+    taken = [(int(a), int(b)) for _, a, b in base]
+
+    def sign(c):
+        return "none" if not c else "space" if c in " \t\n\x0b\f\r" else "letter" if regex.match(r"[\p{L}\p{N}]", c) else "path" if c in "/.@_-" else "mark"
+
+    for kind, pattern in patterns.items():
+        for m in regex.finditer(pattern, text):
+            v = m[0]
+            n, digits = len(v), sum(c in "0123456789" for c in v)
+            lower, upper = bool(regex.search(r"\p{Ll}", v)), bool(regex.search(r"\p{Lu}", v))
+            f = {
+                "length": next((str(x) for x in (12, 20, 32, 48) if n < x), "more"),
+                "digits": "none" if not digits else "few" if digits * 2 < n else "most" if digits < n else "all",
+                "before": sign(text[max(0, m.start() - 1) : m.start()]),
+                "after": sign(text[m.end() : m.end() + 1]),
+                "marks": "round" if set(v) & set("()") else "marks" if set(v) & set("-/.") else "spaces" if " " in v else "plain",
+                "case": "both" if lower and upper else "lower" if lower else "upper" if upper else "none",
+            }
+            w = model.weights.get(kind)
+            z = w["bias"] + sum(w.get(f"{k}={x}", 0.0) for k, x in f.items()) if w else -math.inf
+            if w and 1 / (1 + math.exp(-z)) >= threshold and not any(a < m.end() and m.start() < b for a, b in taken):
+                out.append((m.start(), ranks.index(kind), m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))

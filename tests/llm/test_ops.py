@@ -354,6 +354,35 @@ def test_pii(spark, docs, empty):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_added_spans(spark):
+    """Added spans against a plain version, in texts with many matches; long letters before a digit; clashing names; EM on known votes."""
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    parts = ['token = "H"', "api_key: H", "see H", "/files/H", "call 427-555-5262", "phone: (427) 555 0101", "2024-01-05 12", "page 1234567", "ssn 123-45-6789,", "Dear Dr. Ann Smith,", "Mr March of", "regards Mrs. Eve", "é", "a@b.cc", "word", "B" * 90 + "7", "12.34.5.6"]
+    fill = lambda: random.choice(parts).replace("H", random.choice(hexes))
+    rows = [(i, random.choice([" ", "\n", "; "]).join(fill() for _ in range(random.randint(1, 9)))) for i in range(500)]
+    rows += [(1000, " ".join(fill() for _ in range(3000))), (1001, None), (None, ""), rows[3]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("BASE", F.lit("b")).withColumn("_t", F.lit(2))
+    model = pii.fit(d)
+    assert set(model.weights) == {"secret", "number", "person"}
+    found = pii.find(d, model)
+    assert found.columns == [*d.columns, "pii"]
+    patterns = {"secret": pii.SECRET, "number": pii.NUMBER, "person": pii.PERSON}
+    got = [(r.doc_id, r.s) for r in found.select("doc_id", pii.told(F.col("pii")).alias("s")).collect()]
+    same(got, [(i, brute.pii_spans(t, model, patterns)) for i, t in rows])
+    told = " ".join(s for _, s in got)
+    assert all(told.count(k) > 50 for k in ("secret", "number", "person"))
+    # three good labelers and one that knows nothing
+    votes = collections.Counter()
+    for _ in range(4000):
+        true = random.random() < 0.3
+        say = lambda right: int(true if random.random() < right else not true)
+        votes[say(0.9), say(0.85), say(0.8), random.choice([-1, 0, 1])] += 1
+    p, share, prior = pii._expectation([(v, float(n)) for v, n in sorted(votes.items())])
+    assert abs(prior - 0.3) < 0.12 and share[0][1][1] > 0.75 > 0.4 > share[0][0][1] and abs(share[3][1][1] - share[3][0][1]) < 0.1
+    by = dict(zip(sorted(votes), p, strict=True))
+    assert by[1, 1, 1, -1] > 0.8 and by[0, 0, 0, -1] < 0.2
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, compression):
     pages = [(i, f"http://a/{i % 3}", f"<p>{prose(30)}</p>") for i in range(20)]
