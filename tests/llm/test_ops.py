@@ -167,9 +167,18 @@ def test_records(spark, docs, empty, library):
         assert r.start == at
         at += r.n_tokens
     same([(r.doc_id, r.ids) for r in got], [(d, np.array([*library(t), 0], "<u4").tobytes()) for d, t in ROWS])
+    orders = [records.read_shuffled(spark, folder, seed).collect() for seed in (1, 1, 2)]
+    same([tuple(r)[:4] for r in orders[0]], [tuple(r) for r in got])
+    assert orders[0] == orders[1] and [r.place for r in orders[2]] == list(range(len(got)))
+    assert [r.start for r in orders[0]] != [r.start for r in orders[2]] != sorted(r.start for r in got)
+    for n in (1, 2, 3, 1000, 4097):
+        assert sorted(records.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+    folder = shared_folder(spark, "t")
+    records.write_records(docs, folder, tokenizer_path(), file_bytes=2000)
+    same([tuple(r) for r in records.read_records(spark, folder).collect()], [tuple(r) for r in got])
     folder = shared_folder(spark, "t")
     records.write_records(empty, folder, tokenizer_path())
-    assert records.read_records(spark, folder).count() == 0
+    assert records.read_records(spark, folder).count() == 0 == records.read_shuffled(spark, folder, 1).count()
 
 
 def test_damage_is_seen():
