@@ -20,6 +20,8 @@ their windows are sorted in the row.  Other columns stay; one that has the name
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +106,8 @@ def repeated_words(words: Column, k: int = 5) -> Column:
 def line_fails(line: Column, long_line: int = 8, symbols: float = 0.3, short_line: int = 20, per_link: int = 6) -> Column:
     """Whether a line with a word is to be removed."""
     n = F.size(F.split(F.btrim(line, F.lit(SPACES)), _SPLIT))
-    boiler = (n <= short_line) & F.lower(line).rlike("|".join(PHRASES))
-    navigation = line.rlike(NAVIGATION) & (n <= per_link * (F.regexp_count(line, F.lit(f"[{_SEPARATORS}]")) + 1))
+    boiler = (n <= short_line) & _let(F.lower(line), lambda low: functools.reduce(Column.__or__, [low.contains(x) for x in PHRASES]))
+    navigation = line.rlike(f"[{_SEPARATORS}]") & line.rlike(NAVIGATION) & (n <= per_link * (F.regexp_count(line, F.lit(f"[{_SEPARATORS}]")) + 1))
     links = F.when(line.rlike("https?://|www\\."), F.regexp_count(line, F.lit(_LINK))).otherwise(0)
     signs = F.regexp_count(line, F.lit(_SYMBOLS)) >= symbols * n
     shouting = line.rlike("\\p{Lu}") & ~line.rlike("\\p{Ll}") & (n >= 2)
