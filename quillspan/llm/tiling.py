@@ -38,8 +38,9 @@ RESULT = f"doc_id long, item_id long, item_words int, covered int, coverage doub
 def _plain(text: Column) -> Column:
     """The text in lower case; what lies between words is ASCII in it."""
     low = F.lower(text.cast("string"))
-    spaced = F.regexp_replace(F.regexp_replace(low, "[^\\p{L}\\p{M}\\p{N}\\x00-\\x7F]+", " "), _UNSPACED, " $1 ")
-    return F.when(low.rlike("[^\\x00-\\x7F]"), spaced).otherwise(low)
+    worded = F.regexp_replace(low, "[^\\p{L}\\p{M}\\p{N}\\x00-\\x7F]+", " ")
+    beyond = low.rlike("[^\\x00-\\u0DFF\\u1E00-\\u20FF]")  # scripts written without spaces lie there
+    return F.when(beyond, F.regexp_replace(worded, _UNSPACED, " $1 ")).when(low.rlike("[^\\x00-\\x7F]"), worded).otherwise(low)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:

@@ -1,7 +1,7 @@
 """WARC archives as a Python data source, with identical-payload revisit records.
 
 ``spark.read.format("warc").load(folder)`` plans one partition a file.  A record's headers are parsed first; filters on
-record type and headers (=, in, starts with) that Spark pushes down are tried on them, and the block of a record
+record type, headers and the ids in them (=, in, starts with, is not null) that Spark pushes down are tried on them, and the block of a record
 that fails is skipped by seeking over its Content-Length (in our .warc.gz files, over its gzip member, whose length is in its
 ``sl`` field), never read, inflated or decoded.  Options: ``payload`` (default true)
 false also skips the blocks of wanted records; ``verify`` true checks the digest of each payload that is read.
@@ -12,7 +12,9 @@ their own, plain or with ``compression`` gzip as one member a record; ``_manifes
 archives from elsewhere, without a manifest, are read by their ``.warc`` and ``.warc.gz`` files.
 
 Nulls: a null payload is empty; null page_ids and urls have no header and come back null.  Repeated rows are written
-each: of equal payloads, all rows with the least page_id are responses.  Empty table: no records.
+each: of equal payloads, all rows with the least page_id are responses (ties).  ``target_uri`` comes back as the header holds it,
+with characters that a URI does not allow percent-encoded.  Very long payloads are one record each.  Columns of pages
+other than page_id, url and html are ignored.  Empty table: no records.
 """
 
 from __future__ import annotations
@@ -38,14 +40,19 @@ from quillspan.llm.shared import file_system, shared_folder
 SCHEMA = "page_id long, record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to long, payload_bytes long, payload binary"
 # Fixed values of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
+_HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "page_id": "warc-record-id", "refers_to": "warc-refers-to"}
 _URN = "urn:page:"
 
 
-def _value(head: dict[str, str], name: str) -> str | None:
-    """A header as its column gives it: digests without the name of their method."""
-    x = head.get(name)
-    return x.removeprefix("sha1:") or None if x is not None and name == _HEADERS["payload_digest"] else x
+def _value(head: dict[str, str], column: str) -> str | int | None:
+    """A header as its column gives it: digests without the name of their method, ids as numbers."""
+    x = head.get(_HEADERS[column])
+    if x is None:
+        return None
+    if column in ("page_id", "refers_to"):
+        x = x.strip("<>").removeprefix(_URN)
+        return int(x) if x.removeprefix("-").isdecimal() else None
+    return x.removeprefix("sha1:") or None if column == "payload_digest" else x
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -116,7 +123,7 @@ class WarcReader(DataSourceReader):
             column = f.attribute[0] if len(f.attribute) == 1 else None
             if column in _HEADERS and isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)):
                 value = set(f.value) if isinstance(f, In) else {f.value} if isinstance(f, EqualTo) else getattr(f, "value", None)
-                self.tests.append((_HEADERS[column], "set" if isinstance(value, set) else "start" if value is not None else "there", value))
+                self.tests.append((column, "set" if isinstance(value, set) else "start" if value is not None else "there", value))
             else:
                 yield f
 
@@ -132,8 +139,8 @@ class WarcReader(DataSourceReader):
         return [_File(n) for n in names] or [_File(None)]
 
     def _wanted(self, head: dict[str, str]) -> bool:
-        for name, kind, value in self.tests:
-            x = _value(head, name)
+        for column, kind, value in self.tests:
+            x = _value(head, column)
             if x is None or kind == "set" and x not in value or kind == "start" and not x.startswith(value):
                 return False
         return True
@@ -166,12 +173,10 @@ class WarcReader(DataSourceReader):
                 if self.payload or self.verify:
                     payload, left = f.read(left), 0
             seek(left)
-            digest = _value(head, _HEADERS["payload_digest"])
+            digest = _value(head, "payload_digest")
             if self.verify and payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"payload of {head.get('warc-record-id')} has another digest")
-            own, other = (head.get(x, "").strip("<>").removeprefix(_URN) for x in ("warc-record-id", "warc-refers-to"))
-            number = lambda x: int(x) if x.lstrip("-").isdigit() else None
-            yield number(own), head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("warc-date"), digest, number(other), size, payload if self.payload else None
+            yield _value(head, "page_id"), head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("warc-date"), digest, _value(head, "refers_to"), size, payload if self.payload else None
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.path is None:

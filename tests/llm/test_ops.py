@@ -406,6 +406,8 @@ def test_warc(spark, compression):
         first = min(x for x in by[body] if x is not None)
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
     same([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df, compression=compression).collect()], want)
+    odd = df.select("*", *[F.lit(1).alias(c) for c in ("payload", "sha", "k", "digest", "refers_to", "n", "first")])
+    same([tuple(r) for r in warc.round_trip(odd).collect()], [tuple(r) for r in warc.round_trip(df).collect()])
     path = shared_folder(spark, "w")
     warc.write_warc(df, path, compression=compression)
     back = warc.read_warc(spark, path)
@@ -429,6 +431,8 @@ def test_warc_pushed_filters(spark, compression):
             assert want
             same(back.filter(pushed).collect(), want)
     assert back.filter("payload_digest like 'sha1:%'").count() == 0
+    for text, plain in (("page_id = 3", lambda r: r.page_id == 3), ("page_id in (3, 9, 77)", lambda r: r.page_id in (3, 9)), ("refers_to = 2", lambda r: r.refers_to == 2), ("refers_to is not null", lambda r: r.refers_to is not None), ("page_id > 15 and record_type = 'response'", lambda r: r.page_id > 15 and r.record_type == "response")):
+        same(back.filter(text).collect(), [r for r in rows if plain(r)])
 
 
 def test_langid(spark, empty):

@@ -69,7 +69,6 @@ def test_run(spark, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = corpus_pipeline.run(spark, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in got} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in expected(spark).items()}
 
