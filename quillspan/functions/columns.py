@@ -63,3 +63,32 @@ def kmer_code(word: Column) -> Column:
 def gaussian(parts: list[tuple[Column, Column, Column]]) -> Column:
     """exp(-1/2 sum of ((x - mean) / sigma)**2)."""
     return F.exp(-0.5 * sum((((x - m) / s) * ((x - m) / s) for x, m, s in parts), F.lit(0.0)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def median_of(values: Column) -> Column:
+    """The median of an array without nulls; null if it is empty."""
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return let(F.array_sort(values), middle)
+
+
+def mean_of(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values).cast("double"))
+
+
+def effect_of(a: Column, b: Column, middle) -> Column:
+    """(middle(a) - middle(b)) / sqrt(spread a + spread b), a spread being the middle of the squared differences from the middle."""
+    spread = lambda v, m: middle(F.transform(v, lambda x: (x - m) * (x - m)))
+    both = F.struct(middle(a).alias("a"), middle(b).alias("b"))
+    return let(both, lambda m: F.try_divide(m["a"] - m["b"], F.sqrt(spread(a, m["a"]) + spread(b, m["b"]))))
+
+
+def ks_of(a: Column, b: Column) -> Column:
+    """Greatest difference of the cdfs of two arrays, with the sign of median(a) - median(b)."""
+    share = lambda v, t: F.size(F.filter(v, lambda x: x <= t)) / F.size(v)
+    most = F.array_max(F.transform(F.array_distinct(F.concat(a, b)), lambda t: F.abs(share(a, t) - share(b, t))))
+    return most * F.signum(median_of(a) - median_of(b))

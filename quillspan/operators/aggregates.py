@@ -76,16 +76,39 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
 
 
 def empirical_cdf(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Share of the group's values that are at most this one."""
-    return rows.withColumn("cdf", F.cume_dist().over(W.partitionBy(*by).orderBy(value)))
-
-
-def log_cdf_score(rows: DataFrame, by: list[str], weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of ln of each feature's cdf in the group."""
-    total = F.lit(0.0)
-    for c, w in weights.items():
-        total = total + w * F.ln(F.cume_dist().over(W.partitionBy(*by).orderBy(c)))
-    return rows.withColumn("score", total)
+    """Share of the group's values that are at most this one: running counts over distinct values, then joined back."""
+    w = W.partitionBy(*by)
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    keys = [*by, value]
+    cdf = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.sum("_n").over(w.orderBy(value)) / F.sum("_n").over(w)).alias("cdf"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return rows.join(cdf, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def log_cdf_score(rows: DataFrame, kept: DataFrame, features: dict[str, tuple[float, bool]]) -> DataFrame:
+    """Weighted mean of ln of each feature's cdf over the ``kept`` pool: the share of kept values at most this one (bigger is
+    better) or above it (smaller is better).  features: name to (weight, bigger); null where a share is 0."""
+    weight = sum(w for w, _ in features.values())
+    out, total = rows, F.lit(0.0)
+    for c, (w, bigger) in features.items():
+        cdf = pooled_cdf(rows, kept, c).withColumnsRenamed({"_value": f"_v_{c}", "_cdf": f"_cdf_{c}"})
+        out = out.join(cdf, F.col(c).eqNullSafe(F.col(f"_v_{c}"))).drop(f"_v_{c}")
+        total = total + (w / weight) * F.ln(F.col(f"_cdf_{c}") if bigger else 1 - F.col(f"_cdf_{c}"))
+    return out.withColumn("score", total).drop(*[f"_cdf_{c}" for c in features])
+
+
+def pooled_cdf(rows: DataFrame, sample: DataFrame, c: str, ranges: int = 64) -> DataFrame:
+    """The distinct values of a column of the rows and, for each, the share of the sample with at most that value (nulls are least).
+    Running counts within value ranges, started at the sums of the ranges before; where the ranges end does not matter for the
+    result."""
+    ends = sorted(set(rows.approxQuantile(c, [k / ranges for k in range(1, ranges)], 0.01)))
+    part = F.array_size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda x: x < F.col("_value")))
+    counts = rows.select(F.col(c).alias("_value"), F.lit(0).alias("n")).unionByName(sample.select(F.col(c).alias("_value"), F.lit(1).alias("n")))
+    counts = counts.groupBy("_value").agg(F.sum("n").alias("n")).withColumn("_part", part)
+    sums = counts.groupBy("_part").agg(F.sum("n").alias("own"))  # at most one row a range
+    sums = sums.select("_part", (F.sum("own").over(W.orderBy("_part")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy()).alias("total"))
+    run = F.sum("n").over(W.partitionBy("_part").orderBy("_value"))
+    return counts.withColumn("run", run).join(F.broadcast(sums), "_part").select("_value", ((F.col("before") + F.col("run")) / F.col("total")).alias("_cdf"))
 
 
 def ks_statistic(rows: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:

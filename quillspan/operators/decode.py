@@ -13,16 +13,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def best_chain(candidates: DataFrame, scale: float) -> DataFrame:
-    """One candidate for each locus of a trace: greatest sum of scores less distance / scale between loci in order."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["locus", "candidate"])
-        levels = [g for _, g in pdf.groupby("locus", sort=True)]
-        best, back = levels[0]["score"].to_numpy(float), []
-        for prev, here in zip(levels, levels[1:], strict=False):
+def rescaled_cdf(reference: np.ndarray, values: np.ndarray, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+    """Share of the reference at most each value, rescaled so that ``low`` is 0 and ``high`` is 1; nan counts as infinity."""
+    r = np.sort(reference[~np.isnan(reference)])
+    share = lambda v: np.searchsorted(r, np.where(np.isnan(v), np.inf, v), side="right") / max(len(r), 1)
+    least, most = share(np.array(low)), share(np.array(high))
+    return np.clip((share(values) - least) / (most - least if most > least else 1), 0, 1)
+
+
+def best_chain(candidates: DataFrame, steps: DataFrame, weight: float = 1.0, low: float = -np.inf, high: float = np.inf) -> DataFrame:
+    """One candidate for each locus of a trace: greatest sum of scores and, between loci that follow each other, of weight * ln(1 - cdf of
+    their distance) / (difference of their ids).  The cdf is that of the trace's reference distances steps(trace, dist), rescaled
+    between low and high.  Sequential by nature (dynamic programming), so a grouped-map function over a trace."""
+
+    def pick(pdf: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"trace": [], "locus": [], "candidate": [], "score": []})
+        pdf, known = pdf.sort_values(["locus", "candidate"]), reference["dist"].to_numpy(float)
+        levels = [(k, g) for k, g in pdf.groupby("locus", sort=True)]
+        best, back = levels[0][1]["score"].to_numpy(float), []
+        for (k0, prev), (k1, here) in zip(levels, levels[1:], strict=False):
             a, b = prev[["z", "x", "y"]].to_numpy(float), here[["z", "x", "y"]].to_numpy(float)
-            total = best[:, None] - np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) / scale
+            with np.errstate(divide="ignore"):
+                link = weight * np.log(1 - rescaled_cdf(known, np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), low, high)) / (k1 - k0)
+            total = best[:, None] + link
             back.append(total.argmax(0))
             best = total.max(0) + here["score"].to_numpy(float)
         at = int(best.argmax())
@@ -30,10 +44,10 @@ def best_chain(candidates: DataFrame, scale: float) -> DataFrame:
         for step in reversed(back):
             at = int(step[at])
             chosen.append(at)
-        rows = [g.iloc[[i]] for g, i in zip(levels, reversed(chosen), strict=True)]
+        rows = [g.iloc[[i]] for (_, g), i in zip(levels, reversed(chosen), strict=True)]
         return pd.concat(rows)[["trace", "locus", "candidate", "score"]]
 
-    return candidates.groupBy("trace").applyInPandas(pick, "trace long, locus long, candidate long, score double")
+    return candidates.groupBy("trace").cogroup(steps.select("trace", "dist").groupBy("trace")).applyInPandas(pick, "trace long, locus long, candidate long, score double")
 
 
 def greedy_match(pairs: DataFrame, by: str) -> DataFrame:
@@ -149,17 +163,23 @@ def in_hull(point: np.ndarray, vertices: np.ndarray, rounds: int = 300) -> bool:
     return bool(w @ w < 1e-9 * (v * v).sum(1).max())
 
 
-def inside_hull(points: DataFrame, share: float, times: int) -> DataFrame:
-    """By trace: the mean share of the left-out points that lie in the convex hull of a sample of the others (seeded samples)."""
+def inside_hull(points: DataFrame, group: str, size: int, times: int) -> DataFrame:
+    """By trace, locus and group: the share of ``times`` seeded samples of ``size`` points of the group (the point itself left out)
+    whose convex hull holds the point.  Samples of 3 points or fewer hold nothing; groups too small for a sample are null."""
 
     def boot(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("locus")
-        trace, xyz = pdf["trace"].iloc[0], pdf[["z", "x", "y"]].dropna().to_numpy()
-        inside = []
-        for t in range(times):
-            pick = np.random.default_rng(t).random(len(xyz)) < share
-            if pick.sum() > 3 and (~pick).any():
-                inside.append(np.mean([in_hull(p, xyz[pick]) for p in xyz[~pick]]))
-        return pd.DataFrame({"trace": [trace], "inside": [float(np.mean(inside)) if inside else None]})
-
-    return points.select("trace", "locus", "z", "x", "y").groupBy("trace").applyInPandas(boot, "trace long, inside double")
+        pdf = pdf.dropna(subset=["z", "x", "y"]).sort_values("locus")
+        xyz, of = pdf[["z", "x", "y"]].to_numpy(float), pdf[group].to_numpy()
+        out = []
+        for g in sorted(set(of)):
+            members = np.flatnonzero(of == g)
+            for row in range(len(pdf)):
+                others = members[members != row]
+                inside = None
+                if len(others) >= size:
+                    picks = [np.random.default_rng([t, int(pdf["locus"].iloc[row])]).choice(others, size, replace=False) for t in range(times)]
+                    inside = float(np.mean([size > 3 and in_hull(xyz[row], xyz[p]) for p in picks]))
+                out.append((pdf["trace"].iloc[row], pdf["locus"].iloc[row], g, inside))
+        return pd.DataFrame(out, columns=["trace", "locus", "group", "inside"])
+
+    return points.select("trace", "locus", "z", "x", "y", group).groupBy("trace").applyInPandas(boot, "trace long, locus long, group string, inside double")

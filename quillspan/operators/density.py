@@ -21,13 +21,19 @@ def density_scores(points: DataFrame, group: str, sigma: float, least: float = 0
     return both.groupBy("trace", "locus", "group").agg(F.sum(part).alias("density"))
 
 
-def trans_density(points: DataFrame, chromosome: str, group: str, delta: float) -> DataFrame:
-    """The same over loci of other chromosomes only, with width ``delta``."""
+def trans_density(points: DataFrame, chromosome: str, homolog: str, group: str, delta: float, to: float | None = None) -> DataFrame:
+    """The same over all loci but those of the same copy of the same chromosome, with width ``delta``.  With ``to``, distances are
+    rescaled so that the trace's radius of gyration is that long."""
     good = points.dropna(subset=XYZ)
-    a = good.select("trace", "locus", F.col(chromosome).alias("own"), *XYZ)
-    b = good.select("trace", F.col(chromosome).alias("other"), F.col(group).alias("group"), *[F.col(c).alias(f"{c}_r") for c in XYZ])
-    both = a.join(b, "trace").filter("own <> other")
-    part = gaussian([(F.col(f"{c}_r"), F.col(c), F.lit(delta)) for c in XYZ])
+    a = good.select("trace", "locus", F.col(chromosome).alias("_ca"), F.col(homolog).alias("_ha"), *XYZ)
+    b = good.select("trace", F.col(chromosome).alias("_cb"), F.col(homolog).alias("_hb"), F.col(group).alias("group"), *[F.col(c).alias(f"{c}_r") for c in XYZ])
+    both = a.join(b, "trace").filter("_ca <> _cb or _ha <> _hb")
+    if to is None:
+        width = F.lit(delta)
+    else:
+        both = both.join(gyration(points, ["trace"]).select("trace", "rg"), "trace")
+        width = F.lit(delta / to) * F.col("rg")
+    part = gaussian([(F.col(f"{c}_r"), F.col(c), width) for c in XYZ])
     return both.groupBy("trace", "locus", "group").agg(F.sum(part).alias("density"))
 
 
@@ -38,11 +44,13 @@ def gyration(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def segregation(scores: DataFrame, by: list[str], own: str, share: float = 0.33) -> DataFrame:
-    """By trace and group: of the points with a density of the group at or above its (1 - share) quantile, the share that belongs
-    to the group."""
-    q = scores.groupBy(*by, "group").agg(F.percentile("density", F.lit(1 - share)).alias("_q"))
-    top = scores.join(q, [*by, "group"]).filter(F.col("density") >= F.col("_q"))
-    return top.groupBy(*by, "group").agg(F.avg((F.col(own) == F.col("group")).cast("double")).alias("purity"))
+    """By trace and group: the group's cloud is all points whose density of the group is at least the ``share`` quantile of that
+    density over the group's *own* points; ``purity`` is the share of the cloud that belongs to the group, ``score`` the mean
+    of the trace's purities."""
+    q = scores.filter(F.col(own) == F.col("group")).groupBy(*by, "group").agg(F.percentile("density", F.lit(share)).alias("_q"))
+    cloud = scores.join(q, [*by, "group"]).filter(F.col("density") >= F.col("_q"))
+    out = cloud.groupBy(*by, "group").agg(F.avg((F.col(own) == F.col("group")).cast("double")).alias("purity"))
+    return out.withColumn("score", F.avg("purity").over(W.partitionBy(*by)))
 
 
 def rank_in_trace(points: DataFrame, value: str) -> DataFrame:

@@ -34,6 +34,28 @@ def nearest(pairs: DataFrame, by: list[str], id_a: str, id_b: str, k: int = 1) -
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def k_nearest(a: DataFrame, b: DataFrame, axes: list[str], by: list[str], id_a: str, id_b: str, k: int, radius: float, wider: int = 2) -> DataFrame:
+    """by, id_a, id_b, dist and rank of the k nearest partners of every a in its group (ties: least id_b), however far they are.
+
+    Rows with k partners within the radius are done with a radius join; the others try a radius four times as wide, ``wider`` times,
+    and what is left then meets its whole group.  The result does not depend on the radius."""
+    out, left = None, a
+    for step in range(wider + 1):
+        last = step == wider
+        if last:
+            near = left.dropna(subset=axes).select(*by, id_a, *[F.col(c).alias(f"{c}_a") for c in axes]).join(b.dropna(subset=axes).select(*by, id_b, *[F.col(c).alias(f"{c}_b") for c in axes]), by)
+            near = near.select(*by, id_a, id_b, distance([F.col(f"{c}_a") for c in axes], [F.col(f"{c}_b") for c in axes]).alias("dist"))
+        else:
+            near = radius_join(left, b, axes, radius * 4**step, by, id_a, id_b)
+        ranked = nearest(near, by, id_a, id_b, k)
+        if not last:
+            full = ranked.filter(F.col("rank") == k).select(*by, id_a)
+            ranked = ranked.join(full, [*by, id_a], "left_semi")
+            left = left.join(full, [*by, id_a], "left_anti")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 def mutually_unique(pairs: DataFrame, by: list[str], id_a: str, id_b: str) -> DataFrame:
     """Pairs whose both ends have no other partner."""
     na, nb = F.count("*").over(W.partitionBy(*by, id_a)), F.count("*").over(W.partitionBy(*by, id_b))
@@ -46,12 +68,16 @@ def without_redundant(pairs: DataFrame, rows: DataFrame, by: list[str], id_: str
     return rows.join(low, [*by, id_], "left_anti")
 
 
-def nearest_centroid(rows: DataFrame, centroids: DataFrame, axes: list[str], id_: str, name: str) -> DataFrame:
-    """The nearest centroid of each row (ties: least name), without a sort: one aggregation of the joined rows."""
-    centres = centroids.agg(F.array_sort(F.collect_list(F.struct(name, *axes))).alias("_all"))  # one row: meant for few centroids
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, axes: list[str], id_: str, name: str, most: int = 10_000) -> DataFrame:
+    """The nearest centroid of each row (ties: least name), without a sort.  The centroids are broadcast as one row; more than
+    ``most`` of them are an error (k_nearest joins large sets by place)."""
+    few = centroids.select(name, *axes).limit(most + 1).collect()
+    if len(few) > most:
+        raise ValueError(f"more than {most} centroids: use k_nearest")
+    centres = centroids.sparkSession.createDataFrame(few, centroids.select(name, *axes).schema).agg(F.array_sort(F.collect_list(F.struct(name, *axes))).alias("_all"))
     here = [F.col(c) for c in axes]
     best = F.array_min(F.transform("_all", lambda x: F.struct(distance(here, [x[c] for c in axes]).alias("dist"), x[name].alias(name))))
-    found = rows.dropna(subset=axes).join(centres).withColumn("_b", best)
+    found = rows.dropna(subset=axes).join(F.broadcast(centres)).withColumn("_b", best)
     return found.select(id_, F.col(f"_b.{name}").alias(name), F.col("_b.dist").alias("dist"))
 
 
@@ -79,6 +105,15 @@ def binned_overlaps(a: DataFrame, b: DataFrame, by: list[str], width: float) ->
     return both.filter((F.col("start") < F.col("e")) & (F.col("end") > F.col("s")) & (F.col("_bin") == later)).drop("_bin")
 
 
+def overlapping_counts(regions: DataFrame, marks: DataFrame, region: str, mark: str, by: list[str], width: float) -> DataFrame:
+    """Of every region (start, end): n, the sum over marks (s, e) with an end inside [start, end) of the share of the mark that lies in
+    it; 0 without any.  The marks' ends are points that meet the regions in bins."""
+    ends = marks.select(*by, mark, "s", "e", F.explode(F.array("s", "e")).alias("_end"))
+    hit = binned_in_interval(ends, regions, "_end", by, width).select(region, mark, "start", "end", "s", "e").distinct()
+    n = hit.groupBy(region).agg(F.sum(overlap_share(F.col("s"), F.col("e"), F.col("start"), F.col("end"))).alias("n"))
+    return regions.select(region).join(n, region, "left").select(region, F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
 def first_match(joined: DataFrame, key: list[str], order: str) -> DataFrame:
     return joined.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(order))).filter("_r = 1").drop("_r")
 

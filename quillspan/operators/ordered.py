@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspan.functions.columns import distance
+from quillspan.functions.columns import distance, effect_of, ks_of, mean_of, median_of
 
 XYZ = ["z", "x", "y"]
 
@@ -35,17 +35,30 @@ def centroid_shift(points: DataFrame, width: int) -> DataFrame:
     return points.withColumn("shift", distance([F.avg(c).over(before) for c in XYZ], [F.avg(c).over(after) for c in XYZ]))
 
 
-def boundary_score(pairs: DataFrame, width: int, metric: str = "median") -> DataFrame:
-    """By trace and place c, from pairs within [c - width, c + width): between the halves against within them.
+def boundary_score(pairs: DataFrame, loci: DataFrame, width: int, metric: str = "median") -> DataFrame:
+    """Score of every place c of loci(trace, c): distances across c within [c - width, c + width) against those within the halves.
 
-    median: difference of medians; mean: of means; insulation: mean between over mean within.  Each pair is dealt only to the
-    places whose window holds it, at most 2 * width of them, so the cost is linear in the band."""
+    median, mean: difference of the middles over the root of the summed spreads (see effect_of); ks: signed Kolmogorov-Smirnov
+    statistic; insulation: mean across over mean within; normed_insulation: (within - across) / (within + across).  Distances of 0
+    within a half do not count.  Places less than half a width from an end, or without distances on a side, have 0; null where a
+    spread is 0.  Each pair is dealt only to the places whose window holds it, so the cost is linear in the band."""
     near = pairs.filter((F.col("j") - F.col("i") < 2 * width) & F.col("dist").isNotNull())
     dealt = near.withColumn("c", F.explode(F.sequence(F.col("j") - width + 1, F.col("i") + width)))
-    between = (F.col("i") < F.col("c")) & (F.col("j") >= F.col("c"))
-    a, b = F.when(between, F.col("dist")), F.when(~between, F.col("dist"))
-    score = {"median": F.median(a) - F.median(b), "mean": F.avg(a) - F.avg(b), "insulation": F.try_divide(F.avg(a), F.avg(b))}[metric]
-    return dealt.groupBy("trace", "c").agg(score.alias("score"))
+    across = (F.col("i") < F.col("c")) & (F.col("j") >= F.col("c"))
+    lists = dealt.groupBy("trace", "c").agg(F.collect_list(F.when(across, F.col("dist"))).alias("_b"), F.collect_list(F.when(~across & (F.col("dist") > 0), F.col("dist"))).alias("_w"))
+    b, w = F.col("_b"), F.col("_w")
+    score = {
+        "median": lambda: effect_of(b, w, median_of),
+        "mean": lambda: effect_of(b, w, mean_of),
+        "ks": lambda: ks_of(b, w),
+        "insulation": lambda: F.try_divide(mean_of(b), mean_of(w)),
+        "normed_insulation": lambda: F.try_divide(mean_of(w) - mean_of(b), mean_of(w) + mean_of(b)),
+    }[metric]()
+    n = F.max("c").over(W.partitionBy("trace")) + 1
+    placed = loci.select("trace", "c").distinct().withColumn("_n", n).join(lists, ["trace", "c"], "left")
+    end = (F.col("c") < width // 2) | (F.col("c") + width // 2 >= F.col("_n"))
+    none = F.coalesce((F.size("_b") < 1) | (F.size("_w") < 1), F.lit(True))
+    return placed.select("trace", "c", F.when(end | none, F.lit(0.0)).otherwise(score).alias("score"))
 
 
 def valley_maxima(rows: DataFrame, value: str, reach: int, cutoff: float) -> DataFrame:

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.columns import distance, effect_of, ks_of, mean_of, median_of
+
+XYZ = ["z", "x", "y"]
+
 
 def segment_pairs(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs with the segment (first, last; both included) of each end: seg_i <= seg_j."""
@@ -15,15 +19,42 @@ def segment_pairs(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return out.drop("f_i", "l_i", "f_j", "l_j")
 
 
-def domain_distances(seg_pairs: DataFrame) -> DataFrame:
-    """For segments a < b: the median distance between them less the median within both."""
-    keys = seg_pairs.filter("seg_i < seg_j").groupBy("trace", F.col("seg_i").alias("a"), F.col("seg_j").alias("b")).agg(F.median("dist").alias("between"))
+def segments_of(rows: DataFrame, segments: DataFrame, place: str = "locus") -> DataFrame:
+    """Rows with the segment (first, last; both included) that holds their place: one lookup a row, before any pairing."""
+    s = segments.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("first", "last", "segment"))).alias("_s"))
+    hit = F.get(F.filter("_s", lambda x: (x["first"] <= F.col(place)) & (x["last"] >= F.col(place))), F.lit(0))
+    return rows.join(s, "trace").withColumn("segment", hit["segment"]).drop("_s").filter("segment is not null")
+
+
+def segment_point_pairs(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """trace, i, j, dist, seg_i <= seg_j of all measured pairs i < j: points get their segment first, then meet in their trace."""
+    p = segments_of(points.dropna(subset=XYZ), segments)
+    side = lambda e: p.select("trace", F.col("locus").alias(e), F.col("segment").alias(f"seg_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in XYZ])
+    both = side("i").join(side("j"), "trace").filter("i < j")
+    return both.select("trace", "i", "j", "seg_i", "seg_j", distance([F.col(f"{c}_i") for c in XYZ], [F.col(f"{c}_j") for c in XYZ]).alias("dist"))
+
+
+def domain_distances(seg_pairs: DataFrame, metric: str = "median") -> DataFrame:
+    """Distance of every two segments a < b of a trace, from the distances between them against those within either.
+
+    median, mean: difference of the middles over the root of the summed spreads; ks: signed statistic; insulation: median between over
+    median within; absolute_median: difference of the medians.  0 if either side has no distances; null where a spread is 0."""
+    between = seg_pairs.filter("seg_i < seg_j").groupBy("trace", F.col("seg_i").alias("a"), F.col("seg_j").alias("b")).agg(F.collect_list("dist").alias("_b"))
     within = seg_pairs.filter("seg_i = seg_j").groupBy("trace", F.col("seg_i").alias("s")).agg(F.collect_list("dist").alias("d"))
-    out = keys.join(within.select("trace", F.col("s").alias("a"), F.col("d").alias("da")), ["trace", "a"], "left").join(within.select("trace", F.col("s").alias("b"), F.col("d").alias("db")), ["trace", "b"], "left")
-    pooled = F.array_sort(F.concat(F.coalesce("da", F.array().cast("array<double>")), F.coalesce("db", F.array().cast("array<double>"))))
-    n = F.size(pooled)
-    median = (F.get(pooled, F.floor((n - 1) / 2).cast("int")) + F.get(pooled, F.floor(n / 2).cast("int"))) / 2
-    return out.select("trace", "a", "b", "between", (F.col("between") - median).alias("domain_dist"))
+    out = between
+    for e in "ab":
+        out = out.join(within.select("trace", F.col("s").alias(e), F.col("d").alias(f"_{e}{e}")), ["trace", e], "left")
+    none = F.array().cast("array<double>")
+    out = out.withColumn("_w", F.concat(F.coalesce("_aa", none), F.coalesce("_bb", none)))
+    b, w = F.col("_b"), F.col("_w")
+    value = {
+        "median": lambda: effect_of(b, w, median_of),
+        "mean": lambda: effect_of(b, w, mean_of),
+        "ks": lambda: ks_of(b, w),
+        "insulation": lambda: F.try_divide(median_of(b), median_of(w)),
+        "absolute_median": lambda: median_of(b) - median_of(w),
+    }[metric]()
+    return out.select("trace", "a", "b", F.when((F.size(b) < 1) | (F.size(w) < 1), F.lit(0.0)).otherwise(value).alias("domain_dist"))
 
 
 def domain_contacts(seg_pairs: DataFrame, cutoff: float) -> DataFrame:
@@ -31,29 +62,58 @@ def domain_contacts(seg_pairs: DataFrame, cutoff: float) -> DataFrame:
     return seg_pairs.groupBy("seg_i", "seg_j").agg(F.try_divide(F.count_if(F.col("dist") <= cutoff).cast("double"), F.count("dist")).alias("contact"))
 
 
-def merged_domains(points: DataFrame, size: int, least: float) -> DataFrame:
-    """Segments of each trace: start from runs of ``size`` loci and drop, one at a time, the boundary between neighbours whose
-    median distance exceeds the mean of both medians within by the least share, while that is below ``least``.  Sequential by
-    nature, so a grouped-map function; a trace fits in a task."""
+def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, most_correlation: float = 0.05, flexible: float = 0.2) -> DataFrame:
+    """Segments of each trace: start from runs of ``size`` loci and drop boundaries one at a time.  A boundary can go if the segments
+    beside it are near both by distance (median effect, not below 0) and by correlation (distance of their mean rows in the
+    correlation map of the interpolated trace, over its loci), or if one of the two is ``flexible`` below its bound and the other no
+    more than that above; of these the one with the least sum of both over their bounds goes.  Sequential by nature, so a
+    grouped-map function; a trace fits in a task."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("locus")
-        xyz, loci = pdf[["z", "x", "y"]].to_numpy(), pdf["locus"].to_numpy()
-        if not len(loci):
+        pdf = pdf.sort_values("locus")
+        xyz, loci = pdf[["z", "x", "y"]].to_numpy(float), pdf["locus"].to_numpy()
+        good = ~np.isnan(xyz).any(1)
+        if good.sum() < 2:
             return pd.DataFrame({"trace": [], "segment": [], "first": [], "last": []})
         d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
-        edges = list(range(0, len(loci), size)) + [len(loci)]
-        inner = lambda a, b: float(np.median(d[a:b, a:b][np.triu_indices(b - a, 1)])) if b - a > 1 else 0.0
-        while len(edges) > 2:
-            gain = []
-            for k in range(1, len(edges) - 1):
-                a, m, b = edges[k - 1 : k + 2]
-                within = (inner(a, m) + inner(m, b)) / 2
-                gain.append(float(np.median(d[a:m, m:b])) / within - 1 if within else np.inf)
-            k = int(np.argmin(gain))
-            if gain[k] >= least:
+        whole = np.column_stack([filled(xyz[:, k]) for k in range(3)])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = np.corrcoef(np.sqrt(((whole[:, None] - whole[None]) ** 2).sum(-1)))
+        starts = list(range(0, len(loci), size))
+
+        def effect(a: int, m: int, b: int) -> float:
+            across = d[a:m, m:b].ravel()
+            inner = np.concatenate([d[a:m, a:m][np.triu_indices(m - a, 1)], d[m:b, m:b][np.triu_indices(b - m, 1)]])
+            across, inner = across[~np.isnan(across)], inner[~np.isnan(inner)]
+            if not len(across) or not len(inner):
+                return 0.0
+            one, two = np.median(across), np.median(inner)
+            spread = np.median((across - one) ** 2) + np.median((inner - two) ** 2)
+            return max(float((one - two) / np.sqrt(spread)), 0.0) if spread else 0.0
+
+        while len(starts) > 1:
+            edges = [*starts, len(loci)]
+            rows = [corr[a:b].mean(0) for a, b in zip(edges, edges[1:], strict=False)]
+            near = np.array([effect(*edges[k - 1 : k + 2]) for k in range(1, len(starts))])
+            alike = np.array([float(np.sqrt(((u - v) ** 2).sum())) / len(loci) for u, v in zip(rows, rows[1:], strict=False)])
+            may = np.zeros(len(near), bool)
+            for up, down in ((0, 0), (flexible, -flexible), (-flexible, flexible)):
+                may |= (near <= most_distance * (1 + up)) & (alike <= most_correlation * (1 + down))
+            if not may.any():
                 break
-            del edges[k + 1]
-        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(edges) - 1), "first": loci[edges[:-1]], "last": loci[np.array(edges[1:]) - 1]})
+            cost = np.where(may, near / most_distance + alike / most_correlation, np.inf)
+            del starts[int(np.argmin(cost)) + 1]
+        edges = [*starts, len(loci)]
+        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(starts)), "first": loci[starts], "last": loci[np.array(edges[1:]) - 1]})
 
     return points.select("trace", "locus", "z", "x", "y").groupBy("trace").applyInPandas(merge, "trace long, segment long, first long, last long")
+
+
+def filled(v: np.ndarray) -> np.ndarray:
+    """Gaps filled linearly; beyond the ends the line through the two nearest values goes on."""
+    at = np.flatnonzero(~np.isnan(v))
+    out = np.interp(np.arange(len(v)), at, v[at])
+    for ends, beyond in ((at[:2], np.arange(at[0])), (at[-2:], np.arange(at[-1] + 1, len(v)))):
+        slope = (v[ends[1]] - v[ends[0]]) / (ends[1] - ends[0])
+        out[beyond] = v[ends[0]] + slope * (beyond - ends[0])
+    return out

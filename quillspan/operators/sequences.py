@@ -36,13 +36,6 @@ def screened(probes: DataFrame, counts: DataFrame, id_: str, sequence: Column, k
 
 
 def similar_pairs(rows: DataFrame, id_: str, sequence: Column, k: int, least: int = 1) -> DataFrame:
-    """Pairs i < j by the number of distinct k-mers that both have."""
-    words = kmer_rows(rows, id_, sequence, k).distinct()
-    a, b = (words.select("kmer", F.col(id_).alias(s)) for s in "ij")
-    return a.join(b, "kmer").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-
-
-def similar_on_both_strands(rows: DataFrame, id_: str, sequence: Column, k: int, least: int = 1) -> DataFrame:
     """Pairs i > j by how often the k-mers of i, each as often as i has it, occur in j and in its reverse complement.  Occurrences in
     j do not overlap (as those that str.count counts)."""
     mine = kmer_rows(rows, id_, sequence, k).groupBy(F.col(id_).alias("i"), "kmer").agg(F.count("*").alias("times"))
@@ -68,10 +61,15 @@ def choose(rows: DataFrame, by: list[str], place: str, k: int, how: str = "mid")
     return rows.withColumn("_k", key).withColumn("pick", F.row_number().over(w.orderBy("_k", place))).filter(F.col("pick") <= k).drop("_k")
 
 
-def unused_pairs(codes: DataFrame, used: DataFrame) -> DataFrame:
-    """Pairs a < b of a code table that no one uses: controls for decoding.  Meant for code tables of a stated size."""
-    a, b = codes.select(F.col("code").alias("a")), codes.select(F.col("code").alias("b"))
-    return a.join(b, F.col("a") < F.col("b")).join(used, ["a", "b"], "left_anti")
+def unused_pairs(codes: DataFrame, used: DataFrame, most: int = 10_000) -> DataFrame:
+    """Pairs a < b of a code table that no one uses: controls for decoding.  More than ``most`` codes are an error; they are dealt as one
+    sorted list, so there is no join without a key."""
+    few = sorted(r[0] for r in codes.select("code").distinct().limit(most + 1).collect())
+    if len(few) > most:
+        raise ValueError(f"more than {most} codes")
+    kind = dict(codes.dtypes)["code"]
+    rows = codes.sparkSession.createDataFrame([(c, few[i + 1 :]) for i, c in enumerate(few)], f"a {kind}, _b array<{kind}>")
+    return rows.select("a", F.explode("_b").alias("b")).join(used, ["a", "b"], "left_anti")
 
 
 def assembled(rows: DataFrame, parts: list[Column]) -> DataFrame:

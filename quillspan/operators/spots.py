@@ -93,62 +93,74 @@ def pieces(rows: DataFrame, id_: str, sequence: Column, size: int) -> DataFrame:
     return rows.select(id_, sequence.alias("_s"), at.alias("piece")).select(id_, "piece", F.substring("_s", F.col("piece") * size + 1, F.lit(size)).alias("sequence"))
 
 
-def best_separated_pair(points: DataFrame, reach: float) -> DataFrame:
-    """By trace: the two points whose neighbourhoods of radius ``reach`` hold most points between them (ties: farthest apart, then
-    least loci)."""
-    good = points.dropna(subset=["z", "x", "y"]).select("trace", "locus", F.array("z", "x", "y").alias("p"))
-    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    by = good.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("locus", "p"))).alias("all"))
-    held = F.transform("all", lambda c: F.struct(c["locus"].alias("locus"), c["p"].alias("p"), F.transform(F.filter("all", lambda o: far(c["p"], o["p"]) <= reach), lambda o: o["locus"]).alias("near")))
-    centres = by.select("trace", F.explode(held).alias("c"))
-    a, b = (centres.select("trace", F.col("c.locus").alias(s), F.col("c.p").alias(f"p{s}"), F.col("c.near").alias(f"n{s}")) for s in "ab")
-    both = a.join(b, "trace").filter("a < b").select("trace", "a", "b", F.size(F.array_union("na", "nb")).cast("long").alias("covered"), far(F.col("pa"), F.col("pb")).alias("apart"))
-    return both.withColumn("_r", F.row_number().over(W.partitionBy("trace").orderBy(F.desc("covered"), F.desc(F.round("apart", 9)), "a", "b"))).filter("_r = 1").drop("_r")
-
-
-def best_separated_pair_of_many(points: DataFrame, reach: float) -> DataFrame:
-    """The same for traces of many points: a grouped-map function over a trace, with neighbourhoods as rows of bits.  A pair covers no
-    more than both counts together, so centres go by falling count and pairs that cannot reach the best so far are not counted; ties
-    of the best are all compared."""
+def homolog_centres(points: DataFrame, by: str, locus: str) -> DataFrame:
+    """By group: the two points that, as centres, split the group's points (each to the nearer one, ties to the first) so that most
+    loci have points on both sides, and of these the pair with the least sum of both sides' mean distances; ``z1 .. y2`` are the
+    medians of both sides.  A grouped-map function: a group is the candidates of one chromosome in one cell."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("locus")
-        xyz, locus, n = pdf[["z", "x", "y"]].to_numpy(), pdf["locus"].to_numpy(), len(pdf)
-        far = lambda a, b: np.sqrt(sum((a[..., k] - b[..., k]) ** 2 for k in range(3)))
-        bits = np.zeros((n, (n + 63) // 64 * 8), np.uint8)
-        count = np.zeros(n, np.int64)
-        for low in range(0, n, 256):
-            near = far(xyz[low : low + 256, None], xyz[None]) <= reach
-            count[low : low + 256], packed = near.sum(1), np.packbits(near, axis=1)
-            bits[low : low + 256, : packed.shape[1]] = packed
-        order = np.argsort(-count, kind="stable")
-        words, falling = bits.view(np.uint64)[order], count[order]
-        top = (-1,)
-        for k in range(n - 1):
-            if falling[k] + falling[k + 1] < top[0]:
-                break
-            end = int(np.searchsorted(-falling, falling[k] - top[0], "right"))
-            for low in range(k + 1, end, 1024):
-                covered = np.bitwise_count(words[k] | words[low : min(low + 1024, end)]).sum(1, dtype=np.int64)
-                if (most := covered.max()) < top[0]:
-                    continue
-                other = order[low + np.flatnonzero(covered == most)]
-                apart = far(xyz[order[k]], xyz[other])
-                a, b = np.minimum(locus[order[k]], locus[other]), np.maximum(locus[order[k]], locus[other])
-                pick = np.lexsort((b, a, -np.round(apart, 9)))[0]
-                top = max(top, (int(most), round(float(apart[pick]), 9), -int(a[pick]), -int(b[pick]), float(apart[pick])))
-        rows = [(pdf["trace"].iloc[0], -top[2], -top[3], top[0], top[4])] if len(top) > 1 else []
-        return pd.DataFrame(rows, columns=["trace", "a", "b", "covered", "apart"])
-
-    return points.select("trace", "locus", "z", "x", "y").groupBy("trace").applyInPandas(best, "trace long, a long, b long, covered long, apart double")
-
-
-def translation_vote(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], cell: float) -> DataFrame:
-    """By group: the cell of difference vectors b - a that most pairs fall into (ties: least cell), and its votes."""
-    right = b.select(*by, *[F.col(c).alias(f"_{c}") for c in axes])
-    diff = a.join(right, by).select(*by, *[F.floor((F.col(f"_{c}") - F.col(c)) / cell).cast("long").alias(f"d{c}") for c in axes]).dropna()
-    votes = diff.groupBy(*by, *[f"d{c}" for c in axes]).agg(F.count("*").alias("votes"))
-    return votes.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("votes"), *[f"d{c}" for c in axes]))).filter("_r = 1").drop("_r")
+        pdf = pdf.dropna().sort_values([locus, "candidate"])
+        names = [by, "covered", "spread", "z1", "x1", "y1", "z2", "x2", "y2"]
+        if len(pdf) < 2:
+            return pd.DataFrame([], columns=names)
+        xyz = pdf[["z", "x", "y"]].to_numpy(float)
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+        _, where = np.unique(pdf[locus].to_numpy(), return_inverse=True)
+        of = np.zeros((where.max() + 1, len(pdf)), bool)
+        of[where, np.arange(len(pdf))] = True
+        top, pair = (0, -np.inf), (1, 0)
+        for one in range(1, len(pdf)):
+            second = d[one][None, :] > d[:one]  # nearer to the other centre; rows: the other centre
+            both = ((of[:, None] & second[None]).any(-1) & (of[:, None] & ~second[None]).any(-1)).sum(0)
+            for other in np.flatnonzero(both >= top[0]).tolist():
+                there = second[other]
+                spread = d[one][~there].mean() + (d[other][there].mean() if there.any() else np.inf)
+                if (int(both[other]), -spread) > top:
+                    top, pair = (int(both[other]), -spread), (one, other)
+        there = d[pair[0]] > d[pair[1]]
+        sides = [np.median(xyz[s], axis=0) if s.any() else np.full(3, np.nan) for s in (~there, there)]
+        return pd.DataFrame([(pdf[by].iloc[0], top[0], -top[1], *sides[0], *sides[1])], columns=names)
+
+    kind = dict(points.dtypes)[by]
+    return points.select(by, locus, "candidate", "z", "x", "y").groupBy(by).applyInPandas(best, f"{by} {kind}, covered long, spread double, z1 double, x1 double, y1 double, z2 double, x2 double, y2 double")
+
+
+def translation_vote(fixed: DataFrame, target: DataFrame, by: list[str], axes: list[str], cutoff: float, resolution: float) -> DataFrame:
+    """By group: the translation from the fixed points to the target points.  Both have an ``id``.
+
+    1. Pairs of fixed points vote with pairs of target points whose inner distance differs by less than the cutoff (an equi-join on
+       distance bins of that width): the first fixed point less either target point.
+    2. Votes are counted in a grid of ``resolution`` from the least vote on; the fullest cell (ties: least) gives a first guess.
+    3. Each fixed point takes its nearest moved target (ties: least id) if within twice the resolution; the result is the median of
+       target less fixed over these.
+    The number of votes grows with the fourth power of a group's points, as the method asks; it is meant for groups of a hundred."""
+    keys = [F.col(c) for c in by]
+
+    def inner(rows: DataFrame, tag: str) -> DataFrame:
+        a = rows.select(*keys, F.col("id").alias("i"), *[F.col(c).alias(f"{c}1{tag}") for c in axes])
+        b = rows.select(*keys, F.col("id").alias("j"), *[F.col(c).alias(f"{c}2{tag}") for c in axes])
+        d = distance([F.col(f"{c}1{tag}") for c in axes], [F.col(f"{c}2{tag}") for c in axes])
+        return a.join(b, by).filter("i < j").drop("i", "j").withColumn(f"d{tag}", d).filter(F.col(f"d{tag}").isNotNull())
+
+    cell = lambda c: F.floor(F.col(c) / cutoff).cast("long")
+    f = inner(fixed, "f").withColumn("_bin", cell("df"))
+    t = inner(target, "t").withColumn("_bin", F.explode(F.sequence(cell("dt") - 1, cell("dt") + 1)))
+    agreed = f.join(t, [*by, "_bin"]).filter(F.abs(F.col("df") - F.col("dt")) < cutoff)
+    ends = F.explode(F.array(*[F.struct(*[(F.col(f"{c}1f") - F.col(f"{c}{k}t")).alias(c) for c in axes]) for k in (1, 2)]))
+    votes = agreed.select(*by, ends.alias("v")).select(*by, *[F.col(f"v.{c}").alias(c) for c in axes])
+    reach = votes.groupBy(*by).agg(*[x for c in axes for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))])
+    n = lambda c: F.floor((F.col(f"{c}_hi") - F.col(f"{c}_lo")) / resolution) + 1
+    step = lambda c: (F.col(f"{c}_hi") - F.col(f"{c}_lo")) / n(c)
+    place = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"{c}_lo"), step(c))), n(c) - 1), F.lit(0)).cast("long")
+    counted = votes.join(reach, by).groupBy(*by, *[place(c).alias(f"k{c}") for c in axes], *[(step(c)).alias(f"s{c}") for c in axes], *[F.col(f"{c}_lo") for c in axes]).agg(F.count("*").alias("votes"))
+    w = W.partitionBy(*by).orderBy(F.desc("votes"), *[f"k{c}" for c in axes])
+    guess = counted.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, "votes", *[(F.col(f"{c}_lo") + F.col(f"k{c}") * F.col(f"s{c}")).alias(f"{c}_g") for c in axes])
+    moved = target.join(guess, by).select(*by, "votes", F.col("id").alias("tid"), *[F.col(c).alias(f"{c}_t") for c in axes], *[(F.col(c) + F.col(f"{c}_g")).alias(f"{c}_m") for c in axes])
+    off = distance([F.col(c) for c in axes], [F.col(f"{c}_m") for c in axes])
+    near = fixed.join(moved, by).withColumn("_d", off).filter(F.col("_d") < 2 * resolution)
+    first = W.partitionBy(*by, "id").orderBy("_d", "tid")
+    near = near.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    return near.groupBy(*by).agg(F.max("votes").alias("votes"), F.count("*").alias("matched"), *[F.median(F.col(f"{c}_t") - F.col(c)).alias(c) for c in axes])
 
 
 def clusters(points: DataFrame, cutoff: float) -> DataFrame:
@@ -180,6 +192,7 @@ def clusters(points: DataFrame, cutoff: float) -> DataFrame:
 def decode_by_em(candidates: DataFrame, rounds: int = 5) -> DataFrame:
     """Up to two candidates of each (trace, locus), by the product of pooled cdfs of their features; the cdfs are refreshed from the
     chosen ones each round (a feature's cdf at a value is the share of chosen candidates with at most that value)."""
+    from quillspan.operators.aggregates import pooled_cdf
     from quillspan.sources.files import written
 
     w = W.partitionBy("trace", "locus").orderBy(F.desc("score"), "candidate")
@@ -191,17 +204,3 @@ def decode_by_em(candidates: DataFrame, rounds: int = 5) -> DataFrame:
             scored = scored.join(cdf, F.col(c).eqNullSafe(F.col("_value"))).withColumn("score", F.col("score") * (F.col("_cdf") if c == "brightness" else 1 - F.col("_cdf") + 0.001)).drop("_value", "_cdf")
         chosen = written(scored.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").drop("_r"))
     return chosen
-
-
-def pooled_cdf(rows: DataFrame, sample: DataFrame, c: str, ranges: int = 64) -> DataFrame:
-    """The distinct values of a column of the rows and, for each, the share of the sample with at most that value (nulls are least).
-    Running counts within value ranges, started at the sums of the ranges before; where the ranges end does not matter for the
-    result."""
-    ends = sorted(set(rows.approxQuantile(c, [k / ranges for k in range(1, ranges)], 0.01)))
-    part = F.array_size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda x: x < F.col("_value")))
-    counts = rows.select(F.col(c).alias("_value"), F.lit(0).alias("n")).unionByName(sample.select(F.col(c).alias("_value"), F.lit(1).alias("n")))
-    counts = counts.groupBy("_value").agg(F.sum("n").alias("n")).withColumn("_part", part)
-    sums = counts.groupBy("_part").agg(F.sum("n").alias("own"))  # at most one row a range
-    sums = sums.select("_part", (F.sum("own").over(W.orderBy("_part")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy()).alias("total"))
-    run = F.sum("n").over(W.partitionBy("_part").orderBy("_value"))
-    return counts.withColumn("run", run).join(F.broadcast(sums), "_part").select("_value", ((F.col("before") + F.col("run")) / F.col("total")).alias("_cdf"))

@@ -254,9 +254,15 @@ def ecdf(spark, sf):
     return aggregates.empirical_cdf(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderkey", *r6("cdf"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ln(cume_dist() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice)) + 0.5 * ln(cume_dist() OVER (PARTITION BY l_suppkey ORDER BY l_quantity)), 6) AS score FROM lineitem""")
+_CDF = """{0} AS (SELECT v, {2} AS p FROM (SELECT v, sum(k) OVER (ORDER BY v) / sum(k) OVER () AS p FROM (SELECT {1} AS v, count_if(l_returnflag = 'R') AS k FROM lineitem GROUP BY 1)))"""
+
+
+@query(f"""WITH {_CDF.format("a", "l_extendedprice", "p")}, {_CDF.format("b", "l_quantity", "1 - p")} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((CASE WHEN a.p > 0 THEN ln(a.p) END + 0.5 * CASE WHEN b.p > 0 THEN ln(b.p) END) / 1.5, 6) AS score
+FROM lineitem JOIN a ON a.v = l_extendedprice JOIN b ON b.v = l_quantity""")
 def logcdf_score(spark, sf):
-    out = aggregates.log_cdf_score(table(spark, sf, "lineitem"), ["l_suppkey"], {"l_extendedprice": 1.0, "l_quantity": 0.5})
+    """Brighter is better, wider is worse; the pool are the returned items."""
+    rows = table(spark, sf, "lineitem")
+    out = aggregates.log_cdf_score(rows, rows.filter("l_returnflag = 'R'"), {"l_extendedprice": (1.0, True), "l_quantity": (0.5, False)})
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *r6("score"))
 
 
@@ -304,17 +310,53 @@ def centroid_shift(spark, sf):
     return ordered.centroid_shift(points(spark, sf), 5).select("trace", "locus", *r6("shift"))
 
 
-_BAND = f"WITH {D}, c AS (SELECT trace, i, j, dist, unnest(range(j - 3, i + 5)) AS c FROM d WHERE j - i < 8 AND dist IS NOT NULL), e AS (SELECT trace, c, CASE WHEN i < c AND j >= c THEN dist END AS b, CASE WHEN NOT (i < c AND j >= c) THEN dist END AS w FROM c)"
+_BAND = f"""WITH {D}, k AS (SELECT trace, i, j, dist, unnest(range(j - 3, i + 5)) AS c FROM d WHERE j - i < 8 AND dist IS NOT NULL),
+e AS (SELECT trace, c, list(dist) FILTER (i < c AND j >= c) AS b, list(dist) FILTER (NOT (i < c AND j >= c) AND dist > 0) AS w FROM k GROUP BY 1, 2),
+l AS (SELECT trace, locus AS c, max(locus) OVER (PARTITION BY trace) + 1 AS n FROM pts)"""
+
+
+def _effect(m: str) -> str:
+    mid = lambda v: f"list_aggregate({v}, '{m}')"
+    spread = lambda v: mid(f"list_transform({v}, lambda x: pow(x - {mid(v)}, 2))")
+    return f"({mid('b')} - {mid('w')}) / nullif(sqrt({spread('b')} + {spread('w')}), 0)"
+
+
+_KS = """sign(list_aggregate(b, 'median') - list_aggregate(w, 'median')) * list_max(list_transform(list_distinct(list_concat(b, w)),
+lambda t: abs(len(list_filter(b, lambda x: x <= t)) / len(b) - len(list_filter(w, lambda x: x <= t)) / len(w))))"""
 
 
-@query(_BAND + " SELECT trace, c, round(median(b) - median(w), 6) AS score FROM e GROUP BY 1, 2")
+def _sliding(score: str) -> str:
+    return _BAND + f" SELECT l.trace, l.c, round(CASE WHEN l.c < 2 OR l.c + 2 >= n OR b IS NULL OR w IS NULL THEN 0 ELSE {score} END, 6) AS score FROM l LEFT JOIN e ON e.trace = l.trace AND e.c = l.c"
+
+
+def _slide(spark, sf, metric: str) -> DataFrame:
+    loci = points(spark, sf).select("trace", F.col("locus").alias("c"))
+    return ordered.boundary_score(_pairs(spark, sf), loci, 4, metric).select("trace", "c", *r6("score"))
+
+
+@query(_sliding(_effect("median")))
 def slide_score_median(spark, sf):
-    return ordered.boundary_score(_pairs(spark, sf), 4, "median").select("trace", "c", *r6("score"))
+    return _slide(spark, sf, "median")
+
+
+@query(_sliding(_effect("avg")))
+def slide_score_mean(spark, sf):
+    return _slide(spark, sf, "mean")
 
 
-@query(_BAND + " SELECT trace, c, round(avg(b) / nullif(avg(w), 0), 6) AS score FROM e GROUP BY 1, 2")
+@query(_sliding(_KS))
+def slide_score_ks(spark, sf):
+    return _slide(spark, sf, "ks")
+
+
+@query(_sliding("list_avg(b) / nullif(list_avg(w), 0)"))
 def slide_score_insulation(spark, sf):
-    return ordered.boundary_score(_pairs(spark, sf), 4, "insulation").select("trace", "c", *r6("score"))
+    return _slide(spark, sf, "insulation")
+
+
+@query(_sliding("(list_avg(w) - list_avg(b)) / nullif(list_avg(w) + list_avg(b), 0)"))
+def slide_score_normed(spark, sf):
+    return _slide(spark, sf, "normed_insulation")
 
 
 @query(f"""WITH {S}, m AS (SELECT *, max(value) OVER (PARTITION BY trace ORDER BY locus ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS m FROM s) SELECT trace, locus, round(value, 6) AS value FROM m WHERE value = m AND value > 10""")
@@ -365,10 +407,21 @@ def density_score(spark, sf):
     return density.density_scores(points(spark, sf), "cls", 0.1).select("trace", "locus", "group", *r6("density"))
 
 
-@query(f"""WITH {P} SELECT a.trace, a.locus, b.cls AS "group", round(sum({_G3}), 6) AS density FROM pts a JOIN pts b ON a.trace = b.trace AND a.z IS NOT NULL AND b.z IS NOT NULL AND a.locus // 20 <> b.locus // 20 GROUP BY 1, 2, 3""")
+_TRANS = "a.trace = b.trace AND a.z IS NOT NULL AND b.z IS NOT NULL AND NOT (a.locus // 20 = b.locus // 20 AND a.locus % 2 = b.locus % 2)"
+
+
+@query(f"""WITH {P} SELECT a.trace, a.locus, b.cls AS "group", round(sum({_G3}), 6) AS density FROM pts a JOIN pts b ON {_TRANS} GROUP BY 1, 2, 3""")
 def trans_density(spark, sf):
-    p = points(spark, sf).withColumn("chr", F.floor(F.col("locus") / 20))
-    return density.trans_density(p, "chr", "cls", 0.1).select("trace", "locus", "group", *r6("density"))
+    """Chromosomes are runs of 20 loci, their two copies the even and the odd loci."""
+    p = points(spark, sf).withColumn("chr", F.floor(F.col("locus") / 20)).withColumn("copy", F.col("locus") % 2)
+    return density.trans_density(p, "chr", "copy", "cls", 0.1).select("trace", "locus", "group", *r6("density"))
+
+
+@query(f"""WITH {P}, r AS (SELECT trace, sqrt(var_pop(z) + var_pop(x) + var_pop(y)) AS rg FROM pts WHERE z IS NOT NULL GROUP BY 1) SELECT a.trace, a.locus, b.cls AS "group", round(sum({_G3.replace("(0.1*0.1)", "(0.01 * rg * rg / 0.25)")}), 6) AS density
+FROM pts a JOIN pts b ON {_TRANS} JOIN r ON r.trace = a.trace GROUP BY 1, 2, 3""")
+def trans_density_rescaled(spark, sf):
+    p = points(spark, sf).withColumn("chr", F.floor(F.col("locus") / 20)).withColumn("copy", F.col("locus") % 2)
+    return density.trans_density(p, "chr", "copy", "cls", 0.1, to=0.5).select("trace", "locus", "group", *r6("density"))
 
 
 @query(f"WITH {P} SELECT trace, label, round(sqrt(var_pop(z) + var_pop(x) + var_pop(y)), 6) AS rg, count(*) AS n FROM pts WHERE z IS NOT NULL GROUP BY 1, 2")
@@ -377,12 +430,13 @@ def gyration(spark, sf):
 
 
 @query(f"""WITH {P}, s AS (SELECT a.trace, a.locus, a.cls AS own, b.cls AS g, round(sum({_G3}), 9) AS v FROM pts a JOIN pts b ON a.trace = b.trace AND a.z IS NOT NULL AND b.z IS NOT NULL
-AND sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) > 0.001 GROUP BY 1, 2, 3, 4), q AS (SELECT trace, g, quantile_cont(v, 0.67) AS q FROM s GROUP BY 1, 2)
-SELECT s.trace, s.g AS "group", round(avg((own = s.g)::INT), 6) AS purity FROM s JOIN q ON s.trace = q.trace AND s.g = q.g WHERE v >= q GROUP BY 1, 2""")
+AND sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) > 0.001 GROUP BY 1, 2, 3, 4), q AS (SELECT trace, g, quantile_cont(v, 0.33) AS q FROM s WHERE own = g GROUP BY 1, 2),
+o AS (SELECT s.trace, s.g, avg((own = s.g)::INT) AS purity FROM s JOIN q ON s.trace = q.trace AND s.g = q.g WHERE v >= q GROUP BY 1, 2)
+SELECT trace, g AS "group", round(purity, 6) AS purity, round(avg(purity) OVER (PARTITION BY trace), 6) AS score FROM o""")
 def segregation(spark, sf):
     p = points(spark, sf)
     scores = density.density_scores(p, "cls", 0.1).withColumn("density", F.round("density", 9)).join(p.select("trace", "locus", F.col("cls").alias("own")), ["trace", "locus"])
-    return density.segregation(scores, ["trace"], "own").select("trace", "group", *r6("purity"))
+    return density.segregation(scores, ["trace"], "own").select("trace", "group", *r6("purity", "score"))
 
 
 @query(f"WITH {P} SELECT trace, locus // 10 AS segment, round(avg((cls = 'A')::INT), 6) AS purity FROM pts GROUP BY 1, 2")
@@ -413,15 +467,22 @@ def box_join(spark, sf):
     return _near(spark, sf, 0.1, norm="box", strict=True).select("trace", "a", "b", *r6("dist"))
 
 
-@query(f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, {_DIST} AS dist, row_number() OVER (PARTITION BY a.trace, a.locus ORDER BY {_DIST}, b.locus) AS r {_AB} AND {_DIST} <= 0.5) SELECT trace, a, round(avg(dist), 6) AS mean_dist FROM n WHERE r <= 10 GROUP BY 1, 2")
+def _nearest(spark, sf, k: int, radius: float) -> DataFrame:
+    p = points(spark, sf)
+    return joins.k_nearest(p.filter("locus % 2 = 0").withColumnRenamed("locus", "a"), p.filter("locus % 2 = 1").withColumnRenamed("locus", "b"), ["z", "x", "y"], ["trace"], "a", "b", k, radius)
+
+
+_RANKED = f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST} AS dist, row_number() OVER (PARTITION BY a.trace, a.locus ORDER BY {_DIST}, b.locus) AS r {_AB} AND a.z IS NOT NULL AND b.z IS NOT NULL)"
+
+
+@query(_RANKED + " SELECT trace, a, round(avg(dist), 6) AS mean_dist, count(*) AS n FROM n WHERE r <= 10 GROUP BY 1, 2")
 def knn_mean(spark, sf):
-    near = joins.nearest(_near(spark, sf, 0.5), ["trace"], "a", "b", 10)
-    return near.groupBy("trace", "a").agg(F.round(F.avg("dist"), 6).alias("mean_dist"))
+    return _nearest(spark, sf, 10, 0.1).groupBy("trace", "a").agg(F.round(F.avg("dist"), 6).alias("mean_dist"), F.count("*").alias("n"))
 
 
-@query(f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST} AS dist, row_number() OVER (PARTITION BY a.trace, a.locus ORDER BY {_DIST}, b.locus) AS r {_AB} AND {_DIST} <= 0.2) SELECT trace, a, b, round(dist, 6) AS dist FROM n WHERE r = 1")
+@query(_RANKED + " SELECT trace, a, b, round(dist, 6) AS dist FROM n WHERE r = 1")
 def nearest_one(spark, sf):
-    return joins.nearest(_near(spark, sf, 0.2), ["trace"], "a", "b").select("trace", "a", "b", *r6("dist"))
+    return _nearest(spark, sf, 1, 0.05).select("trace", "a", "b", *r6("dist"))
 
 
 @query(f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST} AS dist {_AB} AND {_DIST} <= 0.1), c AS (SELECT *, count(*) OVER (PARTITION BY trace, a) AS na, count(*) OVER (PARTITION BY trace, b) AS nb FROM n) SELECT trace, a, b, round(dist, 6) AS dist FROM c WHERE na = 1 AND nb = 1")
@@ -479,23 +540,12 @@ def region_match_tss(spark, sf):
     return joins.binned_in_interval(_places(spark, sf), _regions(spark, sf), "place", ["g"], 64.0, "left").select("id", "region")
 
 
-@query(f"""WITH {_REG}, q AS (SELECT g, region, "start" AS s, "end" AS e FROM reg WHERE region % 10 = 0) SELECT a.region, round(sum(greatest(0, least(a."end", q.e) - greatest(a."start", q.s)) / nullif(a."end" - a."start", 0)), 6) AS share
-FROM reg a JOIN q USING (g) WHERE a."start" < q.e AND a."end" > q.s GROUP BY 1""")
+@query(f"""WITH {_REG}, q AS (SELECT p_partkey AS id, p_brand AS g, p_retailprice + 3 AS s, p_retailprice + 3 + p_size / 2.0 AS e FROM part),
+h AS (SELECT region, sum((least(q.e, a."end") - greatest(q.s, a."start")) / nullif(q.e - q.s, 0)) AS n FROM reg a JOIN q USING (g) WHERE (s >= a."start" AND s < a."end") OR (e >= a."start" AND e < a."end") GROUP BY 1)
+SELECT reg.region, round(coalesce(n, 0), 6) AS enhancers FROM reg LEFT JOIN h USING (region)""")
 def interval_overlap_sum(spark, sf):
-    a = _regions(spark, sf)
-    q = a.filter("region % 10 = 0").select("g", F.col("start").alias("s"), F.col("end").alias("e"))
-    part = joins.overlap_share(F.col("start"), F.col("end"), F.col("s"), F.col("e"))
-    return a.join(q, "g").filter((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).groupBy("region").agg(F.round(F.sum(part), 6).alias("share"))
-
-
-@query(f"""WITH {_REG} SELECT a.region, round(sum(greatest(0, least(a."end", q."end") - greatest(a."start", q."start")) / nullif(a."end" - a."start", 0)), 6) AS share
-FROM reg a JOIN reg q USING (g) WHERE a."start" < q."end" AND a."end" > q."start" GROUP BY 1""")
-def interval_overlap_sum_whole(spark, sf):
-    """interval_overlap_sum of all regions against all regions (each overlaps itself too)."""
-    a = _regions(spark, sf)
-    both = joins.binned_overlaps(a, a.select("g", F.col("start").alias("s"), F.col("end").alias("e")), ["g"], 64.0)
-    part = joins.overlap_share(F.col("start"), F.col("end"), F.col("s"), F.col("e"))
-    return both.groupBy("region").agg(F.round(F.sum(part), 6).alias("share"))
+    q = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), (F.col("p_retailprice") + 3).alias("s"), (F.col("p_retailprice") + 3 + F.col("p_size") / 2.0).alias("e"))
+    return joins.overlapping_counts(_regions(spark, sf), q, "region", "id", ["g"], 64.0).select("region", F.round("n", 6).alias("enhancers"))
 
 
 @query(f"WITH {_REG}, {_PL}, c AS (SELECT region, count(*) AS n FROM pl JOIN reg USING (g) WHERE place >= \"start\" AND place < \"end\" GROUP BY 1) SELECT region, coalesce(n, 0) AS n FROM reg LEFT JOIN c USING (region)")
@@ -550,17 +600,14 @@ def screen_anti(spark, sf):
     return sequences.screened(table(spark, sf, "benchmark"), counts, "item_id", _letters(), 14, 200).select("item_id")
 
 
-@query(f"WITH {_kmer_sql('k', 'item_id', 'benchmark', 10)}, u AS (SELECT DISTINCT item_id, kmer FROM k) SELECT a.item_id AS i, b.item_id AS j, count(*) AS shared FROM u a JOIN u b ON a.kmer = b.kmer AND a.item_id < b.item_id GROUP BY 1, 2")
+@query(f"""WITH {_kmer_sql('k', 'item_id', 'benchmark', 10)}, u AS (SELECT item_id AS i, kmer, count(*) AS times FROM k GROUP BY 1, 2),
+t AS (SELECT item_id AS j, {_SEQ} AS s FROM benchmark), b AS (SELECT j, s, reverse(translate(s, 'ACGT', 'TGCA')) AS c FROM t),
+n AS (SELECT i, j, times, (length(s) - length(replace(s, kmer, ''))) // 10 + (length(c) - length(replace(c, kmer, ''))) // 10 AS n FROM u JOIN b ON i > j AND (contains(s, kmer) OR contains(c, kmer)))
+SELECT i, j, sum(times * n)::BIGINT AS shared FROM n GROUP BY 1, 2""")
 def similarity_pairs(spark, sf):
     return sequences.similar_pairs(table(spark, sf, "benchmark"), "item_id", _letters(), 10)
 
 
-@query()
-def similarity_pairs_whole(spark, sf):
-    """similarity_pairs with the reverse complement and by occurrences; tested against the plain count."""
-    return sequences.similar_on_both_strands(table(spark, sf, "benchmark"), "item_id", _letters(), 10)
-
-
 @query("""WITH k AS (SELECT p_brand, p_partkey, p_retailprice, abs(p_retailprice - (min(p_retailprice) OVER (PARTITION BY p_brand) + max(p_retailprice) OVER (PARTITION BY p_brand)) / 2) AS k FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k, p_retailprice, p_partkey) AS r FROM (SELECT p_brand, p_partkey + p_retailprice / 1e6 AS q, p_partkey, p_retailprice, k FROM k)) SELECT p_brand, r AS pick, round(k, 6) AS distance FROM r WHERE r <= 4""")
 def subset_mid(spark, sf):
@@ -582,21 +629,15 @@ def set_intersect(spark, sf):
     return a.select(F.col("c_nationkey").alias("k")).intersect(b.select(F.col("s_nationkey").alias("k")))
 
 
-@query("""WITH u AS (SELECT DISTINCT least(c_nationkey, c_custkey % 25)::INT AS a, greatest(c_nationkey, c_custkey % 25)::INT AS b FROM customer WHERE c_custkey % 3 = 0) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey
-WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = x.n_nationkey AND u.b = y.n_nationkey)""")
-def blank_codes(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select("c_nationkey", (F.col("c_custkey") % 25).cast("int").alias("o"))
-    used = c.select(F.least("c_nationkey", "o").alias("a"), F.greatest("c_nationkey", "o").alias("b")).distinct()
-    return sequences.unused_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("code")), used)
+_USED = "u AS (SELECT DISTINCT least(l_suppkey, l_partkey)::BIGINT AS a, greatest(l_suppkey, l_partkey)::BIGINT AS b FROM lineitem)"
 
 
-@query("""WITH u AS (SELECT DISTINCT least(c_nationkey, c_custkey % 25)::INT AS a, greatest(c_nationkey, c_custkey % 25)::INT AS b FROM customer) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey
-WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = x.n_nationkey AND u.b = y.n_nationkey)""")
-def blank_codes_whole(spark, sf):
-    """blank_codes with the codes of all customers as used."""
-    c = table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 25).cast("int").alias("o"))
-    used = c.select(F.least("c_nationkey", "o").alias("a"), F.greatest("c_nationkey", "o").alias("b")).distinct()
-    return sequences.unused_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("code")), used)
+@query(f"WITH {_USED} SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = x.s_suppkey AND u.b = y.s_suppkey)")
+def blank_codes(spark, sf):
+    """Suppliers are readouts; a pair is used where a line item has both numbers."""
+    codes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"))
+    used = table(spark, sf, "lineitem").select(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).distinct()
+    return sequences.unused_pairs(codes, used)
 
 
 # --- segments
@@ -610,16 +651,54 @@ def _segments(spark, sf) -> DataFrame:
     return points(spark, sf).groupBy("trace", s.alias("segment")).agg(F.min("locus").alias("first"), F.max("locus").alias("last"))
 
 
-@query(f"""WITH {_SEG}, x AS (SELECT trace, a, b, median(dist) AS m FROM e WHERE a < b GROUP BY 1, 2, 3), w AS (SELECT x.trace, x.a, x.b, median(e.dist) AS m FROM x JOIN e ON e.trace = x.trace AND e.a = e.b AND e.a IN (x.a, x.b) GROUP BY 1, 2, 3)
-SELECT x.trace, x.a, x.b, round(x.m, 6) AS between, round(x.m - w.m, 6) AS domain_dist FROM x LEFT JOIN w ON w.trace = x.trace AND w.a = x.a AND w.b = x.b""".replace("AS between", 'AS "between"'))
+_DOMS = "WITH " + _SEG + """, i AS (SELECT trace, a, list(dist) AS w FROM e WHERE a = b AND dist IS NOT NULL GROUP BY 1, 2), o AS (SELECT trace, a, b, list(dist) AS l FROM e WHERE a < b AND dist IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT o.trace, o.a, o.b AS seg_b, l AS b, list_concat(coalesce(x.w, []), coalesce(y.w, [])) AS w FROM o LEFT JOIN i x ON x.trace = o.trace AND x.a = o.a LEFT JOIN i y ON y.trace = o.trace AND y.a = o.b)"""
+
+
+def _domain_sql(score: str) -> str:
+    return _DOMS + f" SELECT trace, a, seg_b AS b, round(CASE WHEN len(w) = 0 THEN 0 ELSE {score} END, 6) AS domain_dist FROM m"
+
+
+def _domains(spark, sf, metric: str) -> DataFrame:
+    found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
+    return segments.domain_distances(found, metric).select("trace", "a", "b", *r6("domain_dist"))
+
+
+@query(_domain_sql(_effect("median")))
 def domain_distance(spark, sf):
-    found = segments.segment_pairs(_pairs(spark, sf).select("trace", "i", "j", "dist"), _segments(spark, sf))
-    return segments.domain_distances(found).select("trace", "a", "b", *r6("between", "domain_dist"))
+    return _domains(spark, sf, "median")
+
+
+@query(_domain_sql(_effect("avg")))
+def domain_distance_mean(spark, sf):
+    return _domains(spark, sf, "mean")
+
+
+@query(_domain_sql(_KS))
+def domain_distance_ks(spark, sf):
+    return _domains(spark, sf, "ks")
+
+
+@query(_domain_sql("list_aggregate(b, 'median') / nullif(list_aggregate(w, 'median'), 0)"))
+def domain_distance_insulation(spark, sf):
+    return _domains(spark, sf, "insulation")
+
+
+@query(_domain_sql("list_aggregate(b, 'median') - list_aggregate(w, 'median')"))
+def domain_distance_absolute(spark, sf):
+    return _domains(spark, sf, "absolute_median")
+
+
+@query(_DOMS + " SELECT trace, a, seg_b AS b FROM m WHERE list_aggregate(b, 'median') / nullif(list_aggregate(w, 'median'), 0) < 1")
+def domain_contact_call(spark, sf):
+    """Domains whose median distance between them is below that within them."""
+    found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
+    return segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0").select("trace", "a", "b")
 
 
 @query(f"WITH {_SEG} SELECT a AS seg_i, b AS seg_j, round(count_if(dist <= 0.2) / nullif(count(dist), 0), 6) AS contact FROM e GROUP BY 1, 2")
 def domain_contacts(spark, sf):
-    found = segments.segment_pairs(_pairs(spark, sf).select("trace", "i", "j", "dist"), _segments(spark, sf))
+    found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
     return segments.domain_contacts(found, 0.2).select("seg_i", "seg_j", *r6("contact"))
 
 
@@ -633,7 +712,9 @@ def _candidates(spark, sf) -> DataFrame:
 
 @query()
 def pick_dynamic(spark, sf):
-    return decode.best_chain(_candidates(spark, sf), 0.2)
+    p = _candidates(spark, sf)
+    steps = ordered.neighbor_distance(points(spark, sf), 4).select("trace", F.col("neighbor_dist").alias("dist")).dropna()
+    return decode.best_chain(p, steps, 1.0)
 
 
 @query()
@@ -653,12 +734,12 @@ def tile_nonoverlap(spark, sf):
 
 @query()
 def domain_merge(spark, sf):
-    return segments.merged_domains(points(spark, sf), 5, 0.1)
+    return segments.merged_domains(points(spark, sf), 5)
 
 
 @query()
 def hull_bootstrap(spark, sf):
-    return decode.inside_hull(points(spark, sf), 0.5, 3)
+    return decode.inside_hull(points(spark, sf), "cls", 12, 4)
 
 
 @query()

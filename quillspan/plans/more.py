@@ -47,17 +47,9 @@ def evaluate_differences(spark, sf):
     return spots.share_changed(p, other, ["trace", "locus"], _XYZ, 0.2).select(*r6("changed"), "n")
 
 
-@query(f"""WITH {P} SELECT trace, locus, label FROM pts p WHERE locus % 2 = 0 AND (EXISTS (SELECT 1 FROM pts r WHERE r.locus % 10 = 1 AND r.trace = p.trace AND r.label = p.label AND sqrt((p.z-r.z)*(p.z-r.z)+(p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) <= 0.3)
-OR NOT EXISTS (SELECT 1 FROM pts r WHERE r.locus % 10 = 1 AND r.trace = p.trace AND r.label = p.label AND r.z IS NOT NULL))""")
-def spot_screening(spark, sf):
-    p = points(spark, sf)
-    found = spots.near_reference(p.filter("locus % 2 = 0"), p.filter("locus % 10 = 1"), ["trace", "label"], _XYZ, 0.3, keep_without=True)
-    return found.select("trace", "locus", "label")
-
-
 @query(f"""WITH {P} SELECT trace, locus, label FROM pts p WHERE EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND sqrt((p.z-r.z)*(p.z-r.z)+(p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) <= 0.3)
 OR NOT EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND r.z IS NOT NULL)""")
-def spot_screening_whole(spark, sf):
+def spot_screening(spark, sf):
     """All points, screened against all points of the next trace."""
     p = points(spark, sf)
     reference = p.withColumn("trace", (F.col("trace") + 4) % 5)
@@ -86,10 +78,11 @@ def split_pieces(spark, sf):
     return spots.pieces(table(spark, sf, "benchmark"), "item_id", _letters(), 42)
 
 
-@query(f"SELECT item_id, 'ACGT' || reverse(translate(substring({_SEQ}, 1, 20), 'ACGT', 'TGCA')) || substring({_SEQ}, 21, 20) || 'TTTT' AS probe FROM benchmark")
+@query(f"SELECT item_id, 'ACGT' || reverse(translate(left(s, length(s) // 2), 'ACGT', 'TGCA')) || substr(s, length(s) // 2 + 1) || 'TTTT' AS probe FROM (SELECT item_id, {_SEQ} AS s FROM benchmark)")
 def assemble_probes(spark, sf):
     s = _letters()
-    parts = [F.lit("ACGT"), C.reverse_complement(F.substring(s, 1, 20)), F.substring(s, 21, 20), F.lit("TTTT")]
+    half = F.floor(F.length(s) / 2).cast("int")
+    parts = [F.lit("ACGT"), C.reverse_complement(F.left(s, half)), F.substring(s, half + 1, F.length(s)), F.lit("TTTT")]
     return sequences.assembled(table(spark, sf, "benchmark"), parts).select("item_id", "probe")
 
 
@@ -146,26 +139,37 @@ def screen_by_hit(spark, sf):
     return hits.withColumn("_r", F.row_number().over(W.partitionBy("region").orderBy("hits", "item_id"))).filter("_r <= 5").select("region", "item_id", "hits")
 
 
-@query(f"""WITH {P}, g AS (SELECT * FROM pts WHERE z IS NOT NULL AND locus < 40), n AS (SELECT a.trace, a.locus AS c, list(b.locus) AS near, a.z, a.x, a.y FROM g a JOIN g b ON a.trace = b.trace AND sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.2 GROUP BY ALL),
-m AS (SELECT a.trace, a.c AS a, b.c AS b, len(list_distinct(list_concat(a.near, b.near))) AS covered, sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS apart FROM n a JOIN n b ON a.trace = b.trace AND a.c < b.c),
-r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY covered DESC, round(apart, 9) DESC, a, b) AS r FROM m) SELECT trace, a, b, covered::BIGINT AS covered, round(apart, 6) AS apart FROM r WHERE r = 1""")
-def max_coverage_pair(spark, sf):
-    return spots.best_separated_pair(points(spark, sf).filter("locus < 40"), 0.2).select("trace", "a", "b", "covered", *r6("apart"))
+_E = "sqrt(({0}.z-p.z)*({0}.z-p.z)+({0}.x-p.x)*({0}.x-p.x)+({0}.y-p.y)*({0}.y-p.y))"
+
 
+@query(f"""WITH {P}, n AS (SELECT trace * 10 + label AS g, locus // 4 AS l, z, x, y, row_number() OVER (PARTITION BY trace, label ORDER BY locus) AS k FROM pts WHERE z IS NOT NULL),
+e AS (SELECT a.g, a.k AS one, b.k AS other, p.l, p.z, p.x, p.y, {_E.format("a")} AS d1, {_E.format("b")} AS d2 FROM n a JOIN n b ON a.g = b.g AND b.k < a.k JOIN n p ON p.g = a.g),
+s AS (SELECT g, one, other, l, bool_or(d1 > d2) AND bool_or(d1 <= d2) AS halves FROM e GROUP BY ALL), c AS (SELECT g, one, other, count_if(halves) AS covered FROM s GROUP BY ALL),
+r AS (SELECT g, one, other, avg(d1) FILTER (d1 <= d2) + avg(d2) FILTER (d1 > d2) AS spread, median(z) FILTER (d1 <= d2) AS z1, median(x) FILTER (d1 <= d2) AS x1, median(y) FILTER (d1 <= d2) AS y1, median(z) FILTER (d1 > d2) AS z2, median(x) FILTER (d1 > d2) AS x2, median(y) FILTER (d1 > d2) AS y2 FROM e GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY covered DESC, spread NULLS LAST, one, other) AS t FROM c JOIN r USING (g, one, other))
+SELECT g AS "group", covered::BIGINT AS covered, round(spread, 6) AS spread, round(z1, 6) AS z1, round(x1, 6) AS x1, round(y1, 6) AS y1, round(z2, 6) AS z2, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM t WHERE t = 1""")
+def homolog_split(spark, sf):
+    """Groups are (trace, label); four loci are the candidates of one."""
+    c = points(spark, sf).select((F.col("trace") * 10 + F.col("label")).alias("group"), F.floor(F.col("locus") / 4).alias("at"), (F.col("locus") % 4).alias("candidate"), *_XYZ)
+    return spots.homolog_centres(c, "group", "at").select("group", "covered", *r6("spread", "z1", "x1", "y1", "z2", "x2", "y2"))
 
-@query(f"""WITH {P}, g AS (SELECT * FROM pts WHERE z IS NOT NULL), n AS (SELECT a.trace, a.locus AS c, list(b.locus) AS near, a.z, a.x, a.y FROM g a JOIN g b ON a.trace = b.trace AND sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.2 GROUP BY ALL),
-m AS (SELECT a.trace, a.c AS a, b.c AS b, len(list_distinct(list_concat(a.near, b.near))) AS covered, sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS apart FROM n a JOIN n b ON a.trace = b.trace AND a.c < b.c),
-r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY covered DESC, round(apart, 9) DESC, a, b) AS r FROM m) SELECT trace, a, b, covered::BIGINT AS covered, round(apart, 6) AS apart FROM r WHERE r = 1""")
-def max_coverage_pair_whole(spark, sf):
-    """max_coverage_pair over all loci of the traces."""
-    return spots.best_separated_pair_of_many(points(spark, sf), 0.2).select("trace", "a", "b", "covered", *r6("apart"))
 
+_DP = "sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
+_VOTE = ", ".join(f"a.{c}1 - b.{c}{{0}} AS {c}" for c in "zxy")
 
-@query(f"""WITH {P}, v AS (SELECT a.trace, floor((b.z - a.z) / 0.1)::BIGINT AS dz, floor((b.x - a.x) / 0.1)::BIGINT AS dx, floor((b.y - a.y) / 0.1)::BIGINT AS dy, count(*) AS votes FROM pts a JOIN pts b ON a.trace = b.trace AND a.cls = 'A' AND b.cls = 'B' WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY votes DESC, dz, dx, dy) AS r FROM v) SELECT trace, dz, dx, dy, votes FROM r WHERE r = 1""")
+
+@query(f"""WITH {P}, f AS (SELECT trace * 10 + label AS g, locus AS id, z, x, y FROM pts WHERE locus % 2 = 0 AND z IS NOT NULL), t AS (SELECT trace * 10 + label AS g, locus AS id, z, x, y FROM pts WHERE locus % 2 = 1 AND z IS NOT NULL),
+pf AS (SELECT a.g, a.z AS z1, a.x AS x1, a.y AS y1, {_DP} AS d FROM f a JOIN f b ON a.g = b.g AND a.id < b.id), pt AS (SELECT a.g, a.z AS z1, a.x AS x1, a.y AS y1, b.z AS z2, b.x AS x2, b.y AS y2, {_DP} AS d FROM t a JOIN t b ON a.g = b.g AND a.id < b.id),
+v AS (SELECT a.g, {_VOTE.format(1)} FROM pf a JOIN pt b ON a.g = b.g AND abs(a.d - b.d) < 0.05 UNION ALL SELECT a.g, {_VOTE.format(2)} FROM pf a JOIN pt b ON a.g = b.g AND abs(a.d - b.d) < 0.05),
+m AS (SELECT g, {", ".join(f"min({c}) AS {c}l, max({c}) AS {c}h" for c in "zxy")} FROM v GROUP BY 1), w AS (SELECT *, {", ".join(f"floor(({c}h - {c}l) / 0.1) + 1 AS {c}n" for c in "zxy")} FROM m),
+k AS (SELECT v.g, {", ".join(f"coalesce(least(floor((v.{c} - {c}l) / nullif(({c}h - {c}l) / {c}n, 0)), {c}n - 1), 0) AS k{c}" for c in "zxy")}, {", ".join(f"any_value(({c}h - {c}l) / {c}n) AS s{c}, any_value({c}l) AS {c}l" for c in "zxy")}, count(*) AS votes FROM v JOIN w USING (g) GROUP BY 1, 2, 3, 4),
+b AS (SELECT g, votes, zl + kz * sz AS zg, xl + kx * sx AS xg, yl + ky * sy AS yg FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY votes DESC, kz, kx, ky) AS r FROM k) WHERE r = 1),
+n AS (SELECT f.g, f.id, b.votes, t.z - f.z AS z, t.x - f.x AS x, t.y - f.y AS y, sqrt(pow(t.z + zg - f.z, 2) + pow(t.x + xg - f.x, 2) + pow(t.y + yg - f.y, 2)) AS d, t.id AS tid FROM f JOIN t USING (g) JOIN b USING (g)),
+o AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d, tid) AS r FROM n WHERE d < 0.2) SELECT g AS "group", max(votes) AS votes, count(*) AS matched, round(median(z), 6) AS z, round(median(x), 6) AS x, round(median(y), 6) AS y FROM o WHERE r = 1 GROUP BY 1""")
 def translation_vote(spark, sf):
-    p = points(spark, sf)
-    return spots.translation_vote(p.filter("cls = 'A'"), p.filter("cls = 'B'"), ["trace"], _XYZ, 0.1)
+    """Even loci are the fixed points, odd ones the targets, of each (trace, label)."""
+    p = points(spark, sf).select((F.col("trace") * 10 + F.col("label")).alias("group"), F.col("locus").alias("id"), *_XYZ).dropna()
+    return spots.translation_vote(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), ["group"], _XYZ, 0.05, 0.1).select("group", "votes", "matched", *r6(*_XYZ))
 
 
 @query(f"""WITH {D}, h AS (SELECT least(cls_i, cls_j) || greatest(cls_i, cls_j) AS class, (j - i) // 20 AS bin, count_if(dist < 0.2) AS called, count(dist) AS n FROM d GROUP BY 1, 2) SELECT class, bin, called, n, round(called / nullif(n, 0), 6) AS ratio FROM h""")

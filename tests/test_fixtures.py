@@ -62,13 +62,20 @@ def test_sequences(spark):
 
 def test_best_chain_is_best(spark):
     rng = np.random.default_rng(3)
-    rows = [(1, l, c, *map(float, rng.random(3)), float(rng.random())) for l in range(4) for c in range(3)]
-    got = decode.best_chain(spark.createDataFrame(rows, "trace long, locus long, candidate long, z double, x double, y double, score double"), 0.3).collect()
+    rows = [(1, l, c, *map(float, rng.random(3)), float(rng.random())) for l in (0, 1, 3, 4) for c in range(3)]
+    known = [float(x) for x in rng.random(40) * 1.5] + [float("nan")]
+    steps = spark.createDataFrame([(1, x) for x in known], "trace long, dist double")
+    got = decode.best_chain(spark.createDataFrame(rows, "trace long, locus long, candidate long, z double, x double, y double, score double"), steps, 0.7, 0.1, 1.4).collect()
     by = {(r[1], r[2]): r for r in rows}
 
+    def cdf(d):
+        share = lambda v: sum(x <= v for x in known[:-1]) / 40
+        return min(1, max(0, (share(d) - share(0.1)) / (share(1.4) - share(0.1))))
+
     def total(picks):
-        chain = [by[l, c] for l, c in enumerate(picks)]
-        return sum(r[6] for r in chain) - sum(math.dist(a[3:6], b[3:6]) for a, b in itertools.pairwise(chain)) / 0.3
+        chain = [by[l, c] for l, c in zip((0, 1, 3, 4), picks, strict=True)]
+        links = [(1 - cdf(math.dist(a[3:6], b[3:6])), b[1] - a[1]) for a, b in itertools.pairwise(chain)]
+        return sum(r[6] for r in chain) + sum(0.7 * math.log(p) / gap if p else -math.inf for p, gap in links)
 
     best = max(itertools.product(range(3), repeat=4), key=total)
     assert tuple(r.candidate for r in sorted(got, key=lambda r: r.locus)) == best
@@ -88,9 +95,34 @@ def test_hull():
 
 
 def test_domains_found(spark):
-    rows = [(1, i, 5.0 * (i // 10) + 0.01 * (i % 7), 0.0, 0.0) for i in range(20)]
-    got = segments.merged_domains(spark.createDataFrame(rows, POINT), 5, 0.5).orderBy("segment").collect()
-    assert [(r["first"], r["last"]) for r in got] == [(0, 9), (10, 19)]
+    rng = np.random.default_rng(1)
+    centre = [(0, 0, 0), (9, 0, 0), (0, 9, 0)]
+    rows = [(1, i, *(float(x) for x in centre[i // 10] + rng.normal(0, 1, 3))) for i in range(30)]
+    rows[4] = (1, 4, None, None, None)
+    got = segments.merged_domains(spark.createDataFrame(rows, POINT), 5).orderBy("segment").collect()
+    assert [(r["first"], r["last"]) for r in got] == [(0, 9), (10, 19), (20, 29)]
+    assert segments.filled(np.array([np.nan, 1.0, np.nan, 3.0, 5.0, np.nan])).tolist() == [0, 1, 2, 3, 5, 7]
+
+
+def test_boundary_scores_by_hand(spark):
+    """Two tight halves: across is 10, within is 1 or 2."""
+    place = [0.0, 1.0, 2.0, 12.0, 13.0, 14.0]
+    p = spark.createDataFrame([(1, i, v, 0.0, 0.0) for i, v in enumerate(place)], POINT)
+    loci = p.select("trace", F.col("locus").alias("c"))
+    across, within = [abs(a - b) for a in place[1:3] for b in place[3:5]], [1.0, 1.0]
+    one = {m: {r.c: r.score for r in ordered.boundary_score(pairs.pair_distances(p), loci, 2, m).collect()} for m in ("median", "mean", "ks", "insulation", "normed_insulation")}
+    assert one["insulation"][3] == pytest.approx(np.mean(across) / np.mean(within)) and one["normed_insulation"][3] == pytest.approx((1 - np.mean(across)) / (1 + np.mean(across)))
+    assert one["mean"][3] == pytest.approx((np.mean(across) - 1) / np.std(across)) and one["ks"][3] == 1
+    spread = np.median((np.array(across) - np.median(across)) ** 2)
+    assert one["median"][3] == pytest.approx((np.median(across) - 1) / math.sqrt(spread))
+    assert all(v[0] == v[5] == 0 for v in one.values())
+
+
+def test_hull_probability(spark):
+    box = [(1, i, *map(float, c), "A") for i, c in enumerate(itertools.product((0, 1), repeat=3))]
+    rows = [*box, (1, 20, 0.5, 0.5, 0.5, "B"), (1, 21, 3.0, 0.5, 0.5, "B"), (1, 22, None, None, None, "A")]
+    got = {(r.locus, r.group): r.inside for r in decode.inside_hull(spark.createDataFrame(rows, POINT + ", cls string"), "cls", 8, 3).collect()}
+    assert got[20, "A"] == 1 and got[21, "A"] == 0 and got[0, "A"] is None and got[20, "B"] is None and (22, "A") not in got
 
 
 def test_files(spark, tmp_path):

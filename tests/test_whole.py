@@ -18,28 +18,38 @@ POINT = "trace long, locus long, z double, x double, y double"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-def best_pair(rows, reach):
-    near = {a: {b for b, q in rows.items() if math.dist(p, q) <= reach} for a, p in rows.items()}
-    return min((-len(near[a] | near[b]), -round(math.dist(rows[a], rows[b]), 9), a, b) for a, b in itertools.combinations(sorted(rows), 2))
-
-
-def test_max_coverage_pair(spark):
+def split(rows):
+    """(covered, spread) of the best pair of centres of (locus, place) rows, and the sides' medians."""
+    best = None
+    for one in range(1, len(rows)):
+        for other in range(one):
+            second = [math.dist(rows[one][1], p) > math.dist(rows[other][1], p) for _, p in rows]
+            loci = [{l for (l, _), s in zip(rows, second, strict=True) if s == side} for side in (False, True)]
+            means = [[math.dist(rows[c][1], p) for (_, p), s in zip(rows, second, strict=True) if s == side] for c, side in ((one, False), (other, True))]
+            spread = sum(np.mean(m) if m else math.inf for m in means)
+            if best is None or (len(loci[0] & loci[1]), -spread) > best[:2]:
+                best = (len(loci[0] & loci[1]), -spread, [np.median([p for (_, p), s in zip(rows, second, strict=True) if s == side], axis=0) for side in (False, True)])
+    return best
+
+
+def test_homolog_centres(spark):
     rng = random.Random(3)
-    rows = [(t, i, *[rng.randint(0, 4) / 4 if t else rng.random() for _ in range(3)]) for t in (0, 1) for i in range(150)] + [(1, 200, None, None, None), (2, 5, 0.0, 0.0, 0.0)]
-    rows += [(3, i, 0.5, 0.5, 0.5) for i in range(70)]  # all ties
-    table = spark.createDataFrame(rows, POINT)
-    for reach in (0.3, 0.55, 3.0):
-        got = {r.trace: (-r.covered, -round(r.apart, 9), r.a, r.b) for r in spots.best_separated_pair_of_many(table, reach).collect()}
-        assert got == {t: pytest.approx(best_pair({i: p for u, i, *p in rows if u == t and p[0] is not None}, reach)) for t in (0, 1, 3)}
+    rows = [(g, x, c, *[rng.gauss(4 * (c % 2), 1) for _ in range(3)]) for g in (0, 1) for x in range(6) for c in range(3)] + [(1, 9, 0, None, None, None), (2, 0, 0, 1.0, 1.0, 1.0)]
+    got = {r.g: r for r in spots.homolog_centres(spark.createDataFrame(rows, "g long, x long, candidate long, z double, x2 double, y double").select("g", F.col("x").alias("at"), "candidate", "z", F.col("x2").alias("x"), "y"), "g", "at").collect()}
+    assert set(got) == {0, 1}
+    for g, r in got.items():
+        covered, spread, sides = split([(x, p) for h, x, _, *p in rows if h == g and p[0] is not None])
+        assert (r.covered, r.spread) == (covered, pytest.approx(-spread))
+        assert [r.z1, r.x1, r.y1, r.z2, r.x2, r.y2] == pytest.approx([*sides[0], *sides[1]])
 
 
-@needs_tables
-def test_max_coverage_pair_takes_all_loci(spark):
-    points = [r for r in catalog.points(spark, SF).collect() if r.z is not None]
-    assert max(r.locus for r in points) >= 40
-    want = {t: best_pair({r.locus: (r.z, r.x, r.y) for r in points if r.trace == t}, 0.2) for t in {r.trace for r in points}}
-    got = {r.trace: (-r.covered, r.a, r.b) for r in catalog.QUERIES["max_coverage_pair_whole"](spark, SF).collect()}
-    assert got == {t: (n, a, b) for t, (n, _, a, b) in want.items()}
+def test_k_nearest_is_exact(spark):
+    rng = random.Random(5)
+    a, b = ([(rng.randint(0, 1), i, rng.choice([rng.random(), 50 * rng.random()]), rng.random()) for i in range(60)] for _ in range(2))
+    left, right = spark.createDataFrame(a + [(0, 99, None, 1.0)], "g long, a long, x double, y double"), spark.createDataFrame(b, "g long, b long, x double, y double")
+    got = {(r.g, r.a, r.rank): r.b for r in joins.k_nearest(left, right, ["x", "y"], ["g"], "a", "b", 4, 0.05).collect()}
+    want = {(g, i, k + 1): j for g, i, *p in a for k, (_, j) in enumerate(sorted((math.dist(p, q), j) for h, j, *q in b if h == g)[:4])}
+    assert got == want
 
 
 def plain_component(xyz):
@@ -85,20 +95,29 @@ def test_binned_overlaps(spark):
 
 @needs_tables
 def test_no_side_is_cut_by_ids(spark):
-    regions = [(r.region, r.g, r.start, r.end) for r in catalog._regions(spark, SF).collect()]
-    want = {i: sum(max(0, min(e, f) - max(s, t)) for _, h, t, f in regions if h == g) / (e - s) for i, g, s, e in regions}
-    assert {r.region: r.share for r in catalog.QUERIES["interval_overlap_sum_whole"](spark, SF).collect()} == pytest.approx(want, abs=1e-6)
-    customers = catalog.table(spark, SF, "customer").collect()
-    used = {tuple(sorted((c.c_nationkey, c.c_custkey % 25))) for c in customers}
-    got = {(r.a, r.b) for r in catalog.QUERIES["blank_codes_whole"](spark, SF).collect()}
-    assert got == set(itertools.combinations(range(25), 2)) - used
     points = catalog.points(spark, SF).collect()
     screened = set()
     for p in points:
         reference = [r for r in points if r.trace == (p.trace + 1) % 5 and r.label == p.label and r.z is not None]
         if not reference or p.z is not None and any(math.dist((p.z, p.x, p.y), (r.z, r.x, r.y)) <= 0.3 for r in reference):
             screened.add((p.trace, p.locus))
-    assert {(r.trace, r.locus) for r in catalog.QUERIES["spot_screening_whole"](spark, SF).collect()} == screened
+    assert {(r.trace, r.locus) for r in catalog.QUERIES["spot_screening"](spark, SF).collect()} == screened
+
+
+def test_unused_pairs(spark):
+    codes = spark.createDataFrame([(i,) for i in range(6)], "code int")
+    used = spark.createDataFrame([(0, 1), (2, 5)], "a int, b int")
+    assert {tuple(r) for r in sequences.unused_pairs(codes, used).collect()} == set(itertools.combinations(range(6), 2)) - {(0, 1), (2, 5)}
+    with pytest.raises(ValueError):
+        sequences.unused_pairs(codes, used, most=5)
+
+
+def test_overlapping_counts(spark):
+    """A mark counts where one of its ends lies, by the share of the mark inside; one that covers a region whole does not count."""
+    regions = spark.createDataFrame([(1, 1, 0.0, 10.0), (2, 1, 10.0, 20.0), (3, 2, 0.0, 5.0)], "region long, g long, start double, end double")
+    marks = spark.createDataFrame([(1, 1, 5.0, 15.0), (2, 1, -5.0, 30.0), (3, 1, 18.0, 28.0), (4, 1, 2.0, 4.0), (5, 2, 9.0, 9.5)], "id long, g long, s double, e double")
+    got = {r.region: r.n for r in joins.overlapping_counts(regions, marks, "region", "id", ["g"], 4.0).collect()}
+    assert got == pytest.approx({1: 0.5 + 1.0, 2: 0.5 + 0.2, 3: 0.0})
 
 
 def plain_em(rows, rounds):
@@ -128,7 +147,7 @@ def test_similar_on_both_strands(spark):
     rng = random.Random(9)
     texts = ["AAAAAAAAAAAA", "TTTTTTTTT", "ACACACACAC", "ACG", "", "GATTACAGATTACA", "TGTAATCTGTAATC"] + ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(8)]
     rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, s string")
-    got = {(r.i, r.j): r.shared for r in sequences.similar_on_both_strands(rows, "id", F.col("s"), 4).collect()}
+    got = {(r.i, r.j): r.shared for r in sequences.similar_pairs(rows, "id", F.col("s"), 4).collect()}
     want = {(i, j): similar(texts[i], texts[j], 4) for i in range(len(texts)) for j in range(i)}
     assert got == {p: n for p, n in want.items() if n}
     assert got[1, 0] and got[6, 5]  # alike through the reverse complement only
