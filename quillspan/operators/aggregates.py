@@ -42,11 +42,11 @@ def quartile_ratio_by_rank(rows: DataFrame, by: list[str], value: str, tie: str,
     return out.withColumn("ratio", F.try_divide("top", "bottom"))
 
 
-def strata_ratio(rows: DataFrame, strata: dict[str, Column], on: Column, value: str) -> DataFrame:
-    """Medians on and off in strata that may overlap: a row counts in every stratum that holds for it."""
+def strata_ratio(rows: DataFrame, strata: dict[str, Column], on: Column, value: str, by: list[str] = ()) -> DataFrame:
+    """Medians on and off in strata that may overlap: a row counts in every stratum that holds for it; by more columns if given."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in strata.items()]))
     rows = rows.withColumn("stratum", F.explode(names))
-    return on_off_ratio(rows, ["stratum"], on, value)
+    return on_off_ratio(rows, ["stratum", *by], on, value)
 
 
 def log_log_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -129,3 +129,18 @@ def best_threshold(rows: DataFrame, by: list[str], value: str, good: Column) ->
     run = w.orderBy(value)
     crossed = F.sum("a").over(run) / F.sum("a").over(w) >= 1 - F.sum("b").over(run) / F.sum("b").over(w)
     return counts.withColumn("crossed", crossed).filter("crossed").groupBy(*by).agg(F.min(value).alias("threshold"))
+
+
+def t_statistic(rows: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
+    """Student's t of the first sample against the others, with pooled variance."""
+    x = F.col(value)
+    one, two = F.when(first, x), F.when(~first, x)
+    out = rows.groupBy(*by).agg(F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("m1"), F.avg(two).alias("m2"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2"))
+    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
+    return out.select(*by, F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).alias("t"))
+
+
+def histogram_mode(rows: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+    """The middle of the fullest bin (ties: the least): the background of a distribution."""
+    bins = rows.groupBy(*by, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return bins.groupBy(*by).agg(((F.max_by("bin", F.struct("n", -F.col("bin"))) + 0.5) * width).alias("mode"))

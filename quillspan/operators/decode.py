@@ -65,6 +65,36 @@ def greedy_match(pairs: DataFrame, by: str) -> DataFrame:
     return pairs.select(by, "a", "b", "dist").groupBy(by).applyInPandas(match, f"{by} long, a long, b long, dist double")
 
 
+def aligned_in_order(pairs: DataFrame, by: str) -> DataFrame:
+    """Pairs (a, b) within reach that are kept when the a are taken in order and one is matched if exactly one b that is not yet used lies
+    within its reach.  Depends on the order, so it is a grouped-map function."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, keep = set(), []
+        for _, own in pdf.sort_values(["a", "b"]).groupby("a", sort=True):
+            free = [(i, b) for i, b in zip(own.index, own["b"], strict=True) if b not in used]
+            if len(free) == 1:
+                used.add(free[0][1])
+                keep.append(free[0][0])
+        return pdf.loc[keep]
+
+    return pairs.select(by, "a", "b", "dist").groupBy(by).applyInPandas(match, f"{by} long, a long, b long, dist double")
+
+
+def without_overlaps(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
+    """Intervals left when, from the left, the earlier of two neighbours that overlap is dropped until none do."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        for i, s, e in sorted(zip(pdf.index, pdf[start], pdf[end], strict=True), key=lambda x: (x[1], x[2])):
+            while kept and s < kept[-1][2]:
+                kept.pop()
+            kept.append((i, s, e))
+        return pdf.loc[[i for i, *_ in kept]]
+
+    return rows.select(by, start, end).groupBy(by).applyInPandas(walk, f"{by} long, {start} long, {end} long")
+
+
 def tile(rows: DataFrame, by: str, start: str, length: int, gap: int) -> DataFrame:
     """Rows from the left, each beginning at least ``gap`` after the last one kept ends."""
 

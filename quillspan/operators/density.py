@@ -61,3 +61,23 @@ def density_overlap(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
     """sum sqrt(d1 d2) / sqrt(sum d1 * sum d2) over cells of two densities."""
     both = a.select(*cell, F.col("density").alias("d1")).join(b.select(*cell, F.col("density").alias("d2")), cell, "full")
     return both.agg(F.try_divide(F.sum(F.sqrt(F.col("d1") * F.col("d2"))), F.sqrt(F.sum("d1") * F.sum("d2"))).alias("overlap"))
+
+
+def gaussian_divergence(points: DataFrame, group: str) -> DataFrame:
+    """Kullback-Leibler divergence of group a's fitted normal distribution (independent axes) from group b's."""
+    good = points.dropna(subset=XYZ)
+    fit = good.groupBy(F.col(group).alias("g")).agg(*[x for c in XYZ for x in (F.avg(c).alias(f"m{c}"), F.var_pop(c).alias(f"v{c}"))])
+    a, b = (fit.select(F.col("g").alias(s), *[F.col(f"{k}{c}").alias(f"{k}{c}_{s}") for c in XYZ for k in "mv"]) for s in "ab")
+    v = lambda k, c, s: F.col(f"{k}{c}_{s}")
+    parts = [0.5 * (F.ln(v("v", c, "b") / v("v", c, "a")) + (v("v", c, "a") + (v("m", c, "a") - v("m", c, "b")) ** 2) / v("v", c, "b") - 1) for c in XYZ]
+    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", sum(parts, F.lit(0.0)).alias("kl"))  # one row a group
+
+
+def axis_projection(points: DataFrame, group: str, one: str, two: str) -> DataFrame:
+    """Place of each point along the axis from the centre of group two to that of group one, from their middle on."""
+    mean = lambda g, c: F.avg(F.when((F.col(group) == g) & F.col(c).isNotNull(), F.col(c)))
+    m = points.groupBy("trace").agg(*[x for c in XYZ for x in (mean(one, c).alias(f"a{c}"), mean(two, c).alias(f"b{c}"))])
+    both = points.join(m, "trace")
+    dot = sum(((F.col(c) - (F.col(f"a{c}") + F.col(f"b{c}")) / 2) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in XYZ), F.lit(0.0))
+    size = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in XYZ), F.lit(0.0)))
+    return both.withColumn("along", F.try_divide(dot, size)).drop(*[f"{s}{c}" for s in "ab" for c in XYZ])

@@ -125,3 +125,26 @@ def last_match(joined: DataFrame, key: list[str], order: str) -> DataFrame:
 def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Length of the overlap over the length of a; 0 if they do not meet."""
     return F.try_divide(F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start)).cast("double"), (a_end - a_start).cast("double"))
+
+
+def matched_seeds(pairs: DataFrame, by: list[str], id_a: str, id_b: str, unique: bool = True) -> DataFrame:
+    """The nearest partner of each a; with ``unique`` only where no other a has the same one."""
+    first = nearest(pairs, by, id_a, id_b)
+    if not unique:
+        return first
+    return first.withColumn("_n", F.count("*").over(W.partitionBy(*by, id_b))).filter("_n = 1").drop("_n")
+
+
+def folds(places: DataFrame, regions: DataFrame, id_: str, region: str, fold: str, by: list[str], width: float) -> DataFrame:
+    """region and the sum of the folds of the places (``place``) of which it is the first region (closed); 0 without any."""
+    hit = first_match(binned_in_interval(places, regions, "place", by, width, "both"), [id_], region)
+    n = hit.groupBy(region).agg(F.sum(fold).alias(fold))
+    return regions.select(region).join(n, region, "left").withColumn(fold, F.coalesce(fold, F.lit(0)))
+
+
+def merged(rows: DataFrame, other: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with the values of the matching row of the other table in place of their own, and its further columns."""
+    more = [c for c in other.columns if c not in (*keys, *values)]
+    o = other.select(*keys, *[F.col(c).alias(f"_{c}") for c in values], *more)
+    out = rows.join(o, keys, "left")
+    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in values else F.col(c) for c in rows.columns], *more)

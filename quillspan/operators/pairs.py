@@ -90,3 +90,24 @@ def correlation_matrix(values: DataFrame, row: str, column: str, value: str) ->
     v = values.filter(F.col(value).isNotNull()).select(row, column, value)
     a, b = (v.select(F.col(row).alias(s), column, F.col(value).alias(f"v{s}")) for s in "ij")
     return a.join(b, column).filter("i < j").groupBy("i", "j").agg(F.corr("vi", "vj").alias("r"))
+
+
+def called_ratio_2d(pairs: DataFrame, a: Column, b: Column, called: Column) -> DataFrame:
+    """Called and all measured pairs by bins of both ends, counted in both orders, and their ratio."""
+    ends = F.explode(F.array(F.struct(a.alias("x"), b.alias("y")), F.struct(b.alias("x"), a.alias("y"))))
+    rows = pairs.select(ends.alias("_e"), called.alias("_c"), "dist")
+    n = rows.groupBy(F.col("_e.x").alias("bin_i"), F.col("_e.y").alias("bin_j")).agg(F.count_if("_c").alias("called"), F.count("dist").alias("n"))
+    return n.withColumn("ratio", F.try_divide(F.col("called").cast("double"), F.col("n")))
+
+
+def maps_by_state(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Median map of the traces of each state."""
+    return pairs.join(state, "trace").groupBy("state", "i", "j").agg(F.median("dist").alias("median_dist"))
+
+
+def nearest_copies(points: DataFrame, cell: str, copy: str) -> DataFrame:
+    """cell, i < j and the least distance of the two loci over all pairs of the cell's copies."""
+    good = points.dropna(subset=XYZ)
+    side = lambda s: good.select(cell, F.col("locus").alias(s), F.col(copy).alias(f"_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in XYZ])
+    both = side("i").join(side("j"), cell).filter("i < j")
+    return both.groupBy(cell, "i", "j").agg(F.min(distance([F.col(f"{c}_i") for c in XYZ], [F.col(f"{c}_j") for c in XYZ])).alias("dist"))

@@ -62,14 +62,14 @@ def domain_contacts(seg_pairs: DataFrame, cutoff: float) -> DataFrame:
     return seg_pairs.groupBy("seg_i", "seg_j").agg(F.try_divide(F.count_if(F.col("dist") <= cutoff).cast("double"), F.count("dist")).alias("contact"))
 
 
-def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, most_correlation: float = 0.05, flexible: float = 0.2) -> DataFrame:
-    """Segments of each trace: start from runs of ``size`` loci and drop boundaries one at a time.  A boundary can go if the segments
+def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, most_correlation: float = 0.05, flexible: float = 0.2, starts: DataFrame | None = None) -> DataFrame:
+    """Segments of each trace: start from runs of ``size`` loci (or the segments ``starts``) and drop boundaries one at a time.  A boundary can go if the segments
     beside it are near both by distance (median effect, not below 0) and by correlation (distance of their mean rows in the
     correlation map of the interpolated trace, over its loci), or if one of the two is ``flexible`` below its bound and the other no
     more than that above; of these the one with the least sum of both over their bounds goes.  Sequential by nature, so a
     grouped-map function; a trace fits in a task."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(pdf: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values("locus")
         xyz, loci = pdf[["z", "x", "y"]].to_numpy(float), pdf["locus"].to_numpy()
         good = ~np.isnan(xyz).any(1)
@@ -79,7 +79,7 @@ def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, mos
         whole = np.column_stack([filled(xyz[:, k]) for k in range(3)])
         with np.errstate(invalid="ignore", divide="ignore"):
             corr = np.corrcoef(np.sqrt(((whole[:, None] - whole[None]) ** 2).sum(-1)))
-        starts = list(range(0, len(loci), size))
+        cuts = list(range(0, len(loci), size)) if given is None else sorted(np.searchsorted(loci, given["first"]).tolist())
 
         def effect(a: int, m: int, b: int) -> float:
             across = d[a:m, m:b].ravel()
@@ -91,10 +91,10 @@ def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, mos
             spread = np.median((across - one) ** 2) + np.median((inner - two) ** 2)
             return max(float((one - two) / np.sqrt(spread)), 0.0) if spread else 0.0
 
-        while len(starts) > 1:
-            edges = [*starts, len(loci)]
+        while len(cuts) > 1:
+            edges = [*cuts, len(loci)]
             rows = [corr[a:b].mean(0) for a, b in zip(edges, edges[1:], strict=False)]
-            near = np.array([effect(*edges[k - 1 : k + 2]) for k in range(1, len(starts))])
+            near = np.array([effect(*edges[k - 1 : k + 2]) for k in range(1, len(cuts))])
             alike = np.array([float(np.sqrt(((u - v) ** 2).sum())) / len(loci) for u, v in zip(rows, rows[1:], strict=False)])
             may = np.zeros(len(near), bool)
             for up, down in ((0, 0), (flexible, -flexible), (-flexible, flexible)):
@@ -102,11 +102,12 @@ def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, mos
             if not may.any():
                 break
             cost = np.where(may, near / most_distance + alike / most_correlation, np.inf)
-            del starts[int(np.argmin(cost)) + 1]
-        edges = [*starts, len(loci)]
-        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(starts)), "first": loci[starts], "last": loci[np.array(edges[1:]) - 1]})
+            del cuts[int(np.argmin(cost)) + 1]
+        edges = [*cuts, len(loci)]
+        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(cuts)), "first": loci[cuts], "last": loci[np.array(edges[1:]) - 1]})
 
-    return points.select("trace", "locus", "z", "x", "y").groupBy("trace").applyInPandas(merge, "trace long, segment long, first long, last long")
+    schema, rows = "trace long, segment long, first long, last long", points.select("trace", "locus", "z", "x", "y").groupBy("trace")
+    return rows.applyInPandas(lambda pdf: merge(pdf), schema) if starts is None else rows.cogroup(starts.groupBy("trace")).applyInPandas(lambda pdf, given: merge(pdf, given), schema)
 
 
 def filled(v: np.ndarray) -> np.ndarray:

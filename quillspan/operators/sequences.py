@@ -18,6 +18,12 @@ def kmer_counts(rows: DataFrame, id_: str, sequence: Column, k: int, most: int =
     return kmer_rows(rows, id_, sequence, k).groupBy("kmer").agg(F.least(F.count("*"), F.lit(most)).cast("long").alias("n"))
 
 
+def kmer_counts_of(rows: DataFrame, id_: str, sequence: Column, k: int, wanted: DataFrame, most: int = 65535) -> DataFrame:
+    """kmer_counts of the wanted k-mers (kmer, distinct) only: the others leave before the shuffle where the list is small enough to be
+    broadcast (Spark checks its size), else by a semi-join."""
+    return kmer_rows(rows, id_, sequence, k).join(wanted, "kmer", "left_semi").groupBy("kmer").agg(F.least(F.count("*"), F.lit(most)).cast("long").alias("n"))
+
+
 def off_target_hits(probes: DataFrame, counts: DataFrame, id_: str, sequence: Column, k: int, both_strands: bool = False) -> DataFrame:
     """Sum of the counts of each probe's k-mers.  Repeated k-mers of a probe are looked up once and weighted, so the join carries one
     row for each probe and distinct k-mer."""

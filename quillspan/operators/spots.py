@@ -204,3 +204,58 @@ def decode_by_em(candidates: DataFrame, rounds: int = 5) -> DataFrame:
             scored = scored.join(cdf, F.col(c).eqNullSafe(F.col("_value"))).withColumn("score", F.col("score") * (F.col("_cdf") if c == "brightness" else 1 - F.col("_cdf") + 0.001)).drop("_value", "_cdf")
         chosen = written(scored.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").drop("_r"))
     return chosen
+
+
+def refined(candidates: DataFrame, centres: DataFrame, brightness: str, reach: float) -> DataFrame:
+    """By trace, locus and side: the candidates go to the side of their nearest centre (trace, side, place; ties: least side); of each
+    locus and side the brightest within the reach of the centre stays, else the nearest (ties: least candidate)."""
+    c = centres.select("trace", "side", *[F.col(x).alias(f"{x}_c") for x in ("z", "x", "y")])
+    d = distance([F.col(x) for x in ("z", "x", "y")], [F.col(f"{x}_c") for x in ("z", "x", "y")])
+    off = candidates.join(c, "trace").withColumn("_d", F.round(d, 12))
+    own = off.withColumn("_r", F.row_number().over(W.partitionBy("trace", "locus", "candidate").orderBy("_d", "side"))).filter("_r = 1")
+    near = F.col("_d") < reach
+    order = W.partitionBy("trace", "locus", "side").orderBy(F.when(near, 0).otherwise(1), F.when(near, -F.col(brightness)).otherwise(F.col("_d")), "candidate")
+    return own.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "_d", "z_c", "x_c", "y_c")
+
+
+def midpoints(a: DataFrame, b: DataFrame, by: list[str], id_: str, brightness: str, axes: list[str], reach: float) -> DataFrame:
+    """Candidates of two readouts: pairs within the reach, at the middle of both, with the sum of their brightness."""
+    from quillspan.operators.joins import radius_join
+
+    near = radius_join(a.withColumnRenamed(id_, "a"), b.withColumnRenamed(id_, "b"), axes, reach, by, "a", "b")
+    side = lambda rows, s: rows.select(*by, F.col(id_).alias(s), F.col(brightness).alias(f"_v{s}"), *[F.col(c).alias(f"{c}_{s}") for c in axes])
+    both = near.join(side(a, "a"), [*by, "a"]).join(side(b, "b"), [*by, "b"])
+    return both.select(*by, "a", "b", *[((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2).alias(c) for c in axes], (F.col("_va") + F.col("_vb")).alias("brightness"))
+
+
+def rigid(pairs: DataFrame, by: str) -> DataFrame:
+    """By group of matched points (z, x, y) and (z2, x2, y2): the rotation (nine numbers by row) and translation with the least squared
+    error from the first to the second, and that error's root mean square.  Nine sums a group leave the data; the rest is a 3 x 3
+    problem, solved in a grouped-map function over one row."""
+    one, two = ["z", "x", "y"], ["z2", "x2", "y2"]
+    good = pairs.dropna(subset=[*one, *two])
+    sums = good.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in [*one, *two]], *[F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a in one for b in two], *[F.avg(F.col(c) * F.col(c)).alias(f"q_{c}") for c in [*one, *two]])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        m1, m2 = np.array([r[f"m_{c}"] for c in one]), np.array([r[f"m_{c}"] for c in two])
+        h = np.array([[r[f"p_{a}_{b}"] for b in two] for a in one]) - np.outer(m1, m2)
+        u, s, vt = np.linalg.svd(h)
+        flip = np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1])
+        turn = vt.T @ flip @ u.T
+        spread = sum(r[f"q_{c}"] for c in [*one, *two]) - m1 @ m1 - m2 @ m2
+        error = float(np.sqrt(max(spread - 2 * np.trace(np.diag(s) @ flip), 0)))
+        return pd.DataFrame({by: [r[by]], "n": [int(r["n"])], "rotation": [turn.ravel().tolist()], "translation": [(m2 - turn @ m1).tolist()], "error": [error]})
+
+    return sums.groupBy(by).applyInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, n long, rotation array<double>, translation array<double>, error double")
+
+
+def channels(rows: DataFrame, number: str, n: int) -> DataFrame:
+    """The channel and frame of interleaved images by their number."""
+    return rows.withColumn("channel", F.pmod(number, F.lit(n)).cast("long")).withColumn("frame", F.floor(F.col(number) / n))
+
+
+def first_place(rows: DataFrame, by: str, order: list[str], marked: Column) -> DataFrame:
+    """by and the place (from 1) of the group's first marked row in order; 0 without one."""
+    n = rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).withColumn("_m", marked)
+    return n.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("_m"), F.col("_n"))), F.lit(0)).cast("long").alias("place"))

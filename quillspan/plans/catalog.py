@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions import columns as C
-from quillspan.operators import aggregates, decode, density, joins, ordered, pairs, segments, sequences
+from quillspan.operators import aggregates, codes, decode, density, joins, ordered, pairs, segments, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,14 +590,16 @@ def gc_content(spark, sf):
 
 @query(f"WITH {_kmer_sql('k', 'doc_id', 'documents', 8)}, c AS (SELECT kmer, least(count(*), 65535) AS n FROM k GROUP BY 1), {_kmer_sql('q', 'item_id', 'benchmark', 8)} SELECT b.item_id, coalesce(sum(n), 0)::BIGINT AS hits FROM benchmark b LEFT JOIN q USING (item_id) LEFT JOIN c USING (kmer) GROUP BY 1")
 def offtarget_sum(spark, sf):
-    counts = sequences.kmer_counts(table(spark, sf, "documents"), "doc_id", _letters(), 8)
-    return sequences.off_target_hits(table(spark, sf, "benchmark"), counts, "item_id", _letters(), 8)
+    probes = table(spark, sf, "benchmark")
+    counts = sequences.kmer_counts_of(table(spark, sf, "documents"), "doc_id", _letters(), 8, codes.wanted(probes, _letters(), 8))
+    return sequences.off_target_hits(probes, counts, "item_id", _letters(), 8)
 
 
 @query(f"WITH {_kmer_sql('k', 'doc_id', 'documents', 14)}, c AS (SELECT kmer, least(count(*), 65535) AS n FROM k GROUP BY 1), {_kmer_sql('q', 'item_id', 'benchmark', 14)}, h AS (SELECT b.item_id, coalesce(sum(n), 0) AS hits FROM benchmark b LEFT JOIN q USING (item_id) LEFT JOIN c USING (kmer) GROUP BY 1) SELECT item_id FROM h WHERE hits <= 200")
 def screen_anti(spark, sf):
-    counts = sequences.kmer_counts(table(spark, sf, "documents"), "doc_id", _letters(), 14)
-    return sequences.screened(table(spark, sf, "benchmark"), counts, "item_id", _letters(), 14, 200).select("item_id")
+    probes = table(spark, sf, "benchmark")
+    counts = sequences.kmer_counts_of(table(spark, sf, "documents"), "doc_id", _letters(), 14, codes.wanted(probes, _letters(), 14))
+    return sequences.screened(probes, counts, "item_id", _letters(), 14, 200).select("item_id")
 
 
 @query(f"""WITH {_kmer_sql('k', 'item_id', 'benchmark', 10)}, u AS (SELECT item_id AS i, kmer, count(*) AS times FROM k GROUP BY 1, 2),

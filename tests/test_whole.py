@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import decode, joins, sequences, spots
-from quillspan.plans import catalog, more  # noqa: F401
+from quillspan.plans import catalog, more, wider  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 POINT = "trace long, locus long, z double, x double, y double"
