@@ -349,11 +349,11 @@ def matched_seeds(spark, sf):
     return joins.matched_seeds(_near(spark, sf, 0.15), ["trace"], "a", "b").select("trace", "a", "b", *r6("dist"))
 
 
-_BOOK = "book AS (SELECT n_nationkey AS code, n_nationkey % 10 AS r1, (n_nationkey * 3 + 1) % 10 AS r2 FROM nation WHERE n_nationkey < 8)"
+_BOOK = "book AS (SELECT n_nationkey AS code, n_nationkey % 5 AS r1, 5 + n_nationkey // 5 AS r2 FROM nation)"
 
 
 def _codebook(spark, sf):
-    return table(spark, sf, "nation").filter("n_nationkey < 8").select(F.col("n_nationkey").alias("code"), (F.col("n_nationkey") % 10).cast("long").alias("r1"), ((F.col("n_nationkey") * 3 + 1) % 10).cast("long").alias("r2"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), (F.col("n_nationkey") % 5).cast("long").alias("r1"), (5 + F.floor(F.col("n_nationkey") / 5)).cast("long").alias("r2"))
 
 
 @query(f"""WITH {P}, {_BOOK}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, a.label AS r1, b.label AS r2 FROM pts a JOIN pts b ON a.trace = b.trace AND a.locus % 2 = 0 AND b.locus % 2 = 1 AND {_DIST} <= 0.15)
@@ -536,11 +536,11 @@ def readout_filter(spark, sf):
     return _probes(spark, sf).select("p_partkey", codes.good_readout(F.col("s"), (0.2, 0.7), 3, 6, (0.1, 0.4)).alias("good"))
 
 
-@query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, 'r' || item_id AS name, {_SEQ} AS s FROM benchmark), t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name, upper(n_name) AS s FROM nation WHERE n_regionkey = 1)
+@query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, 'r' || item_id AS name, {_SEQ} AS s FROM benchmark), t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name, upper(n_name) AS s FROM nation)
 SELECT r.name || '_2x' || t.n_name AS name, right(r.s, 20) || left(t.s, 20) || left(t.s, 20) AS adaptor FROM r JOIN t ON t.k = r.n % (SELECT count(*) FROM t)""")
 def adaptors(spark, sf):
     b = table(spark, sf, "benchmark").select((F.row_number().over(W.orderBy("item_id")) - 1).alias("n"), F.concat(F.lit("r"), "item_id").alias("name"), _letters().alias("sequence"))
-    s = table(spark, sf, "nation").filter("n_regionkey = 1").select((F.row_number().over(W.orderBy("n_nationkey")) - 1).alias("n"), F.col("n_name").alias("name"), F.upper("n_name").alias("sequence"))
+    s = table(spark, sf, "nation").select((F.row_number().over(W.orderBy("n_nationkey")) - 1).alias("n"), F.col("n_name").alias("name"), F.upper("n_name").alias("sequence"))
     return codes.adaptors(b, s)
 
 

@@ -15,10 +15,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quillspan.functions.columns import coordinate
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name under spark.checkpoint.dir; under a temporary one only where that is unset and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder in spark.checkpoint.dir and read again; a local one only where that is unset."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspan-")
-    path = f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    """The frame, written to a shared folder and read again."""
+    path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,6 +79,20 @@ def write_fasta(rows: DataFrame, path: str, name: str, sequence: str) -> None:
     rows.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(sequence)).alias("value")).write.text(path)
 
 
+def combine_fasta(spark: SparkSession, paths: list[str], path: str) -> None:
+    """The records of several FASTA files as one folder of them."""
+    rows = None
+    for one in paths:
+        found = read_fasta(spark, one).select("name", "sequence")
+        rows = found if rows is None else rows.unionByName(found)
+    write_fasta(rows, path, "name", "sequence")
+
+
+def shows(usage: DataFrame, marker: str) -> DataFrame:
+    """Where the color usage names a marker (beads, DAPI; in any case): hyb and channel."""
+    return usage.filter(F.lower("content") == marker.lower()).select("hyb", "channel")
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], overwrite: bool = False) -> DataFrame:
     """Rows of both by key; the existing row of a key stays unless ``overwrite``."""
     first, second = (new, existing) if overwrite else (existing, new)
