@@ -48,10 +48,16 @@ def longest_run_below(sequence: Column, limit: int) -> Column:
 
 def kmers(sequence: Column, k: int) -> Column:
     """All substrings of length k in order, as an array (empty if the sequence is shorter)."""
-    # letters are split once: a substring of a string is found by walking it from its start
-    words = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))
-    letters = F.filter(F.split(sequence, ""), lambda c: c != "")
-    return F.transform(F.array(letters), lambda c: F.when(F.size(c) >= k, words(c)).otherwise(F.array().cast("array<string>")))[0]
+    # a substring is found by walking the string from its start, so it is cut into smaller and smaller pieces first
+    def cut(s: Column, sizes: list[int]) -> Column:
+        n = F.length(s) - k
+        if not sizes:
+            return F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(s, i + 1, F.lit(k)))
+        size, rest = sizes[0], sizes[1:]
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda i: let(F.substring(s, i * size + 1, F.lit(size + k - 1)), lambda p: cut(p, rest))))
+
+    none = F.array().cast("array<string>")
+    return let(sequence, lambda s: F.when(F.length(s) < k, none).otherwise(cut(s, [1 << 18, 1 << 12, 64])))
 
 
 def kmer_code(word: Column) -> Column:

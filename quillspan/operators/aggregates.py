@@ -144,3 +144,14 @@ def histogram_mode(rows: DataFrame, by: list[str], value: str, width: float) ->
     """The middle of the fullest bin (ties: the least): the background of a distribution."""
     bins = rows.groupBy(*by, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     return bins.groupBy(*by).agg(((F.max_by("bin", F.struct("n", -F.col("bin"))) + 0.5) * width).alias("mode"))
+
+
+def frequency(rows: DataFrame, by: list[str], event: Column) -> DataFrame:
+    """Share of a group's rows with the event (bursting frequency), and their number."""
+    return rows.groupBy(*by).agg(F.avg(event.cast("double")).alias("frequency"), F.count("*").alias("n"))
+
+
+def members(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The values of each group in order, joined by commas, and their number.  A group's values make one text."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",")
+    return rows.groupBy(*by).agg(text.alias("members"), F.count("*").alias("n"))

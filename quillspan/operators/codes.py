@@ -162,3 +162,44 @@ def wanted(probes: DataFrame, sequence: Column, k: int) -> DataFrame:
     """The distinct k-mers of the probes, on both strands."""
     rows = probes.select(F.explode(kmers(sequence, k)).alias("kmer"))
     return rows.unionByName(rows.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
+
+
+def balanced_codes(regions: list[int], codes: list[tuple[int, int]], rounds: int, steps: int = 2000, seed: int = 0) -> tuple[dict[int, tuple[int, int]], float]:
+    """A code (two rounds) for each region, numbered along its chromosome (``regions``: the chromosome of each), so that every chromosome's
+    spots spread evenly over the rounds: hill-climbing by swaps, on the driver, for a design table.  Returns the codes and the greatest
+    population deviation of the spots by round of a chromosome."""
+    import random
+
+    rng = random.Random(seed)
+    order = list(codes)
+    rng.shuffle(order)
+    if len(order) < len(regions):
+        raise ValueError("fewer codes than regions")
+    load: dict[int, list[int]] = {c: [0] * rounds for c in regions}
+    for c, code in zip(regions, order, strict=False):
+        for r in code:
+            load[c][r] += 1
+    squares = lambda c: sum(x * x for x in load[c])  # noqa: E731  the mean is fixed, so the deviation falls with them
+    for _ in range(steps):
+        i, j = rng.randrange(len(regions)), rng.randrange(len(order))
+        other = regions[j] if j < len(regions) else None
+        if other == regions[i]:
+            continue
+        touched = [c for c in (regions[i], other) if c is not None]
+        before = sum(map(squares, touched))
+
+        def move(sign: int) -> None:
+            for c, out, new in ((regions[i], order[i], order[j]), (other, order[j], order[i])):
+                if c is not None:
+                    for r in out:
+                        load[c][r] -= sign
+                    for r in new:
+                        load[c][r] += sign
+
+        move(1)
+        if sum(map(squares, touched)) <= before:
+            order[i], order[j] = order[j], order[i]
+        else:
+            move(-1)
+    spread = lambda v: math.sqrt(sum((x - sum(v) / rounds) ** 2 for x in v) / rounds)
+    return dict(enumerate(order[: len(regions)])), max(map(spread, load.values()))

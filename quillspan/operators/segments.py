@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import distance, effect_of, ks_of, mean_of, median_of
@@ -118,3 +118,8 @@ def filled(v: np.ndarray) -> np.ndarray:
         slope = (v[ends[1]] - v[ends[0]]) / (ends[1] - ends[0])
         out[beyond] = v[ends[0]] + slope * (beyond - ends[0])
     return out
+
+
+def purity(rows: DataFrame, by: list[str], member: Column) -> DataFrame:
+    """Share of a segment's loci that belong to a class."""
+    return rows.groupBy(*by).agg(F.avg(member.cast("double")).alias("purity"))

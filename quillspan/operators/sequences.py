@@ -80,3 +80,8 @@ def unused_pairs(codes: DataFrame, used: DataFrame, most: int = 10_000) -> DataF
 
 def assembled(rows: DataFrame, parts: list[Column]) -> DataFrame:
     return rows.withColumn("probe", F.concat(*parts))
+
+
+def fewest_hits(hits: DataFrame, by: list[str], id_: str, k: int) -> DataFrame:
+    """The k probes of each region with the fewest hits (ties: least id)."""
+    return hits.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("hits", id_))).filter(F.col("_r") <= k).drop("_r")

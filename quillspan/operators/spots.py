@@ -259,3 +259,51 @@ def first_place(rows: DataFrame, by: str, order: list[str], marked: Column) -> D
     """by and the place (from 1) of the group's first marked row in order; 0 without one."""
     n = rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).withColumn("_m", marked)
     return n.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("_m"), F.col("_n"))), F.lit(0)).cast("long").alias("place"))
+
+
+def share_ambiguous(candidates: DataFrame, by: list[str], locus: str) -> DataFrame:
+    """By group: the share of its loci with more than one candidate, an estimate of the coverage error."""
+    n = candidates.groupBy(*by, locus).agg(F.count("*").alias("_n"))
+    return n.groupBy(*by).agg(F.avg((F.col("_n") > 1).cast("double")).alias("share_ambiguous"))
+
+
+def median_centres(points: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
+    """Median place of each group's measured points."""
+    return points.dropna(subset=axes).groupBy(*by).agg(*[F.median(c).alias(c) for c in axes])
+
+
+def repeat_ratios(rows: DataFrame, key: str, repeat: str, value: str) -> DataFrame:
+    """key and the median of repeat 0 over that of repeat 1, where both were measured."""
+    m = rows.groupBy(key).agg(*[F.median(F.when(F.col(repeat) == k, F.col(value))).alias(f"m{k}") for k in (0, 1)])
+    return m.dropna().select(key, F.try_divide("m0", "m1").alias("ratio"))
+
+
+def dealt_readouts(rows: DataFrame, readouts: DataFrame, number: str, name: str, channels: int) -> DataFrame:
+    """Rows with a channel and a readout (numbered from 0) by their number, in turn."""
+    n = readouts.agg(F.count("*").alias("_c"))
+    keyed = rows.join(F.broadcast(n)).withColumn("_r", F.pmod(number, "_c"))
+    return keyed.join(readouts.select(F.col("n").alias("_r"), F.col(name).alias("readout")), "_r").withColumn("channel", F.pmod(number, F.lit(channels))).drop("_r", "_c")
+
+
+def decode_with_centres(candidates: DataFrame, centres: DataFrame, rounds: int = 5) -> DataFrame:
+    """decode_by_em with a third feature: the distance to the nearer of the group's two centres (trace, side, z, x, y); the chosen
+    candidates carry their side, at most one for each locus and side.  Centres are refreshed as the medians of the chosen ones."""
+    from quillspan.operators.aggregates import pooled_cdf
+    from quillspan.sources.files import written
+
+    axes = ["z", "x", "y"]
+    w = W.partitionBy("trace", "locus", "side").orderBy(F.desc("score"), "candidate")
+    chosen = None
+    for _ in range(rounds):
+        c = centres.select("trace", "side", *[F.col(x).alias(f"{x}_c") for x in axes])
+        near = candidates.join(c, "trace").withColumn("centre_dist", distance([F.col(x) for x in axes], [F.col(f"{x}_c") for x in axes])).drop(*[f"{x}_c" for x in axes])
+        near = near.withColumn("_r", F.row_number().over(W.partitionBy("trace", "locus", "candidate").orderBy(F.round("centre_dist", 12), "side"))).filter("_r = 1").drop("_r")
+        near = written(near)
+        pool = near if chosen is None else chosen
+        scored = near.withColumn("score", F.lit(1.0))
+        for name in ("brightness", "spread", "centre_dist"):
+            cdf = pooled_cdf(near, pool, name)
+            scored = scored.join(cdf, F.col(name).eqNullSafe(F.col("_value"))).withColumn("score", F.col("score") * (F.col("_cdf") if name == "brightness" else 1 - F.col("_cdf") + 0.001)).drop("_value", "_cdf")
+        chosen = written(scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r"))
+        centres = chosen.groupBy("trace", "side").agg(*[F.median(x).alias(x) for x in axes])
+    return chosen

@@ -1,6 +1,6 @@
 """The reference operators' queries over the driver tables, with their DuckDB SQL.
 
-``embeddings`` stand for points: trace = vec_id % 5, locus = vec_id div 5, the first three numbers are z, x, y, every eleventh
+``embeddings`` stand for points: trace = vec_id div 100, locus = vec_id % 100, the first three numbers are z, x, y, every eleventh
 vector is undetected (null), and labels below 5 are class A.  ``events`` by user in order of time are ordered series.  Numbers
 are rounded to six places on both sides.
 """
@@ -44,7 +44,7 @@ def r6(*names: str) -> list:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("vec_id") % 11 != 0
     axis = lambda i, n: F.when(seen, F.col("embedding")[i].cast("double")).alias(n)
-    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("trace"), F.floor(F.col("vec_id") / 5).cast("long").alias("locus"), axis(0, "z"), axis(1, "x"), axis(2, "y"), F.when(F.col("label") < 5, "A").otherwise("B").alias("cls"), F.col("label").cast("long").alias("label"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("long").alias("trace"), (F.col("vec_id") % 100).alias("locus"), axis(0, "z"), axis(1, "x"), axis(2, "y"), F.when(F.col("label") < 5, "A").otherwise("B").alias("cls"), F.col("label").cast("long").alias("label"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), n.alias("locus"), "event_id", "event_type", "value", (F.col("event_type") == "purchase").alias("on"))
 
 
-P = """pts AS (SELECT vec_id % 5 AS trace, vec_id // 5 AS locus, CASE WHEN vec_id % 11 <> 0 THEN embedding[1]::DOUBLE END AS z,
+P = """pts AS (SELECT vec_id // 100 AS trace, vec_id % 100 AS locus, CASE WHEN vec_id % 11 <> 0 THEN embedding[1]::DOUBLE END AS z,
 CASE WHEN vec_id % 11 <> 0 THEN embedding[2]::DOUBLE END AS x, CASE WHEN vec_id % 11 <> 0 THEN embedding[3]::DOUBLE END AS y,
 CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS cls, label::BIGINT AS label FROM embeddings)"""
 D = P + """, d AS (SELECT a.trace, a.locus AS i, b.locus AS j, sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist,
@@ -188,7 +188,7 @@ def cond_rate(spark, sf):
 
 @query("SELECT user_id, round(avg((event_type = 'purchase')::INT), 6) AS frequency, count(*) AS n FROM events GROUP BY 1")
 def burst_freq(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") == "purchase").cast("double")), 6).alias("frequency"), F.count("*").alias("n"))
+    return aggregates.frequency(table(spark, sf, "events"), ["user_id"], F.col("event_type") == "purchase").select("user_id", *r6("frequency"), "n")
 
 
 @query(f"""WITH {S}, m AS (SELECT trace, median(CASE WHEN "on" THEN value END) AS a, median(CASE WHEN NOT "on" THEN value END) AS b FROM s GROUP BY 1)
@@ -441,7 +441,8 @@ def segregation(spark, sf):
 
 @query(f"WITH {P} SELECT trace, locus // 10 AS segment, round(avg((cls = 'A')::INT), 6) AS purity FROM pts GROUP BY 1, 2")
 def segment_purity(spark, sf):
-    return points(spark, sf).groupBy("trace", F.floor(F.col("locus") / 10).alias("segment")).agg(F.round(F.avg((F.col("cls") == "A").cast("double")), 6).alias("purity"))
+    p = points(spark, sf).withColumn("segment", F.floor(F.col("locus") / 10))
+    return segments.purity(p, ["trace", "segment"], F.col("cls") == "A").select("trace", "segment", *r6("purity"))
 
 
 # --- joins

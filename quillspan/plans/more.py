@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions import columns as C
-from quillspan.operators import density, sequences, spots
+from quillspan.operators import aggregates, density, sequences, spots
 from quillspan.plans.catalog import _SEQ, P, D, S, _candidates, _kmer_sql, _letters, _near, _pairs, points, query, r6, series, table
 
 _XYZ = ["z", "x", "y"]
@@ -40,19 +39,19 @@ def recombined(spark, sf):
     return spots.replaced(p, p.filter("locus % 5 = 0").withColumn("label", F.lit(99).cast("long")), ["trace", "locus"], ["label"])
 
 
-@query(f"WITH {P}, d AS (SELECT sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON b.trace = (a.trace + 1) % 5 AND a.locus = b.locus) SELECT round(avg((d >= 0.2)::INT), 6) AS changed, count(d) AS n FROM d")
+@query(f"WITH {P}, d AS (SELECT sqrt((a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON b.trace = a.trace + 1 AND a.locus = b.locus) SELECT round(avg((d >= 0.2)::INT), 6) AS changed, count(d) AS n FROM d")
 def evaluate_differences(spark, sf):
     p = points(spark, sf)
-    other = p.withColumn("trace", (F.col("trace") + 4) % 5)
+    other = p.withColumn("trace", F.col("trace") - 1)
     return spots.share_changed(p, other, ["trace", "locus"], _XYZ, 0.2).select(*r6("changed"), "n")
 
 
-@query(f"""WITH {P} SELECT trace, locus, label FROM pts p WHERE EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND sqrt((p.z-r.z)*(p.z-r.z)+(p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) <= 0.3)
-OR NOT EXISTS (SELECT 1 FROM pts r WHERE r.trace = (p.trace + 1) % 5 AND r.label = p.label AND r.z IS NOT NULL)""")
+@query(f"""WITH {P} SELECT trace, locus, label FROM pts p WHERE EXISTS (SELECT 1 FROM pts r WHERE r.trace = p.trace + 1 AND r.label = p.label AND sqrt((p.z-r.z)*(p.z-r.z)+(p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) <= 0.3)
+OR NOT EXISTS (SELECT 1 FROM pts r WHERE r.trace = p.trace + 1 AND r.label = p.label AND r.z IS NOT NULL)""")
 def spot_screening(spark, sf):
     """All points, screened against all points of the next trace."""
     p = points(spark, sf)
-    reference = p.withColumn("trace", (F.col("trace") + 4) % 5)
+    reference = p.withColumn("trace", F.col("trace") - 1)
     return spots.near_reference(p, reference, ["trace", "label"], _XYZ, 0.3, keep_without=True).select("trace", "locus", "label")
 
 
@@ -88,34 +87,29 @@ def assemble_probes(spark, sf):
 
 @query("SELECT p_partkey, (p_partkey % 3)::BIGINT AS channel, s_name AS readout FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)")
 def readout_channels(spark, sf):
-    readouts = table(spark, sf, "supplier")
-    n = readouts.agg(F.count("*").alias("n"))
-    parts = table(spark, sf, "part").join(n).withColumn("s_suppkey", F.pmod("p_partkey", "n"))
-    return parts.join(readouts, "s_suppkey").select("p_partkey", F.pmod("p_partkey", F.lit(3)).alias("channel"), F.col("s_name").alias("readout"))
+    readouts = table(spark, sf, "supplier").withColumn("n", F.col("s_suppkey"))
+    return spots.dealt_readouts(table(spark, sf, "part"), readouts, "p_partkey", "s_name", 3).select("p_partkey", "channel", "readout")
 
 
 @query("SELECT c_mktsegment, c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS members, count(*) AS n FROM customer GROUP BY 1, 2")
 def partition_map(spark, sf):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",")
-    return table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(ids.alias("members"), F.count("*").alias("n"))
+    return aggregates.members(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey")
 
 
 @query("""WITH r AS (SELECT l_partkey, l_linenumber % 2 AS k, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT a.l_partkey, round(a.m / nullif(b.m, 0), 6) AS ratio FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.k = 0 AND b.k = 1""")
 def quantify_repeats(spark, sf):
-    r = table(spark, sf, "lineitem").groupBy("l_partkey", (F.col("l_linenumber") % 2).alias("k")).agg(F.median("l_quantity").alias("m"))
-    a, b = (r.filter(f"k = {k}").select("l_partkey", F.col("m").alias(f"m{k}")) for k in (0, 1))
-    return a.join(b, "l_partkey").select("l_partkey", F.round(F.try_divide("m0", "m1"), 6).alias("ratio"))
+    rows = table(spark, sf, "lineitem").withColumn("k", F.col("l_linenumber") % 2)
+    return spots.repeat_ratios(rows, "l_partkey", "k", "l_quantity").select("l_partkey", *r6("ratio"))
 
 
 @query(f"WITH {S} SELECT trace, round(avg((n > 1)::INT), 6) AS share_ambiguous FROM (SELECT trace, event_type, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1")
 def coverage_error(spark, sf):
-    n = series(spark, sf).groupBy("trace", "event_type").agg(F.count("*").alias("n"))
-    return n.groupBy("trace").agg(F.round(F.avg((F.col("n") > 1).cast("double")), 6).alias("share_ambiguous"))
+    return spots.share_ambiguous(series(spark, sf), ["trace"], "event_type").select("trace", *r6("share_ambiguous"))
 
 
 @query(f"WITH {P} SELECT trace, label, round(median(z), 6) AS z, round(median(x), 6) AS x, round(median(y), 6) AS y FROM pts WHERE z IS NOT NULL GROUP BY 1, 2")
 def homolog_centers(spark, sf):
-    return points(spark, sf).filter("z is not null").groupBy("trace", "label").agg(*[F.round(F.median(c), 6).alias(c) for c in _XYZ])
+    return spots.median_centres(points(spark, sf), ["trace", "label"], _XYZ).select("trace", "label", *r6(*_XYZ))
 
 
 @query(f"""WITH {P}, g AS (SELECT cls, floor(z * 10)::BIGINT AS cz, floor(x * 10)::BIGINT AS cx, count(*) AS n FROM pts WHERE z IS NOT NULL GROUP BY 1, 2, 3),
@@ -136,7 +130,7 @@ def screen_by_hit(spark, sf):
     b = table(spark, sf, "benchmark")
     counts = sequences.kmer_counts(b, "item_id", _letters(), 8)
     hits = sequences.off_target_hits(b, counts, "item_id", _letters(), 8).withColumn("region", F.col("item_id") % 4)
-    return hits.withColumn("_r", F.row_number().over(W.partitionBy("region").orderBy("hits", "item_id"))).filter("_r <= 5").select("region", "item_id", "hits")
+    return sequences.fewest_hits(hits, ["region"], "item_id", 5).select("region", "item_id", "hits")
 
 
 _E = "sqrt(({0}.z-p.z)*({0}.z-p.z)+({0}.x-p.x)*({0}.x-p.x)+({0}.y-p.y)*({0}.y-p.y))"
@@ -187,3 +181,11 @@ def cluster_compartments(spark, sf):
 @query()
 def decode_em(spark, sf):
     return spots.decode_by_em(_candidates(spark, sf).withColumn("spread", F.abs("z")).drop("score"), 3)
+
+
+@query()
+def decode_em_centres(spark, sf):
+    """The centres of classes A and B are the first guesses of both copies."""
+    p = points(spark, sf).dropna(subset=_XYZ)
+    centres = p.groupBy("trace", F.col("cls").alias("side")).agg(*[F.median(c).alias(c) for c in _XYZ])
+    return spots.decode_with_centres(_candidates(spark, sf).withColumn("spread", F.abs("z")).drop("score"), centres, 3).select("trace", "locus", "side", "candidate")

@@ -419,7 +419,7 @@ def align_in_order(spark, sf):
 def rigid_fit(spark, sf):
     """Rotation and translation that take each trace's points to those of the next trace."""
     p = points(spark, sf).dropna(subset=_XYZ)
-    to = p.select(((F.col("trace") + 4) % 5).alias("trace"), "locus", *[F.col(c).alias(f"{c}2") for c in _XYZ])
+    to = p.select((F.col("trace") - 1).alias("trace"), "locus", *[F.col(c).alias(f"{c}2") for c in _XYZ])
     return spots.rigid(p.join(to, ["trace", "locus"]), "trace")
 
 

@@ -172,3 +172,36 @@ def test_segment_edges(spark):
     s = spark.createDataFrame([(1, k) for k in range(5)], "trace long, segment long")
     assert {(r.a, r.b) for r in interaction.markers(d, s).collect()} == {(1, 3)}
     assert interaction.markers(d, s, neighbours=True, edges=True).count() == 10
+
+
+def test_decode_with_centres(spark):
+    """Against a plain loop: sides by the nearest centre, product of pooled shares, centres refreshed."""
+    rng = random.Random(11)
+    rows = [(t, x, c, *[rng.gauss(5 * (c % 2), 1) for _ in range(3)], rng.random(), rng.random()) for t in (0, 1) for x in range(12) for c in range(4)]
+    start = [(t, s, *[5.0 * (s == "B")] * 3) for t in (0, 1) for s in "AB"]
+    d = spark.createDataFrame(rows, "trace long, locus long, candidate long, z double, x double, y double, brightness double, spread double")
+    got = spots.decode_with_centres(d, spark.createDataFrame(start, "trace long, side string, z double, x double, y double"), 3).collect()
+    centres, chosen = {(t, s): p for t, s, *p in start}, None
+    for _ in range(3):
+        near = [(r, *min((round(math.dist(r[3:6], centres[r[0], s]), 12), s) for s in "AB")) for r in rows]
+        pool = near if chosen is None else chosen
+        share = lambda v, key: sum(key(x) <= v for x in pool) / len(pool)  # noqa: E731, B023
+        keys = [lambda x: x[0][6], lambda x: x[0][7], lambda x: x[1]]
+        score = {x[0][:3]: share(keys[0](x), keys[0]) * (1.001 - share(keys[1](x), keys[1])) * (1.001 - share(keys[2](x), keys[2])) for x in near}
+        best = {}
+        for x in sorted(near, key=lambda x: (-score[x[0][:3]], x[0][2])):
+            best.setdefault((x[0][0], x[0][1], x[2]), x)
+        chosen = list(best.values())
+        centres = {k: [float(np.median([x[0][3 + i] for x in chosen if (x[0][0], x[2]) == k])) for i in range(3)] for k in centres}
+    assert {(r.trace, r.locus, r.candidate, r.side) for r in got} == {(*x[0][:3], x[2]) for x in chosen}
+
+
+def test_balanced_codes():
+    all_codes = list(itertools.combinations(range(8), 2))
+    regions = [c for c in range(3) for _ in range(8)]
+    found, spread = codes.balanced_codes(regions, all_codes, 8, 4000)
+    assert len(set(found.values())) == 24 and set(found) == set(range(24))
+    load = [[sum(r in found[i] for i in range(24) if regions[i] == c) for r in range(8)] for c in range(3)]
+    assert spread == pytest.approx(max(np.std(v) for v in load)) and spread <= 0.75
+    with pytest.raises(ValueError):
+        codes.balanced_codes([0] * 40, all_codes, 8)
