@@ -60,6 +60,11 @@ def kmers(sequence: Column, k: int) -> Column:
     return let(sequence, lambda s: F.when(F.length(s) < k, none).otherwise(cut(s, [1 << 18, 1 << 12, 64])))
 
 
+def kmer_words(sequence: Column, k: int) -> Column:
+    """The same substrings without an order (by their place modulo k), cut by one expression a remainder."""
+    return let(sequence, lambda s: F.concat(*[F.regexp_extract_all(F.substring(s, i + 1, 1 << 30), F.lit(f"(?s).{{{k}}}"), 0) for i in range(k)]))
+
+
 def kmer_code(word: Column) -> Column:
     """Base-4 code, A 0, C 1, G 2, T 3; other letters count as 0."""
     digit = lambda c: F.when(c == "C", 1).when(c == "G", 2).when(c == "T", 3).otherwise(0).cast("long")
