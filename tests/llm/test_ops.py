@@ -267,6 +267,20 @@ def test_chosen_path_counts_many_near_copies(spark):
     assert got[1000].n_copies == got[1001].n_copies == 1 and got[1000].n_links == 0
 
 
+def test_chosen_path_recall(spark):
+    """1,000 pairs of texts with a similarity of 0.8 to 0.9: nearly all are found."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(1000):
+        w = [word() for _ in range(100)]
+        n = rng.randint(5, 10)  # (96 - n) / (96 + n) is 0.90 to 0.81
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-n] + [word() for _ in range(n)]))]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in got) / len(got)
+    assert found >= 0.995, found
+
+
 def test_components(spark):
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(130)] + [(900, 900)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -512,3 +526,26 @@ def chat_body(role, text):
 
 def test_crc_of_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes with matches at its end, through the operators that work on one text at a time."""
+    long = prose(100_000)
+    item = prose(40)
+    text = f"{long}\nwrite to a.b@c.org now.\n{item}"
+    d = spark.createDataFrame([(1, text), (2, "short text."), (1, text)], "doc_id long, text string")
+    found = pii.find(d, pii.fit(d)).filter("doc_id = 1").collect()
+    at = text.index("a.b@c.org")
+    assert len(found) == 2 and all([(x.start, x.end, x.kind) for x in r.pii if x.base] == [(at, at + 9, "email")] for r in found)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for bound in (1 << 20, 0):
+        same([(r.doc_id, r.covered) for r in tiling.contaminated(d, items, bound=bound).collect()], [(1, 40), (1, 40)])
+    same([(r.doc_id, r.n_words, r.n_repeat_words) for r in quality_rules.judge(d).collect()], [(i, *(brute.base_counts(t)[k] for k in (0, 4))) for i, t in ((1, text), (2, "short text."), (1, text))])
+    pages = d.select(F.monotonically_increasing_id().alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    back = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(pages).collect()}
+    assert sorted(back.values()) == [(11, "response"), (len(text.encode()), "response"), (len(text.encode()), "revisit")]
+    turns = d.filter("doc_id = 1").limit(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    got = chat.digest(chat.format_chats(turns, chat.vocabulary(tokenizer_path()))).first()
+    assert (got.n_turns, got.loss_chars) == (1, len(text)) and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    clean = pii.redact(d, pii.fit(d)).filter("doc_id = 1").first().text
+    assert clean == text.replace("a.b@c.org", "[EMAIL]")
