@@ -103,3 +103,8 @@ def ks_of(a: Column, b: Column) -> Column:
     share = lambda v, t: F.size(F.filter(v, lambda x: x <= t)) / F.size(v)
     most = F.array_max(F.transform(F.array_distinct(F.concat(a, b)), lambda t: F.abs(share(a, t) - share(b, t))))
     return most * F.signum(median_of(a) - median_of(b))
+
+
+def lookup(table: Column, key: Column, default: Column) -> Column:
+    """The map's value of the key, or the default."""
+    return F.coalesce(F.try_element_at(table, key), default)

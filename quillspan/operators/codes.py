@@ -203,3 +203,27 @@ def balanced_codes(regions: list[int], codes: list[tuple[int, int]], rounds: int
             move(-1)
     spread = lambda v: math.sqrt(sum((x - sum(v) / rounds) ** 2 for x in v) / rounds)
     return dict(enumerate(order[: len(regions)])), max(map(spread, load.values()))
+
+
+def rounds_of(codebook: DataFrame) -> DataFrame:
+    """Which regions (code) show in which round, of a codebook (code, r1, r2)."""
+    return codebook.select(F.explode(F.array("r1", "r2")).alias("round"), "code")
+
+
+def regions_of(codebook: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Every code (code, r1, r2) with the least region that shows in both of its rounds (round, region); null without one."""
+    one, two = (rounds.select(F.col("round").alias(r), F.col("region")) for r in ("r1", "r2"))
+    both = codebook.join(one, "r1").join(two, ["r2", "region"]).groupBy("code").agg(F.min("region").alias("region"))
+    return codebook.join(both, "code", "left").select("code", "region")
+
+
+def halved_rounds(rounds: DataFrame, chromosome: str, total: int) -> DataFrame:
+    """Rounds (round, region) split in two: the regions of a chromosome in a round go in turn to it and to round + ``total``."""
+    w = W.partitionBy("round", chromosome).orderBy("region")
+    return rounds.withColumn("half", F.col("round") + total * ((F.row_number().over(w) - 1) % 2))
+
+
+def unique_matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of both that share a key which the right side has once."""
+    once = right.withColumn("_n", F.count("*").over(W.partitionBy(key))).filter("_n = 1").drop("_n")
+    return left.join(once, key)

@@ -81,3 +81,12 @@ def axis_projection(points: DataFrame, group: str, one: str, two: str) -> DataFr
     dot = sum(((F.col(c) - (F.col(f"a{c}") + F.col(f"b{c}")) / 2) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in XYZ), F.lit(0.0))
     size = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in XYZ), F.lit(0.0)))
     return both.withColumn("along", F.try_divide(dot, size)).drop(*[f"{s}{c}" for s in "ab" for c in XYZ])
+
+
+def mask_score(a: DataFrame, b: DataFrame, cell: list[str], percent: float = 50.0) -> DataFrame:
+    """sqrt((1 - common / cells of a) * (1 - common / cells of b)) of the cells whose density is above the percentile of the positive ones."""
+    q = lambda rows: rows.filter("density > 0").agg(F.percentile("density", F.lit(percent / 100)).alias("_q"))
+    mask = lambda rows, name: rows.join(F.broadcast(q(rows))).filter("density > _q").select(*cell, F.lit(1).alias(name))
+    both = mask(a, "x").join(mask(b, "y"), cell, "full").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("c"))
+    c = F.coalesce("c", F.lit(0))
+    return both.select(F.sqrt((1 - F.try_divide(c, F.col("x"))) * (1 - F.try_divide(c, F.col("y")))).alias("score"))

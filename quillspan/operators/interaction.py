@@ -121,13 +121,13 @@ def correlation_distances(points: DataFrame, segments: DataFrame) -> DataFrame:
     return points.select("trace", "locus", *XYZ).groupBy("trace").cogroup(segments.groupBy("trace")).applyInPandas(work, "trace long, a long, b long, dist double")
 
 
-def sliding_domains(scores: DataFrame, points: DataFrame, size: int, prominence: float, merge: bool = True, **bounds: float) -> DataFrame:
+def sliding_domains(scores: DataFrame, points: DataFrame, size: int, prominence: float, merge: bool = True, width: float = 0.0, **bounds: float) -> DataFrame:
     """Segments of each trace that begin at 0 and at the peaks of its boundary scores (trace, c, score), at least ``size`` apart and with
     the prominence; by switch merged like ``merged_domains`` from these starts."""
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
-        at, *_ = peak_places(pdf["score"].fillna(0).to_numpy(float), size, prominence)
+        at, *_ = peak_places(pdf["score"].fillna(0).to_numpy(float), size, prominence, width)
         starts = np.append(0, at)
         place = pdf["c"].to_numpy()
         return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(starts)), "first": place[starts], "last": place[np.append(starts[1:], len(place)) - 1]})
@@ -145,3 +145,118 @@ def fused(points: DataFrame, segments: DataFrame, factor: float = 1.0) -> DataFr
     d = distance([F.col(f"{c}_a") for c in XYZ], [F.col(f"{c}_b") for c in XYZ])
     return a.join(b, "trace").filter("a < b").withColumn("dist", d).filter(F.col("dist") < factor * (F.col("rg_a") + F.col("rg_b"))).select("trace", "a", "b", "dist")
 
+
+def exchanged(called: DataFrame, judged: DataFrame, percent: float = 5.0, rate: float = 0.1) -> DataFrame:
+    """The called pairs (trace, a, b) after one round of exchange by likelihoods (trace, a, b, likelihood).
+
+    By trace: ``low`` is the ``percent`` percentile of the called pairs' likelihoods, ``high`` that of 100 - ``percent`` of the others'.
+    If low is below high, both are moved towards each other by ``rate`` of their difference; called pairs below low, or without a
+    likelihood, go, and others above high are called.  Else, and where either side is empty, nothing changes."""
+    pairs = called.select("trace", "a", "b").distinct()
+    both = judged.select("trace", "a", "b", "likelihood").join(pairs.withColumn("_c", F.lit(True)), ["trace", "a", "b"], "full").withColumn("_c", F.coalesce("_c", F.lit(False)))
+    q = both.groupBy("trace").agg(F.percentile(F.when(F.col("_c"), F.col("likelihood")), F.lit(percent / 100)).alias("_s"), F.percentile(F.when(~F.col("_c"), F.col("likelihood")), F.lit(1 - percent / 100)).alias("_o"))
+    rows = both.join(q, "trace")
+    move = rate * (F.col("_o") - F.col("_s"))
+    moves = F.coalesce(F.col("_s") < F.col("_o"), F.lit(False))
+    stays = F.when(F.col("_c"), F.coalesce(F.col("likelihood") >= F.col("_s") + move, F.lit(False))).otherwise(F.coalesce(F.col("likelihood") > F.col("_o") - move, F.lit(False)))
+    return rows.filter(F.when(moves, stays).otherwise(F.col("_c"))).select("trace", "a", "b")
+
+
+def called_by_likelihood(seg_pairs: DataFrame, called: DataFrame, rounds: int = 10, **options: float) -> DataFrame:
+    """Exchange in rounds until no pair changes or ``rounds`` are done.  Each round is DataFrame work, written to cut its lineage."""
+    from quillspan.sources.files import written
+
+    seg_pairs, called = written(seg_pairs), written(called.select("trace", "a", "b").distinct())
+    for _ in range(rounds):
+        new = written(exchanged(called, likelihoods(seg_pairs, called), **options))
+        changed = new.exceptAll(called).unionByName(called.exceptAll(new)).limit(1).count()
+        called = new
+        if not changed:
+            break
+    return called
+
+
+def labels_of(xyz: np.ndarray, reach: float, least: int) -> np.ndarray:
+    """Density clusters: points with ``least`` points within the reach (themselves included) are cores, cores within the reach of each other
+    are one cluster, other points within the reach of a core join the first such; the rest are -1.  Clusters are numbered by their
+    first core."""
+    near = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1)) <= reach
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(xyz)), len(xyz))
+    link = near & core[:, None] & core[None]
+    while True:
+        new = np.where(core, np.where(link, label[None], len(xyz)).min(1, initial=len(xyz)), len(xyz))
+        if np.array_equal(new, label):
+            break
+        label = new
+    for i in np.flatnonzero(~core & (near & core[None]).any(1)):
+        label[i] = label[np.flatnonzero(near[i] & core)[0]]
+    names = np.unique(label[core])
+    return np.where(label < len(xyz), np.searchsorted(names, label), -1)
+
+
+def fused_by_clusters(points: DataFrame, segments: DataFrame, reach: float, least: int = 2, share: float = 0.5) -> DataFrame:
+    """Pairs of segments a < b of a trace whose points, clustered together, mostly (more than ``share`` of each one's clustered points) lie
+    in the same cluster.  Clustering needs the points of a pair together: a grouped-map function over a trace."""
+
+    def most(label: np.ndarray) -> tuple[int, float]:
+        names, n = np.unique(label[label >= 0], return_counts=True)
+        return (int(names[n.argmax()]), n.max() / n.sum()) if len(n) else (-1, 0.0)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(k, g[XYZ].to_numpy(float)) for k, g in pdf.sort_values("locus").groupby("segment")]
+        out = []
+        for j, (b, second) in enumerate(parts):
+            for a, first in parts[:j]:
+                label = labels_of(np.concatenate([first, second]), reach, least)
+                one, two = most(label[: len(first)]), most(label[len(first) :])
+                if one[0] == two[0] >= 0 and min(one[1], two[1]) > share:
+                    out.append((pdf["trace"].iloc[0], a, b))
+        return pd.DataFrame(out, columns=["trace", "a", "b"])
+
+    p = segments_of(points.dropna(subset=XYZ), segments).select("trace", "locus", "segment", *XYZ)
+    return p.groupBy("trace").applyInPandas(work, "trace long, a long, b long")
+
+
+def merged_by_contact(points: DataFrame, segments: DataFrame, cutoff: float, share: float) -> DataFrame:
+    """Segments after neighbours are merged, those with the greatest share of contacts (of all pairs of their loci; undetected ones are
+    none) first, while one is above ``share``.  Each merge changes the next: a grouped-map function over a trace."""
+
+    def work(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("locus")
+        xyz, loci = pdf[XYZ].to_numpy(float), pdf["locus"].to_numpy()
+        if not len(cuts) or not len(pdf):
+            return pd.DataFrame({"trace": [], "segment": [], "first": [], "last": []})
+        touch = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1)) <= cutoff
+        starts = sorted(np.searchsorted(loci, cuts["first"]).tolist())
+        while len(starts) > 1:
+            edges = [*starts, len(loci)]
+            contact = [touch[edges[k - 1] : edges[k], edges[k] : edges[k + 1]].mean() for k in range(1, len(starts))]
+            if max(contact) <= share:
+                break
+            del starts[int(np.argmax(contact)) + 1]
+        edges = [*starts, len(loci)]
+        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(starts)), "first": loci[starts], "last": loci[np.array(edges[1:]) - 1]})
+
+    return points.select("trace", "locus", *XYZ).groupBy("trace").cogroup(segments.groupBy("trace")).applyInPandas(work, "trace long, segment long, first long, last long")
+
+
+def candidate_boundaries(scores: DataFrame, points: DataFrame, size: int, reach: int = 1) -> DataFrame:
+    """trace and place of the candidate boundaries: 0, and the peaks of the distance between the correlation rows on both sides (``size``
+    each) that lie within the reach of a peak of the boundary scores (trace, c, score).  The correlation map is of a whole trace: a
+    grouped-map function over it."""
+
+    def work(pdf: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+        pdf, scored = pdf.sort_values("locus"), scored.sort_values("c")
+        xyz = pdf[XYZ].to_numpy(float)
+        if not len(scored) or (~np.isnan(xyz).any(1)).sum() < 2:
+            return pd.DataFrame({"trace": [], "c": []})
+        slide, *_ = peak_places(scored["score"].fillna(0).to_numpy(float), size)
+        whole = np.column_stack([filled(xyz[:, k]) for k in range(3)])
+        corr = np.corrcoef(np.sqrt(((whole[:, None] - whole[None]) ** 2).sum(-1)))
+        change = np.array([np.sqrt(((corr[i - size : i] - corr[i : i + size]) ** 2).sum()) for i in range(size, len(corr) - size)])
+        at = peak_places(change, size)[0] + size if len(change) else np.zeros(0, int)
+        keep = [0, *(int(p) for p in at if len(slide) and np.abs(slide - p).min() <= reach)]
+        return pd.DataFrame({"trace": pdf["trace"].iloc[0], "c": pdf["locus"].to_numpy()[keep]})
+
+    return points.select("trace", "locus", *XYZ).groupBy("trace").cogroup(scores.select("trace", "c", "score").groupBy("trace")).applyInPandas(work, "trace long, c long")

@@ -307,3 +307,14 @@ def decode_with_centres(candidates: DataFrame, centres: DataFrame, rounds: int =
         chosen = written(scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r"))
         centres = chosen.groupBy("trace", "side").agg(*[F.median(x).alias(x) for x in axes])
     return chosen
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], most: float) -> DataFrame:
+    """By group: the pair (id of a, id of b) with the least Chebyshev distance, if below ``most``, and a less b (ties: least ids)."""
+    from quillspan.functions.columns import chebyshev
+
+    left = a.dropna(subset=axes).select(*by, F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in axes])
+    right = b.dropna(subset=axes).select(*by, F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in axes])
+    both = left.join(right, by).withColumn("dist", chebyshev([F.col(f"{c}_a") for c in axes], [F.col(f"{c}_b") for c in axes])).filter(F.col("dist") < most)
+    w = W.partitionBy(*by).orderBy(F.round("dist", 12), "a", "b")
+    return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, "a", "b", "dist", *[(F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"d{c}") for c in axes])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspan.functions import columns
 from quillspan.operators import aggregates, codes, decode, density, filters, interaction, joins, ordered, pairs, peaks, scores, segments, sequences, spots
 from quillspan.plans.catalog import _DIST, _DOMS, _REG, _SEG, _SEQ, P, D, S, _candidates, _effect, _kmer_sql, _letters, _mean, _near, _pairs, _places, _regions, _segments, points, query, r6, series, table
 
@@ -451,14 +452,17 @@ def _log(k: str) -> str:
     return f"(-(t.q / t.n - 2 * m_{k} * t.s / t.n + m_{k} * m_{k}) / (2 * v_{k}) - ln(v_{k}) / 2 - ln(2 * pi()) / 2)"
 
 
-@query(_DOMS + f""", c AS (SELECT trace, a, seg_b AS b FROM m WHERE list_aggregate(b, 'median') / nullif(list_aggregate(w, 'median'), 0) < 1),
+_LIKE = _DOMS + f""", c AS (SELECT trace, a, seg_b AS b FROM m WHERE list_aggregate(b, 'median') / nullif(list_aggregate(w, 'median'), 0) < 1),
 u AS (SELECT trace, a, b, count(*) AS n, sum(dist) AS s, sum(dist * dist) AS q FROM e WHERE dist IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT trace, a AS own, b AS other, n, s, q FROM u WHERE a < b UNION ALL SELECT trace, b, a, n, s, q FROM u WHERE a < b),
 r AS (SELECT trace, a AS own, b AS other FROM c UNION SELECT trace, b, a FROM c), y AS (SELECT t.*, r.own IS NOT NULL AS p FROM t LEFT JOIN r USING (trace, own, other)),
 f AS (SELECT trace, own, sum(n) FILTER (p) AS n_p, sum(s) FILTER (p) AS s_p, sum(q) FILTER (p) AS q_p, sum(n) FILTER (NOT p) AS n_o, sum(s) FILTER (NOT p) AS s_o, sum(q) FILTER (NOT p) AS q_o FROM y GROUP BY 1, 2),
 v AS (SELECT trace, a AS own, 2 * n + round((1 + sqrt(1 + 8 * n)) / 2) AS n_w, 2 * s AS s_w, 2 * q AS q_w FROM u WHERE a = b), z AS (SELECT f.*, n_w, s_w, q_w FROM f JOIN v USING (trace, own) WHERE n_w > 5 AND n_p > 0 AND n_o > 0),
 g AS (SELECT trace, own, s_p / n_p AS m_p, q_p / n_p - pow(s_p / n_p, 2) AS v_p, s_o / n_o AS m_o, q_o / n_o - pow(s_o / n_o, 2) AS v_o, s_w / n_w AS m_w, q_w / n_w - pow(s_w / n_w, 2) AS v_w FROM z),
-l AS (SELECT t.trace, t.own, t.other, {_log("p")} + {_log("w")} - 2 * {_log("o")} AS ratio FROM t JOIN g ON g.trace = t.trace AND g.own = t.own WHERE abs(t.own - t.other) > 1)
-SELECT x.trace, x.own AS a, x.other AS b, round(x.ratio + k.ratio, 6) AS likelihood FROM l x JOIN l k ON k.trace = x.trace AND k.own = x.other AND k.other = x.own WHERE x.own < x.other""")
+l AS (SELECT t.trace, t.own, t.other, {_log("p")} + {_log("w")} - 2 * {_log("o")} AS ratio FROM t JOIN g ON g.trace = t.trace AND g.own = t.own WHERE abs(t.own - t.other) > 1)"""
+_BOTH = "FROM l x JOIN l k ON k.trace = x.trace AND k.own = x.other AND k.other = x.own WHERE x.own < x.other"
+
+
+@query(_LIKE + " SELECT x.trace, x.own AS a, x.other AS b, round(x.ratio + k.ratio, 6) AS likelihood " + _BOTH)
 def interdomain_likelihood(spark, sf):
     found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
     called = segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0")
@@ -619,3 +623,94 @@ def readout_tags(spark, sf):
 def isoform_filter(spark, sf):
     named = table(spark, sf, "customer").filter(F.col("c_name").contains("1") & (F.length("c_name") > 5)).select(F.col("c_custkey").alias("o_custkey"))
     return table(spark, sf, "orders").join(named, "o_custkey", "left_semi").select("o_custkey", "o_orderkey")
+
+
+# --- domain calling, densities and rounds
+
+
+@query(_LIKE + f""", lk AS (SELECT x.trace, x.own AS a, x.other AS b, x.ratio + k.ratio AS v {_BOTH}), fu AS (SELECT trace, a, b, v, c.trace IS NOT NULL AS c FROM lk FULL JOIN c USING (trace, a, b)),
+qt AS (SELECT trace, quantile_cont(v, 0.05) FILTER (c) AS lo, quantile_cont(v, 0.95) FILTER (NOT c) AS hi FROM fu GROUP BY 1)
+SELECT trace, a, b FROM fu JOIN qt USING (trace) WHERE CASE WHEN coalesce(lo < hi, false) THEN CASE WHEN c THEN coalesce(v >= lo + 0.1 * (hi - lo), false) ELSE coalesce(v > hi - 0.1 * (hi - lo), false) END ELSE c END""".replace("c.trace IS NOT NULL AS c FROM lk FULL JOIN c USING (trace, a, b)", "d.k IS NOT NULL AS c FROM lk FULL JOIN (SELECT *, 1 AS k FROM c) d USING (trace, a, b)"))
+def interdomain_exchange(spark, sf):
+    found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
+    called = segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0")
+    return interaction.exchanged(called, interaction.likelihoods(found, called))
+
+
+@query()
+def interdomain_loop(spark, sf):
+    found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
+    called = segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0")
+    return interaction.called_by_likelihood(found, called, 4)
+
+
+@query()
+def domain_fusion_clusters(spark, sf):
+    return interaction.fused_by_clusters(points(spark, sf), _segments(spark, sf), 0.12)
+
+
+@query()
+def domain_insulation(spark, sf):
+    loci = points(spark, sf).select("trace", F.col("locus").alias("c"))
+    return interaction.sliding_domains(ordered.boundary_score(_pairs(spark, sf), loci, 10, "insulation"), points(spark, sf), 4, 0.03, merge=False, width=1.0)
+
+
+@query()
+def domain_contact_merge(spark, sf):
+    return interaction.merged_by_contact(points(spark, sf), _segments(spark, sf), 0.2, 0.4)
+
+
+@query()
+def domain_candidates(spark, sf):
+    loci = points(spark, sf).select("trace", F.col("locus").alias("c"))
+    return interaction.candidate_boundaries(ordered.boundary_score(_pairs(spark, sf), loci, 5), points(spark, sf), 5)
+
+
+@query(f"""WITH {P}, g AS (SELECT cls, floor(z * 10)::BIGINT AS cz, floor(x * 10)::BIGINT AS cx, count(*) AS d FROM pts WHERE z IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT g.* FROM g JOIN (SELECT cls, quantile_cont(d, 0.5) AS q FROM g GROUP BY 1) USING (cls) WHERE d > q),
+n AS (SELECT count_if(cls = 'A') AS a, count_if(cls = 'B') AS b, (SELECT count(*) FROM m x JOIN m y ON x.cls = 'A' AND y.cls = 'B' AND x.cz = y.cz AND x.cx = y.cx) AS c FROM m) SELECT round(sqrt((1 - c / nullif(a, 0)) * (1 - c / nullif(b, 0))), 6) AS score FROM n""")
+def density_masks(spark, sf):
+    g = points(spark, sf).filter("z is not null").groupBy("cls", F.floor(F.col("z") * 10).alias("cz"), F.floor(F.col("x") * 10).alias("cx")).agg(F.count("*").alias("density"))
+    return density.mask_score(g.filter("cls = 'A'"), g.filter("cls = 'B'"), ["cz", "cx"]).select(*r6("score"))
+
+
+@query("SELECT n_nationkey % 5 AS round, n_nationkey AS code FROM nation UNION ALL SELECT 5 + n_nationkey // 5, n_nationkey FROM nation")
+def code_rounds(spark, sf):
+    return codes.rounds_of(_codebook(spark, sf))
+
+
+@query(f"WITH {_BOOK}, r AS (SELECT r1 AS round, code % 9 AS region FROM book UNION ALL SELECT r2, code % 7 FROM book) SELECT code, min(a.region) AS region FROM book LEFT JOIN (SELECT x.region, x.round AS r1, y.round AS r2 FROM r x JOIN r y ON x.region = y.region) a USING (r1, r2) GROUP BY 1")
+def code_regions(spark, sf):
+    b = _codebook(spark, sf)
+    shown = b.select(F.col("r1").alias("round"), (F.col("code") % 9).alias("region")).unionByName(b.select(F.col("r2").alias("round"), (F.col("code") % 7).alias("region")))
+    return codes.regions_of(b, shown.distinct())
+
+
+@query("WITH r AS (SELECT s_nationkey % 10 AS round, s_nationkey AS chr, s_suppkey AS region FROM supplier) SELECT round, region, round + 10 * ((row_number() OVER (PARTITION BY round, chr ORDER BY region) - 1) % 2) AS half FROM r")
+def split_rounds(spark, sf):
+    rows = table(spark, sf, "supplier").select((F.col("s_nationkey") % 10).alias("round"), F.col("s_nationkey").alias("chr"), F.col("s_suppkey").alias("region"))
+    return codes.halved_rounds(rows, "chr", 10).select("round", "region", F.col("half").cast("long").alias("half"))
+
+
+@query("WITH k AS (SELECT s_nationkey AS k, any_value(s_suppkey) AS s FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT c_custkey, s AS s_suppkey FROM customer JOIN k ON k = c_nationkey")
+def raw_matches(spark, sf):
+    """Customers with the supplier of their nation where it has just one."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    return codes.unique_matches(c, table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), "k").select("c_custkey", "s_suppkey")
+
+
+_CHEB = "greatest(abs(a.z-b.z), abs(a.x-b.x), abs(a.y-b.y))"
+
+
+@query(f"""WITH {P}, n AS (SELECT a.trace, a.label, a.locus AS a, b.locus AS b, {_CHEB} AS d, a.z - b.z AS dz, a.x - b.x AS dx, a.y - b.y AS dy, row_number() OVER (PARTITION BY a.trace, a.label ORDER BY round({_CHEB}, 12), a.locus, b.locus) AS r FROM pts a JOIN pts b ON a.trace = b.trace AND a.label = b.label AND a.locus % 2 = 0 AND b.locus % 2 = 1 WHERE {_CHEB} < 0.3)
+SELECT trace, count(*) AS n, round(median(dz), 6) AS dz, round(median(dx), 6) AS dx, round(median(dy), 6) AS dy FROM n WHERE r = 1 GROUP BY 1""")
+def offset_estimate(spark, sf):
+    """The median offset of DNA (even loci) from RNA (odd loci) over the nearest pairs of each region."""
+    p = points(spark, sf).withColumn("id", F.col("locus"))
+    near = spots.nearest_pairs(p.filter("locus % 2 = 0"), p.filter("locus % 2 = 1"), ["trace", "label"], _XYZ, 0.3)
+    return near.groupBy("trace").agg(F.count("*").alias("n"), *[F.round(F.median(f"d{c}"), 6).alias(f"d{c}") for c in _XYZ])
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code FROM customer")
+def default_map(spark, sf):
+    known = F.create_map(F.lit("BUILDING"), F.lit(1), F.lit("MACHINERY"), F.lit(2))
+    return table(spark, sf, "customer").select("c_custkey", columns.lookup(known, F.col("c_mktsegment"), F.lit(0)).alias("code"))

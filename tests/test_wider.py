@@ -205,3 +205,64 @@ def test_balanced_codes():
     assert spread == pytest.approx(max(np.std(v) for v in load)) and spread <= 0.75
     with pytest.raises(ValueError):
         codes.balanced_codes([0] * 40, all_codes, 8)
+
+
+def plain_clusters(xyz, reach, least):
+    near = [[j for j in range(len(xyz)) if math.dist(xyz[i], xyz[j]) <= reach] for i in range(len(xyz))]
+    label = [-1] * len(xyz)
+    k = 0
+    for i in range(len(xyz)):
+        if label[i] < 0 and len(near[i]) >= least:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = k
+                    todo += [x for x in near[j] if len(near[x]) >= least and label[x] < 0]
+            k += 1
+    for i in range(len(xyz)):
+        if label[i] < 0:
+            cores = [j for j in near[i] if len(near[j]) >= least]
+            label[i] = label[cores[0]] if cores else -1
+    return label
+
+
+def test_clusters_and_fusion(spark):
+    rng = np.random.default_rng(12)
+    for least in (2, 4):
+        xyz = rng.random((60, 3))
+        assert interaction.labels_of(xyz, 0.2, least).tolist() == plain_clusters(xyz.tolist(), 0.2, least)
+    rows = [(1, i, float(10 * (i // 5 in (0, 1))), 0.1 * (i % 5), 0.0) for i in range(15)] + [(1, 20, None, None, None)]
+    cuts = spark.createDataFrame([(1, k, 5 * k, 5 * k + 4) for k in range(3)], "trace long, segment long, first long, last long")
+    assert [tuple(r) for r in interaction.fused_by_clusters(spark.createDataFrame(rows, POINT), cuts, 0.5).collect()] == [(1, 0, 1)]
+
+
+def test_merging_by_contact_and_candidates(spark):
+    rng = np.random.default_rng(13)
+    centre = [(0, 0, 0), (0.5, 0, 0), (9, 9, 0)]
+    rows = [(1, i, *(float(x) for x in centre[i // 10] + rng.normal(0, 0.3, 3))) for i in range(30)]
+    rows[25] = (1, 25, None, None, None)
+    p = spark.createDataFrame(rows, POINT)
+    cuts = spark.createDataFrame([(1, k, 5 * k, 5 * k + 4) for k in range(6)], "trace long, segment long, first long, last long")
+    got = interaction.merged_by_contact(p, cuts, 1.5, 0.5).orderBy("segment").collect()
+    assert [(r["first"], r["last"]) for r in got] == [(0, 19), (20, 29)]
+    scored = spark.createDataFrame([(1, i, 3.0 if i in (8, 20) else 0.0) for i in range(30)], "trace long, c long, score double")
+    found = {r.c for r in interaction.candidate_boundaries(scored, p, 5).collect()}
+    xyz = np.column_stack([segments.filled(np.array([np.nan if r[k] is None else r[k] for r in rows])) for k in (2, 3, 4)])
+    corr = np.corrcoef(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1)))
+    change = [float(np.linalg.norm(corr[i - 5 : i] - corr[i : i + 5])) for i in range(5, 25)]
+    assert found == {0} | {p + 5 for p, *_ in plain_peaks(change, 5, 0, 0) if min(abs(p + 5 - 8), abs(p + 5 - 20)) <= 1} and 20 in found
+
+
+def test_exchange_settles(spark):
+    rows = [(1, a, b, float(a + b)) for a, b in itertools.combinations(range(6), 2)]
+    judged = spark.createDataFrame(rows, "trace long, a long, b long, likelihood double")
+    called = spark.createDataFrame([(1, 0, 1), (1, 4, 5), (1, 3, 5), (1, 8, 9)], "trace long, a long, b long")
+    sel, exc = [1.0, 9.0, 8.0], [a + b for a, b in itertools.combinations(range(6), 2) if (a, b) not in ((0, 1), (4, 5), (3, 5))]
+    low, high = np.percentile(sel, 5), np.percentile(exc, 95)
+    low, high = low + 0.1 * (high - low), high - 0.1 * (high - low)
+    want = {(a, b) for a, b in itertools.combinations(range(6), 2) if (a + b >= low if (a, b) in ((0, 1), (4, 5), (3, 5)) else a + b > high)}
+    assert {(r.a, r.b) for r in interaction.exchanged(called, judged).collect()} == want and (0, 1) not in want
+    good = spark.createDataFrame([(1, 4, 5), (1, 3, 5), (1, 2, 5), (1, 3, 4), (1, 1, 5)], "trace long, a long, b long")
+    few = judged.filter("a + b < 5").unionByName(judged.filter("a + b > 5"))
+    assert {(r.a, r.b) for r in interaction.exchanged(good, few).collect()} == {(4, 5), (3, 5), (2, 5), (3, 4), (1, 5)}
