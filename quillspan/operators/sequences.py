@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 from quillspan.functions.columns import kmer_words, kmers, reverse_complement
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer partitions than there are cores, dealt to all of them; a large scan is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def kmer_rows(rows: DataFrame, id_: str, sequence: Column, k: int) -> DataFrame:
     """One row for each k-mer of each sequence (a null sequence has none)."""
-    return spread(rows.select(id_, sequence.alias("_s"))).select(id_, F.explode(kmer_words(F.col("_s"), k)).alias("kmer"))
+    return rows.select(id_, sequence.alias("_s")).select(id_, F.explode(kmer_words(F.col("_s"), k)).alias("kmer"))
 
 
 def kmer_counts(rows: DataFrame, id_: str, sequence: Column, k: int, most: int = 65535) -> DataFrame:

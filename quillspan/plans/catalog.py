@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt to all of them for work that is long for each row; a large scan is left
+    as it is.  (Not for frames with a shuffle: counting their partitions would run it.)"""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -571,7 +578,7 @@ def _kmer_sql(name: str, key: str, source: str, k: int) -> str:
 
 @query(f"WITH {_kmer_sql('k', 'doc_id', 'documents', 5)} SELECT kmer, least(count(*), 65535)::BIGINT AS n FROM k GROUP BY 1")
 def kmer_count(spark, sf):
-    return sequences.kmer_counts(table(spark, sf, "documents"), "doc_id", _letters(), 5)
+    return sequences.kmer_counts(spread(table(spark, sf, "documents")), "doc_id", _letters(), 5)
 
 
 @query(f"WITH {_kmer_sql('k', 'item_id', 'benchmark', 4)}, u AS (SELECT DISTINCT kmer FROM k) SELECT kmer, (64 * v(substr(kmer,1,1)) + 16 * v(substr(kmer,2,1)) + 4 * v(substr(kmer,3,1)) + v(substr(kmer,4,1)))::BIGINT AS code FROM u".replace("v(substr(kmer,1,1))", "(CASE substr(kmer,1,1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)").replace("v(substr(kmer,2,1))", "(CASE substr(kmer,2,1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)").replace("v(substr(kmer,3,1))", "(CASE substr(kmer,3,1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)").replace("v(substr(kmer,4,1))", "(CASE substr(kmer,4,1) WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)"))
@@ -592,14 +599,14 @@ def gc_content(spark, sf):
 @query(f"WITH {_kmer_sql('k', 'doc_id', 'documents', 8)}, c AS (SELECT kmer, least(count(*), 65535) AS n FROM k GROUP BY 1), {_kmer_sql('q', 'item_id', 'benchmark', 8)} SELECT b.item_id, coalesce(sum(n), 0)::BIGINT AS hits FROM benchmark b LEFT JOIN q USING (item_id) LEFT JOIN c USING (kmer) GROUP BY 1")
 def offtarget_sum(spark, sf):
     probes = table(spark, sf, "benchmark")
-    counts = sequences.kmer_counts_of(table(spark, sf, "documents"), "doc_id", _letters(), 8, codes.wanted(probes, _letters(), 8))
+    counts = sequences.kmer_counts_of(spread(table(spark, sf, "documents")), "doc_id", _letters(), 8, codes.wanted(probes, _letters(), 8))
     return sequences.off_target_hits(probes, counts, "item_id", _letters(), 8)
 
 
 @query(f"WITH {_kmer_sql('k', 'doc_id', 'documents', 14)}, c AS (SELECT kmer, least(count(*), 65535) AS n FROM k GROUP BY 1), {_kmer_sql('q', 'item_id', 'benchmark', 14)}, h AS (SELECT b.item_id, coalesce(sum(n), 0) AS hits FROM benchmark b LEFT JOIN q USING (item_id) LEFT JOIN c USING (kmer) GROUP BY 1) SELECT item_id FROM h WHERE hits <= 200")
 def screen_anti(spark, sf):
     probes = table(spark, sf, "benchmark")
-    counts = sequences.kmer_counts_of(table(spark, sf, "documents"), "doc_id", _letters(), 14, codes.wanted(probes, _letters(), 14))
+    counts = sequences.kmer_counts_of(spread(table(spark, sf, "documents")), "doc_id", _letters(), 14, codes.wanted(probes, _letters(), 14))
     return sequences.screened(probes, counts, "item_id", _letters(), 14, 200).select("item_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import columns
 from quillspan.operators import aggregates, codes, decode, density, filters, interaction, joins, ordered, pairs, peaks, scores, segments, sequences, spots
-from quillspan.plans.catalog import _DIST, _DOMS, _REG, _SEG, _SEQ, P, D, S, _candidates, _effect, _kmer_sql, _letters, _mean, _near, _pairs, _places, _regions, _segments, points, query, r6, series, table
+from quillspan.plans.catalog import _DIST, _DOMS, _REG, _SEG, _SEQ, P, D, S, _candidates, _effect, _kmer_sql, _letters, _mean, _near, _pairs, _places, _regions, _segments, points, query, r6, series, spread, table
 
 _XYZ = ["z", "x", "y"]
 
@@ -515,7 +515,7 @@ b AS (SELECT item_id, f AS kmer FROM w UNION ALL SELECT item_id, reverse(transla
 SELECT item_id, round({_TM}, 6) AS tm, round((length(s) - length(translate(s, 'GC', ''))) / nullif(length(s), 0), 6) AS gc, coalesce(hits, 0)::BIGINT AS hits FROM t LEFT JOIN h USING (item_id)""")
 def specificity_report(spark, sf):
     probes = table(spark, sf, "benchmark")
-    counts = sequences.kmer_counts_of(table(spark, sf, "documents"), "doc_id", _letters(), 8, codes.wanted(probes, _letters(), 8))
+    counts = sequences.kmer_counts_of(spread(table(spark, sf, "documents")), "doc_id", _letters(), 8, codes.wanted(probes, _letters(), 8))
     return codes.specificity(probes, counts, "item_id", _letters(), 8).select("item_id", *r6("tm", "gc"), "hits")
 
 
