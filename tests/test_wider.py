@@ -266,3 +266,41 @@ def test_exchange_settles(spark):
     good = spark.createDataFrame([(1, 4, 5), (1, 3, 5), (1, 2, 5), (1, 3, 4), (1, 1, 5)], "trace long, a long, b long")
     few = judged.filter("a + b < 5").unionByName(judged.filter("a + b > 5"))
     assert {(r.a, r.b) for r in interaction.exchanged(good, few).collect()} == {(4, 5), (3, 5), (2, 5), (3, 4), (1, 5)}
+
+
+def test_pick_by_em(spark):
+    """Against a plain loop: cdf of brightness less that of the distance from the median of the picks."""
+    rng = random.Random(14)
+    rows = [(t, x, c, *[rng.gauss(0, 1) for _ in range(3)], float(rng.randint(0, 30))) for t in (0, 1) for x in range(15) for c in range(4)]
+    got, moved = decode.pick_by_em(spark.createDataFrame(rows, "trace long, locus long, candidate long, z double, x double, y double, brightness double"), 4, 0.0)
+    want = set()
+    for t in (0, 1):
+        own = [r for r in rows if r[0] == t]
+        share = lambda values, v: sum(x <= v for x in values) / len(values)
+        light = {r[:3]: share([q[6] for q in own], r[6]) for r in own}
+
+        def best(score):
+            return {x: max((r for r in own if r[1] == x), key=lambda r: (score[r[:3]], -r[2])) for x in range(15)}  # noqa: B023
+
+        picks = best(light)
+        for _ in range(len(moved)):
+            centre = np.median([r[3:6] for r in picks.values()], axis=0)
+            off = {r[:3]: math.sqrt(sum((a - b) ** 2 for a, b in zip(r[3:6], centre, strict=True))) for r in own}
+            picks = best({k: light[k] - share(list(off.values()), off[k]) for k in off})
+        want |= {r[:3] for r in picks.values()}
+    assert {(r.trace, r.locus, r.candidate) for r in got.collect()} == want and len(moved) >= 1
+
+
+def test_complete_linkage(spark):
+    rng = random.Random(15)
+    rows = [(t, i, *[rng.random() for _ in range(3)]) for t in (0, 1) for i in range(25)] + [(0, 90, None, 1.0, 1.0)]
+    got = {(r.trace, r.locus): r.cluster for r in spots.clusters(spark.createDataFrame(rows, POINT), 0.6).collect()}
+    for t in (0, 1):
+        parts = [[r] for r in rows if r[0] == t and r[2] is not None]
+        while len(parts) > 1:
+            far = lambda a, b: max(math.dist(p[2:], q[2:]) for p in a for q in b)
+            d, i, j = min((far(parts[i], parts[j]), i, j) for i, j in itertools.combinations(range(len(parts)), 2))
+            if d > 0.6:
+                break
+            parts[i] += parts.pop(j)
+        assert {frozenset(r[1] for r in p) for p in parts} == {frozenset(x for (u, x), c in got.items() if u == t and c == k) for k in {c for (u, _), c in got.items() if u == t}}
