@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components, least_reachable
@@ -320,9 +319,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the least doc_id, then the least hash of the text; equal rows count once.
     All columns are kept.  Rows without words stay, once for each doc_id."""
     found = near_duplicates(docs, **options)
-    kd, kh, n = (free(docs, c) for c in ("kd", "kh", "n"))
+    kd, kh = free(docs, "kd"), free(docs, "kh")
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
     stay = found.select(key(F.col("class_id")).alias(kd), F.col("class_hash").alias(kh)).distinct()
-    keyed = docs.withColumn(kd, key(F.col("doc_id"))).withColumn(kh, F.xxhash64(F.col("text").cast("string"))).repartition(kd, kh)
-    one = keyed.join(stay.hint("shuffle_hash"), [kd, kh], "left_semi")
-    return one.withColumn(n, F.row_number().over(W.partitionBy(kd, kh).orderBy(kd))).filter(F.col(n) == 1).drop(n, kd, kh)
+    keyed = docs.withColumn(kd, key(F.col("doc_id"))).withColumn(kh, F.xxhash64(F.col("text").cast("string")))
+    once = keyed.dropDuplicates([kd, kh])  # a row that is repeated often leaves each task once
+    return once.join(stay.hint("shuffle_hash"), [kd, kh], "left_semi").drop(kd, kh).select(*docs.columns)
