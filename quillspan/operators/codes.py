@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -227,3 +228,46 @@ def unique_matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of both that share a key which the right side has once."""
     once = right.withColumn("_n", F.count("*").over(W.partitionBy(key))).filter("_n = 1").drop("_n")
     return left.join(once, key)
+
+
+def tailed(probes: DataFrame, code: list[int], tails: list[str], limit: int = 10, cut: int = 15) -> DataFrame:
+    """Probes of chained pairs with the tails of a gene's code, balanced over its bits.  probes: gene, pair, place (in its pair), sequence.
+
+    The outer end of a chain's first and last probe takes the bit least used for outer ends, each inner end the bit least used for inner
+    ones; a probe's left inner bit is the right one of the probe before it.  The result, from left to right, is the reverse complement
+    of the left tail from ``cut`` on, of the probe, and of the right tail up to ``cut``; a gene is done when every bit has ``limit`` inner uses.
+    What a probe gets depends on those before it: a grouped-map function over a gene."""
+    turn = str.maketrans("ACGTacgt", "TGCAtgca")
+    back = lambda s: s[::-1].translate(turn)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        outer, inner, out = [0] * len(code), [0] * len(code), []
+        least = lambda used: used.index(min(used))
+        for pair, chain in pdf.sort_values(["pair", "place"]).groupby("pair", sort=True):
+            right = 0
+            for k, (place, sequence) in enumerate(zip(chain["place"], chain["sequence"], strict=True)):
+                kinds = ["v", "v"]
+                if k == 0:
+                    kinds[0] = "i"
+                    left = least(outer)
+                    outer[left] += 1
+                    right = least(inner)
+                else:
+                    left = right
+                    inner[left] += 1
+                    if k == len(chain) - 1:
+                        kinds[1] = "i"
+                        right = least(outer)
+                        outer[right] += 1
+                    else:
+                        right = least(inner)
+                bits = [f"{kind}_{code[b]}" for kind, b in zip(kinds, (left, right), strict=True)]
+                out.append((pdf["gene"].iloc[0], pair, place, *bits, back(tails[code[left]][cut:]) + back(sequence) + back(tails[code[right]][:cut])))
+                if min(inner) >= limit:
+                    return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=names)
+
+    names = ["gene", "pair", "place", "left", "right", "sequence"]
+    kinds = dict(probes.dtypes)
+    schema = f"gene {kinds['gene']}, pair {kinds['pair']}, place {kinds['place']}, left string, right string, sequence string"
+    return probes.select("gene", "pair", "place", "sequence").groupBy("gene").applyInPandas(work, schema)

@@ -714,3 +714,12 @@ def offset_estimate(spark, sf):
 def default_map(spark, sf):
     known = F.create_map(F.lit("BUILDING"), F.lit(1), F.lit("MACHINERY"), F.lit(2))
     return table(spark, sf, "customer").select("c_custkey", columns.lookup(known, F.col("c_mktsegment"), F.lit(0)).alias("code"))
+
+
+@query()
+def code_tails(spark, sf):
+    """Parts of a brand are a gene's probes, chained by size."""
+    tails = [("ACGT" * 8)[i : i + 24] for i in range(8)]
+    w = W.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    rows = _probes(spark, sf).select(F.col("p_brand").alias("gene"), F.col("p_size").cast("long").alias("pair"), F.row_number().over(w).cast("long").alias("place"), F.col("s").alias("sequence"))
+    return codes.tailed(rows, [1, 4, 6], tails)

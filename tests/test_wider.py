@@ -304,3 +304,14 @@ def test_complete_linkage(spark):
                 break
             parts[i] += parts.pop(j)
         assert {frozenset(r[1] for r in p) for p in parts} == {frozenset(x for (u, x), c in got.items() if u == t and c == k) for k in {c for (u, _), c in got.items() if u == t}}
+
+
+def test_code_tails(spark):
+    """By hand: outer ends count on their own, an inner end is the one before it, and bits are used in turn."""
+    rows = [("g", p, k, "AC") for p, n in ((1, 3), (2, 2), (3, 1)) for k in range(n)]
+    tails = ["A" * 15 + "C", "C" * 15 + "G", "G" * 15 + "T"]
+    got = codes.tailed(spark.createDataFrame(rows, "gene string, pair long, place long, sequence string"), [0, 2], tails).orderBy("pair", "place").collect()
+    assert [(r.pair, r.place, r.left, r.right) for r in got] == [(1, 0, "i_0", "v_0"), (1, 1, "v_0", "v_2"), (1, 2, "v_2", "i_2"), (2, 0, "i_0", "v_0"), (2, 1, "v_0", "i_2"), (3, 0, "i_0", "v_2")]
+    assert got[0].sequence == "G" + "GT" + "T" * 15 and got[5].sequence == "G" + "GT" + "C" * 15
+    short = codes.tailed(spark.createDataFrame(rows, "gene string, pair long, place long, sequence string"), [0, 2], tails, limit=1).count()
+    assert short == 3
