@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from quillspan.llm.quality_rules import NAVIGATION, PHRASES
 
 _WORDS = r"""w AS (SELECT d.rowid AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents_rows d)""".replace("d.rowid AS r", "r")
@@ -78,10 +80,12 @@ sum(length(body) + CASE WHEN opens THEN past ELSE 0 END)::BIGINT AS formatted_ch
 FROM t7 JOIN f ON f.conv_id IS NOT DISTINCT FROM t7.conv_id AND f.n = t7.n GROUP BY 1"""
 
 
-def _op9() -> str:
+def _with_vocabulary(sql: str) -> str:
     import public_tokenizers
 
-    return OP9.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
+    return sql.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op9_chat_windows": _op9()}
+ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8}
+if importlib.util.find_spec("public_tokenizers"):  # the SQL reads the vocabulary from its file
+    ORACLE["op9_chat_windows"] = _with_vocabulary(OP9)
