@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.plans.catalog import _SEQ, P, _letters, points, query, r6, table
 from quillspan.sources import files, tables
+from quillspan.streaming import arrivals
 
 
 @query(f"WITH {P} SELECT trace // 2 AS cell, trace % 2 AS copy, locus, round(z, 6) AS z, round(x, 6) AS x, round(y, 6) AS y, 'chr' || label AS chr, locus * 100 AS \"start\", locus * 100 + 50 AS \"end\" FROM pts")
@@ -54,3 +55,13 @@ def matrix_scan(spark, sf):
     path = files.shared_path(spark, "matrix")
     wide.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
     return files.read_matrix(spark, path).filter("value is not null")
+
+
+@query("SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, round(avg((value > 50)::INT), 6) AS rate FROM events GROUP BY 1, 2")
+def stream_rates(spark, sf):
+    """The events as a stream, worked off: rates by hour and type."""
+    scan = table(spark, sf, "events")
+    stream = arrivals.arriving(spark, f"{sf.rstrip('/')}/[e]vents.parquet", scan.schema).select("ts", "event_type", "value")
+    rates = arrivals.rates(stream, "ts", ["event_type"], F.col("value") > 50, "1 hour", "1000 days")
+    done = arrivals.finish(rates, files.shared_path(spark, "rates"), files.shared_path(spark, "rates-checkpoint"))
+    return done.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n", *r6("rate"))

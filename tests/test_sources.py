@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from quillspan.sources import files, images, tables
+from quillspan.streaming import arrivals
 
 
 def test_genome_traces_keep_their_order(spark, tmp_path):
@@ -101,3 +102,14 @@ def test_small_readers(spark, tmp_path):
     numbered = files.numbered(spark.createDataFrame([(1, 5), (1, 3), (2, 4)], "g long, v long"), ["g"], ["v"])
     assert sorted(map(tuple, numbered.collect())) == [(1, 3, 1), (1, 5, 2), (2, 4, 1)]
     assert files.written(numbered).count() == 3
+
+
+def test_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    rows.write.parquet(str(tmp_path / "in" / "one"))
+    stream = lambda: arrivals.arriving(spark, str(tmp_path / "in" / "*"), "k long, v string")
+    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"))
+    spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k long, v string").write.parquet(str(tmp_path / "in" / "two"))
+    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"))
+    last = sorted((tmp_path / "out").iterdir())[-1]
+    assert sorted(map(tuple, spark.read.parquet(str(last)).collect())) == [(1, "a"), (2, "c"), (3, "d")]
