@@ -315,3 +315,26 @@ def test_code_tails(spark):
     assert got[0].sequence == "G" + "GT" + "T" * 15 and got[5].sequence == "G" + "GT" + "C" * 15
     short = codes.tailed(spark.createDataFrame(rows, "gene string, pair long, place long, sequence string"), [0, 2], tails, limit=1).count()
     assert short == 3
+
+
+def test_exchange_loop_and_insulation_starts(spark):
+    """The loop ends where one more exchange changes nothing, as rounds done one by one; insulation cuts stand at the wide peaks."""
+    rng = np.random.default_rng(16)
+    rows = [(t, i, *(float(x) for x in rng.random(3))) for t in (0, 1) for i in range(40)]
+    p = spark.createDataFrame(rows, POINT)
+    cuts = spark.createDataFrame([(t, k, 5 * k, 5 * k + 4) for t in (0, 1) for k in range(8)], "trace long, segment long, first long, last long")
+    found = segments.segment_point_pairs(p, cuts)
+    start = segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0").select("trace", "a", "b")
+    told = lambda df: {tuple(r) for r in df.collect()}
+    now = told(start)
+    for _ in range(3):
+        frame = spark.createDataFrame(sorted(now), "trace long, a long, b long")
+        new = told(interaction.exchanged(frame, interaction.likelihoods(found, frame)))
+        if new == now:
+            break
+        now = new
+    assert now and told(interaction.called_by_likelihood(found, start, 3)) == now
+    v = [float(x) for x in rng.random(60)]
+    scored = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "trace long, c long, score double")
+    got = interaction.sliding_domains(scored, p, 4, 0.03, merge=False, width=1.0).collect()
+    assert {r["first"] for r in got} == {0} | {q for q, *_ in plain_peaks(v, 4, 0.03, 1.0)}
