@@ -79,6 +79,15 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(length(body) + CASE WHEN opens THEN past ELSE 0 END)::BIGINT AS formatted_chars, count(*) FILTER (opens) AS n_windows
 FROM t7 JOIN f ON f.conv_id IS NOT DISTINCT FROM t7.conv_id AND f.n = t7.n GROUP BY 1"""
 
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, length(t)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 
 def _with_vocabulary(sql: str) -> str:
     import public_tokenizers
@@ -86,6 +95,6 @@ def _with_vocabulary(sql: str) -> str:
     return sql.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8}
+ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op13_middle": OP13}
 if importlib.util.find_spec("public_tokenizers"):  # the SQL reads the vocabulary from its file
     ORACLE["op9_chat_windows"] = _with_vocabulary(OP9)
