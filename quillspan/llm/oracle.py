@@ -79,6 +79,14 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(length(body) + CASE WHEN opens THEN past ELSE 0 END)::BIGINT AS formatted_chars, count(*) FILTER (opens) AS n_windows
 FROM t7 JOIN f ON f.conv_id IS NOT DISTINCT FROM t7.conv_id AND f.n = t7.n GROUP BY 1"""
 
+OP12 = rf"""
+WITH {_ROWS}, b AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blank),
+l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents_rows),
+k AS (SELECT r, doc_id, i, line, translate(trim(line, blank), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l, b),
+f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT r) >= 5),
+g AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.holder AS gone FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r"""
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
 h AS (SELECT *, length(t)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
@@ -95,6 +103,6 @@ def _with_vocabulary(sql: str) -> str:
     return sql.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op13_middle": OP13}
+ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op12_line_runs": OP12, "op13_middle": OP13}
 if importlib.util.find_spec("public_tokenizers"):  # the SQL reads the vocabulary from its file
     ORACLE["op9_chat_windows"] = _with_vocabulary(OP9)

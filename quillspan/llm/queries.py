@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, chosen_path, langid, middle, packing, pii, quality_rules, records, superkmer, tiling, warc
+from quillspan.llm import chat, chosen_path, langid, line_runs, middle, packing, pii, quality_rules, records, superkmer, tiling, warc
 from quillspan.llm.oracle import ORACLE  # noqa: F401
 from quillspan.llm.shared import shared_folder
 
@@ -94,6 +94,12 @@ def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters or more that five documents share, removed from all but the last of them."""
+    out = line_runs.remove_common(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut for fill-in-middle by code points, and rebuilt from what was written."""
     out = middle.restore(middle.transform(table(spark, sf_dir, "documents"), unit="char", rate=90, spm=20, seed="1"))
@@ -111,5 +117,6 @@ QUERIES: dict[str, Query] = {
     "op8_superkmer": op8_superkmer,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_records": op10_token_records,
+    "op12_line_runs": op12_line_runs,
     "op13_middle": op13_middle,
 }
