@@ -79,6 +79,15 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(length(body) + CASE WHEN opens THEN past ELSE 0 END)::BIGINT AS formatted_chars, count(*) FILTER (opens) AS n_windows
 FROM t7 JOIN f ON f.conv_id IS NOT DISTINCT FROM t7.conv_id AND f.n = t7.n GROUP BY 1"""
 
+OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
 OP12 = rf"""
 WITH {_ROWS}, b AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blank),
 l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents_rows),
@@ -103,6 +112,6 @@ def _with_vocabulary(sql: str) -> str:
     return sql.replace("TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op12_line_runs": OP12, "op13_middle": OP13}
+ORACLE = {"op2_quality_rules": OP2, "op3_chosen_path": OP3, "op5_warc": OP5, "op8_superkmer": OP8, "op11_annuli": OP11, "op12_line_runs": OP12, "op13_middle": OP13}
 if importlib.util.find_spec("public_tokenizers"):  # the SQL reads the vocabulary from its file
     ORACLE["op9_chat_windows"] = _with_vocabulary(OP9)

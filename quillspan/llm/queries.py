@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, chosen_path, langid, line_runs, middle, packing, pii, quality_rules, records, superkmer, tiling, warc
+from quillspan.llm import annuli, chat, chosen_path, langid, line_runs, middle, packing, pii, quality_rules, records, superkmer, tiling, warc
 from quillspan.llm.oracle import ORACLE  # noqa: F401
 from quillspan.llm.shared import shared_folder
 
@@ -94,6 +94,14 @@ def op8_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_annuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector among all vectors, by the inner products of vectors in steps of 1/256."""
+    rows = table(spark, sf_dir, "embeddings").filter(annuli.usable(F.col("label"), F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return annuli.hard_negatives(rows.select("vec_id", label.alias("label"), vector.alias("vec")), F.col("vec_id") % 50 == 0)
+
+
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more that five documents share, removed from all but the last of them."""
     out = line_runs.remove_common(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
@@ -117,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_superkmer": op8_superkmer,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_records": op10_token_records,
+    "op11_annuli": op11_annuli,
     "op12_line_runs": op12_line_runs,
     "op13_middle": op13_middle,
 }
