@@ -17,7 +17,8 @@ span overlaps, are added.  What is gathered is one row for each pattern of votes
 and six features of six values at most, whatever the corpus; its counts cover all candidates.
 
 Offsets are code points: running sums over the pieces between matches, gathered in blocks so that a text with many matches
-does not copy its list for each.  What surrounds a candidate is its own gap to the candidates beside it, with one character of
+does not copy its list for each.  Candidates meet base spans by one ordered pass over both, and a text is written anew from chunks of
+1,024 characters, so time grows with text and matches, not with their product.  What surrounds a candidate is its own gap to the candidates beside it, with one character of
 the one before.
 
 Nulls: a null text is empty.  Very long texts are worked on whole.  Ties: spans that start together stand in the order of the
@@ -56,7 +57,7 @@ AGAINST = {
     "number": ["page", "isbn", "issn", "version", "figure", "chapter", "total", "price", "score"],
     "person": ["street", "avenue", "hotel", "saint", "film", "novel"],
 }
-_AROUND, _AFTER, _BLOCK = 40, 12, 64
+_AROUND, _AFTER, _BLOCK, _CHUNK = 40, 12, 64, 1024
 VOTES = ["shape", "gazetteer", "context", "variety"]
 FEATURES = ["length", "digits", "before", "after", "marks", "case"]
 
@@ -263,7 +264,7 @@ def find(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     if model.weights:
         rank = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(KINDS.index(k))) for k in KINDS[4:]], F.lit(len(KINDS)))
         good = F.filter(F.transform(_candidates(F.col(t)), _judged), lambda x: model.score(x) >= threshold)
-        unmet = F.filter(good, lambda x: ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        unmet = _clear_of(good, known)
         more = F.transform(unmet, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(False).alias("base")))
         found = F.array_sort(F.concat(known, more))
     else:
@@ -271,6 +272,29 @@ def find(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("pii", found).drop(t, known)
 
 
+def _reached(items: Column, reach) -> Column:
+    """The greatest reach(item) of the items before each (0 before the first), worked out in blocks."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+    none = F.array().cast("array<int>")
+    step = lambda a, x: F.struct(F.greatest(a["at"], reach(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    inner = lambda a, y: F.aggregate(y, F.struct(a["at"].alias("at"), none.alias("out")), step)
+    block = lambda a, y: _let(inner(a, y), lambda z: F.struct(z["at"].alias("at"), F.concat(a["out"], F.array(z["out"])).alias("out")))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.when(F.size(items) == 0, none).otherwise(F.aggregate(blocks, outer, block, lambda a: F.flatten(a["out"])))
+
+
+def _clear_of(candidates: Column, known: Column) -> Column:
+    """The candidates that no known span overlaps.  Both stand in one order, candidates by their ends and known spans by their
+    starts: a candidate is met if a known span before it reaches beyond its start."""
+    plain = lambda x: [x[c].alias(c) for c in ("start", "end", "kind")]
+    event = lambda at, is_known, x: F.struct(at.alias("at"), F.lit(is_known).alias("known"), *plain(x))
+    both = F.array_sort(F.concat(F.transform(candidates, lambda x: event(x["end"], False, x)), F.transform(known, lambda x: event(x["start"], True, x))))
+    reach = lambda e: _reached(e, lambda x: F.when(x["known"], x["end"]).otherwise(0))
+    marked = lambda e: F.zip_with(e, reach(e), lambda x, r: F.struct(*plain(x), (~x["known"] & (r <= x["start"])).alias("clear")))
+    unmet = _let(both, lambda e: F.transform(F.filter(marked(e), lambda x: x["clear"]), lambda x: F.struct(*plain(x))))
+    return F.when((F.size(known) == 0) | (F.size(candidates) == 0), F.transform(candidates, lambda x: F.struct(*plain(x)))).otherwise(unmet)
+
+
 def _tagged(spans: Column, kind: str, struct) -> Column:
     return F.transform(spans, lambda x: struct(x, kind, True))
 
@@ -280,14 +304,30 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _between(chunks: Column, low: Column, high: Column) -> Column:
+    """The code points low .. high - 1 of a text given in chunks."""
+    size = F.lit(_CHUNK)
+    first, last = F.floor(low / size).cast("int"), F.floor(high / size).cast("int")
+    head, tail = F.coalesce(F.get(chunks, first), F.lit("")), F.coalesce(F.get(chunks, last), F.lit(""))
+    within = F.substring(head, low % size + 1, high - low)
+    inner = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(high <= low, "").when(first == last, within).otherwise(F.concat(F.substring(head, low % size + 1, size), inner, F.substring(tail, F.lit(1), high % size)))
+
+
+def _replaced(x: Column) -> Column:
+    """The text with its spans replaced: what lies before each span that begins a run, the run's kind, and the rest."""
+    spans, chunks = x["s"], x["chunks"]
+    runs = F.filter(F.zip_with(spans, _reached(spans, lambda y: y["end"]), lambda y, r: F.struct(y["start"].alias("start"), y["kind"].alias("kind"), r.alias("from"))), lambda y: y["start"] >= y["from"])
+    parts = F.transform(runs, lambda y: F.concat(_between(chunks, y["from"], y["start"]), F.lit("["), F.upper(y["kind"]), F.lit("]")))
+    return F.concat(F.array_join(parts, ""), _between(chunks, F.array_max(F.transform(spans, lambda y: y["end"])), F.length(x["t"])))
+
+
 def redact(docs: DataFrame, model: Model, **options) -> DataFrame:
     """docs, all columns, with every span of the text replaced by its kind in square brackets; spans that overlap
     become one, named by the first."""
     clash = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     rows = find(docs.withColumnsRenamed(clash), model, **options)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).alias("out"))
-    clean = F.aggregate("pii", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    text = _text()
+    clean = _let(F.struct(text.alias("t"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), 0).alias("chunks"), F.col("pii").alias("s")), _replaced)
     rows = rows.withColumn("_clean", F.when(F.size("pii") == 0, F.col("text")).otherwise(clean))
     return rows.select(*[F.col("_clean").alias("text") if c == "text" else F.col(clash[c]).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import annuli, line_runs, middle
+from quillspan.llm import annuli, line_runs, middle, pii
 
 
 def same(a, b):
@@ -211,3 +211,23 @@ def test_middle_of_an_empty_table_and_marks(spark):
             middle.transform(docs, marks=bad)
     with pytest.raises(ValueError):
         middle.transform(docs, unit="page")
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans of a long text are met and replaced by passes over it, as a plain loop would."""
+    random.seed(8)
+    some = [lambda i: f"a{i}.b@c{i}.org", lambda i: f'token = "aB3dE6gH1jK{i:05d}dLm9"', lambda i: f"10.0.{i % 256}.{i % 200}", lambda i: f"+1 (555) 010-{i % 10000:04d}", lambda i: f"call 555 123 {i % 10000:04d} and +1 555 123 {i % 10000:04d}"]
+    text = " ".join(random.choice(["word é and", "x" * random.randint(1, 3000), "line\n", "中"]) + " " + random.choice(some)(i) for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, "")], "doc_id long, text string")
+    model = pii.fit(docs)
+    spans = [(x.start, x.end, x.kind, x.base) for x in pii.find(docs, model).filter("doc_id = 1").first().pii]
+    base = [s for s in spans if s[3]]
+    assert len(base) > 800 and len(spans) > len(base)
+    assert not any(b[0] < x[1] and x[0] < b[1] for x in spans if not x[3] for b in base)
+    want, at = [], 0
+    for start, end, kind, _ in spans:
+        if start >= at:
+            want.append(f"{text[at:start]}[{kind.upper()}]")
+        at = max(at, end)
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert clean == {1: "".join(want) + text[at:], 2: "x", 3: ""}
