@@ -1,12 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, marks and digits of the lower-cased text; a letter of a script that is written without spaces
-(Han, Hiragana, Katakana, Thai, Lao, Khmer, Myanmar) is a word of its own.  Seeds are the places where ``k`` consecutive words of a
-document and of a benchmark item are equal, found by a join on Karp-Rabin hashes of k words.  Seeds that follow each
-other in both make a match; every match of k words or more is such a run, so the texts are not needed again.  Tiling then
-takes the longest match whose words are unmarked on both sides, marks it, and goes on with what is left of the others
-while they have k words or more (longest first; ties: least place in the document, then in the item).  A document is
-contaminated by an item of which marked words cover at least ``coverage``, whatever their order in the document.
+(Han, Hiragana, Katakana, Thai, Lao, Khmer, Myanmar) is a word of its own.  Seeds are the runs of ``k`` consecutive words that a
+document and a benchmark item share, found by a join on Karp-Rabin hashes of k words; a hash is joined once for each document, whatever its
+number of places there.  Pairs whose seeds cover enough of the item are tiled: the longest match of unmarked words of both is sought
+by hashes of falling length (its length by bisection, for a shorter run of a match is a match), marked, and so on while there is one of k
+words or more (ties: least place in the document, then in the item).  A document is contaminated by an item of which
+marked words cover at least ``coverage``, whatever their order in the document.
+
+What a task holds is a sum of texts and items, never a product of places: hashes of runs of 1, 2, 4, ... words of those parts of the
+document that seeds cover.  Tiles of an item of m words have at most sqrt(2 m) different lengths, so time is at most that many passes.
 
 The items' hashes are sent to every task if they are at most ``bound`` bytes, which is checked; beyond that, seeds come from a
 shuffled join on the hash, with the same result.
@@ -18,7 +21,6 @@ null.  Very long texts are worked on whole.  Other columns, of any names, are ke
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.shared import free
-from quillspan.llm.words import NOT_ALNUM, Words, groups, slices
+from quillspan.llm.words import NOT_ALNUM, Words, mix, slices
 
 # Scripts without spaces between words.
 _UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]\\p{M}*)"
@@ -43,40 +45,97 @@ def _plain(text: Column) -> Column:
     return F.when(beyond, F.regexp_replace(worded, _UNSPACED, " $1 ")).when(low.rlike("[^\\x00-\\x7F]"), worded).otherwise(low)
 
 
+def _runs(h: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of the runs of 1, 2, 4, ... words, as far as ``longest`` needs them."""
+    out, size = [h], 1
+    while 2 * size <= longest and len(h) >= 2 * size:
+        left, right = out[-1][:-size], out[-1][size:]
+        out.append(mix(left * np.uint64(0x9FB21C651E98DF25) ^ ((right << np.uint64(23)) | (right >> np.uint64(41))), size))
+        size *= 2
+    return out
+
+
+def _of_length(levels: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words at some places, each of two runs that overlap."""
+    j = min(n.bit_length() - 1, len(levels) - 1)
+    return levels[j][at] * np.uint64(0xD6E8FEB86659FD93) ^ levels[j][at + n - (1 << j)]
+
+
+def _free(is_open: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many open words with consecutive places follow each, with itself."""
+    n = len(is_open)
+    stop = ~is_open
+    ends = np.ones(n, bool)
+    ends[:-1] = stop[1:] | (np.diff(place) != 1)
+    last = np.flatnonzero(ends | stop)
+    out = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1 if n else np.zeros(0, np.int64)
+    out[stop] = 0
+    return out
+
+
 def tile(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Tiles (doc word, item word, length) from the seeds' places, which need no order."""
-    order = np.lexsort((doc, doc - item))
-    doc, item = doc[order], item[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (np.diff(doc) != 1) | (np.diff(item) != 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(doc))) + k - 1
-    heap = [(-n, d, i) for n, d, i in zip(length.tolist(), doc[first].tolist(), item[first].tolist(), strict=True)]
-    heapq.heapify(heap)
-    marked_doc, marked_item, tiles = set(), set(), []
-    while heap:
-        n, d, i = heapq.heappop(heap)
-        run = 0
-        pieces = []
-        for step in range(-n + 1):
-            if step < -n and d + step not in marked_doc and i + step not in marked_item:
-                run += 1
+    """Tiles (doc word, item word, length) of two arrays of word hashes, longest first."""
+    if min(len(doc), len(item)) < k:
+        return []
+    levels = _runs(item, len(item))
+    seeds = np.flatnonzero(np.isin(_of_length(_runs(doc, k), np.arange(len(doc) - k + 1), k), _of_length(levels, np.arange(len(item) - k + 1), k)))
+    inside = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(inside, seeds, 1)
+    np.add.at(inside, seeds + k, -1)
+    place = np.flatnonzero(np.cumsum(inside[:-1]))  # the words of the document that seeds cover
+    if not len(place):
+        return []
+    of_doc, doc_levels = np.ones(len(place), bool), _runs(doc[place], len(item))
+    of_item, item_place = np.ones(len(item), bool), np.arange(len(item))
+
+    def common(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document words, their hashes, item words, their hashes) of the free runs of n words that both have."""
+        d, i = np.flatnonzero(doc_free >= n), np.flatnonzero(item_free >= n)
+        hd, hi = _of_length(doc_levels, d, n), _of_length(levels, i, n)
+        kd, ki = np.isin(hd, hi), np.isin(hi, hd)
+        return d[kd], hd[kd], i[ki], hi[ki]
+
+    tiles, most = [], len(item)
+    while True:
+        doc_free, item_free = _free(of_doc, place), _free(of_item, item_place)
+        low, high = k - 1, min(most, int(doc_free.max()), int(item_free.max()))
+        probe = high
+        while low < high:  # the greatest length with a match, or k - 1
+            if len(common(probe)[0]):
+                low = probe
+            else:
+                high = probe - 1
+            probe = (low + high + 1) // 2
+        if low < k:
+            return tiles
+        n, most = low, low - 1
+        d, hd, i, hi = common(n)
+        order = np.argsort(hi, kind="stable")
+        hi, i = hi[order], i[order]
+        first, last = np.searchsorted(hi, hd), np.searchsorted(hi, hd, side="right")
+        ahead, left, after = {}, len(np.unique(hi)), -1
+        for at, lo, end in zip(d.tolist(), first.tolist(), last.tolist(), strict=True):
+            if at < after:
                 continue
-            if run >= k:
-                pieces.append((-run, d + step - run, i + step - run))
-            run = 0
-        if pieces and pieces[0][0] == n:
-            tiles.append((d, i, -n))
-            marked_doc.update(range(d, d - n))
-            marked_item.update(range(i, i - n))
-        else:
-            for piece in pieces:
-                heapq.heappush(heap, piece)
-    return tiles
+            now = ahead.get(lo, lo)
+            if now == end:
+                continue
+            while now < end and not (of_item[i[now]] and of_item[i[now] + n - 1]):
+                now += 1
+            if now < end:
+                begin, after = int(i[now]), at + n
+                tiles.append((int(place[at]), begin, n))
+                of_doc[at : at + n] = of_item[begin : begin + n] = False
+                now += 1
+            ahead[lo] = now
+            if now == end:
+                left -= 1
+                if not left:
+                    break
 
 
 class _Index:
-    """Hashes of the items' runs of k words, sorted, with item and place."""
+    """Hashes of the items' runs of k words, sorted, with item and place, and of their words."""
 
     def __init__(self, ids: list, texts: pa.Array, k: int):
         words = Words(texts, NOT_ALNUM)
@@ -86,38 +145,57 @@ class _Index:
         self.item = words.text_of(at)
         self.place = at - words.first[self.item]
         self.size = np.diff(words.first)
+        self.words, self.first = words.hash, words.first
         self.ids = ids
 
-    def seeds(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of g, which entry) for every equal pair."""
+    def spans(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of each hash begin, and how many there are."""
         low = np.searchsorted(self.hash, g)
-        hit = np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == g) if len(self.hash) else low[:0]
-        n = np.searchsorted(self.hash, g[hit], side="right") - low[hit]
-        which = np.repeat(hit, n)
-        return which, np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(len(which))
+        return low, np.searchsorted(self.hash, g, side="right") - low
+
+
+def _covered(edge: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """How many words the runs of k words at sorted places cover, of each group that begins at an edge."""
+    gap = np.append(np.diff(place), k)
+    gap[np.append(edge[1:], len(place)) - 1] = k
+    return np.add.reduceat(np.minimum(gap, k), edge)
+
+
+_MOST = 1 << 22
 
 
 def _matches(index: _Index, texts: pa.Array, k: int, coverage: float) -> list[tuple]:
     """(row, item_id, words of the item, covered, tiles) of the contaminated rows."""
     words = Words(texts, NOT_ALNUM)
     g, at = words.grams(k)
-    which, entry = index.seeds(g)
-    if not len(which):
+    low, n = index.spans(g)
+    hit = np.flatnonzero(n)
+    if not len(hit):
         return []
-    row, item = words.text_of(at[which]), index.item[entry]
-    doc_at, item_at = at[which] - words.first[row], index.place[entry]
-    order = np.lexsort((item, row))
-    row, item, doc_at, item_at = row[order], item[order], doc_at[order], item_at[order]
-    edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+    row = words.text_of(at[hit])
+    order = np.lexsort((low[hit], row))
+    hit, row = hit[order], row[order]
+    once = np.append(True, (row[1:] != row[:-1]) | (low[hit[1:]] != low[hit[:-1]]))  # a hash counts once a text
+    row, low, n = row[once], low[hit[once]], n[hit[once]]
     out = []
-    for low, high in zip(edge.tolist(), np.append(edge[1:], len(row)).tolist(), strict=True):
-        size = int(index.size[item[low]])
-        if len(reach := np.unique(item_at[low:high])) * k < coverage * size and len(np.unique(reach[:, None] + np.arange(k))) < coverage * size:
-            continue  # even all seeds together cover too little
-        tiles = tile(doc_at[low:high], item_at[low:high], k)
-        covered = sum(n for *_, n in tiles)
-        if covered >= coverage * size:
-            out.append((int(row[low]), index.ids[item[low]], size, covered, tiles))
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+    total, begin = np.append(0, np.cumsum(n)), 0
+    while begin < len(row):  # some texts at a time, a text of many seeds alone
+        end = int(ends[max(np.searchsorted(ends, begin, side="right"), np.searchsorted(total[ends], total[begin] + _MOST, side="right") - 1)])
+        part = slice(begin, end)
+        which = np.repeat(row[part], n[part])
+        entry = np.repeat(low[part] - total[begin:end] + total[begin], n[part]) + np.arange(len(which))
+        item, place = index.item[entry], index.place[entry]
+        order = np.lexsort((place, item, which))
+        which, item, place = which[order], item[order], place[order]
+        edge = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (item[1:] != item[:-1])))
+        enough = edge[_covered(edge, place, k) >= coverage * index.size[item[edge]]]  # else all seeds together cover too little
+        for r, i in zip(which[enough].tolist(), item[enough].tolist(), strict=True):
+            tiles = tile(words.hash[words.first[r] : words.first[r + 1]], index.words[index.first[i] : index.first[i + 1]], k)
+            covered = sum(x for *_, x in tiles)
+            if covered >= coverage * index.size[i]:
+                out.append((r, index.ids[i], int(index.size[i]), covered, tiles))
+        begin = end
     return out
 
 
@@ -136,8 +214,9 @@ def _keyed(docs: DataFrame, kd: str, kh: str) -> DataFrame:
 
 
 def _seed_join(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> DataFrame:
-    """RESULT with the rows' keys _kd and _kh and ``times`` (how often the item comes), by a shuffled join of document and
-    item hashes; adaptive execution splits a hash that many documents have."""
+    """RESULT with the rows' keys _kd and _kh, a row for each row of docs and time that the item comes.  The hashes that a document and an
+    item share are joined, each once a document; adaptive execution splits a hash that many documents have.  Pairs whose
+    seeds cover enough are joined with their texts and tiled."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,50 +224,54 @@ def _seed_join(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> Da
                 words = Words(part.column(part.num_columns - 1), NOT_ALNUM)
                 g, at = words.grams(k)
                 row = words.text_of(at)
-                rows = pa.array(row)
-                cols = [part.column(i).take(rows) for i in range(part.num_columns - 1)]
+                if "_ki" not in batch.schema.names:
+                    order = np.lexsort((g, row))
+                    keep = order[np.append(True, (np.diff(row[order]) != 0) | (g[order][1:] != g[order][:-1]))[: len(order)]]
+                    g, at, row = g[keep], at[keep], row[keep]
+                cols = [part.column(i).take(pa.array(row)) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(g.view(np.int64)), pa.array(at - words.first[row]), pa.array(np.diff(words.first)[row])], [*batch.schema.names[:-1], "g", "place", "size"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles", "_kd", "_kh", "_ki"]
-        for table, at in groups(batches, 3):
-            cols = [[] for _ in names]
-            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                part = table.slice(low, high - low)
-                doc, item = part.column(5).to_numpy(), part.column(6).to_numpy()
-                seen = np.unique(np.stack([doc, item]), axis=1)  # a repeated row brings its seeds again
-                size = part.column(7)[0].as_py()
-                found = tile(seen[0], seen[1], k)
-                covered = sum(n for *_, n in found)
-                if covered >= coverage * size:
-                    value = (part.column(3)[0].as_py(), part.column(4)[0].as_py(), size, covered, covered / size, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in found], *(part.column(i)[0].as_py() for i in range(3)))
-                    for col, x in zip(cols, value, strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(), strict=True)], names)
+        names = ["doc_id", "item_id", "item_words", "covered", "coverage", "tiles", "_kd", "_kh"]
+        for batch in batches:
+            for part in slices(batch, 4):
+                doc, item = Words(part.column(4), NOT_ALNUM), Words(part.column(5), NOT_ALNUM)
+                cols = [[] for _ in names]
+                for r in range(part.num_rows):
+                    size = int(item.first[r + 1] - item.first[r])
+                    found = tile(doc.hash[doc.first[r] : doc.first[r + 1]], item.hash[item.first[r] : item.first[r + 1]], k)
+                    covered = sum(n for *_, n in found)
+                    if covered >= coverage * size:
+                        value = (part.column(2)[r].as_py(), part.column(3)[r].as_py(), size, covered, covered / size, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in found], *(part.column(i)[r].as_py() for i in range(2)))
+                        for col, x in zip(cols, value, strict=True):
+                            col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(), strict=True)], names)
 
     text = _plain(F.col("text")).alias("text")
-    left = _keyed(docs.select("doc_id", "text"), "_kd", "_kh").select("_kd", "_kh", F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(grams, "_kd long, _kh long, doc_id long, g long, doc_at long, doc_size long")
+    rows = _keyed(docs.select("doc_id", "text"), "_kd", "_kh").select("_kd", "_kh", F.col("doc_id").cast("long").alias("doc_id"), text)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("times"))
     items = items.withColumn("_ki", F.xxhash64("item_id", "text"))
-    right = items.select("_ki", "item_id", text).mapInArrow(grams, "_ki long, item_id long, g long, item_at long, size long").withColumn("size", F.col("size").cast("int"))
-    both = left.join(right, "g").select("_kd", "_kh", "_ki", "doc_id", "item_id", F.col("doc_at"), "item_at", "size")
-    found = both.repartition("_kd", "_kh", "_ki").sortWithinPartitions("_kd", "_kh", "_ki").mapInArrow(tiles, f"{RESULT}, _kd long, _kh long, _ki long")
-    return found.join(items.select("_ki", "times"), "_ki").drop("_ki")
+    left = rows.select("_kd", "_kh", "text").mapInArrow(grams, "_kd long, _kh long, g long, place long, size long").select("_kd", "_kh", "g")
+    right = items.select("_ki", text).mapInArrow(grams, "_ki long, g long, place long, size long")
+    places = F.array_sort(F.collect_set("place")).alias("places")  # at most the item's
+    steps = lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda x, y: F.coalesce(F.least(y - x, F.lit(k)), F.lit(k)).cast("long"))
+    seeds = left.join(right, "g").groupBy("_kd", "_kh", "_ki").agg(places, F.max("size").alias("size"))
+    pairs = seeds.filter(F.aggregate(steps(F.col("places")), F.lit(0).cast("long"), lambda a, x: a + x) >= coverage * F.col("size")).select("_kd", "_kh", "_ki")
+    both = pairs.join(rows, ["_kd", "_kh"]).withColumnRenamed("text", "t").join(items.select("_ki", "item_id", text.alias("x"), "times"), "_ki")
+    each = both.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("_kd", "_kh", "doc_id", "item_id", "t", "x").mapInArrow(tiles, f"{RESULT}, _kd long, _kh long")
 
 
 def _types() -> list[pa.DataType]:
     tiles = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
-    return [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), tiles, pa.int64(), pa.int64(), pa.int64()]
+    return [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), tiles, pa.int64(), pa.int64()]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, coverage: float = 0.5, bound: int = 16 << 20) -> DataFrame:
     """One row for each document and item that cover each other so: see RESULT."""
     index = _index(items, k, bound)
     if index is None:
-        once = _seed_join(docs, items, k, coverage)
-        rows = _keyed(docs.select("doc_id", "text"), "_kd", "_kh").groupBy("_kd", "_kh").count()
-        n = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count") * F.col("times")))
-        return once.join(rows, ["_kd", "_kh"]).withColumn("_n", n).select("doc_id", "item_id", "item_words", "covered", "coverage", "tiles")
+        return _seed_join(docs, items, k, coverage).drop("_kd", "_kh")
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import annuli, line_runs, middle, pii
+from quillspan.llm import annuli, line_runs, middle, pii, tiling
+from quillspan.llm.words import mix
 
 
 def same(a, b):
@@ -231,3 +234,48 @@ def test_many_spans_in_one_text(spark):
         at = max(at, end)
     clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert clean == {1: "".join(want) + text[at:], 2: "x", 3: ""}
+
+
+def test_tiles_are_the_longest(spark):
+    """Tiles in their order against a search of all places, for few different words."""
+    random.seed(12)
+    for _ in range(400):
+        words = random.choice([1, 2, 3, 6])
+        a = [random.randrange(words) for _ in range(random.randint(0, 40))]
+        b = [random.randrange(words) for _ in range(random.randint(0, 25))]
+        k, want = random.randint(1, 5), []
+        free_a, free_b = [True] * len(a), [True] * len(b)
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < k:
+                break
+            want.append((i, j, n))
+            free_a[i : i + n] = free_b[j : j + n] = [False] * n
+        assert tiling.tile(words_mix(a), words_mix(b), k) == want
+
+
+def words_mix(x):
+    return mix(np.array(x, np.uint64)) if x else np.zeros(0, np.uint64)
+
+
+def test_repetitive_texts_are_tiled_in_linear_memory(spark):
+    """A million equal words against items of equal words: no list of pairs of places."""
+    one = words_mix([7] * 1_000_000)
+    tracemalloc.start()
+    assert tiling.tile(one, words_mix([7] * 3000), 5) == [(0, 0, 3000)]
+    period = np.tile(words_mix([1, 2, 3]), 300_000)
+    assert tiling.tile(period, words_mix([1, 2, 3] * 200 + [9] + [2, 3, 1] * 100), 5) == [(0, 0, 600), (601, 601, 300)]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    text, item = "again " * 200_000, "again " * 500
+    docs = spark.createDataFrame([(i, text) for i in range(3)] + [(9, "again " * 249), (10, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, item) for i in range(4)], "item_id long, text string")
+    for bound in (1 << 20, 0):
+        same([(r.doc_id, r.item_id, r.covered) for r in tiling.contaminated(docs, items, bound=bound).collect()], [(d, i, 500) for d in range(3) for i in range(4)])

@@ -305,8 +305,8 @@ def test_tiling(spark, docs, empty):
         left = tiling.decontaminate(odd, items, bound=bound)
         assert left.columns == odd.columns and left.count() == 3
     assert tiling.contaminated(d, items.filter("false")).count() == 0
-    tiles = tiling.tile(np.array([0, 1, 2, 3, 10, 11, 12]), np.array([0, 1, 2, 3, 2, 3, 4]), 3)
-    assert tiles == [(0, 0, 6)]  # of the second match only one item word is left
+    one, two = np.array([1, 2, 3, 4, 5, 6, 9, 9, 9, 9, 3, 4, 5, 6, 7], np.uint64), np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
+    assert tiling.tile(one, two, 3) == [(0, 0, 6)]  # of the second match only one item word is left
 
 
 def test_tiling_against_plain_tiling(spark):
