@@ -14,11 +14,15 @@ from quillspan.llm.shared import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table.  A scan with fewer partitions than there are cores (a small file of one row group) is dealt to all of them."""
+def table(spark: SparkSession, sf_dir: str, name: str, least_rows: int = 1) -> DataFrame:
+    """The table.  A scan with fewer partitions than there are cores (a small file of one row group) is dealt to all of them,
+    but to no more tasks than have ``least_rows`` rows each."""
     scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
+    cores, now = spark.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    if now >= cores:
+        return scan
+    tasks = 2 * cores if least_rows == 1 else min(2 * cores, scan.count() // least_rows)
+    return scan.repartition(tasks) if tasks > now else scan
 
 
 def tokenizer_path() -> str:
@@ -29,7 +33,8 @@ def tokenizer_path() -> str:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents; the digest is made of the operator's own ids."""
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
+    docs = table(spark, sf_dir, "documents", least_rows=5000)  # the rule needs thousands of documents a task
+    pieces = packing.pack(docs, tokenizer_path(), size=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to", "closed")
 
 
