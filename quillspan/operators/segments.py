@@ -62,6 +62,35 @@ def domain_contacts(seg_pairs: DataFrame, cutoff: float) -> DataFrame:
     return seg_pairs.groupBy("seg_i", "seg_j").agg(F.try_divide(F.count_if(F.col("dist") <= cutoff).cast("double"), F.count("dist")).alias("contact"))
 
 
+def merged_cuts(d: np.ndarray, corr: np.ndarray, cuts: list[int], most_distance: float, most_correlation: float, flexible: float) -> list[int]:
+    """The starts of domains that stay when boundaries of a distance map and a correlation map are dropped one at a time."""
+    cuts = list(cuts)
+
+    def effect(a: int, m: int, b: int) -> float:
+        across = d[a:m, m:b].ravel()
+        inner = np.concatenate([d[a:m, a:m][np.triu_indices(m - a, 1)], d[m:b, m:b][np.triu_indices(b - m, 1)]])
+        across, inner = across[~np.isnan(across)], inner[~np.isnan(inner)]
+        if not len(across) or not len(inner):
+            return 0.0
+        one, two = np.median(across), np.median(inner)
+        spread = np.median((across - one) ** 2) + np.median((inner - two) ** 2)
+        return max(float((one - two) / np.sqrt(spread)), 0.0) if spread else 0.0
+
+    while len(cuts) > 1:
+        edges = [*cuts, len(d)]
+        rows = [corr[a:b].mean(0) for a, b in zip(edges, edges[1:], strict=False)]
+        near = np.array([effect(*edges[k - 1 : k + 2]) for k in range(1, len(cuts))])
+        alike = np.array([float(np.sqrt(((u - v) ** 2).sum())) / len(d) for u, v in zip(rows, rows[1:], strict=False)])
+        may = np.zeros(len(near), bool)
+        for up, down in ((0, 0), (flexible, -flexible), (-flexible, flexible)):
+            may |= (near <= most_distance * (1 + up)) & (alike <= most_correlation * (1 + down))
+        if not may.any():
+            break
+        cost = np.where(may, near / most_distance + alike / most_correlation, np.inf)
+        del cuts[int(np.argmin(cost)) + 1]
+    return cuts
+
+
 def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, most_correlation: float = 0.05, flexible: float = 0.2, starts: DataFrame | None = None) -> DataFrame:
     """Segments of each trace: start from runs of ``size`` loci (or the segments ``starts``) and drop boundaries one at a time.  A boundary can go if the segments
     beside it are near both by distance (median effect, not below 0) and by correlation (distance of their mean rows in the
@@ -81,28 +110,7 @@ def merged_domains(points: DataFrame, size: int, most_distance: float = 0.8, mos
             corr = np.corrcoef(np.sqrt(((whole[:, None] - whole[None]) ** 2).sum(-1)))
         cuts = list(range(0, len(loci), size)) if given is None else sorted(np.searchsorted(loci, given["first"]).tolist())
 
-        def effect(a: int, m: int, b: int) -> float:
-            across = d[a:m, m:b].ravel()
-            inner = np.concatenate([d[a:m, a:m][np.triu_indices(m - a, 1)], d[m:b, m:b][np.triu_indices(b - m, 1)]])
-            across, inner = across[~np.isnan(across)], inner[~np.isnan(inner)]
-            if not len(across) or not len(inner):
-                return 0.0
-            one, two = np.median(across), np.median(inner)
-            spread = np.median((across - one) ** 2) + np.median((inner - two) ** 2)
-            return max(float((one - two) / np.sqrt(spread)), 0.0) if spread else 0.0
-
-        while len(cuts) > 1:
-            edges = [*cuts, len(loci)]
-            rows = [corr[a:b].mean(0) for a, b in zip(edges, edges[1:], strict=False)]
-            near = np.array([effect(*edges[k - 1 : k + 2]) for k in range(1, len(cuts))])
-            alike = np.array([float(np.sqrt(((u - v) ** 2).sum())) / len(loci) for u, v in zip(rows, rows[1:], strict=False)])
-            may = np.zeros(len(near), bool)
-            for up, down in ((0, 0), (flexible, -flexible), (-flexible, flexible)):
-                may |= (near <= most_distance * (1 + up)) & (alike <= most_correlation * (1 + down))
-            if not may.any():
-                break
-            cost = np.where(may, near / most_distance + alike / most_correlation, np.inf)
-            del cuts[int(np.argmin(cost)) + 1]
+        cuts = merged_cuts(d, corr, cuts, most_distance, most_correlation, flexible)
         edges = [*cuts, len(loci)]
         return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": range(len(cuts)), "first": loci[cuts], "last": loci[np.array(edges[1:]) - 1]})
 
