@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspan.operators.significance import group_quantiles, running
+
 
 def association_rate(rows: DataFrame, by: list[str], value: str, cutoff: float) -> DataFrame:
     x = F.col(value)
-    return rows.groupBy(*by).agg(F.try_divide(F.count_if(x < cutoff).cast("double"), F.count(x)).alias("rate"), F.median(x).alias("median_value"))
+    rate = rows.groupBy(*by).agg(F.try_divide(F.count_if(x < cutoff).cast("double"), F.count(x)).alias("rate"))
+    middle = group_quantiles(rows, by, value, {"median_value": 0.5}).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "median_value")
+    return rate.join(middle, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]).select(*by, "rate", "median_value")
 
 
 def conditional_rates(rows: DataFrame, by: list[str], event: Column, given: Column) -> DataFrame:
@@ -46,7 +50,9 @@ def strata_ratio(rows: DataFrame, strata: dict[str, Column], on: Column, value:
     """Medians on and off in strata that may overlap: a row counts in every stratum that holds for it; by more columns if given."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in strata.items()]))
     rows = rows.withColumn("stratum", F.explode(names))
-    return on_off_ratio(rows, ["stratum", *by], on, value)
+    middle = group_quantiles(rows.withColumn("_on", on), ["stratum", *by, "_on"], value, {"_m": 0.5})
+    out = middle.groupBy("stratum", *by).agg(F.max(F.when(F.col("_on"), F.col("_m"))).alias("on_median"), F.max(F.when(~F.col("_on"), F.col("_m"))).alias("off_median"))
+    return out.withColumn("log2_ratio", F.when((F.col("on_median") > 0) & (F.col("off_median") > 0), F.log2(F.col("on_median") / F.col("off_median"))))
 
 
 def log_log_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -67,7 +73,7 @@ def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def winsorized(rows: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The value clipped to the group's percentiles."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_l"), F.percentile(value, F.lit(high)).alias("_h"))
+    q = group_quantiles(rows, by, value, {"_l": low, "_h": high})
     return rows.join(q, by).withColumn("clipped", F.least(F.greatest(F.col(value), "_l"), "_h")).drop("_l", "_h")
 
 
@@ -77,10 +83,9 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
 
 def empirical_cdf(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Share of the group's values that are at most this one: running counts over distinct values, then joined back."""
-    w = W.partitionBy(*by)
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
     keys = [*by, value]
-    cdf = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.sum("_n").over(w.orderBy(value)) / F.sum("_n").over(w)).alias("cdf"))
+    run = running(rows, by, value, {"n": F.count("*")})
+    cdf = run.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.col("run_n") / F.col("all_n")).alias("cdf"))
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
     return rows.join(cdf, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
@@ -114,21 +119,17 @@ def pooled_cdf(rows: DataFrame, sample: DataFrame, c: str, ranges: int = 64) ->
 def ks_statistic(rows: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
     """Greatest difference between the cdf of the rows of the first sample and of the others, with its sign (first minus
     other).  One pass: running counts of both samples over distinct values."""
-    counts = rows.groupBy(*by, value).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
-    w = W.partitionBy(*by)
-    run = w.orderBy(value)
-    d = F.sum("a").over(run) / F.sum("a").over(w) - F.sum("b").over(run) / F.sum("b").over(w)
-    return counts.withColumn("d", d).groupBy(*by).agg(F.max_by("d", F.struct(F.abs("d"), -F.col(value))).alias("ks"))
+    run = running(rows, by, value, {"a": F.count_if(first), "b": F.count_if(~first)})
+    d = F.try_divide("run_a", "all_a") - F.try_divide("run_b", "all_b")
+    return run.withColumn("d", d).groupBy(*by).agg(F.max_by("d", F.struct(F.abs("d"), -F.col(value))).alias("ks"))
 
 
 def best_threshold(rows: DataFrame, by: list[str], value: str, good: Column) -> DataFrame:
     """Least value t at which the share of good rows above t is no more than that of bad rows at or below it crossed:
     P(good <= t) >= P(bad > t)."""
-    counts = rows.groupBy(*by, value).agg(F.count_if(good).alias("a"), F.count_if(~good).alias("b"))
-    w = W.partitionBy(*by)
-    run = w.orderBy(value)
-    crossed = F.sum("a").over(run) / F.sum("a").over(w) >= 1 - F.sum("b").over(run) / F.sum("b").over(w)
-    return counts.withColumn("crossed", crossed).filter("crossed").groupBy(*by).agg(F.min(value).alias("threshold"))
+    run = running(rows, by, value, {"a": F.count_if(good), "b": F.count_if(~good)})
+    crossed = F.try_divide("run_a", "all_a") >= 1 - F.try_divide("run_b", "all_b")
+    return run.filter(crossed).groupBy(*by).agg(F.min(value).alias("threshold"))
 
 
 def t_statistic(rows: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import distance
+from quillspan.operators.significance import group_quantiles
 
 
 def masked(rows: DataFrame, keep: Column, values: list[str]) -> DataFrame:
@@ -35,13 +36,13 @@ def in_ranges(rows: DataFrame, ranges: dict[str, tuple[float, float]], differenc
 
 def without_caps(rows: DataFrame, by: list[str], value: str, share: float = 0.995) -> DataFrame:
     """The value, null above the group's quantile, as ``capped``."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.lit(share)).alias("_q"))
+    q = group_quantiles(rows, by, value, {"_q": share})
     return rows.join(q, by).withColumn("capped", F.when(F.col(value) <= F.col("_q"), F.col(value))).drop("_q")
 
 
 def scaled(rows: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The value clipped to the group's percentiles and brought to 0 .. 1; null where both are equal."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_l"), F.percentile(value, F.lit(high)).alias("_h"))
+    q = group_quantiles(rows, by, value, {"_l": low, "_h": high})
     clipped = F.least(F.greatest(F.col(value), "_l"), "_h")
     return rows.join(q, by).withColumn("scaled", F.try_divide(clipped - F.col("_l"), F.col("_h") - F.col("_l"))).drop("_l", "_h")
 

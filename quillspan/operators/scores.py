@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import distance
+from quillspan.operators.significance import running
 
 XYZ = ["z", "x", "y"]
 
@@ -96,10 +97,9 @@ def p_value_flags(rows: DataFrame, stats: DataFrame, by: str, value: str, sure:
 
 def quantile_rows(rows: DataFrame, by: list[str], value: str, steps: int = 20) -> DataFrame:
     """by, step and the sorted value at place floor(step * n / steps), for each step below ``steps``."""
-    w = W.partitionBy(*by)
-    placed = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    first = F.ceil(F.col("_i") * steps / F.col("_n")).cast("int")
-    last = F.ceil((F.col("_i") + 1) * steps / F.col("_n")).cast("int") - 1  # steps whose place is this row
+    placed = running(rows.filter(F.col(value).isNotNull()), by, value, {"n": F.count("*")})
+    first = F.ceil((F.col("run_n") - F.col("n")) * steps / F.col("all_n")).cast("int")
+    last = F.ceil(F.col("run_n") * steps / F.col("all_n")).cast("int") - 1  # steps whose place is one of this value's
     hit = placed.filter(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
     return hit.select(*by, "step", F.col(value).alias(value))
 
