@@ -23,10 +23,18 @@ from pyspark.sql.types import DoubleType
 XYZ = ["z", "x", "y"]
 
 
-def running(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column], ranges: int = 64) -> DataFrame:
+def range_ends(rows: DataFrame, columns: list[str], ranges: int = 64) -> dict[str, list[float]]:
+    """Where the ranges of each column end: approximate quantiles, in one pass for all columns."""
+    if ranges < 2:
+        return {c: [] for c in columns}
+    found = rows.approxQuantile(columns, [k / ranges for k in range(1, ranges)], 0.005)
+    return {c: sorted(set(e)) for c, e in zip(columns, found, strict=True)}
+
+
+def running(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column], ranges: int = 64, ends: list[float] | None = None) -> DataFrame:
     """by, value and, for each count of the rows with that value in the group: the count, ``run_`` up to and with the value, ``all_``
-    of the group.  Nulls are least; counts are longs."""
-    ends = sorted(set(rows.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.005))) if ranges > 1 else []
+    of the group.  Nulls are least; counts are longs.  ``ends`` of the ranges are found unless given."""
+    ends = range_ends(rows, [value], ranges)[value] if ends is None else ends
     part = F.array_size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda x: x < F.col(value)))
     distinct = rows.groupBy(*by, value).agg(*[c.cast("long").alias(n) for n, c in counts.items()]).withColumn("_part", part)
     sums = distinct.groupBy(*by, "_part").agg(*[F.sum(n).alias(f"_s_{n}") for n in counts])  # at most ``ranges`` rows a group

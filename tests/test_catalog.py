@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspan.plans import callers, catalog, designs, inference, more, scans, wider  # noqa: F401
+from quillspan.plans import callers, catalog, designs, imaging, inference, more, scans, wider  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
