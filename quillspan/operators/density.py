@@ -90,3 +90,40 @@ def mask_score(a: DataFrame, b: DataFrame, cell: list[str], percent: float = 50.
     both = mask(a, "x").join(mask(b, "y"), cell, "full").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("c"))
     c = F.coalesce("c", F.lit(0))
     return both.select(F.sqrt((1 - F.try_divide(c, F.col("x"))) * (1 - F.try_divide(c, F.col("y")))).alias("score"))
+
+
+def axis_frame(points: DataFrame, group: str, one: str, two: str) -> DataFrame:
+    """Points with ``along`` as in ``axis_projection`` and, across the axis, ``second`` and ``third``: the principal axes of the trace's points in the plane that
+    the axis stands on, from their centre, the wider first.  Each points so that its greatest part by size is positive.  Sums of
+    coordinates and of their products are enough: one aggregation a trace."""
+    p = axis_projection(points, group, one, two)
+    good = points.dropna(subset=XYZ)
+    mean = lambda g, c: F.avg(F.when(F.col(group) == g, F.col(c)))
+    sums = good.groupBy("trace").agg(*[(mean(one, c) - mean(two, c)).alias(f"_u{c}") for c in XYZ], *[F.avg(c).alias(f"_m{c}") for c in XYZ], *[F.covar_pop(a, b).alias(f"_s{a}{b}") for i, a in enumerate(XYZ) for b in XYZ[i:]])
+    size = F.sqrt(sum((F.col(f"_u{c}") ** 2 for c in XYZ), F.lit(0.0)))
+    sums = sums.select("*", *[F.try_divide(F.col(f"_u{c}"), size).alias(f"_n{c}") for c in XYZ])
+    least = F.least(*[F.abs(f"_n{c}") for c in XYZ])
+    # two directions across the axis: the axis times the coordinate that it has least of, and the axis times that
+    chosen = F.when(F.abs("_nz") == least, 0).when(F.abs("_nx") == least, 1).otherwise(2)
+    e = [F.when(chosen == k, 1.0).otherwise(0.0) for k in range(3)]
+    n = [F.col(f"_n{c}") for c in XYZ]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    raw = cross(n, e)
+    length = F.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2])
+    sums = sums.select("*", *[F.try_divide(raw[k], length).alias(f"_v{k}") for k in range(3)])
+    v = [F.col(f"_v{k}") for k in range(3)]
+    sums = sums.select("*", *[x.alias(f"_w{k}") for k, x in enumerate(cross(n, v))])
+    w = [F.col(f"_w{k}") for k in range(3)]
+    cov = lambda i, j: F.col(f"_s{XYZ[min(i, j)]}{XYZ[max(i, j)]}")
+    form = lambda a, b: sum((a[i] * cov(i, j) * b[j] for i in range(3) for j in range(3)), F.lit(0.0))
+    sums = sums.withColumn("_t", F.atan2(2 * form(v, w), form(v, v) - form(w, w)) / 2)
+    turned = {"a": (F.cos("_t"), F.sin("_t")), "b": (-F.sin("_t"), F.cos("_t"))}
+    sums = sums.select("*", *[(c * v[k] + s_ * w[k]).alias(f"_{name}{k}") for name, (c, s_) in turned.items() for k in range(3)])
+    for name in turned:
+        d = [F.col(f"_{name}{k}") for k in range(3)]
+        most = F.greatest(*[F.abs(x) for x in d])
+        sums = sums.withColumn(f"_g{name}", F.when(F.abs(d[0]) == most, F.signum(d[0])).when(F.abs(d[1]) == most, F.signum(d[1])).otherwise(F.signum(d[2])))
+    sums = sums.select("trace", *[f"_m{c}" for c in XYZ], *[(F.col(f"_g{name}") * F.col(f"_{name}{k}")).alias(f"_{name}{k}") for name in turned for k in range(3)])
+    both = p.join(sums, "trace", "left")
+    place = lambda name: sum(((F.col(c) - F.col(f"_m{c}")) * F.col(f"_{name}{k}") for k, c in enumerate(XYZ)), F.lit(0.0))
+    return both.withColumn("second", place("a")).withColumn("third", place("b")).drop(*[f"_m{c}" for c in XYZ], *[f"_{name}{k}" for name in "ab" for k in range(3)])

@@ -54,12 +54,12 @@ def in_contact(seg_pairs: DataFrame, cutoff: float, share: float) -> DataFrame:
     return c.filter(F.col("contact") > share)
 
 
-def likelihoods(seg_pairs: DataFrame, called: DataFrame, least: int = 5) -> DataFrame:
+def likelihoods(seg_pairs: DataFrame, called: DataFrame, least: int = 5, w_called: float = 1.0, w_within: float = 1.0) -> DataFrame:
     """trace, a < b and the log-likelihood ratio that the two segments interact.
 
     For each segment with called partners and others, three normal distributions are fitted: to its distances to partners, to the
     others, and within it (a full matrix with its zero diagonal, of more than ``least`` entries).  The mean over a pair's distances of
-    ln(partner / other) + ln(within / other), from both ends, is the value; pairs of neighbours, and those of which an end cannot be
+    w_called * ln(partner / other) + w_within * ln(within / other), from both ends, is the value; pairs of neighbours, and those of which an end cannot be
     judged, are left out.  All sums come from counts, sums and squares, so no distance is read twice."""
     sums = seg_pairs.groupBy("trace", "seg_i", "seg_j").agg(F.count("dist").alias("n"), F.sum("dist").alias("s"), F.sum(F.col("dist") * F.col("dist")).alias("q"))
     across = sums.filter("seg_i < seg_j")
@@ -82,7 +82,7 @@ def likelihoods(seg_pairs: DataFrame, called: DataFrame, least: int = 5) -> Data
         return -square / (2 * v) - F.ln(v) / 2 - _TWO_PI
 
     one = both.filter("abs(own - other) > 1 and n > 0").select("trace", "own", "other", "n", "s", "q").join(fits.filter("v_p > 0 and v_o > 0 and v_w > 0").drop(*[f"{x}_{k}" for x in "nsq" for k in "pow"]), ["trace", "own"])
-    one = one.select("trace", "own", "other", (mean_log("p") + mean_log("w") - 2 * mean_log("o")).alias("ratio"))
+    one = one.select("trace", "own", "other", (w_called * mean_log("p") + w_within * mean_log("w") - (w_called + w_within) * mean_log("o")).alias("ratio"))
     back = one.select("trace", F.col("other").alias("own"), F.col("own").alias("other"), F.col("ratio").alias("_back"))
     return one.filter("own < other").join(back, ["trace", "own", "other"]).select("trace", F.col("own").alias("a"), F.col("other").alias("b"), (F.col("ratio") + F.col("_back")).alias("likelihood"))
 
@@ -136,14 +136,16 @@ def sliding_domains(scores: DataFrame, points: DataFrame, size: int, prominence:
     return merged_domains(points, size, starts=found, **bounds) if merge else found
 
 
-def fused(points: DataFrame, segments: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Pairs of segments a < b of a trace whose centres are nearer than ``factor`` times the sum of their radii of gyration."""
-    p = segments_of(points.dropna(subset=XYZ), segments)
-    var = sum((F.var_pop(c) for c in XYZ), F.lit(0.0))
-    s = p.groupBy("trace", "segment").agg(*[F.avg(c).alias(c) for c in XYZ], F.sqrt(var).alias("rg"))
-    a, b = (s.select("trace", F.col("segment").alias(e), F.col("rg").alias(f"rg_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in XYZ]) for e in "ab")
+def fused(points: DataFrame, segments: DataFrame, percent: float = 90.0) -> DataFrame:
+    """Pairs of segments a < b of a trace whose centres (medians of each axis) are nearer than the sum of their radii, a radius being the
+    percentile of the distances of a segment's loci from its centre."""
+    p = segments_of(points.dropna(subset=XYZ), segments).select("trace", "segment", *XYZ)
+    centre = p.groupBy("trace", "segment").agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in XYZ])
+    off = p.join(centre, ["trace", "segment"]).withColumn("_d", distance([F.col(c) for c in XYZ], [F.col(f"m{c}") for c in XYZ]))
+    s = off.groupBy("trace", "segment").agg(F.percentile("_d", F.lit(percent / 100)).alias("r"), *[F.first(f"m{c}").alias(c) for c in XYZ])
+    a, b = (s.select("trace", F.col("segment").alias(e), F.col("r").alias(f"r_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in XYZ]) for e in "ab")
     d = distance([F.col(f"{c}_a") for c in XYZ], [F.col(f"{c}_b") for c in XYZ])
-    return a.join(b, "trace").filter("a < b").withColumn("dist", d).filter(F.col("dist") < factor * (F.col("rg_a") + F.col("rg_b"))).select("trace", "a", "b", "dist")
+    return a.join(b, "trace").filter("a < b").withColumn("dist", d).filter(F.col("dist") < F.col("r_a") + F.col("r_b")).select("trace", "a", "b", "dist")
 
 
 def exchanged(called: DataFrame, judged: DataFrame, percent: float = 5.0, rate: float = 0.1) -> DataFrame:
@@ -162,18 +164,23 @@ def exchanged(called: DataFrame, judged: DataFrame, percent: float = 5.0, rate:
     return rows.filter(F.when(moves, stays).otherwise(F.col("_c"))).select("trace", "a", "b")
 
 
-def called_by_likelihood(seg_pairs: DataFrame, called: DataFrame, rounds: int = 10, **options: float) -> DataFrame:
-    """Exchange in rounds until no pair changes or ``rounds`` are done.  Each round is DataFrame work, written to cut its lineage."""
+def called_by_likelihood(seg_pairs: DataFrame, called: DataFrame, rounds: int = 10, w_called: float = 1.0, w_within: float = 0.05, cutoff: float | None = None, share: float = 0.1, **options: float) -> DataFrame:
+    """trace, a, b and ``settled`` after exchange in rounds, until no pair changes or ``rounds`` are done; ``settled`` is false for the traces that changed in
+    the last round.  With a cutoff, each round ends by leaving out pairs of which at most ``share`` of the distances are contacts.  Each
+    round is DataFrame work, written to cut its lineage."""
     from quillspan.sources.files import written
 
     seg_pairs, called = written(seg_pairs), written(called.select("trace", "a", "b").distinct())
+    touching = None if cutoff is None else written(in_contact(seg_pairs, cutoff, share).select("trace", "a", "b"))
+    moving = called.select("trace").distinct()
     for _ in range(rounds):
-        new = written(exchanged(called, likelihoods(seg_pairs, called), **options))
-        changed = new.exceptAll(called).unionByName(called.exceptAll(new)).limit(1).count()
+        new = exchanged(called, likelihoods(seg_pairs, called, w_called=w_called, w_within=w_within), **options)
+        new = written(new if touching is None else new.join(touching, ["trace", "a", "b"], "left_semi"))
+        moving = written(new.exceptAll(called).unionByName(called.exceptAll(new)).select("trace").distinct())
         called = new
-        if not changed:
+        if not moving.limit(1).count():
             break
-    return called
+    return called.join(moving.withColumn("_m", F.lit(False)), "trace", "left").select("trace", "a", "b", F.coalesce("_m", F.lit(True)).alias("settled"))
 
 
 def labels_of(xyz: np.ndarray, reach: float, least: int) -> np.ndarray:

@@ -34,25 +34,49 @@ def nearest(pairs: DataFrame, by: list[str], id_a: str, id_b: str, k: int = 1) -
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def k_nearest(a: DataFrame, b: DataFrame, axes: list[str], by: list[str], id_a: str, id_b: str, k: int, radius: float, wider: int = 2) -> DataFrame:
+def k_nearest(a: DataFrame, b: DataFrame, axes: list[str], by: list[str], id_a: str, id_b: str, k: int, radius: float | None = None, wider: int = 2) -> DataFrame:
     """by, id_a, id_b, dist and rank of the k nearest partners of every a in its group (ties: least id_b), however far they are.
 
-    Rows with k partners within the radius are done with a radius join; the others try a radius four times as wide, ``wider`` times,
-    and what is left then meets its whole group.  The result does not depend on the radius."""
-    out, left = None, a
+    Each group's first radius is such that a point would see about 3 k partners if the group filled its box evenly (or the given one).  Rows with k
+    partners within it are done; the others, written down, try a radius four times as wide, ``wider`` times, and what is left then meets its
+    whole group.  Each step reads both sides once.  The result does not depend on the radius."""
+    from quillspan.sources.files import written
+
+    a, b = a.dropna(subset=axes), b.dropna(subset=axes)
+    if radius is None:
+        extent = [F.greatest(F.max(c) - F.min(c), F.lit(1e-12)) for c in axes]
+        volume = F.lit(1.0)
+        for e in extent:
+            volume = volume * e
+        size = F.pow(volume * 3 * k / F.count("*"), F.lit(1 / len(axes))) * 0.62
+        sizes = b.groupBy(*by).agg(F.least(F.greatest(size, F.lit(1e-9)), 2 * F.greatest(*extent, F.lit(0.0))).alias("_r"))
+        left, right = a.join(sizes, by), b.join(sizes, by)
+    else:
+        left, right = a.withColumn("_r", F.lit(float(radius))), b.withColumn("_r", F.lit(float(radius)))
+    w = W.partitionBy(*by, id_a)
+    out, rest = None, left.select(*by, id_a, *[F.col(c).alias(f"{c}_a") for c in axes], "_r")
     for step in range(wider + 1):
         last = step == wider
+        ours, theirs = rest, right.select(*by, id_b, *[F.col(c).alias(f"{c}_b") for c in axes], F.col("_r").alias("_rb"))
+        cells = [] if last else [f"_c{i}" for i in range(len(axes))]
+        for c, name in zip(axes, cells, strict=not last):
+            ours = ours.withColumn(name, F.floor(F.col(f"{c}_a") / (F.col("_r") * 4**step)).cast("long"))
+            own = F.floor(F.col(f"{c}_b") / (F.col("_rb") * 4**step)).cast("long")
+            theirs = theirs.withColumn(name, F.explode(F.sequence(own - 1, own + 1)))
+        both = ours.join(theirs, [*by, *cells], "inner" if last else "left")
+        both = both.withColumn("dist", distance([F.col(f"{c}_a") for c in axes], [F.col(f"{c}_b") for c in axes]))
         if last:
-            near = left.dropna(subset=axes).select(*by, id_a, *[F.col(c).alias(f"{c}_a") for c in axes]).join(b.dropna(subset=axes).select(*by, id_b, *[F.col(c).alias(f"{c}_b") for c in axes]), by)
-            near = near.select(*by, id_a, id_b, distance([F.col(f"{c}_a") for c in axes], [F.col(f"{c}_b") for c in axes]).alias("dist"))
-        else:
-            near = radius_join(left, b, axes, radius * 4**step, by, id_a, id_b)
-        ranked = nearest(near, by, id_a, id_b, k)
-        if not last:
-            full = ranked.filter(F.col("rank") == k).select(*by, id_a)
-            ranked = ranked.join(full, [*by, id_a], "left_semi")
-            left = left.join(full, [*by, id_a], "left_anti")
-        out = ranked if out is None else out.unionByName(ranked)
+            ranked = both.withColumn("rank", F.row_number().over(w.orderBy("dist", id_b))).filter(F.col("rank") <= k)
+            return ranked.select(*by, id_a, id_b, "dist", "rank") if out is None else out.unionByName(ranked.select(*by, id_a, id_b, "dist", "rank"))
+        near = F.when(F.col("dist") <= F.col("_r") * 4**step, F.col("dist"))
+        both = both.withColumn("dist", near).withColumn(id_b, F.when(near.isNotNull(), F.col(id_b)))
+        both = both.withColumn("rank", F.row_number().over(w.orderBy(F.col("dist").asc_nulls_last(), id_b))).filter(F.col("rank") <= k)
+        both = written(both.withColumn("_n", F.count("dist").over(w)).select(*by, id_a, id_b, "dist", "rank", "_n", "_r", *[f"{c}_a" for c in axes]))
+        done = both.filter(F.col("_n") == k).select(*by, id_a, id_b, "dist", "rank")
+        out = done if out is None else out.unionByName(done)
+        rest = both.filter((F.col("_n") < k) & (F.col("rank") == 1)).select(*by, id_a, *[f"{c}_a" for c in axes], "_r")
+        if not rest.limit(1).count():
+            return out
     return out
 
 

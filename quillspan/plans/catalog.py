@@ -475,9 +475,9 @@ def box_join(spark, sf):
     return _near(spark, sf, 0.1, norm="box", strict=True).select("trace", "a", "b", *r6("dist"))
 
 
-def _nearest(spark, sf, k: int, radius: float) -> DataFrame:
+def _nearest(spark, sf, k: int) -> DataFrame:
     p = points(spark, sf)
-    return joins.k_nearest(p.filter("locus % 2 = 0").withColumnRenamed("locus", "a"), p.filter("locus % 2 = 1").withColumnRenamed("locus", "b"), ["z", "x", "y"], ["trace"], "a", "b", k, radius)
+    return joins.k_nearest(p.filter("locus % 2 = 0").withColumnRenamed("locus", "a"), p.filter("locus % 2 = 1").withColumnRenamed("locus", "b"), ["z", "x", "y"], ["trace"], "a", "b", k)
 
 
 _RANKED = f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST} AS dist, row_number() OVER (PARTITION BY a.trace, a.locus ORDER BY {_DIST}, b.locus) AS r {_AB} AND a.z IS NOT NULL AND b.z IS NOT NULL)"
@@ -485,12 +485,12 @@ _RANKED = f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST}
 
 @query(_RANKED + " SELECT trace, a, round(avg(dist), 6) AS mean_dist, count(*) AS n FROM n WHERE r <= 10 GROUP BY 1, 2")
 def knn_mean(spark, sf):
-    return _nearest(spark, sf, 10, 0.1).groupBy("trace", "a").agg(F.round(F.avg("dist"), 6).alias("mean_dist"), F.count("*").alias("n"))
+    return _nearest(spark, sf, 10).groupBy("trace", "a").agg(F.round(F.avg("dist"), 6).alias("mean_dist"), F.count("*").alias("n"))
 
 
 @query(_RANKED + " SELECT trace, a, b, round(dist, 6) AS dist FROM n WHERE r = 1")
 def nearest_one(spark, sf):
-    return _nearest(spark, sf, 1, 0.05).select("trace", "a", "b", *r6("dist"))
+    return _nearest(spark, sf, 1).select("trace", "a", "b", *r6("dist"))
 
 
 @query(f"WITH {P}, n AS (SELECT a.trace, a.locus AS a, b.locus AS b, {_DIST} AS dist {_AB} AND {_DIST} <= 0.1), c AS (SELECT *, count(*) OVER (PARTITION BY trace, a) AS na, count(*) OVER (PARTITION BY trace, b) AS nb FROM n) SELECT trace, a, b, round(dist, 6) AS dist FROM c WHERE na = 1 AND nb = 1")

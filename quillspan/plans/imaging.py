@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import clouds, picking
+from quillspan.operators import clouds, density, picking
 from quillspan.plans.catalog import P, points, query, r6, table
 
 _XYZ = ["z", "x", "y"]
@@ -60,3 +60,8 @@ def picks_of_homologs(spark, sf):
     middle = rows.groupBy("cell").agg(F.median("z").alias("_m"))
     halves = rows.dropna(subset=_XYZ).join(middle, "cell").groupBy("cell", (F.col("z") > F.col("_m")).cast("long").alias("homolog")).agg(*[F.avg(c).alias(c) for c in _XYZ])
     return picking.pick_homologs(rows, halves)
+
+
+@query()
+def axis_frame(spark, sf):
+    return density.axis_frame(points(spark, sf), "cls", "A", "B").select("trace", "locus", *r6("along", "second", "third"))

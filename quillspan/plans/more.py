@@ -55,11 +55,11 @@ def spot_screening(spark, sf):
     return spots.near_reference(p, reference, ["trace", "label"], _XYZ, 0.3, keep_without=True).select("trace", "locus", "label")
 
 
-@query("""WITH b AS (SELECT p_brand AS g, p_partkey AS s, q.p_partkey AS ref, count(*) OVER (PARTITION BY p_brand, p.p_partkey) AS n FROM part p JOIN part q USING (p_brand) WHERE p.p_size <= 10 AND q.p_size > 40 AND abs(p.p_partkey - q.p_partkey) <= 60)
+@query("""WITH b AS (SELECT p_brand AS g, p_partkey AS s, q.p_partkey AS ref, count(*) OVER (PARTITION BY p_brand, p.p_partkey) AS n FROM part p JOIN part q USING (p_brand) WHERE p.p_size <= 25 AND q.p_size > 25 AND abs(p.p_partkey - q.p_partkey) <= 60)
 SELECT g, s AS "start", ref FROM b WHERE n = 1""".replace("p_partkey AS s", "p.p_partkey AS s").replace("p_brand AS g", "p.p_brand AS g").replace("PARTITION BY p_brand,", "PARTITION BY p.p_brand,"))
 def fit_boundaries(spark, sf):
     p = table(spark, sf, "part").withColumnRenamed("p_brand", "g")
-    a, b = p.filter("p_size <= 10").select("g", F.col("p_partkey").alias("start")), p.filter("p_size > 40").select("g", F.col("p_partkey").alias("ref"))
+    a, b = p.filter("p_size <= 25").select("g", F.col("p_partkey").alias("start")), p.filter("p_size > 25").select("g", F.col("p_partkey").alias("ref"))
     return spots.snapped(a, b, ["g"], 60).select("g", "start", "ref")
 
 

@@ -53,7 +53,7 @@ def matrix_scan(spark, sf):
     c = table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 10).alias("k"))
     wide = s.join(c, "k").groupBy("s_suppkey").pivot("c_nationkey").count()
     path = files.shared_path(spark, "matrix")
-    wide.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    wide.write.option("sep", "\t").option("header", True).csv(path)
     return files.read_matrix(spark, path).filter("value is not null")
 
 
@@ -62,6 +62,6 @@ def stream_rates(spark, sf):
     """The events as a stream, worked off: rates by hour and type."""
     scan = table(spark, sf, "events")
     stream = arrivals.arriving(spark, f"{sf.rstrip('/')}/[e]vents.parquet", scan.schema).select("ts", "event_type", "value")
-    rates = arrivals.rates(stream, "ts", ["event_type"], F.col("value") > 50, "1 hour", "1000 days")
-    done = arrivals.finish(rates, files.shared_path(spark, "rates"), files.shared_path(spark, "rates-checkpoint"))
+    rates = arrivals.rates(stream, "ts", ["event_type"], F.col("value") > 50, "1 hour", "1 day")
+    done = arrivals.finish(rates, files.shared_path(spark, "rates"), files.shared_path(spark, "rates-checkpoint"), ["begin", "event_type"])
     return done.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n", *r6("rate"))

@@ -477,10 +477,11 @@ def loopout_metric(spark, sf):
     return interaction.loop_out_hits(points(spark, sf), _segments(spark, sf)).select("trace", "locus", "segment", *r6("score"))
 
 
-@query(f"""WITH {P}, s AS (SELECT trace, locus // 10 AS s, avg(z) AS z, avg(x) AS x, avg(y) AS y, sqrt(var_pop(z) + var_pop(x) + var_pop(y)) AS rg FROM pts WHERE z IS NOT NULL GROUP BY 1, 2)
-SELECT a.trace, a.s AS a, b.s AS b, round({_DIST}, 6) AS dist FROM s a JOIN s b ON a.trace = b.trace AND a.s < b.s WHERE {_DIST} < 0.3 * (a.rg + b.rg)""")
+@query(f"""WITH {P}, g AS (SELECT trace, locus // 10 AS s, z, x, y FROM pts WHERE z IS NOT NULL), c AS (SELECT trace, s, median(z) AS z, median(x) AS x, median(y) AS y FROM g GROUP BY 1, 2),
+r AS (SELECT b.trace, b.s, quantile_cont({_DIST}, 0.9) AS r FROM c b JOIN g a ON a.trace = b.trace AND a.s = b.s GROUP BY 1, 2), s AS (SELECT * FROM c JOIN r USING (trace, s))
+SELECT a.trace, a.s AS a, b.s AS b, round({_DIST}, 6) AS dist FROM s a JOIN s b ON a.trace = b.trace AND a.s < b.s WHERE {_DIST} < a.r + b.r""")
 def domain_fusion(spark, sf):
-    return interaction.fused(points(spark, sf), _segments(spark, sf), 0.3).select("trace", "a", "b", *r6("dist"))
+    return interaction.fused(points(spark, sf), _segments(spark, sf)).select("trace", "a", "b", *r6("dist"))
 
 
 @query()
@@ -575,11 +576,12 @@ def records_by_place(spark, sf):
     return codes.records_at(table(spark, sf, "benchmark"), "item_id", [0, 3, 7]).select("item_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""WITH s AS (SELECT item_id AS chr, {_SEQ} AS s FROM benchmark), r AS (SELECT p_partkey AS region, p_partkey % 40 AS chr, p_size AS b, p_size + 30 AS e FROM part), w AS (SELECT region, chr, greatest(0, b - 5) AS lo, least(length(s), e + 5) AS hi, s FROM r JOIN s USING (chr))
+@query(f"""WITH s AS (SELECT item_id AS chr, {_SEQ} AS s FROM benchmark), r AS (SELECT p_partkey AS region, p_partkey % (SELECT max(item_id) + 1 FROM benchmark) AS chr, p_size AS b, p_size + 30 AS e FROM part), w AS (SELECT region, chr, greatest(0, b - 5) AS lo, least(length(s), e + 5) AS hi, s FROM r JOIN s USING (chr))
 SELECT region, i AS piece, lo + i * 12 AS at, substr(s, (lo + i * 12 + 1)::INT, least(12, hi - lo - i * 12)::INT) AS letters FROM (SELECT *, unnest(range((hi - lo + 11) // 12)) AS i FROM w WHERE hi > lo)""")
 def region_slices(spark, sf):
     genome = table(spark, sf, "benchmark").select(F.col("item_id").alias("chr"), _letters().alias("sequence"))
-    regions = table(spark, sf, "part").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") % 40).alias("chr"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 30).cast("long").alias("end"))
+    size = table(spark, sf, "benchmark").agg((F.max("item_id") + 1).alias("_n"))  # one row
+    regions = table(spark, sf, "part").join(F.broadcast(size)).select(F.col("p_partkey").alias("region"), (F.col("p_partkey") % F.col("_n")).alias("chr"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 30).cast("long").alias("end"))
     return codes.slices_of(genome, regions, "chr", 5, 12).select("region", F.col("piece").cast("long").alias("piece"), "at", "letters")
 
 
@@ -640,8 +642,8 @@ def interdomain_exchange(spark, sf):
 @query()
 def interdomain_loop(spark, sf):
     found = segments.segment_point_pairs(points(spark, sf), _segments(spark, sf))
-    called = segments.domain_distances(found, "insulation").filter("domain_dist < 1 and domain_dist > 0")
-    return interaction.called_by_likelihood(found, called, 4)
+    start = interaction.markers(segments.domain_distances(found, "ks"), _segments(spark, sf), 0.55)
+    return interaction.called_by_likelihood(found, start, cutoff=0.3, share=0.1, percent=1.0, rate=0.3)
 
 
 @query()

@@ -7,12 +7,18 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillspan.sources.files import written
+
 _SCHEMA = "path string, frame int, height int, width int, pixels binary"
 
 
@@ -112,3 +118,65 @@ def stretched(image: np.ndarray, bits: int = 16) -> np.ndarray:
     low, high = float(image.min()), float(image.max())
     kind = np.uint8 if bits == 8 else np.uint16
     return ((image - low) / (high - low or 1) * np.iinfo(kind).max).astype(kind)
+
+
+def write_stacks(frames: DataFrame, folder: str, bits: int | None = None) -> DataFrame:
+    """Writes frames(name, frame, height, width, pixels: little-endian uint16) as ``<name>.dax`` and ``.inf`` files under a folder that all executors share, and returns name
+    and the number of frames.
+
+    A stack's frames go to one task, sorted, and are appended as they come, a few at a time; the file has its name only when it is whole, so a repeated task
+    writes it again.  With ``bits`` (8 or 16) a stack's least value becomes 0 and its greatest the top of that many bits, by extremes that are
+    aggregated over its frames first.  Frames of a stack must be of one size."""
+    spark = frames.sparkSession
+    rows = frames.select("name", F.col("frame").cast("long").alias("frame"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
+    if bits:
+
+        def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = [np.frombuffer(p.as_buffer(), "<u2") for p in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(v.min()) for v in x], pa.int32()), pa.array([int(v.max()) for v in x], pa.int32())], ["name", "low", "high"])
+
+        ends = rows.select("name", "pixels").mapInArrow(extremes, "name string, low int, high int").groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        rows = rows.join(ends, "name")
+    else:
+        rows = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(root, recursive=True)
+        name, out, size, n = None, None, (0, 0), 0
+        part = f"{root}/.{uuid.uuid4().hex}"
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            with system.open_output_stream(f"{part}.inf") as f:
+                f.write(f"frame dimensions = {size[0]} x {size[1]}\nnumber of frames = {n}\ndata type = 16 bit integers (binary, little endian)\n".encode())
+            for kind in ("inf", "dax"):
+                system.move(f"{part}.{kind}", f"{root}/{name}.{kind}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "frames"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of, _, height, width, pixels, low, high = (batch.column(k)[i] for k in range(7))
+                if of.as_py() != name:
+                    if out:
+                        yield close()
+                    name, size, n = of.as_py(), (height.as_py(), width.as_py()), 0
+                    out = system.open_output_stream(f"{part}.dax")
+                if size != (height.as_py(), width.as_py()):
+                    raise ValueError(f"frames of {name} are not of one size")
+                x = np.frombuffer(pixels.as_buffer(), "<u2")
+                if bits:
+                    low, high = low.as_py(), high.as_py()
+                    x = ((x - float(low)) / (high - low or 1) * (2**bits - 1)).astype("<u2")
+                out.write(x.astype("<u2").tobytes())
+                n += 1
+        if out:
+            yield close()
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # frames are large
+    try:
+        return written(rows.repartition("name").sortWithinPartitions("name", "frame").mapInArrow(work, "name string, frames long"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)

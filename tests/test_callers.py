@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import boundaries, segments
+from quillspan.operators import boundaries, density, interaction, segments
 from quillspan.operators.peaks import peak_places
 
 MAP = "trace long, i long, j long, value double"
@@ -267,3 +267,37 @@ def test_local_domains(spark, context):
         assert [r.first for r in mine] == [loci[c] for c in cuts]
         assert [r.last for r in mine] == [loci[c - 1] for c in [*cuts[1:], len(loci)]]
     assert several > 3
+
+
+def test_axis_frame(spark):
+    """The two axes across are the principal ones of the points put on the plane."""
+    rng = np.random.default_rng(11)
+    rows = [(t, i, *map(float, rng.normal(0, [1, 3, 2], 3)), "AB"[i % 2]) if i % 7 else (t, i, None, None, None, "A") for t in range(4) for i in range(40)] + [(9, 0, 1.0, 1.0, 1.0, "A")]
+    df = spark.createDataFrame(rows, POINT + ", cls string")
+    got = {(r.trace, r.locus): (r.along, r.second, r.third) for r in density.axis_frame(df, "cls", "A", "B").collect()}
+    assert len(got) == len(rows) and got[9, 0] == (None, None, None) and got[0, 0][1] is None
+    for t in range(4):
+        mine = [r for r in rows if r[0] == t and r[2] is not None]
+        p, of = np.array([r[2:5] for r in mine]), np.array([r[5] for r in mine])
+        a, b = p[of == "A"].mean(0), p[of == "B"].mean(0)
+        u = (a - b) / np.linalg.norm(a - b)
+        flat = p - p.mean(0) - np.outer((p - p.mean(0)) @ u, u)
+        value, vector = np.linalg.eigh(np.cov(flat.T))
+        want = [(p - (a + b) / 2) @ u]
+        for k in (2, 1):
+            v = vector[:, k] * np.sign(vector[np.abs(vector[:, k]).argmax(), k])
+            want.append(flat @ v)
+        assert value[0] < 1e-9
+        assert np.array([got[t, r[1]] for r in mine]) == pytest.approx(np.array(want).T)
+
+
+def test_fused_by_radius(spark):
+    rng = np.random.default_rng(12)
+    rows = [(0, i, *map(float, rng.normal([(i // 10) * 1.2, 0, 0], 0.5))) if i % 9 else (0, i, None, None, None) for i in range(60)]
+    cuts = spark.createDataFrame([(0, k, 10 * k, 10 * k + 9) for k in range(6)], "trace long, segment long, first long, last long")
+    got = {(r.a, r.b): r.dist for r in interaction.fused(spark.createDataFrame(rows, POINT), cuts).collect()}
+    part = [np.array([r[2:] for r in rows if r[1] // 10 == k and r[2] is not None]) for k in range(6)]
+    centre = [np.median(p, 0) for p in part]
+    radius = [np.percentile(np.linalg.norm(p - c, axis=1), 90) for p, c in zip(part, centre, strict=True)]
+    want = {(a, b): np.linalg.norm(centre[a] - centre[b]) for b in range(6) for a in range(b) if np.linalg.norm(centre[a] - centre[b]) < radius[a] + radius[b]}
+    assert got == pytest.approx(want) and 0 < len(want) < 15

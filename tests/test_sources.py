@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillspan.sources import files, images, tables
 from quillspan.streaming import arrivals
@@ -108,8 +110,46 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     rows.write.parquet(str(tmp_path / "in" / "one"))
     stream = lambda: arrivals.arriving(spark, str(tmp_path / "in" / "*"), "k long, v string")
-    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"))
-    spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k long, v string").write.parquet(str(tmp_path / "in" / "two"))
-    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"))
-    last = sorted((tmp_path / "out").iterdir())[-1]
-    assert sorted(map(tuple, spark.read.parquet(str(last)).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"), ["v"])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    spark.createDataFrame([(2, "c"), (3, "d"), (3, "e"), (3, None)], "k long, v string").repartition(4).write.parquet(str(tmp_path / "in" / "two"))
+    arrivals.keep_up(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state"), ["v"])
+    assert sorted(map(tuple, arrivals.kept(spark, str(tmp_path / "out"), ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
+    assert sorted(map(tuple, arrivals.kept(spark, str(tmp_path / "out"), ["k"], False).collect())) == [(1, "a"), (2, "b"), (3, "e")]
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())  # only what is new was written
+
+
+def test_late_rows_are_not_counted(spark, tmp_path):
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:10:00"
+    schema = "ts string, k string, v long"
+    stream = lambda: arrivals.rates(arrivals.arriving(spark, str(tmp_path / "in" / "*"), schema), "ts", ["k"], F.col("v") > 5, "1 hour", "2 hours")
+    work = lambda: {(str(r.begin)[8:13], r.k): (r.n, r.rate) for r in arrivals.finish(stream(), str(tmp_path / "out"), str(tmp_path / "state"), ["begin", "k"]).collect()}
+    spark.createDataFrame([(at(1, 0), "a", 9), (at(3, 10), "a", 1), (at(3, 10), "a", 7), (at(3, 12), "b", 1)], schema).write.parquet(str(tmp_path / "in" / "one"))
+    first = work()
+    assert first == {("01 00", "a"): (1, 1.0), ("03 10", "a"): (2, 0.5), ("03 12", "b"): (1, 0.0)}
+    spark.createDataFrame([(at(1, 0), "a", 1), (at(3, 11), "a", 9), (at(3, 12), "b", 9), (at(3, 13), "b", 9)], schema).write.parquet(str(tmp_path / "in" / "two"))
+    assert work() == {**first, ("03 11", "a"): (1, 1.0), ("03 12", "b"): (2, 0.5), ("03 13", "b"): (1, 1.0)}  # the row two days late is not there
+    assert work() == {**first, ("03 11", "a"): (1, 1.0), ("03 12", "b"): (2, 0.5), ("03 13", "b"): (1, 1.0)}
+
+
+def test_stacks_are_written_by_tasks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    stacks = {n: [rng.integers(0, 65536, (5, 7)).astype(np.uint16) for _ in range(k)] for n, k in (("a", 6), ("b", 3), ("c", 1))}
+    rows = [(n, i, 5, 7, bytearray(x.astype("<u2").tobytes())) for n, xs in stacks.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "name string, frame long, height int, width int, pixels binary").repartition(4)
+    done = images.write_stacks(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, done.collect())) == [("a", 6), ("b", 3), ("c", 1)]
+    for n, xs in stacks.items():
+        back = {r.frame: np.frombuffer(r.pixels, "<u2").reshape(r.height, r.width) for r in images.read_stack(spark, str(tmp_path / "out" / f"{n}.dax")).collect()}
+        assert len(back) == len(xs) and all((back[i] == x).all() for i, x in enumerate(xs))
+    images.write_stacks(df, str(tmp_path / "eight"), bits=8)
+    for n, xs in stacks.items():
+        back = images.read_stack(spark, str(tmp_path / "eight" / f"{n}.dax")).orderBy("frame").collect()
+        low, high = min(x.min() for x in xs), max(x.max() for x in xs)
+        for r, x in zip(back, xs, strict=True):
+            assert (np.frombuffer(r.pixels, "<u2").reshape(5, 7) == ((x.astype(float) - low) / (high - low) * 255).astype(np.uint8)).all()
+    flat = spark.createDataFrame([("z", 0, 1, 2, bytearray(np.array([7, 7], "<u2").tobytes()))], df.schema)
+    images.write_stacks(flat, str(tmp_path / "flat"), bits=16)
+    assert np.frombuffer(images.read_stack(spark, str(tmp_path / "flat")).first().pixels, "<u2").tolist() == [0, 0]
+    with pytest.raises(Exception, match="one size"):
+        images.write_stacks(df.unionByName(df.filter("name = 'a'").limit(1).selectExpr("name", "frame + 9 as frame", "1 as height", "1 as width", "pixels")), str(tmp_path / "bad"))

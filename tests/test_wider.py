@@ -330,10 +330,33 @@ def test_exchange_loop_and_insulation_starts(spark):
     for _ in range(3):
         frame = spark.createDataFrame(sorted(now), "trace long, a long, b long")
         new = told(interaction.exchanged(frame, interaction.likelihoods(found, frame)))
+        settled = {t for t in (0, 1) if {x for x in new if x[0] == t} == {x for x in now if x[0] == t}}
         if new == now:
             break
         now = new
-    assert now and told(interaction.called_by_likelihood(found, start, 3)) == now
+    assert now and told(interaction.called_by_likelihood(found, start, 3, w_within=1.0)) == {(*x, x[0] in settled) for x in now}
+    touch = {(r.trace, r.a, r.b) for r in interaction.in_contact(found, 0.7, 0.6).collect()}
+    once = told(interaction.exchanged(start, interaction.likelihoods(found, start, w_called=1.0, w_within=0.05), percent=1.0, rate=0.3)) & touch
+    got = interaction.called_by_likelihood(found, start, 1, cutoff=0.7, share=0.6, percent=1.0, rate=0.3)
+    assert once and {(r.trace, r.a, r.b) for r in got.collect()} == once
+    plain = {}
+    for r in found.collect():
+        plain.setdefault((r.trace, r.seg_i, r.seg_j), []).append(r.dist)
+    sums = lambda t, k, of: [d for (u, i, j), v in plain.items() if u == t and i != j and k in (i, j) and ((i + j - k) in of) for d in v]
+    fit = lambda v: (np.mean(v), np.var(v))
+    log = lambda v, m, s: np.mean([-((x - m) ** 2) / (2 * s) - math.log(s) / 2 - math.log(2 * math.pi) / 2 for x in v])
+    pairs = told(start)
+    for r in interaction.likelihoods(found, start, w_called=0.7, w_within=0.2).collect()[:12]:
+        want = 0.0
+        for own, other in ((r.a, r.b), (r.b, r.a)):
+            of = {x for t, x, y in pairs if t == r.trace and y == own} | {y for t, x, y in pairs if t == r.trace and x == own}
+            one, two = fit(sums(r.trace, own, of)), fit(sums(r.trace, own, set(range(8)) - of - {own}))
+            inner = plain[r.trace, own, own]
+            size = round((1 + math.sqrt(1 + 8 * len(inner))) / 2)
+            three = fit([*inner, *inner, *[0.0] * size])
+            v = plain[r.trace, min(own, other), max(own, other)]
+            want += 0.7 * (log(v, *one) - log(v, *two)) + 0.2 * (log(v, *three) - log(v, *two))
+        assert r.likelihood == pytest.approx(want)
     v = [float(x) for x in rng.random(60)]
     scored = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "trace long, c long, score double")
     got = interaction.sliding_domains(scored, p, 4, 0.03, merge=False, width=1.0).collect()
