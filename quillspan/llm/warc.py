@@ -1,6 +1,6 @@
 """WARC archives as a Python data source, with identical-payload revisit records.
 
-``spark.read.format("warc").load(folder)`` plans one partition a file.  A record's headers are parsed first; filters on
+``spark.read.format("warc").load(folder)`` plans one partition a file; writers begin a new file at ``file_bytes`` (512 MB unless given).  A record's headers are parsed first; filters on
 record type, headers and the ids in them (=, in, starts with, is not null) that Spark pushes down are tried on them, and the block of a record
 that fails is skipped by seeking over its Content-Length (in our .warc.gz files, over its gzip member, whose length is in its
 ``sl`` field), never read, inflated or decoded.  Options: ``payload`` (default true)
@@ -9,7 +9,9 @@ false also skips the blocks of wanted records; ``verify`` true checks the digest
 ``df.write.format("warc").save(folder)`` takes page_id, url, payload, digest, refers_to: with refers_to the record is a
 revisit, which holds the HTTP headers (with the length of the payload) and no payload.  Tasks write files under names of
 their own, plain or with ``compression`` gzip as one member a record; ``_manifest.json`` lists those of the tasks that the driver saw finish, and only these are read.  Folders of
-archives from elsewhere, without a manifest, are read by their ``.warc`` and ``.warc.gz`` files.
+archives from elsewhere, without a manifest, are read by their ``.warc`` and ``.warc.gz`` files, in subfolders too; the path may be one file.  In them a header that goes on in the next line is
+one header, one that is no UTF-8 is Latin-1, ``payload_digest`` is bare for sha1 and as it stands for others, ``verify`` tries sha1, sha256, sha512 and md5 and
+passes records without a digest; a record without a length is an error.
 
 Nulls: a null payload is empty; null page_ids and urls have no header and come back null.  Repeated rows are written
 each: of equal payloads, all rows with the least page_id are responses (ties).  ``target_uri`` comes back as the header holds it,
@@ -55,6 +57,23 @@ def _value(head: dict[str, str], column: str) -> str | int | None:
     return x.removeprefix("sha1:") or None if column == "payload_digest" else x
 
 
+def _text(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def _agrees(payload: bytes, digest: str | None) -> bool:
+    """Whether a payload has the digest that a header names (in base 32 or hex); one without a digest, or by a method not known here, is not tried."""
+    method, _, value = (digest or "").partition(":")
+    method = method.strip().lower().replace("-", "")
+    if not value or method not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    found = hashlib.new(method, payload, usedforsecurity=False)
+    return value.strip().rstrip("=").upper() in (base64.b32encode(found.digest()).decode().rstrip("="), found.hexdigest().upper())
+
+
 def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -69,42 +88,50 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) ->
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, path: str | None, records: int):
-        self.path, self.records = path, records
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files  # (name, records)
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.folder, self.gzip, self.date = options["path"], options.get("compression") == "gzip", options.get("date", "2000-01-01T00:00:00Z")
+        self.most = int(options.get("file_bytes", 512 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, folder = file_system(self.folder)
-        name, out, n = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, None, 0
+        files: list[tuple[str, int]] = []
+        out, n, size, name = None, 0, 0, ""
         for batch in iterator:
             for low in range(0, batch.num_rows, 256):
                 rows = [batch.slice(low, 256).column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]
-                if out is None and rows[0]:
-                    fs.create_dir(folder)
-                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 for page_id, url, payload, digest, refers_to in zip(*rows, strict=True):
+                    if out is not None and size >= self.most:
+                        out.close()
+                        files.append((name, n))
+                        out = None
+                    if out is None:
+                        fs.create_dir(folder)
+                        name, n, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, 0, 0
+                        out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     data = _record(page_id, url, payload or b"", digest, refers_to, self.date)
-                    out.write(_member(data) if self.gzip else data)
-                    n += 1
+                    data = _member(data) if self.gzip else data
+                    out.write(data)
+                    n, size = n + 1, size + len(data)
         if out is not None:
             out.close()
-        return _Written(name if n else None, n)
+            files.append((name, n))
+        return _Written(files)
 
     def commit(self, messages: list) -> None:
         fs, folder = file_system(self.folder)
         fs.create_dir(folder)
         with fs.open_output_stream(f"{folder}/_manifest.json") as f:
-            f.write(json.dumps([{"path": m.path, "records": m.records} for m in messages if m and m.path]).encode())
+            f.write(json.dumps([{"path": name, "records": n} for m in messages if m for name, n in m.files]).encode())
 
     def abort(self, messages: list) -> None:
         fs, folder = file_system(self.folder)
-        for m in messages:
-            if m and m.path:
-                fs.delete_file(f"{folder}/{m.path}")
+        for name in [name for m in messages if m for name, _ in m.files]:
+            fs.delete_file(f"{folder}/{name}")
 
 
 class _File(InputPartition):
@@ -131,11 +158,13 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, folder = file_system(self.folder)
+        if fs.get_file_info(folder).type == pafs.FileType.File:
+            return [_File(folder)]
         if fs.get_file_info(f"{folder}/_manifest.json").type == pafs.FileType.File:
             with fs.open_input_stream(f"{folder}/_manifest.json") as f:
-                names = [x["path"] for x in json.loads(f.read())]
+                names = [f"{folder}/{x['path']}" for x in json.loads(f.read())]
         else:
-            names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.endswith((".warc", ".warc.gz")))
+            names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [_File(n) for n in names] or [_File(None)]
 
     def _wanted(self, head: dict[str, str]) -> bool:
@@ -152,9 +181,17 @@ class WarcReader(DataSourceReader):
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"no record begins with {line[:40]!r}")
             head: dict[str, str] = {}
+            name = ""
             while (line := f.readline()).strip():
-                name, _, value = line.decode().partition(":")
-                head[name.strip().lower()] = value.strip()
+                text = _text(line)
+                if text[0] in " \t" and name:  # goes on from the line before
+                    head[name] = f"{head[name]} {text.strip()}".strip()
+                    continue
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                head[name] = value.strip()
+            if not head.get("content-length", "").isdecimal():
+                raise ValueError(f"{head.get('warc-record-id')} has no length")
             length = int(head["content-length"])
             if not self._wanted(head):
                 seek(length)
@@ -164,7 +201,9 @@ class WarcReader(DataSourceReader):
                 while left:
                     line = f.readline()
                     left -= len(line)
-                    if line.lower().startswith(b"content-length:"):
+                    if not line:
+                        break
+                    if line.lower().startswith(b"content-length:") and line[15:].strip().isdigit():
                         size = int(line[15:])
                     if not line.strip():
                         break
@@ -174,17 +213,17 @@ class WarcReader(DataSourceReader):
                     payload, left = f.read(left), 0
             seek(left)
             digest = _value(head, "payload_digest")
-            if self.verify and payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+            if self.verify and payload is not None and not _agrees(payload, head.get("warc-payload-digest")):
                 raise ValueError(f"payload of {head.get('warc-record-id')} has another digest")
             yield _value(head, "page_id"), head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("warc-date"), digest, _value(head, "refers_to"), size, payload if self.payload else None
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.path is None:
             return
-        fs, folder = file_system(self.folder)
+        fs, _ = file_system(self.folder)
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        with fs.open_input_file(f"{folder}/{partition.path}") as raw:
+        with fs.open_input_file(partition.path) as raw:
             packed = partition.path.endswith(".gz")
             lengths = packed and _Members.has_lengths(raw.read(24))
             raw.seek(0)
@@ -343,9 +382,9 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     return keyed.join(later, ["k", "sha"], "left").select("page_id", "url", "payload", _base32(F.col("sha")).alias("digest"), "refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "none") -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "none", file_bytes: int = 512 << 20) -> None:
     register(pages.sparkSession)
-    with_revisits(pages, least).write.format("warc").option("compression", compression).mode("append").save(path)
+    with_revisits(pages, least).write.format("warc").option("compression", compression).option("file_bytes", str(file_bytes)).mode("append").save(path)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:

@@ -254,3 +254,75 @@ def pii_spans(text, model, patterns, threshold=0.5):
             if w and 1 / (1 + math.exp(-z)) >= threshold and not any(a < m.end() and m.start() < b for a, b in taken):
                 out.append((m.start(), ranks.index(kind), m.end(), kind))
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def language_features(text, size, longest):
+    """{feature: count} of the n-grams of the text's bytes, runs of what is no letter as one space."""
+    out, raw = Counter(), []
+    for b in text.lower().encode():
+        b = b if b >= 128 or chr(b).isalpha() else 32
+        if b != 32 or not raw or raw[-1] != 32:
+            raw.append(b)
+    for n in range(1, longest + 1):
+        for i in range(len(raw) - n + 1):
+            code = 0
+            for b in raw[i : i + n]:
+                code = (code * 256 + b + 1) % 2**32
+            code = ((code ^ (code >> 15)) * 2654435761 + n * 0x9E3779B9) % 2**32
+            out[(code * 0x85EBCA6B % 2**32) >> (32 - (size - 1).bit_length())] += 1
+    return out
+
+
+def languages(train, texts, size, longest, k, reach, slack):
+    """(language, score, rejected) of each text, from (text, language) rows that are all taken."""
+    from math import log1p, sqrt
+
+    train = [(t.lower(), lang) for t, lang in train if t is not None and lang is not None]
+    df = Counter(f for t, _ in train for f in language_features(t, size, longest))
+    idf = lambda f: log1p(len(train) / (1 + df[f]))
+
+    def unit(v):
+        norm = sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()} if norm else v
+
+    vector = lambda t: unit({f: sqrt(n) * idf(f) for f, n in language_features(t, size, longest).items()})
+    dot = lambda a, b: sum(x * b.get(f, 0.0) for f, x in a.items())
+
+    def mean(vs):
+        out = Counter()
+        for v in vs:
+            for f, x in v.items():
+                out[f] += x / len(vs)
+        return dict(out)
+
+    model = []
+    for lang in sorted({lang for _, lang in train}):
+        vs = [vector(t) for t in sorted({t for t, x in train if x == lang})]
+        middle = mean(vs)
+        picks = [max(range(len(vs)), key=lambda i: dot(vs[i], middle))]
+        while len(picks) < min(k, len(vs)):
+            picks.append(min(range(len(vs)), key=lambda i: max(dot(vs[i], vs[p]) for p in picks)))
+        centres, own = [vs[p] for p in picks], [0] * len(vs)
+        for _ in range(12):
+            new = [max(range(len(centres)), key=lambda c: dot(v, centres[c])) for v in vs]
+            centres = [unit(mean([v for v, o in zip(vs, new, strict=True) if o == c])) if c in new else centres[c] for c in range(len(centres))]
+            if new == own:
+                break
+            own = new
+        for c, centre in enumerate(centres):
+            cosine = sorted(dot(v, centre) for v, o in zip(vs, own, strict=True) if o == c)
+            if cosine:
+                at = reach * (len(cosine) - 1)
+                low = int(at)
+                limit = cosine[low] + (at - low) * (cosine[min(low + 1, len(cosine) - 1)] - cosine[low]) - slack
+            model.append((lang, centre, limit if cosine else 1.0))
+    out = []
+    for t in texts:
+        if not any(map(str.isalpha, t or "")):
+            out.append(("und", 0.0, True))
+            continue
+        v = vector(t)
+        cosine = [dot(v, c) for _, c, _ in model]
+        best = max(range(len(model)), key=lambda i: cosine[i])
+        out.append((model[best][0], min(1.0, max(0.0, cosine[best])), cosine[best] < model[best][2]))
+    return out

@@ -1,15 +1,18 @@
 """Hard negatives, common lines and fill-in-middle against plain versions."""
 
+import base64
 import collections
 import hashlib
+import json
 import random
 import tracemalloc
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import annuli, line_runs, middle, pii, tiling
+from quillspan.llm import annuli, langid, line_runs, middle, pii, tiling, warc
 from quillspan.llm.words import mix
 
 
@@ -279,3 +282,71 @@ def test_repetitive_texts_are_tiled_in_linear_memory(spark):
     items = spark.createDataFrame([(i, item) for i in range(4)], "item_id long, text string")
     for bound in (1 << 20, 0):
         same([(r.doc_id, r.item_id, r.covered) for r in tiling.contaminated(docs, items, bound=bound).collect()], [(d, i, 500) for d in range(3) for i in range(4)])
+
+
+def test_langid_is_the_plain_classifier(spark):
+    """Languages, cosines and rejections of every row against plain TF-IDF vectors, clusters and nearest centroids."""
+    random.seed(21)
+    sounds = {"xx": ["ae", "io", "u", "ra"], "yy": ["kl", "tm", "no", "ra"], "zz": ["éü", "ös", "ra", "ä"]}
+    dialect = {"xx": ["q", "w"], "yy": ["v", "x"], "zz": ["ß", "ç"]}
+
+    def text(lang, words, by=0.3):
+        return " ".join("".join(random.choice(dialect[lang] if random.random() < by else sounds[lang]) for _ in range(random.randint(1, 4))) + random.choice(["", "", ".", " 12"]) for _ in range(words))
+
+    rows = [(i, text(lang, random.randint(1, 40), random.choice([0.05, 0.8])), lang) for i in range(90) for lang in [random.choice(list(sounds))]]
+    rows += [(100, rows[0][1], rows[0][2]), (101, rows[1][1].upper(), rows[1][2]), (102, None, "xx"), (103, "", "yy"), (104, "77 !", None), (105, "jjj hhh ggg", None), (106, "klklkl qqq ée", None), (107, "x", None), (108, "漢字", None)]
+    train = [(t, lang) for i, t, lang in rows if i % 4 != 2]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(d.filter("doc_id % 4 <> 2").select("text", "lang"), size=512, longest=3, centroids=3, sample=10_000, reach=0.1, slack=0.01)
+    got = {r.doc_id: r for r in model.predict(d, [F.col("doc_id")]).collect()}
+    want = brute.languages(train, [t for _, t, _ in rows], 512, 3, 3, 0.1, 0.01)
+    assert sum(w[2] for w in want) > 5 and len({w[0] for w in want}) == 4
+    for (i, _, _), (language, score, rejected) in zip(rows, want, strict=True):
+        assert got[i].language == language and got[i].score == pytest.approx(score, abs=2e-5), i
+        assert got[i].rejected == rejected, i
+
+
+def foreign(kind, payload, *heads, id_="<urn:x>"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: {id_}", *heads, f"Content-Length: {len(payload)}"]
+    return b"\r\n".join(x if isinstance(x, bytes) else x.encode() for x in lines) + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Archives of others: digests by other methods or none, Latin-1 and folded headers, subfolders, one file."""
+    sha = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    records = [
+        foreign("resource", b"no digest", id_="<urn:1>"),
+        foreign("resource", b"abc", f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'abc').hexdigest()}", id_="<urn:2>"),
+        foreign("resource", b"abc", f"WARC-Payload-Digest: sha1:{sha}", "WARC-Target-URI: http://a/é".encode("latin-1"), id_="<urn:3>"),
+        foreign("resource", b"abc", "WARC-Payload-Digest: blake9:xyz", "WARC-Target-URI: http://b/", "\tand more", id_="<urn:4>"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: odd\r\n\r\nabc", "Content-Type: application/http", f"WARC-Payload-Digest: sha-256:{base64.b32encode(hashlib.sha256(b'abc').digest()).decode()}", id_="<urn:5>"),
+    ]
+    folder = tmp_path / "in"
+    (folder / "deep" / "er").mkdir(parents=True)
+    (folder / "a.warc").write_bytes(b"".join(records[:3]))
+    (folder / "deep" / "er" / "b.warc").write_bytes(b"".join(records[3:]))
+    (folder / "deep" / "notes.txt").write_text("no archive")
+    read = lambda path: {r.record_id: r for r in warc.read_warc(spark, str(path), verify=True).collect()}
+    got = read(folder)
+    assert {k: bytes(r.payload) for k, r in got.items()} == {"<urn:1>": b"no digest", **{f"<urn:{i}>": b"abc" for i in range(2, 6)}}
+    assert [got[f"<urn:{i}>"].target_uri for i in (3, 4)] == ["http://a/é", "http://b/ and more"]
+    assert got["<urn:1>"].payload_digest is None and got["<urn:3>"].payload_digest == sha and got["<urn:2>"].payload_digest.startswith("sha256:")
+    assert read(folder / "a.warc").keys() == {"<urn:1>", "<urn:2>", "<urn:3>"}
+    (tmp_path / "bad.warc").write_bytes(foreign("resource", b"abd", f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'abc').hexdigest()}"))
+    with pytest.raises(Exception, match="another digest"):
+        read(tmp_path / "bad.warc")
+    (tmp_path / "cut.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\n")
+    with pytest.raises(Exception, match="no length"):
+        read(tmp_path / "cut.warc")
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archives_roll(spark, tmp_path, compression):
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.col("id").cast("string"), 200).alias("html")).coalesce(2)
+    folder = str(tmp_path / compression)
+    warc.write_warc(pages, folder, compression=compression, file_bytes=2_000)
+    names = json.loads((tmp_path / compression / "_manifest.json").read_text())
+    assert len(names) > 10 and sum(x["records"] for x in names) == 200
+    assert max((tmp_path / compression / x["path"]).stat().st_size for x in names) < 4_000
+    back = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, folder, verify=True).collect()}
+    assert back == {i: str(i) * 200 for i in range(200)}
