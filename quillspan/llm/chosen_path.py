@@ -6,9 +6,11 @@ A document is its set of runs of ``k`` words (a text of fewer words: one run of
 2. A text is embedded as ``width`` MinHash tokens (position, least hash), whose expected overlap is the Jaccard similarity.
 3. Chosen paths: every run starts from all texts in one bucket and recursively splits a bucket on sampled shared tokens.
    At a path each position is sampled with probability 1 / (lam * width), the same for all texts there, and texts with
-   an equal token go to the child (path, position, token).  A bucket of at most ``small`` texts, or at ``depth``, is
-   not split again.  Runs repeat until a pair at the threshold has been together in a final bucket with probability
-   ``recall``; the number follows from the sampling rates.
+   an equal token go to the child (path, position, token).  A bucket of at most ``small`` texts is not split again, nor after
+   ``depth`` splits one of at most ``block``, nor one whose texts are mostly alike (the mean agreement of its pairs, counted on eight
+   positions, is no less than brute force asks for): such a group of near copies has its links inside.  Others are split up to ``deeper`` times more, with ``lam_deeper``.
+   Runs repeat until a pair at the threshold has been together in a final bucket with probability ``recall`` below all
+   splits; the number follows from the sampling rates.
 4. Buckets with the same members are kept once.  Inside a bucket all pairs are tried by brute force on their sketches;
    pairs well above chance join into candidate groups (a spanning forest of links leaves a task, never all pairs).
 5. The exact check: inside every candidate group all pairs of texts are compared by their whole sets.  Links are
@@ -89,12 +91,12 @@ def sketches(g: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_needed(similarity: float, lam: float, width: int, depth: int, recall: float) -> int:
-    """Runs after which a pair at the similarity has met at ``depth`` with the recall: at each path a shared position
-    is sampled with probability q; the chance to be still together is that of a branching process."""
-    q, lost = 1 / (lam * width), 0.0
-    for _ in range(depth):
-        lost = (1 - q * similarity * (1 - lost)) ** width
+def runs_needed(similarity: float, rates: list[float], width: int, recall: float) -> int:
+    """Runs after which a pair at the similarity has met below all splits with the recall: at each path a shared position
+    is sampled with probability 1 / (rate * width); the chance to be still together is that of a branching process."""
+    lost = 0.0
+    for rate in reversed(rates):
+        lost = (1 - similarity / (rate * width) * (1 - lost)) ** width
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
@@ -240,7 +242,7 @@ def _exact(k: int, least: float):
     return work
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width: int = 64, lam: float = 0.8, depth: int = 3, small: int = 64, recall: float = 0.999, block: int = 4096, block_shingles: int = 1 << 20, deeper: int = 6, lam_deeper: float = 0.5) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each row of docs(doc_id, text)."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +254,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
                 offsets = pa.py_buffer((np.arange(part.num_rows + 1) * 4 * width).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s1), pa.array(s2), pa.array(np.diff(first).astype(np.int32)), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(raw)])], ["doc_id", "text_hash", "s1", "s2", "n", "sketch"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(rate: float):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                path = batch.column(0).to_numpy().view(np.uint64)
+                row, child = _children(path, _sketch_of(batch.column(3), width), rate)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows)], ["path", "s1", "s2"])
+
+        return work
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = batch.column(0).to_numpy().view(np.uint64)
-            row, child = _children(path, _sketch_of(batch.column(3), width), lam)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows)], ["path", "s1", "s2"])
+            sketch = _sketch_of(batch.column(1), width)[:, :8]
+            n = sketch.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(sketch.ravel().astype(np.int64))], ["path", "place", "token"])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,24 +279,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], ["path", "s1", "s2"])
 
-    runs = runs_needed(similarity, lam, width, depth, recall)
+    runs = runs_needed(similarity, [lam] * depth + [lam_deeper] * deeper, width, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = written(source.mapInArrow(embed, "doc_id long, text_hash long, s1 long, s2 long, n int, sketch binary"), "sketches")
     owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     texts = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(owner).alias("owner"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "texts")
 
-    finals = None
+    finals, step = None, 0
     level = texts.select("s1", "s2", "sketch").mapInArrow(start, "path long, s1 long, s2 long")
-    for step in range(1, depth + 1):
+    sketched = texts.select("s1", "s2", "sketch")
+    while level is not None:
+        step += 1
         level = written(level, f"paths-{step}")
         sizes = level.groupBy("path").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("s1", "s2")).alias("who")).filter("c > 1")
-        last = step == depth
-        done = level.join(sizes if last else sizes.filter(F.col("c") <= small), "path")
+        if step < depth:
+            on = sizes.filter(F.col("c") > small).select("path")
+        else:  # splits go on in buckets of more than a block whose texts are not mostly alike
+            on = sizes.filter(F.col("c") > block).select("path", "c")
+            many = None if step == depth + deeper or on.isEmpty() else level.join(on, "path").join(sketched, ["s1", "s2"])
+            if many is not None:
+                alike = many.select("path", "sketch").mapInArrow(tokens, "path long, place int, token long").groupBy("path", "place", "token").count()
+                alike = alike.groupBy("path").agg((F.sum(F.col("count").cast("double") * F.col("count")) / min(8, width)).alias("alike"))
+                on = written(on.join(alike, "path").filter(F.col("alike") < (similarity - 0.2) * F.col("c") * F.col("c")).select("path"), f"mixed-{step}")
+            if many is None or on.isEmpty():
+                on = None
+        done = level.join(sizes if on is None else sizes.join(on, "path", "left_anti"), "path")
         finals = done if finals is None else finals.unionByName(done)
-        if not last:
-            large = level.join(sizes.filter(F.col("c") > small).select("path"), "path")
-            level = large.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]).select("path", "s1", "s2", "sketch").mapInArrow(split, "path long, s1 long, s2 long")
+        level = None if on is None else level.join(on, "path").join(sketched, ["s1", "s2"]).select("path", "s1", "s2", "sketch").mapInArrow(split(lam if step < depth else lam_deeper), "path long, s1 long, s2 long")
     kept = finals.groupBy("path").agg(F.first("c").alias("c"), F.first("who").alias("who")).groupBy("c", "who").agg(F.min("path").alias("path"))
     finals = finals.drop("c", "who").join(kept.select("path", "c"), "path")
     blocks = _in_blocks(finals.join(texts.select("s1", "s2", "sketch"), ["s1", "s2"]), F.col("c") / block).select("path", "x", "y", "own", "s1", "sketch")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import annuli, langid, line_runs, middle, pii, tiling, warc
+from quillspan.llm import annuli, chosen_path, langid, line_runs, middle, pii, tiling, warc
 from quillspan.llm.words import mix
 
 
@@ -350,3 +350,25 @@ def test_archives_roll(spark, tmp_path, compression):
     assert max((tmp_path / compression / x["path"]).stat().st_size for x in names) < 4_000
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, folder, verify=True).collect()}
     assert back == {i: str(i) * 200 for i in range(200)}
+
+
+def test_mixed_buckets_are_split(spark):
+    """Texts that share half of their words and no more: one bucket for all until it is split; near copies among them are all found."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    shared = " ".join(word() for _ in range(60))
+    rows = [(i, f"{shared} {' '.join(word() for _ in range(60))}") for i in range(260)]
+    for i in range(60):
+        w = rows[i][1].split()
+        w[random.choice([100, 110, 3])] = "other"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, f"{' '.join(word() for _ in range(3))} {rows[0][1]}") for i in range(60)]
+    links, classes = brute.classes(rows)[1], brute.classes(rows)[0]
+    names = {}
+    for (d, _), c in zip(rows, classes, strict=True):
+        names[c] = min(names.get(c, d), d)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"block": 40, "small": 8}, {"block": 100_000, "small": 8}):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.near_duplicates(d, **options).collect()}
+        assert got == {doc: (names[c], n) for (doc, _), c, n in zip(rows, classes, links, strict=True)}
+    assert chosen_path.runs_needed(0.8, [0.8] * 3, 64, 0.999) < chosen_path.runs_needed(0.8, [0.8] * 3 + [0.5] * 6, 64, 0.999) < 24
