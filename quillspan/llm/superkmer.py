@@ -109,7 +109,8 @@ def _clusters(words: Words, hashes: np.ndarray, where: np.ndarray, of: np.ndarra
 
 def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, part: int = 2000) -> DataFrame:
     """One row for each row of docs(doc_id, text): its words, those removed, and the kept words joined by a space."""
-    bins = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = 16 * partitions  # a task holds one bin at a time: a sixteenth of a shuffle partition
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,6 +246,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, part: int =
     spans = "kd long, k long, place long, length long"
     within = dealt.mapInArrow(repeats, spans)
     records = dealt.mapInArrow(distinct, "bin int, records binary")
-    across = records.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(meet, spans)
+    across = records.repartition(partitions, "bin").sortWithinPartitions("bin").mapInArrow(meet, spans)
     ranges = within.unionByName(across).groupBy("kd", "k").agg(F.collect_list(F.struct("place", "length")).alias("gone"))
     return keyed.join(ranges.hint("shuffle_hash"), ["kd", "k"], "left").select("doc_id", "text", "gone", "kd", "k").mapInArrow(finish, RESULT)
