@@ -121,8 +121,10 @@ def primers_fit(sequence: Column, forward: str, reverse: str, length: int = 20)
 
 
 def records_at(rows: DataFrame, order: str, wanted: list[int]) -> DataFrame:
-    """The rows with the given places (from 0) in order: the records of a FASTA file by index.  Meant for a file's records."""
-    return rows.withColumn("place", F.row_number().over(W.orderBy(order)) - 1).filter(F.col("place").isin(wanted))
+    """The rows with the given places (from 0) in order: the records of a FASTA file by index."""
+    from quillspan.sources.files import placed
+
+    return placed(rows, [order]).filter(F.col("place").isin(wanted))
 
 
 def slices_of(sequences: DataFrame, regions: DataFrame, name: str, flank: int, tile: int) -> DataFrame:

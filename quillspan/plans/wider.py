@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import columns
 from quillspan.operators import aggregates, codes, decode, density, filters, interaction, joins, ordered, pairs, peaks, scores, segments, sequences, spots
 from quillspan.plans.catalog import _DIST, _DOMS, _REG, _SEG, _SEQ, P, D, S, _candidates, _effect, _kmer_sql, _letters, _mean, _near, _pairs, _places, _regions, _segments, points, query, r6, series, spread, table
+from quillspan.sources.files import placed
 
 _XYZ = ["z", "x", "y"]
 
@@ -544,8 +545,8 @@ def readout_filter(spark, sf):
 @query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, 'r' || item_id AS name, {_SEQ} AS s FROM benchmark), t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name, upper(n_name) AS s FROM nation)
 SELECT r.name || '_2x' || t.n_name AS name, right(r.s, 20) || left(t.s, 20) || left(t.s, 20) AS adaptor FROM r JOIN t ON t.k = r.n % (SELECT count(*) FROM t)""")
 def adaptors(spark, sf):
-    b = table(spark, sf, "benchmark").select((F.row_number().over(W.orderBy("item_id")) - 1).alias("n"), F.concat(F.lit("r"), "item_id").alias("name"), _letters().alias("sequence"))
-    s = table(spark, sf, "nation").select((F.row_number().over(W.orderBy("n_nationkey")) - 1).alias("n"), F.col("n_name").alias("name"), F.upper("n_name").alias("sequence"))
+    b = placed(table(spark, sf, "benchmark"), ["item_id"], "n").select("n", F.concat(F.lit("r"), "item_id").alias("name"), _letters().alias("sequence"))
+    s = placed(table(spark, sf, "nation"), ["n_nationkey"], "n").select("n", F.col("n_name").alias("name"), F.upper("n_name").alias("sequence"))
     return codes.adaptors(b, s)
 
 

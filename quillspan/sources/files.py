@@ -174,3 +174,13 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame
 def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows with their number in the group."""
     return rows.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def placed(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows with their number (from 0) in the order of the whole table: sorted by ranges, written, and numbered from the counts of the ranges
+    before (one row a task), so no task sees the whole table.  The order should have no ties."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    kept = written(ranged)
+    counts = kept.groupBy("_p").agg(F.min("_m").alias("_lo"), F.count("*").alias("_n"))
+    first = counts.select("_p", "_lo", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_s"))
+    return kept.join(F.broadcast(first), "_p").withColumn(name, F.col("_s") + F.col("_m") - F.col("_lo")).drop("_p", "_m", "_lo", "_s")
