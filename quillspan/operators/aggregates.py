@@ -152,7 +152,10 @@ def frequency(rows: DataFrame, by: list[str], event: Column) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(event.cast("double")).alias("frequency"), F.count("*").alias("n"))
 
 
-def members(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The values of each group in order, joined by commas, and their number.  A group's values make one text."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",")
-    return rows.groupBy(*by).agg(text.alias("members"), F.count("*").alias("n"))
+def members(rows: DataFrame, by: list[str], value: str, size: int = 1000) -> DataFrame:
+    """by, chunk, members and n: the values (numbers) of each group in order, joined by commas, about ``size`` of them a row.  A chunk has the values whose first
+    place in the group's order is in it, so a row is bounded whatever the size of the group (but for one value's repeats)."""
+    run = running(rows, by, value, {"n": F.count("*")})
+    placed = run.withColumn("chunk", F.floor((F.col("run_n") - F.col("n")) / size))
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(value, "n"))), lambda x: F.array_repeat(x[value].cast("string"), x["n"].cast("int"))))
+    return placed.groupBy(*by, "chunk").agg(F.array_join(each, ",").alias("members"), F.sum("n").alias("n"))

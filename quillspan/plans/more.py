@@ -91,9 +91,9 @@ def readout_channels(spark, sf):
     return spots.dealt_readouts(table(spark, sf, "part"), readouts, "p_partkey", "s_name", 3).select("p_partkey", "channel", "readout")
 
 
-@query("SELECT c_mktsegment, c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS members, count(*) AS n FROM customer GROUP BY 1, 2")
+@query("SELECT c_mktsegment, c_nationkey, c AS chunk, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS members, count(*) AS n FROM (SELECT *, (rank() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) - 1) // 5 AS c FROM customer) GROUP BY 1, 2, 3")
 def partition_map(spark, sf):
-    return aggregates.members(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey")
+    return aggregates.members(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 5)
 
 
 @query("""WITH r AS (SELECT l_partkey, l_linenumber % 2 AS k, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT a.l_partkey, round(a.m / nullif(b.m, 0), 6) AS ratio FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.k = 0 AND b.k = 1""")

@@ -603,11 +603,9 @@ def marker_channel(spark, sf):
     return spots.first_place(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase")
 
 
-@query("SELECT event_type, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS ids, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+@query("SELECT event_type, c AS chunk, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS ids, count(*) AS n FROM (SELECT *, (rank() OVER (PARTITION BY event_type ORDER BY user_id) - 1) // 1000 AS c FROM (SELECT DISTINCT event_type, user_id FROM events)) GROUP BY 1, 2")
 def color_stat(spark, sf):
-    e = table(spark, sf, "events").select("event_type", "user_id").distinct()
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("user_id")), lambda x: x.cast("string")), ",")
-    return e.groupBy("event_type").agg(ids.alias("ids"), F.count("*").alias("n"))
+    return aggregates.members(table(spark, sf, "events").select("event_type", "user_id").distinct(), ["event_type"], "user_id").withColumnRenamed("members", "ids")
 
 
 @query("SELECT (n_nationkey // 2)::VARCHAR AS key, 'R' || (n_nationkey // 2) AS first, 'r' || (n_nationkey // 2) AS second FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 24")
