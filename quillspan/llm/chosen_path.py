@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, width:
         if step < depth:
             on = sizes.filter(F.col("c") > small).select("path")
         else:  # splits go on in buckets of more than a block whose texts are not mostly alike
+            sizes = written(sizes, f"sizes-{step}")  # read by what goes on and by what is done
             on = sizes.filter(F.col("c") > block).select("path", "c")
             many = None if step == depth + deeper or on.isEmpty() else level.join(on, "path").join(sketched, ["s1", "s2"])
             if many is not None:
