@@ -6,15 +6,15 @@ that fails is skipped by seeking over its Content-Length (in our .warc.gz files,
 ``sl`` field), never read, inflated or decoded.  Options: ``payload`` (default true)
 false also skips the blocks of wanted records; ``verify`` true checks the digest of each payload that is read.
 
-``df.write.format("warc").save(folder)`` takes page_id, url, payload, digest, refers_to: with refers_to the record is a
-revisit, which holds the HTTP headers (with the length of the payload) and no payload.  Tasks write files under names of
+``df.write.format("warc").save(folder)`` takes page_id, url, payload, digest, refers_to, revisit: a revisit refers to the page
+``refers_to`` (null: one without an id) and holds the HTTP headers (with the length of the payload) and no payload.  Tasks write files under names of
 their own, plain or with ``compression`` gzip as one member a record; ``_manifest.json`` lists those of the tasks that the driver saw finish, and only these are read.  Folders of
 archives from elsewhere, without a manifest, are read by their ``.warc`` and ``.warc.gz`` files, in subfolders too; the path may be one file.  In them a header that goes on in the next line is
 one header, one that is no UTF-8 is Latin-1, ``payload_digest`` is bare for sha1 and as it stands for others, ``verify`` tries sha1, sha256, sha512 and md5 and
 passes records without a digest; a record without a length is an error.
 
 Nulls: a null payload is empty; null page_ids and urls have no header and come back null.  Repeated rows are written
-each: of equal payloads, all rows with the least page_id are responses (ties).  ``target_uri`` comes back as the header holds it,
+each: of equal payloads, one row with the least page_id (null last; then by least url) is the response, also where rows share the id.  ``target_uri`` comes back as the header holds it,
 with characters that a URI does not allow percent-encoded.  Very long payloads are one record each.  Columns of pages
 other than page_id, url and html are ignored.  Empty table: no records.
 """
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -74,15 +74,16 @@ def _agrees(payload: bytes, digest: str | None) -> bool:
     return value.strip().rstrip("=").upper() in (base64.b32encode(found.digest()).decode().rstrip("="), found.hexdigest().upper())
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str, revisit: bool | None = None) -> bytes:
+    revisit = refers_to is not None if revisit is None else revisit
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{'none' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    block = http if revisit else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_URN}{'none' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
-    if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_URN}{refers_to}>"]
+    if revisit:
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_URN}{'none' if refers_to is None else refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -103,8 +104,8 @@ class WarcWriter(DataSourceArrowWriter):
         out, n, size, name = None, 0, 0, ""
         for batch in iterator:
             for low in range(0, batch.num_rows, 256):
-                rows = [batch.slice(low, 256).column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]
-                for page_id, url, payload, digest, refers_to in zip(*rows, strict=True):
+                rows = [batch.slice(low, 256).column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")]
+                for page_id, url, payload, digest, refers_to, revisit in zip(*rows, strict=True):
                     if out is not None and size >= self.most:
                         out.close()
                         files.append((name, n))
@@ -113,7 +114,7 @@ class WarcWriter(DataSourceArrowWriter):
                         fs.create_dir(folder)
                         name, n, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, 0, 0
                         out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                    data = _record(page_id, url, payload or b"", digest, refers_to, self.date)
+                    data = _record(page_id, url, payload or b"", digest, refers_to, self.date, revisit)
                     data = _member(data) if self.gzip else data
                     out.write(data)
                     n, size = n + 1, size + len(data)
@@ -367,19 +368,23 @@ def _base32(hexed):
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, refers_to of pages(page_id, url, html): of rows with equal payloads of at least
-    ``least`` bytes, those with the smallest page_id are responses and the others refer to it.
+    """page_id, url, payload, digest, refers_to, revisit of pages(page_id, url, html): of rows with equal payloads of at least
+    ``least`` bytes, one with the smallest page_id is the response and the others refer to it.
 
     Digests are counted with partial sums; only the ids of repeated payloads are joined back, and the payloads are
     shuffled once, by page, so one payload that a third of all pages share makes no large task."""
     id_ = F.col("page_id").cast("long")
     rows = pages.select(id_.alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    ids = rows.filter(F.octet_length("payload") >= least).select("page_id", "sha")
-    first = ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("sha", "first")
-    later = ids.join(first, "sha").filter("not (page_id <=> first)").select(F.coalesce("page_id", F.lit(-(2**63))).alias("k"), F.col("sha"), F.col("first").alias("refers_to")).distinct()
-    keyed = rows.withColumn("k", F.coalesce("page_id", F.lit(-(2**63))))
-    return keyed.join(later, ["k", "sha"], "left").select("page_id", "url", "payload", _base32(F.col("sha")).alias("digest"), "refers_to")
+    ids = rows.filter(F.octet_length("payload") >= least).groupBy("page_id", "sha").agg(F.count("*").alias("n"))
+    first = ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.sum("n").alias("of")).filter("of > 1").select("sha", "first")
+    key = [F.coalesce("page_id", F.lit(0)).alias("k"), F.col("page_id").isNull().alias("none")]
+    later = ids.join(first, "sha").withColumn("least", F.expr("page_id <=> first")).filter("not least or n > 1").select(*key, "sha", "first", "least")
+    keyed = rows.select("*", *key)
+    turn = F.row_number().over(Window.partitionBy("k", "none", "sha").orderBy(F.col("url").asc_nulls_last()))
+    found = keyed.withColumn("turn", turn).join(later, ["k", "none", "sha"], "left")
+    revisit = F.coalesce(~F.col("least") | (F.col("turn") > 1), F.lit(False))
+    return found.select("page_id", "url", "payload", _base32(F.col("sha")).alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "none", file_bytes: int = 512 << 20) -> None:

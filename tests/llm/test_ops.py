@@ -430,6 +430,14 @@ def test_warc(spark, compression):
     assert warc.round_trip(df.filter("false"), compression=compression).count() == 0
 
 
+def test_warc_rows_that_share_an_id(spark):
+    pages = [(5, "b", "x"), (5, "a", "x"), (5, "a", "x"), (7, "a", "x"), (None, "a", "x"), (None, "a", "y"), (None, "b", "y"), (-(2**63), "a", "z"), (None, "a", "z"), (9, "a", "w"), (9, "a", "v")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()]
+    want = [(5, "response", None), (5, "revisit", 5), (5, "revisit", 5), (7, "revisit", 5), (None, "revisit", 5), (None, "response", None), (None, "revisit", None)]
+    same(got, want + [(-(2**63), "response", None), (None, "revisit", -(2**63)), (9, "response", None), (9, "response", None)])
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc_pushed_filters(spark, compression):
     df = spark.createDataFrame([(i, f"http://a/{i % 3}", f"<p>{i % 7}</p>") for i in range(20)] + [(30, None, "x")], "page_id long, url string, html string")
