@@ -50,8 +50,9 @@ def interval_scan(spark, sf):
 def matrix_scan(spark, sf):
     """A matrix with a header row and column, written wide and read long; empty cells are left out."""
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("k"))
-    c = table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 10).alias("k"))
-    wide = s.join(c, "k").groupBy("s_suppkey").pivot("c_nationkey").count()
+    c = table(spark, sf, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 10).alias("k")).agg(F.count("*").alias("n"))
+    names = [r[0] for r in c.select("c_nationkey").distinct().orderBy("c_nationkey").collect()]
+    wide = s.join(c, "k").groupBy("s_suppkey").pivot("c_nationkey", names).agg(F.sum("n"))
     path = files.shared_path(spark, "matrix")
     wide.write.option("sep", "\t").option("header", True).csv(path)
     return files.read_matrix(spark, path).filter("value is not null")
