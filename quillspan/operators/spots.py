@@ -73,8 +73,11 @@ def near_reference(spots: DataFrame, reference: DataFrame, by: list[str], axes:
 
 
 def snapped(starts: DataFrame, reference: DataFrame, by: list[str], reach: float) -> DataFrame:
-    """Starts with exactly one reference start within the reach, moved to it."""
-    both = starts.join(reference, by).filter(F.abs(F.col("start") - F.col("ref")) <= reach)
+    """Starts with exactly one reference start within the reach, moved to it.  Both meet in cells as wide as the reach."""
+    cell = lambda c: F.floor(F.col(c) / (reach or 1)).cast("long")
+    left = starts.withColumn("_c", cell("start"))
+    right = reference.withColumn("_c", F.explode(F.sequence(cell("ref") - 1, cell("ref") + 1)))
+    both = left.join(right, [*by, "_c"]).drop("_c").filter(F.abs(F.col("start") - F.col("ref")) <= reach)
     return both.withColumn("_n", F.count("*").over(W.partitionBy(*by, "start"))).filter("_n = 1").drop("_n")
 
 

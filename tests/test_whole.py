@@ -113,6 +113,28 @@ def test_unused_pairs(spark):
         sequences.unused_pairs(codes, used, most=5)
 
 
+def test_unused_pairs_of_many_codes(spark):
+    codes = spark.range(12_000).select(F.col("id").alias("code"))
+    used = spark.range(12_000).filter("id > 0").select(F.lit(0).alias("a"), F.col("id").alias("b"))
+    free = sequences.unused_pairs(codes, used.unionByName(used))
+    assert tuple(free.agg(F.count("*"), F.min("a"), F.sum(F.col("b") - F.col("a"))).first()) == (11_999 * 11_998 // 2, 1, sum(d * (11_999 - d) for d in range(11_999)))
+    few = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "code string")
+    assert sorted(map(tuple, sequences.unused_pairs(few, spark.createDataFrame([("a", "c")], "a string, b string"), block=1).collect())) == [("a", "b"), ("b", "c")]
+
+
+def test_snapped_meets_only_near_references(spark):
+    rows = [(g, x) for g in (1, 2) for x in range(-20, 20) if random.Random(g * 100 + x).random() < 0.3]
+    starts = spark.createDataFrame(rows, "g long, start long")
+    refs = spark.createDataFrame([(g, -x) for g, x in rows], "g long, ref long")
+    for reach in (0, 1, 3, 7.5):
+        near = {(g, x): [-y for h, y in rows if h == g and abs(x + y) <= reach] for g, x in rows}
+        assert sorted((r.g, r.start, r.ref) for r in spots.snapped(starts, refs, ["g"], reach).collect()) == sorted((*k, v[0]) for k, v in near.items() if len(v) == 1)
+    n = 60_000
+    many = spark.range(n).select(F.lit(1).alias("g"), (10 * F.col("id")).alias("start"))
+    found = spots.snapped(many, many.select("g", (F.col("start") + 1).alias("ref")), ["g"], 3)
+    assert found.filter("ref = start + 1").count() == n
+
+
 def test_overlapping_counts(spark):
     """A mark counts where one of its ends lies, by the share of the mark inside; one that covers a region whole does not count."""
     regions = spark.createDataFrame([(1, 1, 0.0, 10.0), (2, 1, 10.0, 20.0), (3, 2, 0.0, 5.0)], "region long, g long, start double, end double")
