@@ -36,11 +36,12 @@ def neighbour_distances(points: DataFrame, segments: DataFrame, least: int = 5)
     return lists.select("trace", "segment", score.alias("dist"))
 
 
-def markers(distances: DataFrame, segments: DataFrame, most: float = 0.4, neighbours: bool = False, edges: bool = False) -> DataFrame:
+def markers(distances: DataFrame, segments: DataFrame, most: float = 0.4, neighbours: bool = False, edges: bool = False, common: bool = False) -> DataFrame:
     """Pairs of segments a < b whose distance, not below 0, is under ``most``; by switch also neighbours and pairs with the first or last
-    segment."""
-    ends = segments.groupBy("trace").agg(F.min("segment").alias("_lo"), F.max("segment").alias("_hi"))
-    out = distances.filter(F.greatest("domain_dist", F.lit(0.0)) < most).join(ends, "trace")
+    segment, of their trace or (``common``) of all traces."""
+    of = [F.min("segment").alias("_lo"), F.max("segment").alias("_hi")]
+    near = distances.filter(F.greatest("domain_dist", F.lit(0.0)) < most)
+    out = near.join(F.broadcast(segments.agg(*of))) if common else near.join(segments.groupBy("trace").agg(*of), "trace")
     if not neighbours:
         out = out.filter("b - a > 1")
     if not edges:

@@ -178,6 +178,20 @@ def test_regions_of_places_without_pairs(spark):
     assert joins.with_region(one, many, "place", ["g"], "region").agg(F.max("region")).first()[0] == 0
 
 
+@needs_tables
+def test_interdomain_markers_of_a_trace_that_ends_early(spark, tmp_path):
+    """The first and last segment are those of all traces, as in the SQL."""
+    import duckdb
+
+    rows = spark.range(265).select(F.col("id").alias("vec_id"), F.array(*[(F.xxhash64("id", F.lit(i)) % 1000 / 1000).cast("float") for i in range(3)]).alias("embedding"), (F.col("id") % 10).cast("int").alias("label"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(catalog.ORACLE["interdomain_markers"]).fetchall()
+    assert any(t == 2 and b == 6 for t, _, b, _ in want)
+    assert sorted(map(tuple, catalog.QUERIES["interdomain_markers"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def plain_em(rows, rounds):
     chosen = rows
     for _ in range(rounds):
