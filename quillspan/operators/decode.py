@@ -6,6 +6,7 @@ region) is bounded by the experiment; the reference distributions that they shar
 
 from __future__ import annotations
 
+import functools
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,21 +177,41 @@ def first_component_of(points: DataFrame, axes: list[str]) -> DataFrame:
     return points.select("trace", "locus", *axes).groupBy("trace").applyInPandas(solve, "trace long, locus long, pc1 double")
 
 
-def in_hull(point: np.ndarray, vertices: np.ndarray, rounds: int = 300) -> bool:
-    """Whether the convex hull of the vertices holds the point: von Neumann's search for a plane that parts them."""
-    v = vertices - point
-    w = v.mean(0)
+def in_hulls(points: np.ndarray, vertices: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Whether the convex hull of each row of vertices (n, k, 3) holds its point: von Neumann's search for a plane that parts them, of all
+    rows at once; those that are decided drop out."""
+    v = vertices - points[:, None]
+    w, at, out = v.mean(1), np.arange(len(v)), np.zeros(len(points), bool)
+    dot = lambda a, b: (a * b).sum(1)
+    near = lambda v, w: dot(w, w) < 1e-9 * (v * v).sum(2).max(1)
     for _ in range(rounds):
-        if (norm := w @ w) < 1e-18:
-            return True
-        far = v[np.argmin(v @ w)]
-        if far @ w > 0:
-            return False
+        norm = dot(w, w)
+        far = v[np.arange(len(v)), np.argmin(np.einsum("nki,ni->nk", v, w), axis=1)] if len(v) else w
+        inside = norm < 1e-18
+        out[at[inside]] = True
+        on = ~inside & ~(dot(far, w) > 0)
+        v, w, at, norm, far = v[on], w[on], at[on], norm[on], far[on]
+        if not len(at):
+            return out
         step = w - far
-        w = w - step * min(1.0, (w @ step) / (step @ step))
-        if norm - w @ w < 1e-15 * norm:
-            break
-    return bool(w @ w < 1e-9 * (v * v).sum(1).max())
+        w = w - step * np.minimum(1.0, dot(w, step) / dot(step, step))[:, None]
+        still = norm - dot(w, w) < 1e-15 * norm
+        out[at[still]] = near(v[still], w[still])
+        v, w, at = v[~still], w[~still], at[~still]
+    if len(at):
+        out[at] = near(v, w)
+    return out
+
+
+def in_hull(point: np.ndarray, vertices: np.ndarray, rounds: int = 300) -> bool:
+    """Whether the convex hull of the vertices holds the point."""
+    return bool(in_hulls(point[None], vertices[None], rounds)[0])
+
+
+@functools.lru_cache(1 << 16)
+def _drawn(seed: int, locus: int, n: int, size: int) -> np.ndarray:
+    """Places of a seeded sample of ``size`` of n; traces with as many members draw the same."""
+    return np.random.default_rng([seed, locus]).choice(n, size, replace=False)
 
 
 def inside_hull(points: DataFrame, group: str, size: int, times: int) -> DataFrame:
@@ -199,17 +220,21 @@ def inside_hull(points: DataFrame, group: str, size: int, times: int) -> DataFra
 
     def boot(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["z", "x", "y"]).sort_values("locus")
-        xyz, of = pdf[["z", "x", "y"]].to_numpy(float), pdf[group].to_numpy()
+        xyz, of, loci = pdf[["z", "x", "y"]].to_numpy(float), pdf[group].to_numpy(), pdf["locus"].tolist()
         out = []
         for g in sorted(set(of)):
             members = np.flatnonzero(of == g)
-            for row in range(len(pdf)):
-                others = members[members != row]
-                inside = None
-                if len(others) >= size:
-                    picks = [np.random.default_rng([t, int(pdf["locus"].iloc[row])]).choice(others, size, replace=False) for t in range(times)]
-                    inside = float(np.mean([size > 3 and in_hull(xyz[row], xyz[p]) for p in picks]))
-                out.append((pdf["trace"].iloc[row], pdf["locus"].iloc[row], g, inside))
+            for low in range(0, len(pdf), 1024):
+                rows = range(low, min(low + 1024, len(pdf)))
+                others = [members[members != row] for row in rows]
+                enough = [i for i, o in enumerate(others) if len(o) >= size]
+                share = np.zeros(len(enough))
+                if size > 3 and enough:
+                    picks = np.array([others[i][_drawn(t, int(loci[low + i]), len(others[i]), size)] for i in enough for t in range(times)])
+                    at = np.repeat(low + np.array(enough), times)
+                    share = in_hulls(xyz[at], xyz[picks]).reshape(-1, times).mean(1)
+                inside = dict(zip(enough, share.tolist(), strict=True))
+                out += [(pdf["trace"].iloc[0], loci[row], g, inside.get(row - low)) for row in rows]
         return pd.DataFrame(out, columns=["trace", "locus", "group", "inside"])
 
     return points.select("trace", "locus", "z", "x", "y", group).groupBy("trace").applyInPandas(boot, "trace long, locus long, group string, inside double")

@@ -92,6 +92,9 @@ def test_hull():
     box = np.array(list(itertools.product((0.0, 1.0), repeat=3)))
     assert decode.in_hull(np.array([0.5, 0.4, 0.6]), box)
     assert not decode.in_hull(np.array([1.2, 0.5, 0.5]), box)
+    sets, points = np.random.default_rng(1).random((2000, 12, 3)), np.random.default_rng(2).random((2000, 3))
+    together = decode.in_hulls(points, sets)
+    assert 100 < together.sum() < 1900 and all(decode.in_hull(p, v) == x for p, v, x in zip(points[:200], sets, together[:200], strict=False))
 
 
 def test_domains_found(spark):
