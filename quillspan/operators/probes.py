@@ -131,13 +131,29 @@ def first_independent(words: DataFrame, order: str = "rank") -> DataFrame:
 def search_readouts(pool: DataFrame, total: int, length: int = 30, tries: int = 32, k: int = 11, existing: DataFrame | None = None, **rules) -> DataFrame:
     """id, try_ and sequence of the first ``total`` readouts of pool(id, sequence) in the order of id: each extended in ``tries`` ways, in order, and the
     first kept that passes ``codes.good_readout`` and shares no run of k letters, on either strand, with existing(sequence) or one
-    kept before.  Ids are distinct."""
-    made = pool.withColumn("try_", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("sequence", extended(F.col("sequence"), F.concat_ws(":", F.col("id").cast("string"), F.col("try_").cast("string")), length))
-    good = made.filter(good_readout(F.col("sequence"), **rules)).withColumn("rank", F.struct("id", "try_")).select("rank", "sequence")
-    words = words_of(good, "rank", F.col("sequence"), k)
+    kept before.  Ids are distinct and not null.
+
+    What is kept depends on lesser ids alone, so ids are judged in order in parts, each four times as large, until ``total`` are kept or none is left."""
+    from quillspan.sources.files import written
+
+    taken = None
     if existing is not None:
-        taken = words_of(existing.select(F.lit(0).alias("_e"), "sequence"), "_e", F.col("sequence"), k).select("word").distinct()
-        words = words.join(words.join(taken, "word", "left_semi").select("rank").distinct(), "rank", "left_anti")
-    own = words.select("rank", F.concat(F.lit("of "), F.col("rank.id").cast("string")).alias("word")).distinct()  # one try of each
-    kept = first_independent(words.unionByName(own))
-    return good.join(kept, "rank").orderBy("rank").limit(total).select("rank.id", "rank.try_", "sequence")
+        taken = written(words_of(existing.select(F.lit(0).alias("_e"), "sequence"), "_e", F.col("sequence"), k).select("word").distinct())
+    out, n, rest, size = None, 0, pool, 8 * total
+    while out is None or n < total:
+        last = rest.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
+        if last is None and out is not None:
+            break
+        part = rest.filter(F.col("id") <= F.lit(last))
+        made = part.withColumn("try_", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("sequence", extended(F.col("sequence"), F.concat_ws(":", F.col("id").cast("string"), F.col("try_").cast("string")), length))
+        good = written(made.filter(good_readout(F.col("sequence"), **rules)).withColumn("rank", F.struct("id", "try_")).select("rank", "sequence"))
+        words = words_of(good, "rank", F.col("sequence"), k)
+        if taken is not None:
+            words = words.join(words.join(taken, "word", "left_semi").select("rank").distinct(), "rank", "left_anti")
+        own = words.select("rank", F.concat(F.lit("of "), F.col("rank.id").cast("string")).alias("word")).distinct()  # one try of each
+        found = written(good.join(first_independent(words.unionByName(own)), "rank"))
+        used = words_of(found, "rank", F.col("sequence"), k).select("word")
+        taken = used if taken is None else taken.unionByName(used)
+        out, n = found if out is None else out.unionByName(found), n + found.count()
+        rest, size = rest.filter(F.col("id") > F.lit(last)), 4 * size
+    return out.orderBy("rank").limit(total).select("rank.id", "rank.try_", "sequence")

@@ -151,3 +151,13 @@ def test_search_readouts_is_the_scan(spark):
     assert [tuple(r) for r in got.collect()] == want
     few = probes.search_readouts(df, 7, 30, 8, 11, spark.createDataFrame([(s,) for s in existing], "sequence string"), **rules)
     assert [tuple(r) for r in few.collect()] == want[:7]
+
+
+def test_search_readouts_goes_on_to_later_ids(spark):
+    rng = random.Random(5)
+    pool = [(i, "".join(rng.choice("ACGT") for _ in range(18))) for i in range(60)]
+    df = spark.createDataFrame(pool, "id long, sequence string")
+    rules = {"gc": (0.0, 1.0), "run": 30, "c": (0.0, 1.0)}
+    first = df.filter("id < 40").select("sequence")  # of these all share words with existing
+    got = [tuple(r) for r in probes.search_readouts(df, 2, 30, 2, 11, first, **rules).collect()]
+    assert len(got) == 2 and got == [tuple(r) for r in probes.search_readouts(df.filter("id >= 40"), 2, 30, 2, 11, first, **rules).collect()]
