@@ -118,7 +118,8 @@ class Index:
         stats = rows.agg(F.max("square").alias("largest"), F.max(F.size("vec")).alias("width"), F.count("*").alias("n")).first()
         if (stats.largest or 0) > _LARGEST:
             raise ArithmeticError("scores of vectors this long do not fit a long")
-        self.width, self.exact = stats.width or 0, (stats.largest or 0) < 2.0**52
+        self.width, largest = stats.width or 0, stats.largest or 0
+        self.kind = "f4" if largest < 2.0**24 else "f8" if largest < 2.0**52 else "i8"  # the smallest in which all sums are exact
         empty = np.zeros(0)
         self.reach = _Reach(self.width, float(stats.largest or 0), np.zeros((0, self.width + 1)), empty, empty, empty, empty)
         sample = [r.vec for r in rows.orderBy(F.xxhash64("vec"), "vec").limit(_SAMPLE).select("vec").collect()]
@@ -183,7 +184,7 @@ class Index:
                 asked = queries.join(found.filter(F.col("rank") == k).groupBy("ab").agg(kth.alias("best")), "ab", "left")
             planned = asked.groupBy("ab").applyInArrow(_planned(reach, low, low + span, wants), "rb long, ab long, qs array<int>, rows array<long>, labels array<long>, vecs binary, floor array<long>, top array<long>")
             pairs = planned.join(self.blocks.select("rb", "ids", F.col("labels").alias("block_labels"), F.col("vecs").alias("block_vecs")), "rb")
-            new = pairs.groupBy("rb", "ab").applyInArrow(_scanned(self.width, self.exact, same, k, wants), FOUND)
+            new = pairs.mapInArrow(_scanned(self.width, self.kind, same, k, wants), FOUND)  # a row is a block and its anchors
             new = new if found is None else new.unionByName(found.drop("rank"))
             found = written(new.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "annuli-found")
             low, span = low + span, min(4096, 28 if low == 0 else span * 8)
@@ -288,7 +289,7 @@ def _planned(reach, low: int, high: int, wants: int):
     return _by_batch(work)
 
 
-def _scanned(width: int, exact: bool, same: bool, k: int, wants: int, step: int = 128):
+def _scanned(width: int, kind: str, same: bool, k: int, wants: int, step: int = 128):
     """The first k wanted rows of a block for each of the anchors that came to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,6 @@ def _scanned(width: int, exact: bool, same: bool, k: int, wants: int, step: int
             for i in range(batch.num_rows):
                 value = {c: batch.column(c)[i] for c in batch.schema.names}
                 numbers = lambda c: value[c].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                kind = np.float64 if exact else np.int64
                 labels, qs, rows = numbers("block_labels"), numbers("qs"), numbers("rows")
                 x, y = _vectors(value["block_vecs"], width).astype(kind), _vectors(value["vecs"], width).astype(kind)
                 if not width:
@@ -304,26 +304,28 @@ def _scanned(width: int, exact: bool, same: bool, k: int, wants: int, step: int
                 floor, top = numbers("floor").reshape(-1, wants), numbers("top").reshape(-1, wants)
                 place = rows - _row(value["rb"].as_py())
                 mine, ids = numbers("labels"), value["ids"].values
+                reach = lambda v: np.clip(v, -(2**62), 2**62).astype(kind) if kind == "i8" else np.clip(v, -(2.0**53), 2.0**53).astype(kind)
+                least, most = reach(floor.min(1)), reach(top.max(1))  # of any want; what passes is tried on each
                 for low in range(0, len(qs), step):
                     part = slice(low, low + step)
-                    score = (y[part] @ x.T).astype(np.int64)
-                    allowed = (mine[part, None] == labels) == same
-                    own = np.flatnonzero((place[part] >= 0) & (place[part] < len(labels)))
-                    allowed[own, place[part][own]] = False
+                    score = y[part] @ x.T
+                    q, at = np.nonzero((score >= least[part, None]) & (score <= most[part, None]))
+                    s = score[q, at].astype(np.int64)
+                    good = ((mine[part][q] == labels[at]) == same) & (at != place[part][q])
+                    q, at, s = q[good], at[good], s[good]
+                    order = np.lexsort((at, -s, q))
+                    q, at, s = q[order], at[order], s[order]
                     for w in range(wants):
-                        q, at = np.nonzero(allowed & (score >= floor[part, w : w + 1]) & (score <= top[part, w : w + 1]))
-                        if not len(q):
+                        fits = np.flatnonzero((s >= floor[part, w][q]) & (s <= top[part, w][q]))
+                        if not len(fits):
                             continue
-                        s = score[q, at]
-                        order = np.lexsort((at, -s, q))
-                        q, at, s = q[order], at[order], s[order]
-                        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-                        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
-                        q, at, s = q[keep], at[keep], s[keep]
-                        cols = [pa.array(np.full(len(q), value["ab"].as_py())), pa.array(qs[part][q]), pa.array(np.full(len(q), w, np.int32)), pa.array(s), ids.take(pa.array(at)), pa.array(at + _row(value["rb"].as_py()))]
+                        p = q[fits]
+                        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                        fits = fits[np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p)))) < k]
+                        cols = [pa.array(np.full(len(fits), value["ab"].as_py())), pa.array(qs[part][q[fits]]), pa.array(np.full(len(fits), w, np.int32)), pa.array(s[fits]), ids.take(pa.array(at[fits])), pa.array(at[fits] + _row(value["rb"].as_py()))]
                         yield pa.RecordBatch.from_arrays(cols, ["ab", "q", "w", "score", "vec_id", "row"])
 
-    return _by_batch(work)
+    return work
 
 
 def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 3, least: int = 50, most: int = 95, n_pivots: int = 32, block: int = 2048, anchors: int = 1024) -> DataFrame:
