@@ -269,9 +269,10 @@ class _Members:
         if not packed:
             packed = self._raw.read(min(1 << 14, self._left))
             self._left -= len(packed)
-        if not packed:
+        more = self._inflate.decompress(packed, 1 << 16)
+        if not packed and not more and not self._inflate.eof:
             raise ValueError("a record ends too early")
-        self._data, self._at = self._data[self._at :] + self._inflate.decompress(packed, 1 << 16), 0
+        self._data, self._at = self._data[self._at :] + more, 0
         return True
 
     def _open(self) -> bool:
@@ -287,8 +288,9 @@ class _Members:
         return True
 
     def readline(self) -> bytes:
-        if self._at == len(self._data) and not self._more() and not self._open():
-            return b""
+        while self._at == len(self._data):  # the last step of a member can end it without data
+            if not self._more() and not self._open():
+                return b""
         while (end := self._data.find(b"\n", self._at)) < 0:
             if not self._more():
                 end = len(self._data) - 1

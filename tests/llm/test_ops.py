@@ -430,6 +430,18 @@ def test_warc(spark, compression):
     assert warc.round_trip(df.filter("false"), compression=compression).count() == 0
 
 
+def test_warc_members_that_end_at_a_buffer():
+    """A gzip member whose last input holds no data does not end the file."""
+    import io
+
+    noise = random.Random(2).randbytes(17_000)
+    reader = warc.WarcReader({"path": "x"})
+    for n in range(16_000, 16_420):
+        data = b"".join(warc._member(warc._record(i, "u", p, "X", None, "2000-01-01T00:00:00Z")) for i, p in ((5, noise[:n]), (6, b"z")))
+        members = warc._Members(io.BytesIO(data))
+        assert [r[0] for r in reader._rows(members, lambda k: members.seek(k, 1))] == [5, 6]  # noqa: B023
+
+
 def test_warc_rows_that_share_an_id(spark):
     pages = [(5, "b", "x"), (5, "a", "x"), (5, "a", "x"), (7, "a", "x"), (None, "a", "x"), (None, "a", "y"), (None, "b", "y"), (-(2**63), "a", "z"), (None, "a", "z"), (9, "a", "w"), (9, "a", "v")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
