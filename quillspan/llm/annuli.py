@@ -15,7 +15,8 @@ An anchor's positives are its first ``n_positives`` other rows of its label; for
 least * positive_score <= 100 * s <= most * positive_score.  Higher scores come first, ties by smaller vec_id (null last).
 
 Scale: anchors travel in blocks of ``anchors`` rows; a task holds one block of each kind.  A block's anchors go only to blocks that at least one
-of them needs, so the work is anchors times rows within reach.  The blocks' directory (four numbers a block) is sent to all tasks:
+of them needs, so the work is anchors times rows within reach.  Their joins are hinted to sort and merge, since sizes guessed from
+files would have vectors sent to all tasks; vectors travel as 16-bit numbers where they fit.  The blocks' directory (four numbers a block) is sent to all tasks:
 blocks grow with the table so that it has at most 65,536 entries and one more for each pivot and task.  Rows with one key (copies) are
 split over blocks.  Pivots are means of a sample of 2,048 rows with the least hashes; they decide the work, not the result.
 
@@ -82,6 +83,7 @@ class _Reach:
 
     width: int
     largest: float
+    store: str
     pivots: np.ndarray
     rb: np.ndarray
     pivot: np.ndarray
@@ -121,7 +123,7 @@ class Index:
         self.width, largest = stats.width or 0, stats.largest or 0
         self.kind = "f4" if largest < 2.0**24 else "f8" if largest < 2.0**52 else "i8"  # the smallest in which all sums are exact
         empty = np.zeros(0)
-        self.reach = _Reach(self.width, float(stats.largest or 0), np.zeros((0, self.width + 1)), empty, empty, empty, empty)
+        self.reach = _Reach(self.width, float(largest), "<i2" if largest < 2.0**30 else "<i4", np.zeros((0, self.width + 1)), empty, empty, empty, empty)
         sample = [r.vec for r in rows.orderBy(F.xxhash64("vec"), "vec").limit(_SAMPLE).select("vec").collect()]
         if sample:
             self.reach.pivots = _centres(self.reach.augmented(_matrix(pa.array(sample, pa.list_(pa.int64())), self.width)), n_pivots)
@@ -130,7 +132,7 @@ class Index:
         keyed = self._keyed(rows).withColumn("spread", F.monotonically_increasing_id())  # rows of one key are split
         order = ["pivot", "dist", "spread"]
         sorted_ = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread")
-        sorted_.mapInArrow(_packed(block, self.width), _BLOCKS).write.parquet(path)
+        sorted_.mapInArrow(_packed(block, self.width, self.reach.store), _BLOCKS).write.parquet(path)
         self.blocks = self.spark.read.schema(_BLOCKS).parquet(path)
         found = sorted(map(tuple, self.blocks.select("pivot", "lo", "rb", "hi", "n_anchors").collect()))
         pivot, lo, rb, hi, n_anchors = (np.array(c) for c in zip(*found, strict=True)) if found else [empty.astype(np.int64)] * 5
@@ -152,7 +154,7 @@ class Index:
 
     def queries(self) -> DataFrame:
         """The anchors in blocks (ab, rows, ids, labels, vecs), in the order of their keys."""
-        first, size, width = self.spark.sparkContext.broadcast(self.first_anchor), self.anchors, self.width
+        first, size, width, store = self.spark.sparkContext.broadcast(self.first_anchor), self.anchors, self.width, self.reach.store
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -160,7 +162,7 @@ class Index:
                     rb, ids, labels, anchor, vecs = (batch.column(c)[i] for c in ("rb", "ids", "labels", "anchor", "vecs"))
                     at = np.flatnonzero(anchor.values.to_numpy(zero_copy_only=False))
                     rows = pa.array(at)
-                    x = _vectors(vecs, width)[at]
+                    x = _vectors(vecs, width, store)[at]
                     ab = (first.value[rb.as_py()] + np.arange(len(at))) // size
                     packed = pa.array([v.tobytes() for v in x], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(ab), pa.array(at + _row(rb.as_py())), ids.values.take(rows), labels.values.take(rows), packed], ["ab", "row", "vec_id", "label", "vec"])
@@ -181,10 +183,10 @@ class Index:
             asked = queries
             if found is not None:
                 kth = F.collect_list(F.struct("q", "w", "score"))
-                asked = queries.join(found.filter(F.col("rank") == k).groupBy("ab").agg(kth.alias("best")), "ab", "left")
+                asked = queries.join(found.filter(F.col("rank") == k).groupBy("ab").agg(kth.alias("best")).hint("merge"), "ab", "left")
             planned = asked.groupBy("ab").applyInArrow(_planned(reach, low, low + span, wants), "rb long, ab long, qs array<int>, rows array<long>, labels array<long>, vecs binary, floor array<long>, top array<long>")
-            pairs = planned.join(self.blocks.select("rb", "ids", F.col("labels").alias("block_labels"), F.col("vecs").alias("block_vecs")), "rb")
-            new = pairs.mapInArrow(_scanned(self.width, self.kind, same, k, wants), FOUND)  # a row is a block and its anchors
+            pairs = planned.join(self.blocks.select("rb", "ids", F.col("labels").alias("block_labels"), F.col("vecs").alias("block_vecs")).hint("merge"), "rb")
+            new = pairs.mapInArrow(_scanned(self.width, self.reach.store, self.kind, same, k, wants), FOUND)  # a row is a block and its anchors
             new = new if found is None else new.unionByName(found.drop("rank"))
             found = written(new.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "annuli-found")
             low, span = low + span, min(4096, 28 if low == 0 else span * 8)
@@ -196,10 +198,10 @@ def _row(rb: int) -> int:
     return rb << 24
 
 
-def _vectors(value: pa.Scalar, width: int) -> np.ndarray:
+def _vectors(value: pa.Scalar, width: int, store: str) -> np.ndarray:
     """The vectors in a binary value."""
-    raw = np.frombuffer(value.as_buffer(), "<i4")
-    return raw.reshape(-1, width) if width else np.zeros((0, 0), "<i4")
+    raw = np.frombuffer(value.as_buffer(), store)
+    return raw.reshape(-1, width) if width else np.zeros((0, 0), store)
 
 
 def _by_batch(work):
@@ -209,7 +211,7 @@ def _by_batch(work):
     return each
 
 
-def _packed(block: int, width: int):
+def _packed(block: int, width: int, store: str):
     """Sorted rows to blocks of one pivot; within a block rows are in the order of ties."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def _packed(block: int, width: int):
             part = part.sort_by([("vec_id", "ascending"), ("label", "ascending")]).combine_chunks()
             ids, labels, anchor, vec = (part.column(c).combine_chunks() for c in ("vec_id", "label", "anchor", "vec"))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in (ids, labels, anchor)]
-            x = _matrix(vec, width).astype("<i4").tobytes()
+            x = _matrix(vec, width).astype(store).tobytes()
             row = [[next_id], [pivot], [float(dist[0])], [float(dist[-1])], [len(part)], [anchor.true_count]]
             next_id += 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True)] + [*lists, pa.array([x], pa.binary())], [c.split()[0] for c in _BLOCKS.split(", ")])
@@ -263,7 +265,7 @@ def _planned(reach, low: int, high: int, wants: int):
                 value = {c: batch.column(c)[i] for c in batch.schema.names}
                 rows, labels = (value[c].values.to_numpy(zero_copy_only=False) for c in ("rows", "labels"))
                 raw = value["vecs"].values
-                x = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(len(rows), r.width)
+                x = np.frombuffer(b"".join(raw.to_pylist()), r.store).reshape(len(rows), r.width)
                 shape = (len(rows), wants)
                 ranged = "ranges" in value
                 ranges = value["ranges"].as_py() if ranged else None
@@ -289,7 +291,7 @@ def _planned(reach, low: int, high: int, wants: int):
     return _by_batch(work)
 
 
-def _scanned(width: int, kind: str, same: bool, k: int, wants: int, step: int = 128):
+def _scanned(width: int, store: str, kind: str, same: bool, k: int, wants: int, step: int = 128):
     """The first k wanted rows of a block for each of the anchors that came to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,7 @@ def _scanned(width: int, kind: str, same: bool, k: int, wants: int, step: int =
                 value = {c: batch.column(c)[i] for c in batch.schema.names}
                 numbers = lambda c: value[c].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 labels, qs, rows = numbers("block_labels"), numbers("qs"), numbers("rows")
-                x, y = _vectors(value["block_vecs"], width).astype(kind), _vectors(value["vecs"], width).astype(kind)
+                x, y = _vectors(value["block_vecs"], width, store).astype(kind), _vectors(value["vecs"], width, store).astype(kind)
                 if not width:
                     x, y = np.zeros((len(labels), 1), kind), np.zeros((len(qs), 1), kind)
                 floor, top = numbers("floor").reshape(-1, wants), numbers("top").reshape(-1, wants)
@@ -337,7 +339,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = 5, n_n
     queries = written(index.queries(), "annuli-anchors")
     positives = index.search(queries, True, n_positives)
     bounds = F.struct("q", (F.col("rank") - 1).alias("w"), F.expr(f"-((-{least} * score - pmod(-{least} * score, 100)) div 100)").alias("lo"), F.expr(f"({most} * score - pmod({most} * score, 100)) div 100").alias("hi"))
-    ranged = queries.join(positives.groupBy("ab").agg(F.collect_list(bounds).alias("ranges")), "ab")
+    ranged = queries.join(positives.groupBy("ab").agg(F.collect_list(bounds).alias("ranges")).hint("merge"), "ab")
     negatives = index.search(ranged, False, n_negatives, n_positives)
     named = queries.select("ab", F.posexplode("ids").alias("q", "anchor_id"))
     chosen = positives.select("ab", "q", (F.col("rank") - 1).alias("w"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))

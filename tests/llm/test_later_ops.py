@@ -82,6 +82,17 @@ def test_only_reachable_blocks_are_scanned(spark):
     assert left.select(F.sum(F.size("qs"))).first()[0] < 0.5 * 20 * blocks
 
 
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    """A few blocks of anchors, small by their files, meet every block of rows: neither side may be sent to all tasks whole."""
+    rows = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7, F.col("id") % 11, F.lit(2**20) + F.col("id")).alias("vec"), (F.col("id") % 3).alias("label"))
+    plans, write = [], annuli.written
+    monkeypatch.setattr(annuli, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    plain = [(r.vec_id, r.vec, r.label) for r in rows.collect()]
+    same(negatives_of(annuli.hard_negatives(rows, F.col("vec_id") % 50 == 0, block=64, anchors=4)), plain_negatives(plain, lambda i: i % 50 == 0))
+    assert [name for name, _ in plans].count("annuli-found") > 2
+    assert not [plan for _, plan in plans if "Broadcast" in plan]
+
+
 def test_rows_that_take_part(spark):
     rows = [(1, [1.0, 2.0], 1), (2, [1.0, None], 1), (3, [float("nan"), 1.0], 1), (4, [float("-inf")], 1), (5, None, 1), (6, [1.0], None), (7, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
