@@ -122,6 +122,18 @@ def test_unused_pairs_of_many_codes(spark):
     assert sorted(map(tuple, sequences.unused_pairs(few, spark.createDataFrame([("a", "c")], "a string, b string"), block=1).collect())) == [("a", "b"), ("b", "c")]
 
 
+def test_unused_pairs_send_no_blocks_to_all_tasks(spark):
+    """Blocks of codes are not broadcast, however small their files; more blocks than ``parts`` become larger ones; used pairs of either order of blocks."""
+    codes = spark.createDataFrame([(i * 7 % 101,) for i in range(101)] + [(5,), (None,)], "code long")
+    pairs = {(a, b) for a, b in itertools.combinations(range(101), 2) if a % 9 == 0 or (a * b) % 5 == 1}
+    used = spark.createDataFrame([*sorted(pairs), (4, 3), (8, 8), (1, 500), (None, 2)], "a int, b int")
+    for parts in ({}, {"parts": 1}, {"parts": 4}):
+        free = sequences.unused_pairs(codes, used, block=3, **parts)
+        assert sorted(map(tuple, free.collect())) == sorted(set(itertools.combinations(range(101), 2)) - pairs)
+        plan = free._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" not in x]
+
+
 def test_snapped_meets_only_near_references(spark):
     rows = [(g, x) for g in (1, 2) for x in range(-20, 20) if random.Random(g * 100 + x).random() < 0.3]
     starts = spark.createDataFrame(rows, "g long, start long")
