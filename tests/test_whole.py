@@ -122,9 +122,10 @@ def test_unused_pairs_of_many_codes(spark):
     assert sorted(map(tuple, sequences.unused_pairs(few, spark.createDataFrame([("a", "c")], "a string, b string"), block=1).collect())) == [("a", "b"), ("b", "c")]
 
 
-def test_unused_pairs_send_no_blocks_to_all_tasks(spark):
+def test_unused_pairs_send_no_blocks_to_all_tasks(spark, tmp_path):
     """Blocks of codes are not broadcast, however small their files; more blocks than ``parts`` become larger ones; used pairs of either order of blocks."""
-    codes = spark.createDataFrame([(i * 7 % 101,) for i in range(101)] + [(5,), (None,)], "code long")
+    spark.createDataFrame([(i * 7 % 101,) for i in range(101)] + [(5,), (None,)], "code long").write.parquet(str(tmp_path / "codes"))
+    codes = spark.read.parquet(str(tmp_path / "codes"))
     pairs = {(a, b) for a, b in itertools.combinations(range(101), 2) if a % 9 == 0 or (a * b) % 5 == 1}
     used = spark.createDataFrame([*sorted(pairs), (4, 3), (8, 8), (1, 500), (None, 2)], "a int, b int")
     for parts in ({}, {"parts": 1}, {"parts": 4}):
@@ -134,6 +135,24 @@ def test_unused_pairs_send_no_blocks_to_all_tasks(spark):
         assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" not in x]
 
 
+def test_matches_move_points_once(spark):
+    """Regions are only dealt to blocks of points and points to none but their own; pairs by slices of blocks of any size against every pair."""
+    n = 3000
+    many = spark.range(n).select(F.col("id").alias("region"), F.lit(1).alias("g"), F.col("id").alias("start"), (F.col("id") + n).alias("end"))
+    found = joins.matched_in_interval(many.select(F.col("region").alias("id"), "g", (F.col("start") + 1).alias("place")), many, "place", ["g"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # blocks of a region, pairs
+    assert found.count() == n * (n + 1) // 2 + n - 2
+    rng = random.Random(8)
+    places = [(i, rng.choice("xy"), rng.choice([None, *range(12)]) if i % 3 else 5) for i in range(120)]
+    regions = [(i, rng.choice("xyz"), a, a + rng.choice([-1, 0, 1, 4, 20])) for i, a in enumerate(rng.randrange(-3, 12) for _ in range(60))]
+    regions += regions[:1]
+    p, r = spark.createDataFrame(places, "id long, g string, place long"), spark.createDataFrame(regions, "region long, g string, start long, end long")
+    for closed, block, keep in (("left", 1, None), ("both", 7, ["id"]), ("left", 50, ["id", "place"]), ("both", 32_768, None)):
+        want = [(x[0], y[0]) for x in places for y in regions if x[2] is not None and x[1] == y[1] and y[2] <= x[2] and (x[2] < y[3] or closed == "both" and x[2] == y[3])]
+        got = joins.matched_in_interval(p, r, "place", ["g"], closed, keep=keep, block=block)
+        assert sorted((x.id, x.region) for x in got.collect()) == sorted(want)
+
+
 def test_snapped_meets_only_near_references(spark):
     rows = [(g, x) for g in (1, 2) for x in range(-20, 20) if random.Random(g * 100 + x).random() < 0.3]
     starts = spark.createDataFrame(rows, "g long, start long")
